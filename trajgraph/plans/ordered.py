@@ -78,18 +78,18 @@ def ordered_columns(
     order: Sequence[Column | str],
     specs: Sequence[Spec],
     limit: int | None = None,
-    check: DataFrame | None = None,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Add the columns of ``specs``; ``order`` must be total within a key.
 
-    ``check`` may be a cheaper frame with the same key counts.
+    ``hot`` skips the count when the caller already knows the answer, as an
+    iteration does whose groups only shrink.
     """
     keys = list(keys)
     order = [_col(o) for o in order]
-    limit = group_limit(df) if limit is None else limit
-    if not has_hot_group(check if check is not None else df, keys, limit):
-        return _plain(df, keys, order, specs)
-    return _split(df, keys, order, specs)
+    if hot is None:
+        hot = has_hot_group(df, keys, group_limit(df) if limit is None else limit)
+    return (_split if hot else _plain)(df, keys, order, specs)
 
 
 def _plain(df, keys, order, specs):
