@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import mining, paths
+from ..operators.gold import gold_paths
 from ..plans import adapters as A
 from ..plans.adapters import with_ctes
 from ..plans.ordered import lead, ordered_columns
+from .graph import NODES, tables
 from .registry import query
 
 # --------------------------------------------------------------- mining (P04-P08)
@@ -358,3 +360,277 @@ def _(spark, sf):
     matches = paths.matching_groups(steps.select("path_id", F.col("elem").alias("element_id")), members)
     chosen = paths.choose_groups(matches, members)
     return paths.rewrite_with_groups(steps, chosen)
+
+
+# ------------------------------------------------- rendering and gold paths (P11 …)
+
+
+def _path_steps(spark, sf):
+    """Steps of every task path, long form."""
+    return _task_paths(spark, sf).select(
+        "task", F.col("path_id"), F.posexplode("triplets").alias("pos", "t")
+    ).select("task", F.concat_ws("#", "task", "path_id").alias("path_id"), "pos", "t.src", "t.elem", "t.tgt")
+
+
+PATH_STEPS = WALK.replace(
+    "'P:' || page_id AS path_id, CAST(0 AS BIGINT) AS n_steps",
+    "'P:' || page_id AS path_id, CAST(0 AS BIGINT) AS n_steps, CAST([] AS STRUCT(src VARCHAR, elem VARCHAR, tgt VARCHAR)[]) AS triplets",
+).replace(
+    "w.n_steps + 1\n",
+    "w.n_steps + 1, list_append(w.triplets, {'src': w.page, 'elem': e.elem, 'tgt': e.tgt})\n",
+).replace("path_id, n_steps FROM walk w", "path_id, n_steps, triplets FROM walk w") + """,
+path_rows AS (
+  SELECT task, task || '#' || path_id AS path_id, pos - 1 AS pos, t.src AS src, t.elem AS elem, t.tgt AS tgt
+  FROM (SELECT task, path_id, unnest(triplets) AS t, unnest(range(1, len(triplets) + 1)) AS pos FROM paths)),
+pages_ AS (
+  SELECT page_id,
+         CASE WHEN page_id LIKE 'signup%' THEN NULL WHEN page_id LIKE 'error%' THEN ''
+              ELSE 'Screen ' || page_id END AS function_summary,
+         CASE WHEN page_id LIKE 'purchase%' THEN 'buy at ' || page_id ELSE '' END AS goal
+  FROM (SELECT DISTINCT page_id FROM page_steps)),
+elements_ AS (
+  SELECT element_id, CASE WHEN tgt NOT LIKE 'view%' THEN 'go to ' || tgt END AS function_summary,
+         CASE WHEN tgt LIKE 'click%' THEN 'open ' || tgt ELSE '' END AS goal
+  FROM (SELECT DISTINCT elem AS element_id, tgt FROM edges)),
+enriched AS (
+  SELECT r.*, s.function_summary AS src_summary, e.function_summary AS elem_summary,
+         t.function_summary AS tgt_summary, s.goal AS src_goal, e.goal AS elem_goal, t.goal AS tgt_goal
+  FROM path_rows r LEFT JOIN pages_ s ON s.page_id = r.src
+  LEFT JOIN elements_ e ON e.element_id = r.elem LEFT JOIN pages_ t ON t.page_id = r.tgt)"""
+
+
+def _enriched(spark, sf):
+    t = tables(spark, sf)
+    return paths.enrich_steps(_path_steps(spark, sf), t["pages"], t["elements"])
+
+
+@query(
+    "J04_enrich_paths",
+    with_ctes(
+        "edges",
+        "SELECT path_id, pos, src_summary, elem_summary, tgt_summary FROM enriched",
+        recursive=True, extra=PATH_STEPS,
+    ),
+)
+def _(spark, sf):
+    return _enriched(spark, sf).select("path_id", F.col("pos").cast("long").alias("pos"), "src_summary", "elem_summary", "tgt_summary")
+
+
+SIMPLIFIED = """
+       coalesce(src_summary, 'Unknown source') || '_$' || src || '$' AS source_page,
+       coalesce(elem_summary, 'Unknown element') || '_$Element_' || elem || '$' AS element,
+       coalesce(tgt_summary, 'Unknown source') || '_$' || tgt || '$' AS target_page"""
+
+
+@query(
+    "P12_simplify",
+    with_ctes(
+        "edges", "SELECT path_id, pos, " + SIMPLIFIED + " FROM enriched", recursive=True, extra=PATH_STEPS
+    ),
+)
+def _(spark, sf):
+    out = paths.simplified()
+    return _enriched(spark, sf).select(
+        "path_id", F.col("pos").cast("long").alias("pos"), *[c.alias(n) for n, c in out.items()]
+    )
+
+
+@query(
+    "P13_extract_goal",
+    with_ctes(
+        "edges",
+        """SELECT path_id, coalesce(arg_min(
+                    coalesce(nullif(src_goal, ''), nullif(elem_goal, ''), nullif(tgt_goal, '')), pos)
+                    FILTER (WHERE coalesce(src_goal, '') || coalesce(elem_goal, '') || coalesce(tgt_goal, '') <> ''),
+                  '') AS goal
+           FROM enriched GROUP BY path_id""",
+        recursive=True, extra=PATH_STEPS,
+    ),
+)
+def _(spark, sf):
+    return paths.first_goal(_enriched(spark, sf))
+
+
+@query(
+    "P11_gold_paths",
+    with_ctes(
+        "edges",
+        """SELECT task, path_id, any_value(g) AS goal, string_agg(source_page || ' ' || element || ' ' || target_page,
+                  ' | ' ORDER BY pos) AS path, count(*) AS n_steps
+           FROM (SELECT *, coalesce(arg_min(coalesce(nullif(src_goal, ''), nullif(elem_goal, ''), nullif(tgt_goal, '')), pos)
+                   FILTER (WHERE coalesce(src_goal, '') || coalesce(elem_goal, '') || coalesce(tgt_goal, '') <> '')
+                   OVER (PARTITION BY path_id), '') AS g, """ + SIMPLIFIED + """ FROM enriched)
+           GROUP BY task, path_id""",
+        recursive=True, extra=PATH_STEPS,
+    ),
+)
+def _(spark, sf):
+    return gold_paths(_enriched(spark, sf)).select(
+        "task", "path_id", "goal", F.array_join(F.transform("path", lambda s: F.array_join(s, " ")), " | ").alias("path"),
+        F.size("path").cast("long").alias("n_steps"),
+    )
+
+
+@query(
+    "P14_parse_path_tokens",
+    with_ctes(
+        "edges",
+        """SELECT path_id, pos, 'element' AS type, src AS start_page,
+                  md5(elem) AS id FROM path_rows""",
+        recursive=True, extra=PATH_STEPS,
+    ),
+)
+def _(spark, sf):
+    text = F.concat(F.lit("tap_$Element_"), F.md5("elem"), F.lit("$"))
+    page = F.concat(F.lit("Screen_$"), "src", F.lit("$"))
+    return _path_steps(spark, sf).select(
+        "path_id", F.col("pos").cast("long").alias("pos"), paths.parse_path_token(text).alias("t"),
+        paths.start_page_token(page).alias("start_page"),
+    ).select("path_id", "pos", "t.type", "t.id", "start_page")
+
+
+@query(
+    "P15_common_descriptions",
+    with_ctes(
+        "tokens",
+        """SELECT chain_id, array_to_string(list_sort(list_intersect(f.d, l.d)), ',') AS common
+           FROM (SELECT chain_id, arg_min(src, pos) AS first, arg_max(tgt, pos) AS last FROM tokens GROUP BY 1)
+           JOIN desc_ f ON f.page = first JOIN desc_ l ON l.page = last""",
+        extra="""
+desc_ AS (SELECT event_type AS page, list_sort(list(DISTINCT control)) AS d FROM (
+  SELECT event_type, control FROM steps UNION SELECT next_type, control FROM steps WHERE next_type IS NOT NULL)
+  GROUP BY 1)""",
+    ),
+)
+def _(spark, sf):
+    s = A.steps(spark, sf)
+    desc = (
+        s.select(F.col("event_type").alias("page"), "control")
+        .unionByName(s.filter("next_type is not null").select(F.col("next_type").alias("page"), "control"))
+        .groupBy("page").agg(F.collect_set("control").alias("d"))
+    )
+    ends = A.tokens(spark, sf).groupBy("chain_id").agg(
+        F.min_by("src", "pos").alias("first"), F.max_by("tgt", "pos").alias("last")
+    )
+    return (
+        ends.join(desc.select(F.col("page").alias("first"), F.col("d").alias("fd")), "first")
+        .join(desc.select(F.col("page").alias("last"), F.col("d").alias("ld")), "last")
+        .select("chain_id", F.array_join(paths.common_descriptions(F.col("fd"), F.col("ld")), ",").alias("common"))
+    )
+
+
+@query(
+    "P16_chain_text",
+    with_ctes(
+        "edges",
+        """SELECT path_id, string_agg('Step ' || (pos + 1) || ': On the page 【' || coalesce(src_summary, 'Unknown page')
+                  || '】, perform the operation 【tap】 on 【' || coalesce(elem_summary, 'Unknown element')
+                  || '】 to reach the page 【' || coalesce(tgt_summary, 'Unknown page') || '】.', chr(10) ORDER BY pos) AS text
+           FROM enriched GROUP BY path_id""",
+        recursive=True, extra=PATH_STEPS,
+    ),
+)
+def _(spark, sf):
+    line = paths.operation_line(
+        F.col("pos") + 1, F.col("src_summary"), F.lit("tap"), F.col("elem_summary"), F.col("tgt_summary")
+    )
+    # A path's lines are as many as its steps.
+    return _enriched(spark, sf).groupBy("path_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))["line"], "\n").alias("text")
+    )
+
+
+@query(
+    "P21_chain_reasoning_text",
+    with_ctes(
+        "edges",
+        """SELECT path_id, string_agg('Step ' || (pos + 1) || ' reasoning result:' || chr(10)
+                  || '  Context: ' || src || chr(10) || '  Function: ' || coalesce(elem_summary, 'N/A') || chr(10)
+                  || '  User intent: N/A' || chr(10) || '  State change: ' || tgt || chr(10)
+                  || '  Task relation: N/A' || chr(10), chr(10) ORDER BY pos) AS text
+           FROM enriched GROUP BY path_id""",
+        recursive=True, extra=PATH_STEPS,
+    ),
+)
+def _(spark, sf):
+    reasoning = F.to_json(
+        F.struct(F.col("src").alias("context"), F.col("elem_summary").alias("function"), F.col("tgt").alias("state_change"))
+    )
+    block = paths.reasoning_text(F.col("pos") + 1, reasoning)
+    return _enriched(spark, sf).groupBy("path_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("pos", block.alias("t"))))["t"], "\n").alias("text")
+    )
+
+
+@query(
+    "P17_serialize_path",
+    with_ctes(
+        "edges",
+        """SELECT task, path_id, 'Page: ' || triplets[1].src || array_to_string(list_transform(triplets,
+                  lambda t: ' -- Action: ' || t.elem || ' --> Page: ' || t.tgt), '') AS text FROM paths""",
+        recursive=True, extra=PATH_STEPS,
+    ),
+)
+def _(spark, sf):
+    text = paths.serialize_steps(
+        F.element_at("triplets", 1)["src"], F.col("triplets.elem"), F.col("triplets.tgt")
+    )
+    return _task_paths(spark, sf).select("task", "path_id", text.alias("text"))
+
+
+@query(
+    "P19_page_actions",
+    with_ctes(
+        "edges",
+        """SELECT e.task || '#' || e.branch || '#' || e.step AS node_id, h.element_id, l.page_id AS target
+           FROM edges e JOIN has_element h ON h.page_id = e.tgt JOIN leads_to l ON l.element_id = h.element_id
+           JOIN pages_ p ON p.page_id = l.page_id AND p.function_summary IS NOT NULL
+           WHERE h.element_id <> e.elem AND l.page_id <> e.src
+             AND (NOT EXISTS (SELECT 1 FROM page_steps s WHERE s.page_id = e.tgt AND s.task = e.task)
+                  OR NOT EXISTS (SELECT 1 FROM edges s WHERE s.elem = h.element_id AND s.task = e.task)
+                  OR EXISTS (SELECT 1 FROM page_steps s WHERE s.page_id = l.page_id AND s.task = e.task))""",
+        extra=NODES,
+    ),
+)
+def _(spark, sf):
+    t = tables(spark, sf)
+    frontier = t["edges"].select(
+        F.concat_ws("#", "task", "branch", F.col("step").cast("string")).alias("node_id"), "task",
+        F.col("tgt").alias("page_id"), F.col("src").alias("parent_page"), F.array("elem").alias("expanded"),
+    )
+    return paths.page_actions(
+        frontier, t["has_element"], t["leads_to"], t["pages"], t["page_steps"], t["element_steps"]
+    ).select("node_id", "element_id", "target")
+
+
+@query(
+    "P20_start_page_pick",
+    with_ctes(
+        "edges",
+        """SELECT app, arg_min(page_id, (rule, page_id)) AS page_id, min(rule) AS rule FROM (
+             SELECT task AS app, page_id, CASE WHEN min(z) = 1 THEN 1 ELSE 2 END AS rule FROM (
+               SELECT task, page_id, branch, max(CAST(step = 0 AS INT)) AS z FROM (
+                 SELECT task, branch, src AS page_id, step FROM edges
+                 UNION ALL SELECT task, branch, tgt, step + 1 FROM edges) GROUP BY ALL) GROUP BY ALL)
+           GROUP BY app""",
+    ),
+)
+def _(spark, sf):
+    e = A.edges(spark, sf)
+    ps = e.select(F.col("task").alias("app"), F.col("src").alias("page_id"), F.col("branch").alias("task"), "step").unionByName(
+        e.select(F.col("task").alias("app"), F.col("tgt").alias("page_id"), F.col("branch").alias("task"), (F.col("step") + 1).alias("step"))
+    )
+    return paths.pick_start_page(ps)
+
+
+@query(
+    "W05_shared_page_merge",
+    with_ctes(
+        "tokens",
+        """SELECT path_id, pos, tgt AS shared_page FROM (
+             SELECT chain_id AS path_id, pos, tgt, lead(src) OVER (PARTITION BY chain_id ORDER BY pos) AS n FROM tokens)
+           WHERE n = tgt""",
+    ),
+)
+def _(spark, sf):
+    return paths.adjacent_shared_pages(A.tokens(spark, sf).withColumnRenamed("chain_id", "path_id"))

@@ -204,19 +204,20 @@ def delete_nodes(nodes: DataFrame, key: str, ids: DataFrame, edges: list[tuple[D
     return left, cut
 
 
-def delete_task_cascade(node_tasks: DataFrame, vectors: DataFrame, task: Column):
-    """Forget a task: ``(remaining node_tasks, deleted node ids, remaining vectors)``.
+def delete_task_cascade(node_tasks: DataFrame, vectors: DataFrame, forgotten: DataFrame):
+    """Forget tasks: ``(remaining node_tasks, deleted node ids, remaining vectors)``.
 
-    ``node_tasks(node_id, task)`` long form; ``task`` is a boolean column that is true
-    for rows of the task to forget.  Nodes of no other task are deleted along with
-    their vectors.
+    ``node_tasks(node_id, task)`` in long form, ``forgotten(task)``.  Nodes of no other
+    task are deleted along with their vectors.
     """
-    status = node_tasks.groupBy("node_id").agg(F.min(task.cast("int")).alias("only"))
-    deleted = status.filter(F.col("only") == 1).select("node_id")
-    remaining = node_tasks.filter(~task)
-    return remaining, deleted, vectors.join(
-        deleted.select(F.col("node_id").alias("id")), "id", "left_anti"
+    remaining = node_tasks.join(forgotten.select("task"), "task", "left_anti")
+    deleted = (
+        node_tasks.select("node_id")
+        .distinct()
+        .join(remaining.select("node_id"), "node_id", "left_anti")
     )
+    kept = vectors.join(deleted.select(F.col("node_id").alias("id")), "id", "left_anti")
+    return remaining, deleted, kept
 
 
 def task_names(*node_tasks: DataFrame) -> DataFrame:
