@@ -1 +1,312 @@
-"""Filled below."""
+"""Vector retrieval queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.vectors import cosine, keyword_overlap, l2_normalise
+from ..operators import graph as G
+from ..operators import vectors as V
+from ..plans import adapters as A
+from ..plans.adapters import with_ctes
+from .registry import query
+
+CENTROIDS = """
+centroids AS (
+  SELECT namespace AS query_id, namespace, list(m ORDER BY i) AS "values" FROM (
+    SELECT namespace, i, avg(v) AS m FROM (
+      SELECT namespace, unnest("values"::DOUBLE[]) AS v, unnest(range(1, len("values") + 1)) AS i FROM vectors)
+    GROUP BY namespace, i) GROUP BY namespace),
+scored AS (
+  SELECT c.query_id, v.id, list_cosine_similarity(c."values", v."values"::DOUBLE[]) AS sim
+  FROM centroids c JOIN vectors v ON v.namespace = c.namespace)"""
+
+
+def centroids(vectors):
+    """Mean vector per namespace: one query per namespace, from the whole table."""
+    means = (
+        vectors.select("namespace", F.posexplode("values").alias("i", "v"))
+        .groupBy("namespace", "i")
+        .agg(F.avg(F.col("v").cast("double")).alias("m"))
+    )
+    # Gathers one number per dimension, which is a fixed width.
+    return means.groupBy("namespace").agg(
+        F.array_sort(F.collect_list(F.struct("i", "m")))["m"].alias("values")
+    ).select(F.col("namespace").alias("query_id"), "namespace", "values")
+
+
+@query(
+    "V01_vector_upsert",
+    with_ctes(
+        "vectors",
+        """SELECT namespace, id, version, round(list_sum("values"::DOUBLE[]), 4) AS total FROM (
+             SELECT namespace, id, arg_max(version, version) AS version, arg_max("values", version) AS "values"
+             FROM (SELECT *, 1 AS version FROM vectors
+                   UNION ALL SELECT id, namespace, list_reverse("values"), 2 FROM vectors WHERE "values"[1] > 0)
+             GROUP BY namespace, id)""",
+    ),
+)
+def _(spark, sf):
+    v = A.vectors(spark, sf).withColumn("version", F.lit(1))
+    new = v.filter(F.col("values")[0] > 0).select(
+        "id", "namespace", F.reverse("values").alias("values"), F.lit(2).alias("version")
+    )
+    total = F.aggregate(F.col("values").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
+    return V.upsert(v, new).select("namespace", "id", "version", F.round(total, 4).alias("total"))
+
+
+TOPK = """SELECT query_id, id, round(sim, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM scored
+  WHERE {where}) WHERE rank <= {k}"""
+
+
+@query("V02_topk_cosine", with_ctes("vectors", TOPK.format(where="TRUE", k=5), extra=CENTROIDS))
+def _(spark, sf):
+    v = A.vectors(spark, sf)
+    return V.topk(v, centroids(v), k=5).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "V02_topk_no_match",
+    with_ctes(
+        "vectors",
+        """SELECT c.query_id, coalesce(t.id, -1) AS id, coalesce(round(t.sim, 6), -1.0) AS score,
+                  coalesce(t.rank, 1) AS rank
+           FROM centroids c LEFT JOIN (
+             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM scored
+             WHERE sim >= 0.45) t ON t.query_id = c.query_id AND t.rank <= 3""",
+        extra=CENTROIDS,
+    ),
+)
+def _(spark, sf):
+    v = A.vectors(spark, sf)
+    q = centroids(v)
+    return V.topk_or_none(q, V.topk(v, q, k=3, threshold=0.45)).withColumn("score", F.round("score", 6))
+
+
+@query("V04_threshold_search", with_ctes("vectors", TOPK.format(where="sim >= 0.2", k=10), extra=CENTROIDS))
+def _(spark, sf):
+    v = A.vectors(spark, sf)
+    return V.topk(v, centroids(v), k=10, threshold=0.2).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "V02_topk_blocked",
+    with_ctes(
+        "vectors",
+        """SELECT query_id, id, round(sim, 6) AS score, rank FROM (
+             SELECT q.id AS query_id, v.id, list_cosine_similarity(q."values"::DOUBLE[], v."values"::DOUBLE[]) AS sim,
+                    row_number() OVER (PARTITION BY q.id ORDER BY
+                      list_cosine_similarity(q."values"::DOUBLE[], v."values"::DOUBLE[]) DESC, v.id) AS rank
+             FROM vectors q JOIN vectors v ON v.namespace = q.namespace) WHERE rank <= 3""",
+    ),
+)
+def _(spark, sf):
+    v = A.vectors(spark, sf)
+    q = v.withColumnRenamed("id", "query_id")
+    return V.topk(v, q, k=3, max_broadcast=16, block_rows=256).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "V03_vector_stats",
+    with_ctes("vectors", "SELECT namespace, count(*) AS n FROM vectors GROUP BY namespace"),
+)
+def _(spark, sf):
+    return A.vectors(spark, sf).groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "V03_vector_fetch",
+    with_ctes("vectors", "SELECT id, namespace FROM vectors WHERE id IN (SELECT doc_id FROM labels)"),
+)
+def _(spark, sf):
+    ids = A.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    return A.vectors(spark, sf).join(ids, "id", "left_semi").select("id", "namespace")
+
+
+@query(
+    "V03_vector_delete",
+    with_ctes("vectors", "SELECT id, namespace FROM vectors WHERE id NOT IN (SELECT doc_id FROM labels)"),
+)
+def _(spark, sf):
+    ids = A.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    return A.vectors(spark, sf).join(ids, "id", "left_anti").select("id", "namespace")
+
+
+@query(
+    "V05_knowledge_search",
+    with_ctes(
+        "vectors",
+        """SELECT t.query_id, t.id, round(t.sim, 6) AS score, t.rank, d.text AS info FROM (
+             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM scored
+             WHERE sim >= 0.1 AND id IN (SELECT doc_id FROM documents)) t
+           JOIN documents d ON d.doc_id = t.id WHERE rank <= 5""",
+        extra=CENTROIDS,
+    ),
+)
+def _(spark, sf):
+    v = A.vectors(spark, sf)
+    docs = A.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("info"))
+    return V.knowledge_search(v.join(docs, "id"), centroids(v), k=5, threshold=0.1).withColumn(
+        "score", F.round("score", 6)
+    )
+
+
+@query(
+    "V05b_knowledge_append",
+    with_ctes(
+        "vectors",
+        """SELECT namespace, count(*) AS n FROM (
+             SELECT namespace, id FROM vectors UNION SELECT 'pkg_' || lang, doc_id FROM documents) GROUP BY namespace""",
+    ),
+)
+def _(spark, sf):
+    from ..functions.udfs import embed
+
+    old = A.vectors(spark, sf).withColumn("version", F.lit(1))
+    new = A.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("pkg_"), "lang").alias("namespace"),
+        embed(F.col("text")).alias("values"), F.lit(1).alias("version"),
+    )
+    return V.upsert(old, new).groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("V06_knowledge_merge")
+def _(spark, sf):
+    v = A.vectors(spark, sf)
+    docs = A.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("info"))
+    rows = v.join(docs, "id").withColumn("text_values", F.slice("values", 1, 16))
+    stored = rows.filter(F.col("values")[0] > 0.1)
+    fresh = rows.filter(F.col("values")[0] <= 0.1).withColumnRenamed("namespace", "trajectory")
+    return V.knowledge_merge(fresh, stored, near=0.3, text_gap=0.1).select("id", "stored_id", "outcome")
+
+
+@query(
+    "V06_near_pairs",
+    with_ctes(
+        "vectors",
+        """SELECT a.id, b.id AS other, round(list_cosine_similarity(a."values"::DOUBLE[], b."values"::DOUBLE[]), 6) AS score
+           FROM vectors a JOIN vectors b ON a.namespace = b.namespace AND a.id < b.id
+           WHERE list_cosine_similarity(a."values"::DOUBLE[], b."values"::DOUBLE[]) >= 0.25""",
+    ),
+)
+def _(spark, sf):
+    return V.near_pairs(A.vectors(spark, sf), 0.25, block_rows=64).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "V07_cosine",
+    with_ctes("vectors", "SELECT id, round(sim, 6) AS score FROM scored", extra=CENTROIDS),
+)
+def _(spark, sf):
+    v = A.vectors(spark, sf)
+    c = centroids(v).select("namespace", F.col("values").alias("mean"))
+    return v.join(c, "namespace").select("id", F.round(cosine(F.col("values"), F.col("mean")), 6).alias("score"))
+
+
+@query("V08_element_match")
+def _(spark, sf):
+    # Eight consecutive vectors stand for one screen's elements.
+    el = A.vectors(spark, sf).select(
+        F.floor(F.col("id") / 8).alias("page_id"), F.col("id").alias("element_id"), "values",
+        F.expr("array(0.1D * (id % 4), 0.1D * (id % 3), 0.1D * (id % 4) + 0.2D, 0.1D * (id % 3) + 0.3D)").alias("bbox"),
+    )
+    p = el.select("page_id").distinct()
+    pairs = p.select(F.col("page_id").alias("pair_id"), F.col("page_id").alias("page_a"), (F.col("page_id") + 1).alias("page_b"))
+    pairs = pairs.join(p.select(F.col("page_id").alias("page_b")), "page_b", "left_semi")
+    return V.element_match(pairs, el, limit=0.75).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "V09_page_then_elements",
+    with_ctes(
+        "vectors",
+        """SELECT query_id, page_id, element_id, round(score, 6) AS score FROM (
+             SELECT b.query_id, b.page_id, v.id AS element_id,
+                    list_cosine_similarity(v."values"::DOUBLE[], c."values") AS score,
+                    count(*) OVER (PARTITION BY b.query_id) AS n,
+                    row_number() OVER (PARTITION BY b.query_id ORDER BY
+                      list_cosine_similarity(v."values"::DOUBLE[], c."values") DESC, v.id DESC) AS rank
+             FROM (SELECT query_id, arg_max(page_id, (sim, page_id)) AS page_id FROM (
+                     SELECT query_id, id // 3 AS page_id, sim FROM scored WHERE sim > 0.2) GROUP BY 1) b
+             JOIN vectors v ON v.id // 3 = b.page_id OR v.id // 3 = b.page_id + 1
+             JOIN centroids c ON c.query_id = b.query_id)
+           WHERE n <= 3 OR rank = 1""",
+        extra=CENTROIDS,
+    ),
+)
+def _(spark, sf):
+    v = A.vectors(spark, sf)
+    q = centroids(v)
+    hits = V.topk(v, q, k=5, threshold=0.2).select("query_id", F.floor(F.col("id") / 3).alias("page_id"), "score")
+    el = v.select(
+        F.explode(F.array(F.floor(F.col("id") / 3), F.floor(F.col("id") / 3) - 1)).alias("page_id"),
+        F.col("id").alias("element_id"), "values",
+    )
+    plan = q.select("query_id", F.col("values").alias("plan_values"))
+    return V.page_then_elements(hits, el, plan, min_score=0.2).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "V10_keyword_overlap_rank",
+    """WITH words AS (
+         SELECT conv_id, turn, list_filter(list_distinct(regexp_split_to_array(lower(text), '\\s+')), lambda w: w <> '') AS w
+         FROM conversations),
+       scored AS (
+         SELECT a.conv_id, b.turn, len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)) AS s
+         FROM words a JOIN words b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn > 0
+         WHERE len(a.w) > 0 AND len(b.w) > 0)
+       SELECT conv_id, turn, round(s, 6) AS similarity FROM scored WHERE s >= 0.1""",
+)
+def _(spark, sf):
+    c = A.table(spark, sf, "conversations")
+    task = c.filter("turn = 0").select("conv_id", F.col("text").alias("task"))
+    s = c.filter("turn > 0").join(task, "conv_id").select(
+        "conv_id", "turn", keyword_overlap(F.col("task"), F.col("text")).alias("similarity")
+    )
+    return s.filter("similarity >= 0.1").withColumn("similarity", F.round("similarity", 6))
+
+
+@query("V11_task_similarity_topk", with_ctes("vectors", TOPK.format(where="TRUE", k=4), extra=CENTROIDS))
+def _(spark, sf):
+    v = A.vectors(spark, sf)
+    return V.topk(v, centroids(v), k=4).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "V12_l2_normalise",
+    with_ctes(
+        "vectors",
+        """SELECT id, round("values"[1]::DOUBLE / sqrt(list_dot_product("values"::DOUBLE[], "values"::DOUBLE[])), 6) AS first,
+                  1.0 AS length FROM vectors""",
+    ),
+)
+def _(spark, sf):
+    from ..functions.vectors import norm
+
+    u = A.vectors(spark, sf).select("id", l2_normalise(F.col("values")).alias("u"))
+    return u.select("id", F.round(F.col("u")[0], 6).alias("first"), F.round(norm(F.col("u")), 6).alias("length"))
+
+
+@query(
+    "G05_page_canonicalise",
+    with_ctes(
+        "vectors",
+        """SELECT screen_id, arg_min(page_id, rank) AS page_id, round(arg_min(sim, rank), 6) AS score FROM (
+             SELECT t.query_id AS screen_id, t.id AS page_id, t.sim, t.rank FROM (
+               SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM scored) t
+             WHERE t.rank <= 5 AND t.sim > 0.2
+               AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = t.id AND l.quality = 1))
+           GROUP BY screen_id""",
+        extra=CENTROIDS,
+    ),
+)
+def _(spark, sf):
+    v = A.vectors(spark, sf)
+    q = centroids(v)
+    hits = V.topk(v, q, k=5).select(
+        F.col("query_id").alias("screen_id"), F.col("query_id").alias("task"), F.col("id").alias("page_id"), "score"
+    )
+    good = A.table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
+    used = v.join(good, "id", "left_semi").select(F.col("namespace").alias("task"), F.col("id").alias("page_id"))
+    return G.canonical_pages(hits, used, score=0.2).withColumn("score", F.round("score", 6))
