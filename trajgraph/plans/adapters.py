@@ -132,6 +132,78 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search trees: one per region, then nations, customers and their orders.
+
+    Order nodes carry the reward; visits and values are totals over the orders
+    below a node.
+    """
+    region = table(spark, sf_dir, "region")
+    nation = table(spark, sf_dir, "nation")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    orders = table(spark, sf_dir, "orders")
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    per_customer = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("visits"), F.sum(price).alias("total")
+    )
+    n = F.concat(F.lit("N"), F.col("n_nationkey").cast("string"))
+    c = F.concat(F.lit("C"), F.col("c_custkey").cast("string"))
+    o = F.concat(F.lit("O"), F.col("o_orderkey").cast("string"))
+    home = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        "r_name", "r_regionkey", "n_nationkey", "n_name"
+    )
+    root = F.concat(F.lit("R"), F.col("r_regionkey").cast("string"))
+    cust = customer.join(home, F.col("c_nationkey") == F.col("n_nationkey")).join(
+        per_customer, "c_custkey", "left"
+    )
+
+    def node(df, node_id, parent_id, depth, actions, name, visits, total, r):
+        return df.select(
+            F.col("r_name").alias("tree_id"), node_id.alias("node_id"), parent_id.alias("parent_id"),
+            F.lit(depth).alias("depth"), actions.alias("action_list"), name.alias("page_name"),
+            visits.cast("long").alias("visits"), (total.cast("double") / 100000).alias("value"), r.alias("r"),
+        )
+
+    zero = F.lit(0.0)
+    visits = F.coalesce("visits", F.lit(0))
+    total = F.coalesce("total", F.lit(0).cast("decimal(18,2)"))
+    sums = [F.sum(visits).alias("visits"), F.sum(total).alias("total")]
+    reward = (
+        F.when(F.col("o_orderstatus") == "F", 1.0)
+        .when(F.col("o_orderstatus") == "O", F.least(F.floor(F.col("o_totalprice") / 5000) / 100, F.lit(0.99)))
+        .otherwise(0.0)
+    )
+    leaves = orders.join(cust.drop("visits", "total"), F.col("o_custkey") == F.col("c_custkey"))
+    parts = [
+        node(
+            cust.groupBy("r_name", "r_regionkey").agg(*sums), root, F.lit(None).cast("string"), 0,
+            F.array().cast("array<string>"), F.col("r_name"), F.col("visits"), F.col("total"), zero,
+        ),
+        node(
+            cust.groupBy("r_name", "r_regionkey", "n_nationkey", "n_name").agg(*sums), n, root, 1,
+            F.array(n), F.col("n_name"), F.col("visits"), F.col("total"), zero,
+        ),
+        node(cust, c, n, 2, F.array(n, c), F.col("c_mktsegment"), visits, total, zero),
+        node(leaves, o, c, 3, F.array(n, c, o), F.col("o_orderpriority"), F.lit(1), price, reward),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def golds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold paths per tree: the way to its dearest F order and to its dearest O order."""
+    leaves = tree(spark, sf_dir).filter(F.col("depth") == 3).select("tree_id", "node_id", "action_list", "value", "r")
+    kind = F.when(F.col("r") == 1.0, "F").when(F.col("r") > 0, "O")
+    best = leaves.withColumn("kind", kind).filter(F.col("kind").isNotNull()).groupBy("tree_id", "kind").agg(
+        F.max_by("action_list", F.struct("value", "node_id")).alias("gold")
+    )
+    return best.groupBy("tree_id").agg(
+        F.array_sort(F.collect_list(F.struct("kind", "gold")))["gold"].alias("golds")
+    )
+
+
 # The same rules in SQL. Keys are CTE names, values their bodies.
 CTE = {
     "ev": """
@@ -173,6 +245,37 @@ CTE = {
                     ELSE ['search'] END AS tags
         FROM (SELECT DISTINCT task_template, CAST(substr(task_template, 5) AS INTEGER) AS n
               FROM episodes WHERE task_template IS NOT NULL)""",
+    "tree": """
+        SELECT r_name AS tree_id, 'R' || r_regionkey AS node_id, CAST(NULL AS VARCHAR) AS parent_id, 0 AS depth,
+               CAST([] AS VARCHAR[]) AS action_list, r_name AS page_name, sum(visits) AS visits,
+               CAST(sum(total) AS DOUBLE) / 100000 AS value, 0.0::DOUBLE AS r
+        FROM cust GROUP BY r_name, r_regionkey
+        UNION ALL
+        SELECT r_name, 'N' || n_nationkey, 'R' || r_regionkey, 1, ['N' || n_nationkey], n_name,
+               sum(visits), CAST(sum(total) AS DOUBLE) / 100000, 0.0
+        FROM cust GROUP BY r_name, r_regionkey, n_nationkey, n_name
+        UNION ALL
+        SELECT r_name, 'C' || c_custkey, 'N' || n_nationkey, 2, ['N' || n_nationkey, 'C' || c_custkey], c_mktsegment,
+               visits, CAST(total AS DOUBLE) / 100000, 0.0
+        FROM cust
+        UNION ALL
+        SELECT r_name, 'O' || o_orderkey, 'C' || c_custkey, 3,
+               ['N' || n_nationkey, 'C' || c_custkey, 'O' || o_orderkey], o_orderpriority, 1,
+               CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) / 100000,
+               CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN least(floor(o_totalprice / 5000) / 100, 0.99) ELSE 0.0 END
+        FROM orders JOIN cust ON o_custkey = c_custkey""",
+    "cust": """
+        SELECT c_custkey, c_mktsegment, n_nationkey, n_name, r_regionkey, r_name,
+               coalesce(visits, 0) AS visits, coalesce(total, 0) AS total
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+        LEFT JOIN (SELECT o_custkey, count(*) AS visits, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total
+                   FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""",
+    "golds": """
+        SELECT tree_id, list(gold ORDER BY kind) AS golds FROM (
+          SELECT tree_id, CASE WHEN r = 1.0 THEN 'F' WHEN r > 0 THEN 'O' END AS kind,
+                 arg_max(action_list, (value, node_id)) AS gold
+          FROM tree WHERE depth = 3 GROUP BY 1, 2)
+        WHERE kind IS NOT NULL GROUP BY tree_id""",
     "vectors": """
         SELECT vec_id AS id, 'ns' || label AS namespace, embedding AS "values" FROM embeddings""",
 }
@@ -183,6 +286,8 @@ _NEEDS = {
     "tokens": ["ev", "steps"],
     "episodes": ["ev"],
     "task_metadata": ["ev", "episodes"],
+    "tree": ["cust"],
+    "golds": ["cust", "tree"],
 }
 
 
