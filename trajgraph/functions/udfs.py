@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: two texts match from this sequence-matcher ratio on.
 FUZZY_RATIO = 0.9
@@ -36,13 +37,13 @@ def fuzzy_equal(a, b, ignore_case: bool = True) -> bool:
     return matcher.quick_ratio() >= FUZZY_RATIO and matcher.ratio() >= FUZZY_RATIO
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def fuzzy_match(a: pd.Series, b: pd.Series) -> pd.Series:
     """Case-insensitive fuzzy equality; null never matches."""
     return pd.Series([fuzzy_equal(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def parse_call(text: pd.Series) -> pd.Series:
     """Keyword arguments of one call expression; bad syntax gives an empty map.
 
@@ -70,7 +71,7 @@ def parse_call(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def extract_json(text: pd.Series) -> pd.Series:
     """JSON text of the outermost braces: valid JSON, or a literal dict re-encoded."""
     import json
@@ -92,7 +93,7 @@ def extract_json(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def embed(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Default vectoriser: hashed bag of words, 64 buckets, unit length."""
     width = 64
@@ -117,7 +118,7 @@ def scorer(score: Callable[[pd.DataFrame], pd.Series], schema: str):
     return run, schema + ", score double"
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def phash(pixels: pd.Series) -> pd.Series:
     """64-bit perceptual hash of a square grey image given as raw bytes.
 
