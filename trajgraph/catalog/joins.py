@@ -174,8 +174,10 @@ def _(spark, sf):
 
 @query("K06_fuzzy_join")
 def _(spark, sf):
-    left = A.table(spark, sf, "documents").select(F.col("doc_id").alias("left_id"), F.col("text").alias("left_text"))
-    right = A.table(spark, sf, "benchmark").select(F.col("item_id").alias("right_id"), F.col("text").alias("right_text"))
+    text = F.concat_ws(" ", "p_name", "p_type")
+    p = A.table(spark, sf, "part")
+    left = p.select(F.col("p_partkey").alias("left_id"), text.alias("left_text"))
+    right = p.groupBy(F.upper(text).alias("right_text")).agg(F.min("p_partkey").alias("right_id"))
     return J.fuzzy_join(left, right)
 
 

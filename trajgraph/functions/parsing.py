@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _or_null(text: Column) -> Column:
-    return F.when(text != "", text)
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def _group(text: Column, pattern: str, i: int = 1) -> Column:
@@ -36,12 +37,12 @@ LISTING = r"^-\S*\s+\S+\s+\S+\s+\S+\s+(\d+)\s+(\S+)\s+(\S+)\s+\S+\s+(.*)$"
 
 def sms_fields(row: Column) -> Column:
     """Id, address, body and date of a message row; commas may occur in the body."""
-    row = F.trim(row)
+    row = strip(row)
     body = F.coalesce(_group(row, SMS_BODY), _group(row, SMS_BODY_LAST))
     rest = F.regexp_replace(row, r"(?s)body=([^=]*)(, [^=]*=|$)", "$2")
 
     def field(name):
-        return F.trim(_group(rest, rf"(?:^|, |\s){name}=([^,]*)"))
+        return strip(_group(rest, rf"(?:^|, |\s){name}=([^,]*)"))
 
     return F.struct(
         field("_id").try_cast("long").alias("id"),
@@ -73,7 +74,7 @@ def file_listing(line: Column) -> Column:
     return F.when(
         line.rlike(LISTING),
         F.struct(
-            F.trim(F.regexp_extract(line, LISTING, 4)).alias("name"),
+            strip(F.regexp_extract(line, LISTING, 4)).alias("name"),
             F.regexp_extract(line, LISTING, 1).try_cast("long").alias("size"),
             F.try_to_timestamp(stamp).alias("changed"),
         ),
@@ -82,7 +83,7 @@ def file_listing(line: Column) -> Column:
 
 def reason_action(text: Column) -> Column:
     return F.struct(
-        F.trim(_group(text, REASON)).alias("reason"), F.trim(_group(text, ACTION)).alias("action")
+        strip(_group(text, REASON)).alias("reason"), strip(_group(text, ACTION)).alias("action")
     )
 
 
@@ -92,15 +93,15 @@ def subgoals(text: Column) -> Column:
         F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("id", "anchor", "directive", "confidence"))]),
         lambda r: F.struct(
             r["id"].cast("int").alias("id"),
-            F.trim(r["anchor"]).alias("anchor"),
-            F.trim(r["directive"]).alias("directive"),
+            strip(r["anchor"]).alias("anchor"),
+            strip(r["directive"]).alias("directive"),
             r["confidence"].try_cast("double").alias("confidence"),
         ),
     )
 
 
 def numbered_tasks(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(TASK_LINE), 1), lambda t: F.trim(t))
+    return F.transform(F.regexp_extract_all(text, F.lit(TASK_LINE), 1), lambda t: strip(t))
 
 
 def completion_flag(text: Column) -> Column:
@@ -110,7 +111,7 @@ def completion_flag(text: Column) -> Column:
 
 def state_evaluation(text: Column) -> Column:
     return F.struct(
-        F.coalesce(F.trim(_group(text, STATE_REASON)), F.lit("")).alias("reasoning"),
+        F.coalesce(strip(_group(text, STATE_REASON)), F.lit("")).alias("reasoning"),
         F.coalesce(_group(text, STATE_RESULT), F.lit("CONTINUE")).alias("result"),
     )
 
@@ -122,11 +123,11 @@ def element_action_value(text: Column) -> Column:
         lines = F.filter(F.split(text, "\n"), lambda s: s.startswith(f"{name}:"))
         return F.get(F.split(F.element_at(F.concat(F.array(F.lit(None).cast("string")), lines), -1), ":"), F.lit(1))
 
-    element = F.trim(last("ELEMENT"))
+    element = strip(last("ELEMENT"))
     return F.struct(
         F.nullif(element, F.lit("None")).alias("element"),
-        F.trim(last("ACTION")).alias("action"),
-        F.regexp_replace(F.trim(last("VALUE")), r"^\.+|\.+$", "").alias("value"),
+        strip(last("ACTION")).alias("action"),
+        F.regexp_replace(strip(last("VALUE")), r"^\.+|\.+$", "").alias("value"),
     )
 
 
@@ -143,17 +144,17 @@ def comparison_json(text: Column) -> Column:
 
 def path_tag(text: Column) -> Column:
     """Text between the path tags, else the whole text."""
-    return F.trim(F.coalesce(_group(text, PATH_TAG), text))
+    return strip(F.coalesce(_group(text, PATH_TAG), text))
 
 
 def plan_json(text: Column) -> Column:
     """Task sequence of a plan: JSON in a fence, else the whole reply."""
-    return F.get_json_object(F.coalesce(_group(text, JSON_FENCE), F.trim(text)), "$.task_execution_sequence")
+    return F.get_json_object(F.coalesce(_group(text, JSON_FENCE), strip(text)), "$.task_execution_sequence")
 
 
 def decision(text: Column) -> Column:
     """Whether the text after the first ``decision:`` starts with true."""
-    after = F.trim(F.get(F.split(F.lower(text), "decision:"), F.lit(1)))
+    after = strip(F.get(F.split(F.lower(text), "decision:"), F.lit(1)))
     return F.coalesce(after.startswith("true"), F.lit(False))
 
 
@@ -175,7 +176,7 @@ def steps_of(value: Column, task: Column) -> Column:
     as_map = F.from_json(value, "map<string,array<int>>")
     as_list = F.from_json(value, "array<string>")
     none = F.array().cast("array<int>")
-    return F.when(F.trim(value).startswith("["), F.when(F.array_contains(as_list, task), F.array(F.lit(0))).otherwise(none)).otherwise(
+    return F.when(strip(value).startswith("["), F.when(F.array_contains(as_list, task), F.array(F.lit(0))).otherwise(none)).otherwise(
         F.coalesce(F.array_sort(F.array_distinct(F.try_element_at(as_map, task))), none)
     )
 
