@@ -110,7 +110,10 @@ log AS (
 
 
 def token_log(spark, sf):
-    ev = A._events(spark, sf)
+    return as_token_log(A._events(spark, sf))
+
+
+def as_token_log(ev):
     return ev.select(
         "event_id", "ts", F.col("event_type").alias("package"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("task"),
@@ -178,7 +181,10 @@ running AS (
 
 
 def progress_lines(spark, sf):
-    ev = A._events(spark, sf)
+    return as_progress_lines(A._events(spark, sf))
+
+
+def as_progress_lines(ev):
     kind = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "SKIP ").otherwise("DONE ")
     tail = F.when(kind == "ERROR", " | error=boom").when(kind == "SKIP ", " | reason: none").otherwise(
         F.concat(F.lit(" | score="), F.when(F.col("value") >= 50, "1.0").otherwise("0.5"))

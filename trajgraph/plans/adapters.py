@@ -17,7 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _events(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(
+    return shape_events(table(spark, sf_dir, "events"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a file stream."""
+    schema = table(spark, sf_dir, "events").schema
+    return shape_events(
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    )
+
+
+def shape_events(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id",
         "user_id",
         F.col("ts").cast("timestamp").alias("ts"),

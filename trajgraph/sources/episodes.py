@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.checkpoints import durable
+from ..plans.checkpoints import durable, path_exists
 
 
 def save_episodes(episodes: DataFrame, path: str, key: str = "instance_name") -> None:
@@ -16,7 +16,7 @@ def save_episodes(episodes: DataFrame, path: str, key: str = "instance_name") ->
     """
     buckets = episodes.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(64)).cast("int"))
     spark = episodes.sparkSession
-    if _exists(spark, path):
+    if path_exists(spark, path):
         touched = buckets.select("bucket").distinct()
         old = spark.read.parquet(path).join(touched, "bucket", "left_semi")
         kept = old.join(episodes.select(key).distinct(), key, "left_anti")
@@ -42,13 +42,3 @@ def natural_order(name: str, separator: str = "_") -> list[Column]:
     """Sort columns for ``name_12``: the name, then its number (0 when it has none)."""
     parts = F.split(F.col(name), separator, 2)
     return [F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)).try_cast("long"), F.lit(0))]
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).limit(0)
-        return True
-    except Exception as error:  # a missing folder has no typed exception here
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return False
-        raise
