@@ -9,11 +9,11 @@ from ..operators import gold as GP
 from ..operators import screens as S
 from ..plans import adapters as A
 from ..plans.adapters import with_ctes
+from ..plans.checkpoints import scratch
 from ..sources import episodes as EP
 from ..sources import samples as SM
 from ..sources import tables as TB
 from ..sources import trajectories as TR
-from ..streaming.jobs import scratch
 from .registry import query
 
 LISTING = """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans import adapters as A
 from ..plans.adapters import with_ctes
+from ..plans.checkpoints import scratch
 from ..streaming import jobs as X
 from .registry import query
 from .rollups import PROGRESS, TOKEN_LOG, as_progress_lines, as_token_log
@@ -68,7 +69,7 @@ def _(spark, sf):
         F.concat_ws("_", "event_type", F.col("k").cast("string")).alias("src"),
         F.concat(F.lit("tap"), F.floor(F.col("k") / 25).cast("string")).alias("elem"),
     )
-    folder = X.scratch(spark, "graph")
+    folder = scratch(spark, "graph")
     X.run_available(edges, "fold", body=X.fold_edges(folder, ["src", "elem"]))
     return spark.read.parquet(f"{folder}/edges")
 

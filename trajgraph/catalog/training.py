@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import training as T
 from ..plans import adapters as A
 from ..plans.adapters import with_ctes
-from ..plans.ordered import lag, ordered_columns
+from ..plans.ordered import is_hot, lag, ordered_columns
 from .registry import query
 
 UCT = """
@@ -412,8 +412,9 @@ hist AS (
 
 def _frontier(spark, sf):
     c = A.table(spark, sf, "conversations")
-    h = ordered_columns(c, ["conv_id"], ["turn"], [lag("r1", "role")])
-    h = ordered_columns(h, ["conv_id"], ["turn"], [lag("r2", "r1")])
+    hot = is_hot(c, ["conv_id"])
+    h = ordered_columns(c, ["conv_id"], ["turn"], [lag("r1", "role")], hot=hot)
+    h = ordered_columns(h, ["conv_id"], ["turn"], [lag("r2", "r1")], hot=hot)
     hist = F.array_compact(F.array("r2", "r1"))
     return h.select(
         "conv_id", "turn",

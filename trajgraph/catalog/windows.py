@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.training import hash_fraction
 from ..plans import adapters as A
 from ..plans.adapters import with_ctes
-from ..plans.ordered import lag, ordered_columns, row_number, running_sum
+from ..plans.ordered import is_hot, lag, ordered_columns, row_number, running_sum
 from .registry import query
 
 
@@ -58,9 +58,10 @@ def _(spark, sf):
 )
 def _(spark, sf):
     order = ["ts", "event_id"]
-    ev = ordered_columns(A._events(spark, sf), ["user_id"], order, [lag("prev", "event_type")])
+    hot = is_hot(A._events(spark, sf), ["user_id"])
+    ev = ordered_columns(A._events(spark, sf), ["user_id"], order, [lag("prev", "event_type")], hot=hot)
     ev = ev.withColumn("fresh", F.when(F.col("event_type") == F.col("prev"), 0).otherwise(1).cast("long"))
-    runs = ordered_columns(ev, ["user_id"], order, [running_sum("island", "fresh")])
+    runs = ordered_columns(ev, ["user_id"], order, [running_sum("island", "fresh")], hot=hot)
     return runs.groupBy("user_id", "island").agg(
         F.first("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event")
     )

@@ -118,12 +118,16 @@ def scorer(score: Callable[[pd.DataFrame], pd.Series], schema: str):
     return run, schema + ", score double"
 
 
-@F.pandas_udf(T.LongType())
+# Fixed value: side of the low-frequency block of a perceptual hash.
+HASH_SIDE = 16
+
+
+@F.pandas_udf(T.StringType())
 def phash(pixels: pd.Series) -> pd.Series:
-    """64-bit perceptual hash of a square grey image given as raw bytes.
+    """256-bit perceptual hash, as hex, of a square grey image given as raw bytes.
 
-    The image is reduced to low cosine frequencies and each is compared with
-    their median, so small changes of single pixels keep the hash.
+    The image is reduced to its low cosine frequencies and each is compared with
+    their median, so small changes of single pixels change few bits.
     """
 
     def one(raw):
@@ -132,10 +136,9 @@ def phash(pixels: pd.Series) -> pd.Series:
         side = int(len(raw) ** 0.5)
         img = np.frombuffer(raw[: side * side], dtype=np.uint8).reshape(side, side).astype(float)
         n = np.arange(side)
-        basis = np.cos(np.pi / side * (n[None, :] + 0.5) * np.arange(8)[:, None])
+        basis = np.cos(np.pi / side * (n[None, :] + 0.5) * np.arange(HASH_SIDE)[:, None])
         low = basis @ img @ basis.T
-        bits = (low > np.median(low)).ravel()
-        value = int("".join("1" if b else "0" for b in bits), 2)
-        return value - (1 << 64) if value >= 1 << 63 else value
+        bits = np.packbits((low > np.median(low)).ravel())
+        return bits.tobytes().hex().upper()
 
     return pixels.map(one)

@@ -7,9 +7,10 @@ ever gathered into one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checkpoints import durable
@@ -26,79 +27,94 @@ from ..plans.ordered import (
 CHAIN = ["chain_id"]
 
 
+@dataclass(frozen=True)
+class Merged:
+    """A composite token: its components and level."""
+
+    token: str
+    full: str
+    level: int
+
+    @property
+    def open(self) -> str:
+        return self.full.rsplit("|", 1)[0] + "|*"
+
+
 def atomic_frequencies(chains: DataFrame) -> DataFrame:
     """Count of every (src, elem, tgt) token over all chains."""
     return chains.groupBy("src", "elem", "tgt").agg(F.count(F.lit(1)).alias("frequency"))
 
 
 def as_tokens(chains: DataFrame) -> DataFrame:
-    """Chain rows as mergeable tokens.
-
-    ``full`` lists a token's components; ``open`` is the same with the last
-    target replaced by ``*``, because pairs that differ only there count as one.
-    """
-    triple = F.concat_ws("|", "src", "elem", "tgt")
+    """Chain rows with one text token ``src|elem|tgt`` each."""
     return chains.select(
         "chain_id",
         F.col("pos").cast("long").alias("pos"),
-        triple.alias("token"),
-        triple.alias("full"),
-        F.concat_ws("|", "src", "elem", F.lit("*")).alias("open"),
-        F.lit(1).alias("level"),
+        F.concat_ws("|", "src", "elem", "tgt").alias("token"),
     )
 
 
-def _next_token(tokens: DataFrame, hot: bool | None) -> DataFrame:
-    nxt = F.struct("token", "full", "open", "level")
-    return ordered_columns(tokens, CHAIN, ["pos"], [lead("nxt", nxt), row_number("idx")], hot=hot)
+def _is_merged(token: Column) -> Column:
+    # Atomic tokens hold separators, merged ids do not.
+    return ~token.contains("|")
+
+
+def _looked_up(token: Column, values: dict[str, str], atomic: Column) -> Column:
+    """Value of a merged token from the small vocabulary, else the atomic rule."""
+    # One folded map literal: the generated code stays the same in every round.
+    known = F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+    return F.when(_is_merged(token), F.try_element_at(known, token)).otherwise(atomic)
 
 
-def _pair_key(strict: bool):
-    """Canonical key of (token, nxt); null where a chain ends.
+def _pair_key(vocab: list[Merged], strict: bool, token="token", nxt="next_token") -> Column:
+    """Canonical key of a pair: all components, the last target replaced by ``*``.
 
-    With ``strict`` a merged token adds no components, as observed in practice;
-    otherwise it adds all of its own.
+    Pairs that differ only in that target count as one.  With ``strict`` a merged
+    token adds no components, as observed in practice; otherwise it adds all of
+    its own.
     """
-    expanded = F.concat_ws(";", F.col("full"), F.col("nxt.open"))
+    left, right = F.col(token), F.col(nxt)
+    open_right = _looked_up(right, {m.token: m.open for m in vocab}, F.regexp_replace(right, r"\|[^|]*$", "|*"))
     if not strict:
-        return F.when(F.col("nxt").isNotNull(), expanded)
-    left_merged, right_merged = F.col("level") > 1, F.col("nxt.level") > 1
-    observed = (
-        F.when(left_merged & right_merged, F.concat_ws(";", "token", "nxt.token"))
-        .when(left_merged, F.col("nxt.open"))
-        .when(right_merged, F.col("open"))
-        .otherwise(expanded)
+        return F.concat_ws(";", _looked_up(left, {m.token: m.full for m in vocab}, left), open_right)
+    return (
+        F.when(_is_merged(left) & _is_merged(right), F.concat_ws(";", left, right))
+        .when(_is_merged(left), open_right)
+        .when(_is_merged(right), F.regexp_replace(left, r"\|[^|]*$", "|*"))
+        .otherwise(F.concat_ws(";", left, open_right))
     )
-    return F.when(F.col("nxt").isNotNull(), observed)
-
-
-def _count_pairs(paired: DataFrame) -> DataFrame:
-    first = F.min_by(
-        F.struct(
-            "token",
-            F.col("nxt.token").alias("next_token"),
-            "full",
-            F.col("nxt.full").alias("next_full"),
-            "level",
-            F.col("nxt.level").alias("next_level"),
-        ),
-        F.struct("chain_id", "pos"),
+
+
+def _with_next(tokens: DataFrame, hot: bool | None) -> DataFrame:
+    return ordered_columns(tokens, CHAIN, ["pos"], [lead("next_token", "token")], hot=hot)
+
+
+def _count_pairs(paired: DataFrame, vocab: list[Merged], strict: bool, order: Column) -> DataFrame:
+    """Frequency and first-seen pair per canonical key.
+
+    Rows are first combined per distinct pair, and only those get their key, so
+    the long key strings never meet the rows.
+    """
+    distinct = (
+        paired.filter(F.col("next_token").isNotNull())
+        .groupBy("token", "next_token")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("seen"))
     )
     return (
-        paired.filter(F.col("pair_key").isNotNull())
+        distinct.withColumn("pair_key", _pair_key(vocab, strict))
         .groupBy("pair_key")
         .agg(
-            F.count(F.lit(1)).alias("frequency"),
-            first.alias("pair"),
-            F.min(F.struct("chain_id", "pos")).alias("first_seen"),
+            F.sum("n").alias("frequency"),
+            F.min("seen").alias("first_seen"),
+            F.min_by(F.struct("token", "next_token"), "seen").alias("pair"),
         )
     )
 
 
 def pair_frequencies(chains: DataFrame, hot: bool | None = None) -> DataFrame:
     """Frequency of adjacent token pairs, with the first-seen pair of each group."""
-    paired = _next_token(as_tokens(chains), hot).withColumn("pair_key", _pair_key(False))
-    return _count_pairs(paired).select(
+    paired = _with_next(as_tokens(chains), hot)
+    return _count_pairs(paired, [], False, F.struct("chain_id", "pos")).select(
         "pair_key",
         "frequency",
         F.col("pair.token").alias("first_token"),
@@ -106,16 +122,16 @@ def pair_frequencies(chains: DataFrame, hot: bool | None = None) -> DataFrame:
     )
 
 
-def _merge(paired: DataFrame, key: str, merged: tuple[str, str, str, int], hot: bool) -> DataFrame:
+def merge_pair(paired: DataFrame, hit: Column, merged_id: str, hot: bool) -> DataFrame:
     """Replace matching adjacent pairs, greedy from the left, without overlap.
 
     In a maximal run of consecutive match positions the greedy scan takes every
     other one, starting with the first; the run position is the distance to the
     last non-match before it.
     """
-    token, full, open_, level = merged
-    match = F.coalesce(F.col("pair_key") == F.lit(key), F.lit(False))
-    marked = paired.withColumn("hit", match).drop("nxt", "pair_key")
+    marked = ordered_columns(
+        paired.withColumn("hit", F.coalesce(hit, F.lit(False))), CHAIN, ["pos"], [row_number("idx")], hot=hot
+    )
     marked = ordered_columns(
         marked, CHAIN, ["pos"],
         [running_max("miss", F.when(~F.col("hit"), F.col("idx")).otherwise(F.lit(0)))],
@@ -125,52 +141,33 @@ def _merge(paired: DataFrame, key: str, merged: tuple[str, str, str, int], hot:
     marked = ordered_columns(
         marked.withColumn("taken", taken), CHAIN, ["pos"], [lag("after_taken", "taken")], hot=hot
     )
-    kept = marked.filter(~F.coalesce(F.col("after_taken"), F.lit(False)))
-    return kept.select(
-        "chain_id",
-        "pos",
-        F.when(F.col("taken"), F.lit(token)).otherwise(F.col("token")).alias("token"),
-        F.when(F.col("taken"), F.lit(full)).otherwise(F.col("full")).alias("full"),
-        F.when(F.col("taken"), F.lit(open_)).otherwise(F.col("open")).alias("open"),
-        F.when(F.col("taken"), F.lit(level)).otherwise(F.col("level")).alias("level"),
+    return (
+        marked.filter(~F.coalesce(F.col("after_taken"), F.lit(False)))
+        .withColumn("token", F.when(F.col("taken"), F.lit(merged_id)).otherwise(F.col("token")))
+        .drop("next_token", "hit", "idx", "miss", "taken", "after_taken")
     )
 
 
-def merge_top_pair(chains: DataFrame, merged_id: str = "M0", min_freq: int = 2) -> DataFrame:
-    """One mining round: chains after replacing their most frequent pair."""
-    tokens, _ = _round(as_tokens(chains), _hot(chains), merged_id, min_freq, strict=False)
-    return tokens
-
-
 def _hot(chains: DataFrame) -> bool:
     return has_hot_group(chains, CHAIN, group_limit(chains))
 
 
-def _open_of(full: str) -> str:
-    return full.rsplit("|", 1)[0] + "|*"
+def _top_pair(paired: DataFrame, vocab: list[Merged], strict: bool, order: Column):
+    """The best pair of a round: one row comes back."""
+    best = _count_pairs(paired, vocab, strict, order).orderBy(F.desc("frequency"), "first_seen").limit(1)
+    rows = best.collect()
+    return rows[0] if rows else None
 
 
-def _round(tokens, hot, merged_id, min_freq, strict):
-    paired = _next_token(tokens, hot).withColumn("pair_key", _pair_key(strict))
-    # One row comes back: the best pair of this round.
-    top = (
-        _count_pairs(paired)
-        .orderBy(F.desc("frequency"), "first_seen")
-        .limit(1)
-        .collect()
-    )
-    if not top or top[0]["frequency"] < min_freq:
-        return tokens, None
-    best = top[0]
-    pair = best["pair"]
-    full = pair["full"] + ";" + pair["next_full"]
-    level = max(pair["level"], pair["next_level"]) + 1
-    merged = (merged_id, full, _open_of(full), level)
-    out = _merge(paired, best["pair_key"], merged, hot)
-    record = (
-        merged_id, pair["token"], pair["next_token"], int(best["frequency"]), level, full.split(";"),
-    )
-    return out, record
+def merge_top_pair(chains: DataFrame, merged_id: str = "M0", min_freq: int = 2) -> DataFrame:
+    """One mining round: chains after replacing their most frequent pair."""
+    tokens = durable(as_tokens(chains))
+    hot = _hot(tokens)
+    paired = durable(_with_next(tokens, hot))
+    best = _top_pair(paired, [], False, F.struct("chain_id", "pos"))
+    if best is None or best["frequency"] < min_freq:
+        return paired.drop("next_token")
+    return merge_pair(paired, _pair_key([], False) == F.lit(best["pair_key"]), merged_id, hot)
 
 
 MERGE_SCHEMA = (
@@ -185,21 +182,34 @@ def mine_sequences(
     """Repeatedly merge the most frequent adjacent pair.
 
     Returns the merge table (at most ``num_merges`` rows) and the rewritten
-    chains.  Each round keeps the chain partitioning and cuts its lineage with a
-    reliable checkpoint.
+    chains.  A round is one pass over the token rows, which replaces the last
+    pair and looks up the next neighbours in the same partitioning and cuts its
+    lineage with a reliable checkpoint, and one count over the stored pairs.
     """
     spark = chains.sparkSession
-    hot = _hot(chains)
+    # Stored first, so that the checks below do not run the chains' own plan again.
     tokens = durable(as_tokens(chains))
-    first_id = atomic_frequencies(chains).count()
-    records: list[Sequence] = []
+    hot = _hot(tokens)
+    # Rows are numbered once, so that "first seen" is one number in every round.
+    numbered = ordered_columns(tokens, [], ["chain_id", "pos"], [row_number("seq")])
+    paired = durable(_with_next(numbered, hot))
+    first_id = tokens.select("token").distinct().count()
+    vocab: list[Merged] = []
+    records = []
     for i in range(num_merges):
-        out, record = _round(tokens, hot, f"M{first_id + i}", min_freq, strict)
-        if record is None:
+        best = _top_pair(paired, vocab, strict, F.col("seq"))
+        if best is None or best["frequency"] < min_freq:
             break
-        records.append((i + 1, *record))
-        tokens = durable(out)
-    return spark.createDataFrame(records, MERGE_SCHEMA), tokens
+        parts = (best["pair"]["token"], best["pair"]["next_token"])
+        known = {m.token: m for m in vocab}
+        full = ";".join(known[p].full if p in known else p for p in parts)
+        level = max(known[p].level if p in known else 1 for p in parts) + 1
+        merged = Merged(f"M{first_id + i}", full, level)
+        records.append((i + 1, merged.token, *parts, int(best["frequency"]), level, full.split(";")))
+        hit = F.col("next_token").isNotNull() & (_pair_key(vocab, strict) == F.lit(best["pair_key"]))
+        vocab.append(merged)
+        paired = durable(_with_next(merge_pair(paired, hit, merged.token, hot), hot))
+    return spark.createDataFrame(records, MERGE_SCHEMA), paired.select("chain_id", "pos", "token")
 
 
 def rank_composites(merges: DataFrame) -> DataFrame:

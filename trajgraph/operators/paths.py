@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.checkpoints import durable
-from ..plans.ordered import lag, lead, ordered_columns, running_sum
+from ..plans.checkpoints import durable, written
+from ..plans.ordered import is_hot, lag, lead, ordered_columns, running_sum
 
 
 # ---------------------------------------------------------------- enumeration
@@ -55,28 +55,29 @@ def task_paths(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """All paths of every (task, start page, start step), following step order.
 
     ``starts(task, page_id, step)``; ``edges`` from :func:`task_step_edges`.  A path
-    ends where its page has no edge at the next step; the step strictly grows, so
-    the loop ends.  Paths are distinct by ``path_id``.
+    ends where its page has no edge at the next step.  The step grows by one per
+    level, so the edges are stored by step and each level reads only its own;
+    with one start step every edge is read once.  Paths are distinct by
+    ``path_id``.
     """
-    edges = durable(edges)
+    steps = written(edges.withColumn("step", F.col("step").cast("int")), "step-edges", ["step"])
+    reach = steps.agg(F.max("step")).first()[0]
+    low, high = starts.agg(F.min("step"), F.max("step")).first()
     frontier = starts.select(
         "task",
         F.col("page_id").alias("start_page"),
         F.col("page_id").alias("page"),
-        F.col("step").cast("long").alias("step"),
+        F.col("step").cast("int").alias("step"),
         F.concat(F.lit("P:"), F.col("page_id")).alias("path_id"),
         F.expr("CAST(array() AS array<struct<src:string,elem:string,tgt:string>>)").alias("triplets"),
     ).distinct()
-    step_edges = edges.select(
-        "task",
-        F.col("step").cast("long").alias("step"),
-        F.col("src").alias("page"),
-        "elem",
-        "tgt",
-    )
     finished = []
-    while True:
-        level = durable(frontier.join(step_edges, ["task", "step", "page"], "left"))
+    # One level more than there are steps lets the longest paths end.
+    for depth in range(0 if reach is None or low is None else reach - low + 2):
+        here = steps.filter(F.col("step").between(low + depth, high + depth)).select(
+            "task", "step", F.col("src").alias("page"), "elem", "tgt"
+        )
+        level = durable(frontier.join(here, ["task", "step", "page"], "left"))
         finished.append(
             level.filter(F.col("tgt").isNull() & (F.size("triplets") > 0)).select(
                 "task", "start_page", F.col("page").alias("leaf_page"), "path_id", "triplets"
@@ -95,9 +96,11 @@ def task_paths(starts: DataFrame, edges: DataFrame) -> DataFrame:
                 ),
             ).alias("triplets"),
         )
-        if frontier.isEmpty():
-            break
-    return _union(finished).dropDuplicates(["task", "path_id"])
+    if not finished:
+        return frontier.limit(0).select("task", "start_page", F.col("page").alias("leaf_page"), "path_id", "triplets")
+    out = _union(finished)
+    # Equal paths can only come from different start steps.
+    return out if low == high else out.dropDuplicates(["task", "path_id"])
 
 
 def all_chains(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -318,12 +321,13 @@ def rewrite_with_groups(path_steps: DataFrame, chosen: DataFrame) -> DataFrame:
         ["path_id", "elem"],
         "left",
     )
-    marked = ordered_columns(marked, ["path_id"], ["pos"], [lag("prev_action", "action_id")])
+    hot = is_hot(path_steps, ["path_id"])
+    marked = ordered_columns(marked, ["path_id"], ["pos"], [lag("prev_action", "action_id")], hot=hot)
     fresh = F.when(
         F.col("action_id").isNotNull() & (F.col("action_id") == F.col("prev_action")), 0
     ).otherwise(1)
     islands = ordered_columns(
-        marked.withColumn("fresh", fresh), ["path_id"], ["pos"], [running_sum("run", "fresh")],
+        marked.withColumn("fresh", fresh), ["path_id"], ["pos"], [running_sum("run", "fresh")], hot=hot,
     )
     return islands.groupBy("path_id", "run").agg(
         F.min_by("src", "pos").alias("src"),

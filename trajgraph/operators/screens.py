@@ -48,11 +48,17 @@ def attribute(name: str):
 def xml_elements(screens: DataFrame, markup: str, key: str) -> DataFrame:
     """UI elements of hierarchy dumps: every node but the root, with typed columns."""
     nodes = tag_nodes(screens, markup, key).filter(F.col("idx") > 0)
+    # All attributes of a tag are matched once.
+    found = r'([\w-]+)\s*=\s*"([^"]*)"'
+    nodes = nodes.withColumns(
+        {"_k": F.regexp_extract_all("tag", F.lit(found), 1), "_v": F.regexp_extract_all("tag", F.lit(found), 2)}
+    )
+    value = lambda a: F.get("_v", (F.array_position("_k", a) - 1).cast("int"))
     out = nodes.select(
         key,
         (F.col("idx") - 1).alias("idx"),
-        *[attribute(a).alias(c) for c, a in TEXT_ATTRIBUTES.items()],
-        *[(F.coalesce(attribute(a), F.lit("")) == "true").alias(c) for c, a in FLAG_ATTRIBUTES.items()],
+        *[F.nullif(value(a), F.lit("")).alias(c) for c, a in TEXT_ATTRIBUTES.items()],
+        *[value(a).eqNullSafe("true").alias(c) for c, a in FLAG_ATTRIBUTES.items()],
         F.col("tag").endswith("/>").alias("is_leaf"),
         F.lit(True).alias("is_visible"),
     )

@@ -7,9 +7,11 @@ Iterations cut their lineage into the shared folder that the cluster names in
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -33,6 +35,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, partition_by: list[str]) -> DataFrame:
+    """``df`` as a parquet table in the checkpoint folder, partitioned for pruning."""
+    folder = scratch(df.sparkSession, name)
+    df.repartition(*partition_by, F.pmod(F.hash(*df.columns), F.lit(32))).write.partitionBy(
+        *partition_by
+    ).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a parquet table has been written at ``path``."""
     try:

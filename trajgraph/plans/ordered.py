@@ -66,6 +66,11 @@ def group_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(LIMIT_CONF, str(DEFAULT_LIMIT)))
 
 
+def is_hot(df: DataFrame, keys: Sequence[str]) -> bool:
+    """:func:`has_hot_group` at the session's limit, for callers that order twice."""
+    return has_hot_group(df, keys, group_limit(df))
+
+
 def has_hot_group(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
     """True when some key owns more than ``limit`` rows (one partial aggregate)."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

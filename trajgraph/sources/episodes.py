@@ -24,7 +24,8 @@ def save_episodes(episodes: DataFrame, path: str, key: str = "instance_name") ->
         # the checkpoint folder first.
         buckets = durable(kept.select(*buckets.columns).unionByName(buckets))
     (
-        buckets.repartition("bucket")
+        # Split by hash too, so that a bucket with very many rows is not one task.
+        buckets.repartition("bucket", F.pmod(F.hash(*buckets.columns), F.lit(4)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")

@@ -8,7 +8,6 @@ registered queries.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.rollups import parse_progress, progress_counters
-from ..plans.checkpoints import ensure_checkpoint_dir, path_exists
+from ..plans.checkpoints import path_exists, scratch
 
 
 def progress_counts(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,11 +118,6 @@ def walk_sessions(steps: DataFrame, late: str = "1 hour") -> DataFrame:
     )
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
-
-
 def run_available(stream: DataFrame, name: str, mode: str = "append", body: Callable | None = None) -> DataFrame:
     """Run a stream over the input that is there and read its result back.
 
