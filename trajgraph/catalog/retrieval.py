@@ -278,7 +278,7 @@ def _(spark, sf):
     with_ctes(
         "vectors",
         """SELECT id, round("values"[1]::DOUBLE / sqrt(list_dot_product("values"::DOUBLE[], "values"::DOUBLE[])), 6) AS first,
-                  1.0 AS length FROM vectors""",
+                  1.0::DOUBLE AS length FROM vectors""",
     ),
 )
 def _(spark, sf):

@@ -115,7 +115,7 @@ def _(spark, sf):
     with_ctes(
         "ev",
         """SELECT event_id, id, CASE id WHEN 1 THEN event_type ELSE 'then' END AS anchor,
-                  CASE id WHEN 1 THEN 'tap ' || k ELSE 'stop' END AS directive, CASE id WHEN 1 THEN 0.5 ELSE 0.25 END AS confidence
+                  CASE id WHEN 1 THEN 'tap ' || k ELSE 'stop' END AS directive, CAST(CASE id WHEN 1 THEN 0.5 ELSE 0.25 END AS DOUBLE) AS confidence
            FROM ev, (SELECT unnest([1, 2]) AS id)""",
     ),
 )
@@ -594,7 +594,7 @@ def _(spark, sf):
 @query(
     "U30b_file_names_and_sums",
     f"""SELECT p_partkey, CASE WHEN {SEEDED.format(seed=3, name='front', key='p_partkey')} % 2 = 0 THEN w || '_' || p_type || '.md'
-                ELSE p_type || '_' || w || '.md' END AS file, list_sum(list_transform(range(1, 5), lambda i: c[i + 1] - c[i])) AS total,
+                ELSE p_type || '_' || w || '.md' END AS file, CAST(list_sum(list_transform(range(1, 5), lambda i: c[i + 1] - c[i])) AS BIGINT) AS total,
                c[2] AS first_part
         FROM (SELECT *, ['backup', 'copy', 'final', 'edited'][{SEEDED.format(seed=3, name='word', key='p_partkey')} % 4 + 1] AS w,
                      list_sort([0, p_size, {SEEDED.format(seed=3, name='a', key='p_partkey')} % (p_size + 1),

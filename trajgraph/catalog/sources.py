@@ -232,7 +232,7 @@ def _(spark, sf):
     return A.table(spark, sf, "pages").select("page_id", phash(pixels).alias("hash"))
 
 
-@query("Y04_embed", "SELECT doc_id, 64 AS width, 1.0 AS length FROM documents WHERE trim(text) <> ''")
+@query("Y04_embed", "SELECT doc_id, 64 AS width, 1.0::DOUBLE AS length FROM documents WHERE trim(text) <> ''")
 def _(spark, sf):
     from ..functions.vectors import norm
 

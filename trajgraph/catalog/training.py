@@ -63,7 +63,7 @@ def _(spark, sf):
     "T05_backprop_totals",
     with_ctes(
         "tree",
-        """SELECT tree_id, node_id, round(sum(reward), 4) AS value, sum(n) AS visits FROM (
+        """SELECT tree_id, node_id, round(sum(reward), 4) AS value, CAST(sum(n) AS BIGINT) AS visits FROM (
              SELECT tree_id, unnest(list_concat(action_list, [root])) AS node_id, r AS reward, 1 AS n
              FROM (SELECT t.*, x.node_id AS root FROM tree t JOIN tree x ON x.tree_id = t.tree_id AND x.depth = 0)
              WHERE depth = 3
@@ -583,7 +583,7 @@ def _(spark, sf):
 
 @query(
     "T23_cumulative_pool",
-    """SELECT round, n_new, sum(n_new) OVER (ORDER BY round) AS n_pool
+    """SELECT round, n_new, CAST(sum(n_new) OVER (ORDER BY round) AS BIGINT) AS n_pool
        FROM (SELECT year(o_orderdate) AS round, count(*) AS n_new FROM orders GROUP BY 1)""",
 )
 def _(spark, sf):
