@@ -370,6 +370,7 @@ def simplified(src="src", elem="elem", tgt="tgt", is_group: Column | None = None
             F.coalesce(F.col(summary), F.lit(unknown)), F.lit("_$"), prefix, F.col(ident), F.lit("$")
         )
 
+    # Placeholders of missing summaries.
     return {
         "source_page": text("src_summary", "Unknown source", F.lit(""), src),
         "element": text("elem_summary", "Unknown element", kind, elem),
@@ -407,6 +408,7 @@ def start_page_token(text: Column) -> Column:
 
 def serialize_steps(first: Column, actions: Column, targets: Column) -> Column:
     """``Page: a -- Action: x --> Page: b -- Action: …`` from step arrays."""
+    # The layout of serialised candidate paths.
     hops = F.zip_with(
         actions,
         targets,
@@ -417,6 +419,7 @@ def serialize_steps(first: Column, actions: Column, targets: Column) -> Column:
 
 def operation_line(step: Column, source: Column, action: Column, element: Column, target: Column) -> Column:
     """Numbered sentence for one step of a chain."""
+    # The sentence layout of chain descriptions.
     return F.concat(
         F.lit("Step "), step.cast("string"),
         F.lit(": On the page 【"), F.coalesce(source, F.lit("Unknown page")),
@@ -428,6 +431,7 @@ def operation_line(step: Column, source: Column, action: Column, element: Column
 
 def reasoning_text(step: Column, reasoning: Column) -> Column:
     """Numbered reasoning block of one step; missing fields read N/A."""
+    # Labels and fields of stored reasoning.
     labels = (
         ("Context", "context"),
         ("Function", "function"),
