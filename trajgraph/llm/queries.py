@@ -5,8 +5,10 @@ from __future__ import annotations
 from .chat import OP8_SQL, op8_chat_format
 from .common import Query
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .packing import op1_pack
 
 QUERIES: dict[str, Query] = {
+    "op1_pack": op1_pack,
     "op8_chat_format": op8_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
 }
