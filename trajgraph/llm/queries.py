@@ -6,10 +6,12 @@ from .chat import OP8_SQL, op8_chat_format
 from .common import Query
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .packing import op1_pack
+from .pieces import op9_pieces
 
 QUERIES: dict[str, Query] = {
     "op1_pack": op1_pack,
     "op8_chat_format": op8_chat_format,
+    "op9_pieces": op9_pieces,
     "op10_exact_dedup": op10_exact_dedup,
 }
 SQL: dict[str, str] = {
