@@ -8,10 +8,12 @@ from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .packing import op1_pack
 from .pieces import op9_pieces
 from .secrets import op3_secret_scan
+from .simhash import op4_simhash
 
 QUERIES: dict[str, Query] = {
     "op1_pack": op1_pack,
     "op3_secret_scan": op3_secret_scan,
+    "op4_simhash": op4_simhash,
     "op8_chat_format": op8_chat_format,
     "op9_pieces": op9_pieces,
     "op10_exact_dedup": op10_exact_dedup,
