@@ -93,6 +93,8 @@ def test_hard_texts(spark):
         4: "Don't <|endoftext|>STOP it's 12345 a b c\x1cd é\ńx ΣΑΣ İ",
         5: "x" * 5000,
         6: "word " * 9000,
+        8: "I\u0307 H\u0331 h\u0331 <|ENDOFTEXT|> A<|endoftext|>B Çtion×÷Ñü ÉÉ9155 a'S don'T (955)... x\xa0y …a#… ŒŒ ªº",
+        9: "THE###and%%% Re-use_of A1b2C3 don't...'ve'LL 'S é's É'Re",
         7: "日本語のテキスト 🙂🙂 ﬁ①",
     }
     frame = spark.createDataFrame(

@@ -10,8 +10,8 @@ by_value(__name__)
 
 #: Characters (or bytes) of text handled at once in a task; a single longer text is handled alone.
 CHUNK = 4_000_000
-#: Words a task remembers; at this size its table starts anew. Results do not depend on it.
-REMEMBER = 400_000
+#: Words a task remembers, some 200 MB; at this size its table starts anew. Results do not depend on it.
+REMEMBER = 1_000_000
 
 
 def chunks(batches: Iterable, chunk: int = CHUNK) -> Iterator[tuple[list, list]]:
@@ -42,7 +42,7 @@ class WordTable(dict):
         new = set()
         for words in word_lists:
             new.update(words)
-        missing = list(new - self.keys())
+        missing = [w for w in new if w not in self]
         if len(self) + len(missing) > self.limit and self:
             self.clear()
             missing = list(new)
