@@ -123,7 +123,8 @@ def cut(piece: tuple, size: int) -> tuple:
     return (doc, start, ids[: 4 * size], total), (doc, start + size, ids[4 * size :], total)
 
 
-# ASCII letters and the letters of Latin-1, whose lower-cased runs are one token group each in this vocabulary's splitter.
+# Signs, and ASCII letters and the letters of Latin-1; a lower-cased run of either is one group in this vocabulary's splitter.
+_SIGNS = b".,;:!?#$%&*()-"
 _LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
 
 
@@ -138,8 +139,8 @@ def lowered(text: bytes) -> bytes:
 def word_ids(vocabulary: str) -> WordTable:
     """A table from a word's bytes to its ids as little-endian unsigned 32-bit numbers.
 
-    A word of letters and ASCII signs is cut at the borders between them, where the vocabulary's splitter cuts too; each different run of
-    letters goes through the library once, many in one call. Other words go through it whole.
+    Most words are letters with signs behind them, and the vocabulary's splitter cuts there too: each different run of letters goes through
+    the library once, many in one call, and so do the signs. Other words go through it whole.
     """
     import os
     import re
@@ -150,30 +151,30 @@ def word_ids(vocabulary: str) -> WordTable:
     tokenizer = Tokenizer.from_file(vocabulary)
     ends = np.zeros(tokenizer.get_vocab_size(), bool)
     ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-    runs = re.compile(_LETTER + rb"+|[^a-z\xc3]+").findall
-    plain = re.compile(rb"(?:" + _LETTER + rb"|[\x00-\x26\x28-\x40\x5b-\x60\x7b-\x7f])*").fullmatch
     letters = re.compile(_LETTER + rb"+").fullmatch
 
-    def encode(parts: list) -> list:
-        out = {}
-        single = [p for p in parts if letters(p)]
-        for at in range(0, len(single), 2000):
-            some = single[at : at + 2000]
-            ids = np.array(tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+    def runs(parts: list) -> list:
+        out = []
+        for at in range(0, len(parts), 2000):
+            text = b" ".join(parts[at : at + 2000]).decode()
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             stops = 4 * (np.flatnonzero(ends[ids]) + 1)
             data, stops = ids.tobytes(), stops.tolist()
-            out.update(zip(some, [data[a:b] for a, b in zip([0, *stops], stops)], strict=True))
-        rest = [p for p in parts if p not in out]
-        found = tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)
-        out.update(zip(rest, [np.array(e.ids, "<u4").tobytes() for e in found]))
-        return [out[p] for p in parts]
+            out += [data[a:b] for a, b in zip([0, *stops], stops)]
+        return out
 
-    known_parts = WordTable(encode)
+    def whole(words: list) -> list:
+        found = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    known_runs, known_rest = WordTable(runs), WordTable(whole)
 
     def values(words: list) -> list:
-        cuts = [runs(w) if plain(w) and b"<|" not in w else [w] for w in words]
-        known_parts.learn(cuts)
-        return [b"".join(map(known_parts.__getitem__, c)) for c in cuts]
+        stems = [w.rstrip(_SIGNS) for w in words]
+        plain = [letters(s) is not None for s in stems]
+        rest = known_rest.look([w[len(s) :] if p else w for w, s, p in zip(words, stems, plain)])
+        known = iter(known_runs.look([s for s, p in zip(stems, plain) if p]))
+        return [next(known) + r if p else r for r, p in zip(rest, plain)]
 
     return WordTable(values)
 
@@ -221,10 +222,8 @@ def pack(
         packer = Packer(emit, window, open_windows)
         end = np.array([end_id], "<u4").tobytes()
         for docs_, texts in chunks(batches):
-            words = [lowered(t).split() for t in texts]
-            known.learn(words)
-            for doc, mine in zip(docs_, words):
-                packer.add(doc, b"".join(map(known.__getitem__, mine)) + end)
+            for doc, ids in zip(docs_, known.look_all([lowered(t).split() for t in texts])):
+                packer.add(doc, b"".join(ids) + end)
             if len(rows) > 10_000:
                 yield out()
         packer.pour(last=True)
