@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import only, stored, table, text_of
+from .common import fresh, only, stored, table, text_of
 
 #: Keys a bucket may hold before it is split.
 BUCKET_KEYS = 65_536
@@ -113,11 +113,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns; rows equal in id and text stay once."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    same = (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.sha2(text_of(text_col), 256) == F.col("__sha"))
-    rows = docs.join(kept.distinct(), same, "left_semi")
-    return rows.dropDuplicates([id_col, text_col])
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns; of rows equal in id and text one stays.
+
+    The kept text is found by id and digest, so a null id can be kept too.
+    """
+    name, sha = fresh(docs, "kept_id", "kept_sha")
+    same = lambda c: F.concat_ws(":", F.col(c).isNull(), F.col(c).cast("string"))
+    kept = build_index(docs, id_col, text_col).select(same("keep_id").alias(name), F.col("sha").alias(sha))
+    rows = docs.withColumns({name: same(id_col), sha: F.sha2(text_of(text_col), 256)})
+    return rows.join(kept, [name, sha], "left_semi").dropDuplicates([name, sha]).select(*docs.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
