@@ -121,7 +121,8 @@ def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     out = []
     below = None
     for n in range(1, ORDER + 1):
-        once = F.sum((F.col("c") == 1).cast("double")) / F.sum((F.col("c") == 1).cast("double") + 2 * (F.col("c") == 2).cast("double"))
+        ones, twos = (F.sum((F.col("c") == c).cast("double")) for c in (1, 2))
+        once = F.try_divide(ones, ones + 2 * twos)
         discount = types[n].groupBy("lang").agg(F.greatest(F.lit(0.1), F.least(F.lit(0.95), F.coalesce(once, F.lit(0.5)))).alias("d"))
         h = F.shiftright("g", SYMBOL_BITS).alias("h")
         contexts = types[n].groupBy("lang", h).agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).join(discount, "lang")
