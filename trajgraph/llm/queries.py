@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP8_SQL, op8_chat_format
 from .common import Query
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .html_extract import op2_html_extract
 from .kdtree import OP5_SQL, op5_topk
 from .langid import op7_language
 from .packing import op1_pack
@@ -15,6 +16,7 @@ from .substring import OP6_SQL, op6_substring
 
 QUERIES: dict[str, Query] = {
     "op1_pack": op1_pack,
+    "op2_html_extract": op2_html_extract,
     "op3_secret_scan": op3_secret_scan,
     "op4_simhash": op4_simhash,
     "op5_topk": op5_topk,
