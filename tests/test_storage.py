@@ -58,6 +58,7 @@ def test_episode_store(spark, tmp_path, as_rows):
     bucket = next(d for d in os.listdir(path) if d.startswith("bucket="))
     put(os.path.join(path, bucket, "part-broken.parquet"), "not parquet")
     assert EP.load_episodes(spark, path).count() == 3
+    assert [r[0].rsplit("/", 1)[1] for r in EP.rejected_files(spark, path).collect()] == ["part-broken.parquet"]
 
 
 def test_gold_success_words(spark, tmp_path, as_rows):
@@ -126,8 +127,12 @@ def test_late_tokens_are_dropped(spark, tmp_path, as_rows):
 
 
 def test_repeated_episodes(spark, tmp_path, as_rows):
-    row = lambda i, d: {"instance_name": i, "finish_dtime": f"2024-01-{d:02d}T00:00:00Z"}
-    stream = stream_of(spark, tmp_path, [[row("a", 1), row("a", 1)], [row("a", 2), row("b", 2)]], "instance_name string, finish_dtime timestamp")
+    row = lambda i, d, f=False: {"instance_name": i, "finish_dtime": f"2024-01-{d:02d}T00:00:00Z", "failed": f}
+    # The first run of "a" failed, so the second one counts; "c" only failed.
+    stream = stream_of(
+        spark, tmp_path, [[row("a", 1, True), row("c", 1, True)], [row("a", 2), row("b", 2)], [row("a", 3), row("c", 3, True)]],
+        "instance_name string, finish_dtime timestamp, failed boolean",
+    )
     assert as_rows(X.run_available(X.first_episodes(stream), "episode-test").select("instance_name")) == [("a",), ("b",)]
 
 

@@ -108,17 +108,20 @@ def test_dump_rows(spark):
 
 def test_xml_dump_both_ways(spark):
     xml = (
-        '<?xml version="1.0"?><hierarchy><node text="a" class="c.Button" clickable="true" bounds="[0,10][20,30]">'
+        '<?xml version="1.0"?><hierarchy><node text="a > b" class="c.Button" clickable="true" bounds="[0,10][20,30]">'
+        "<node text='Tom &amp; \"Co\" &#38;lt; &#x1F642;' class='c.Text' clickable='true'/>"
         '<node text="" content-desc="d" class="c.View" bounds="[1,2][3,4]"/></node></hierarchy>'
     )
     df = spark.createDataFrame([(1, xml.split("?>")[1])], "screen_id int, xml string")
     got = S.xml_elements(df, "xml", "screen_id").orderBy("idx").collect()
-    assert [(r.text, r.content_description, r.is_clickable, r.is_leaf) for r in got] == [("a", None, True, False), (None, "d", False, True)]
+    assert [(r.text, r.content_description, r.is_clickable, r.is_leaf) for r in got] == [
+        ("a > b", None, True, False), ('Tom & "Co" &lt; 🙂', None, True, True), (None, "d", False, True)
+    ]
     assert tuple(got[0].bbox_pixels) == (0, 20, 10, 30)
     S.register_udtf(spark)
     df.createOrReplaceTempView("dump")
-    out = spark.sql("SELECT u.idx, u.class_name FROM dump, LATERAL ui_elements(xml) u ORDER BY 1").collect()
-    assert [tuple(r) for r in out] == [(0, "c.Button"), (1, "c.View")]
+    out = spark.sql("SELECT u.idx, u.class_name, u.text FROM dump, LATERAL ui_elements(xml) u ORDER BY 1").collect()
+    assert [tuple(r) for r in out] == [(0, "c.Button", "a > b"), (1, "c.Text", 'Tom & "Co" &lt; 🙂'), (2, "c.View", "")]
 
 
 @pytest.mark.parametrize("turn,want", [(0, (54, 120)), (1, (1026, 120)), (2, (1026, 2280)), (3, (54, 2280))])
@@ -138,10 +141,10 @@ def test_image_hash_and_embedding(spark):
     near = flat.copy()
     near[5] ^= 1
     other = rng.integers(0, 256, 1024, dtype=np.uint8)
-    df = spark.createDataFrame([(bytearray(x.tobytes()),) for x in (flat, near, other)] + [(None,)], "p binary")
-    a, b, c, d = [r[0] for r in df.select(phash("p")).collect()]
+    df = spark.createDataFrame([(bytearray(x.tobytes()),) for x in (flat, near, other)] + [(None,), (bytearray(1000),), (bytearray(),)], "p binary")
+    a, b, c, d, odd, none = [r[0] for r in df.select(phash("p")).collect()]
     bits = lambda x, y: bin(int(x, 16) ^ int(y, 16)).count("1")
-    assert bits(a, b) < 8 and bits(a, c) > 64 and d is None and len(a) == 64
+    assert bits(a, b) < 8 and bits(a, c) > 64 and d is None and odd is None and none is None and len(a) == 64
     v, w = [r[0] for r in spark.createDataFrame([("b a",), ("a B",)], "x string").select(embed("x")).collect()]
     assert v == w and abs(sum(x * x for x in v) - 1) < 1e-6
 

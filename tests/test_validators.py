@@ -113,7 +113,7 @@ def test_track_cases(spark):
     way = spark.createDataFrame([(e, i, float(a), float(b)) for e, ws in want.items() for i, (a, b) in enumerate(ws)],
                                 "episode_id string, i int, lat double, lon double")
     truth = {"between": True, "backwards": False, "same": True, "missing": False}
-    assert verdict(V.track_visits(points, way, 5)) == truth
+    assert verdict(V.track_visits(points, way)) == truth
     pair = F.struct("lat", "lon").alias("p")
     rowp = points.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("seq", pair)))["p"].alias("pts"))
     roww = way.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("i", pair)))["p"].alias("w"))
@@ -121,6 +121,24 @@ def test_track_cases(spark):
     assert verdict(one) == truth
 
 
+def test_many_waypoints_in_one_pass(spark):
+    import random
+
+    rng = random.Random(3)
+    tracks = {e: [rng.randrange(25) for _ in range(400)] for e in range(4)} | {9: list(range(20))}
+    points = spark.createDataFrame([(e, i, float(p), 0.0) for e, t in tracks.items() for i, p in enumerate(t)], "episode_id long, seq long, lat double, lon double")
+    way = spark.createDataFrame([(e, i, float(i), 0.0) for e in tracks for i in range(20)], "episode_id long, i int, lat double, lon double")
+    out = V.track_visits(points, way)
+    want = {}
+    for e, t in tracks.items():
+        n = 0
+        for p in t:
+            n += n < 20 and p == n
+        want[e] = (n, n == 20)
+    assert {r.episode_id: (r.matched, r.ok) for r in out.collect()} == want
+    assert out._jdf.queryExecution().executedPlan().toString().count("Join") < 12
+
+
 def test_unknown_conditions_count_as_met(spark, as_rows):
     df = spark.createDataFrame([("a", 1), ("b", 5)], "title string, n int")
     keep = lambda c: [r[0] for r in as_rows(X.exclusion_filter(df, c, text=("title",)), "title")]

@@ -20,7 +20,7 @@ def summary_of(page):
 
 
 def tables(spark, sf):
-    e = A.edges(spark, sf)
+    e = A.shared_edges(spark, sf)
     page_steps = (
         e.select(F.col("src").alias("page_id"), "task", "step")
         .unionByName(e.select(F.col("tgt").alias("page_id"), "task", (F.col("step") + 1).alias("step")))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.adapters import one_query
+
 
 @dataclass(frozen=True)
 class Entry:
@@ -23,7 +26,13 @@ def query(key: str, sql: str | None = None):
     def add(fn):
         if key in REGISTRY:
             raise ValueError(f"duplicate query key {key}")
-        REGISTRY[key] = Entry(fn, sql)
+
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with one_query():
+                return fn(spark, sf_dir)
+
+        REGISTRY[key] = Entry(run, sql)
         return fn
 
     return add

@@ -223,7 +223,7 @@ def _(spark, sf):
 # ---------------------------------------------------------- K03 screen elements
 
 TAGS = """
-raw AS (SELECT page_id, regexp_extract_all(html, '<[A-Za-z][^>]*>') AS t FROM pages),
+raw AS (SELECT page_id, regexp_extract_all(html, '<[A-Za-z](?:[^>"'']|"[^"]*"|''[^'']*'')*>') AS t FROM pages),
 tags AS (SELECT page_id, unnest(t) AS tag, unnest(range(0, len(t))) AS idx FROM raw),
 named AS (SELECT *, lower(regexp_extract(tag, '^<([A-Za-z0-9]+)', 1)) AS name,
                  nullif(regexp_extract(tag, '\\shref\\s*=\\s*"([^"]*)"', 1), '') AS href,
@@ -255,13 +255,14 @@ def _(spark, sf):
 
 @query(
     "K03_xml_elements",
-    """SELECT l_orderkey AS screen_id, CAST(l_linenumber AS VARCHAR) AS text, 'cls.' || l_returnflag AS class_name,
+    """SELECT l_orderkey AS screen_id, CAST(l_linenumber AS VARCHAR) || ' > a & <é> "' || chr(8364) AS text, 'cls.' || l_returnflag AS class_name,
               l_linestatus = 'O' AS is_clickable, CAST(l_quantity AS INT) AS x_min, CAST(l_quantity AS INT) + 10 AS x_max FROM lineitem""",
 )
 def _(spark, sf):
     q = F.col("l_quantity").cast("int")
     node = F.concat(
-        F.lit('<hierarchy rotation="0"><node index="0" text="'), F.col("l_linenumber").cast("string"), F.lit('" class="cls.'), "l_returnflag",
+        F.lit('<hierarchy rotation="0"><node index="0" text="'), F.col("l_linenumber").cast("string"),
+        F.lit(' > a &amp; &lt;&#233;&gt; &quot;&#x20AC;" class="cls.'), "l_returnflag",
         F.lit('" clickable="'), (F.col("l_linestatus") == "O").cast("string"), F.lit('" bounds="['), q.cast("string"), F.lit(",0]["),
         (q + 10).cast("string"), F.lit(',20]" /></hierarchy>'),
     )

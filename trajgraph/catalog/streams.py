@@ -74,11 +74,14 @@ def _(spark, sf):
     return spark.read.parquet(f"{folder}/edges")
 
 
-@query("X05_episode_resume", with_ctes("episodes", "SELECT DISTINCT instance_name FROM episodes"))
+@query(
+    "X05_episode_resume",
+    with_ctes("episodes", "SELECT DISTINCT instance_name FROM episodes WHERE exception_info IS NULL"),
+)
 def _(spark, sf):
     k = F.col("k")
     name = F.concat_ws("_", F.when(k != 99, F.concat(F.lit("Task"), F.floor(k / 4).cast("string"))), F.col("user_id").cast("string"))
-    episodes = A.event_stream(spark, sf).select(name.alias("instance_name"), F.col("ts").alias("finish_dtime"))
+    episodes = A.event_stream(spark, sf).select(name.alias("instance_name"), F.col("ts").alias("finish_dtime"), (F.col("event_type") == "error").alias("failed"))
     return X.run_available(X.first_episodes(episodes), "resume").select("instance_name")
 
 

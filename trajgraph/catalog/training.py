@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import training as T
 from ..plans import adapters as A
 from ..plans.adapters import with_ctes
-from ..plans.ordered import is_hot, lag, ordered_columns
+from ..plans.ordered import is_hot, lag, ordered_columns, row_number
 from .registry import query
 
 UCT = """
@@ -146,23 +146,22 @@ def _(spark, sf):
 
 
 GOLD_TOKENS = """
-gold_row AS (
-  SELECT list(control ORDER BY n DESC, control)[1:3] AS g FROM (SELECT control, count(*) AS n FROM steps GROUP BY 1)),
-a1 AS (SELECT s.task || '/' || s.branch AS chain_id, min(step) AS p FROM steps s, gold_row WHERE control = g[1] GROUP BY 1),
-a2 AS (SELECT s.task || '/' || s.branch AS chain_id, min(step) AS p FROM steps s JOIN a1 ON a1.chain_id = s.task || '/' || s.branch
-       AND s.step > a1.p, gold_row WHERE control = g[2] GROUP BY 1),
-a3 AS (SELECT s.task || '/' || s.branch AS chain_id, min(step) AS p FROM steps s JOIN a2 ON a2.chain_id = s.task || '/' || s.branch
-       AND s.step > a2.p, gold_row WHERE control = g[3] GROUP BY 1)"""
+gold_list AS (
+  SELECT control, row_number() OVER (ORDER BY n DESC, control) AS i FROM (SELECT control, count(*) AS n FROM steps GROUP BY 1)),
+chains AS (SELECT task || '/' || branch AS chain_id, step, control FROM steps),
+r AS (
+  SELECT DISTINCT chain_id, 0 AS m, -1 AS at FROM chains
+  UNION ALL
+  SELECT r.chain_id, r.m + 1, CAST(min(c.step) AS INTEGER) FROM r JOIN gold_list g ON g.i = r.m + 1
+  JOIN chains c ON c.chain_id = r.chain_id AND c.step > r.at AND c.control = g.control GROUP BY r.chain_id, r.m)"""
 
 
 @query(
     "T08_gold_match_rounds",
     with_ctes(
         "steps",
-        """SELECT c.chain_id, CASE WHEN a3.p IS NOT NULL THEN 3 WHEN a2.p IS NOT NULL THEN 2
-                  WHEN a1.p IS NOT NULL THEN 1 ELSE 0 END AS matched
-           FROM (SELECT DISTINCT task || '/' || branch AS chain_id FROM steps) c
-           LEFT JOIN a1 USING (chain_id) LEFT JOIN a2 USING (chain_id) LEFT JOIN a3 USING (chain_id)""",
+        "SELECT chain_id, max(m) AS matched FROM r GROUP BY chain_id",
+        recursive=True,
         extra=GOLD_TOKENS,
     ),
 )
@@ -170,15 +169,10 @@ def _(spark, sf):
     s = A.steps(spark, sf).select(
         F.concat_ws("/", "task", "branch").alias("chain_id"), F.col("step").alias("pos"), F.col("control").alias("action")
     )
-    # The gold list: the three most used controls.
-    counts = s.groupBy("action").count().orderBy(F.desc("count"), "action").limit(3)
-    gold = counts.select(
-        F.expr("row_number() OVER (ORDER BY count DESC, action) - 1").alias("i"), "action"
-    )
-    per_chain = s.select("chain_id").distinct().select(
-        "chain_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")
-    ).join(gold, "i")
-    return T.gold_match_rounds(s, per_chain, 3).select("chain_id", "matched")
+    # The gold list: all controls, the most used first.
+    counts = s.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    gold = ordered_columns(counts, [], [F.desc("n"), "action"], [row_number("i")]).select("action", (F.col("i") - 1).alias("i"))
+    return T.gold_match_rounds(s, gold).select("chain_id", "matched")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import difflib
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -126,15 +127,17 @@ HASH_SIDE = 16
 def phash(pixels: pd.Series) -> pd.Series:
     """256-bit perceptual hash, as hex, of a square grey image given as raw bytes.
 
+    Bytes that are no square image have no hash (null).
+
     The image is reduced to its low cosine frequencies and each is compared with
     their median, so small changes of single pixels change few bits.
     """
 
     def one(raw):
-        if raw is None:
+        side = math.isqrt(len(raw or b""))
+        if not side or side * side != len(raw):
             return None
-        side = int(len(raw) ** 0.5)
-        img = np.frombuffer(raw[: side * side], dtype=np.uint8).reshape(side, side).astype(float)
+        img = np.frombuffer(raw, dtype=np.uint8).reshape(side, side).astype(float)
         n = np.arange(side)
         basis = np.cos(np.pi / side * (n[None, :] + 0.5) * np.arange(HASH_SIDE)[:, None])
         low = basis @ img @ basis.T

@@ -129,22 +129,19 @@ def subset(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 def unknown_names(wanted: DataFrame, known: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Names nobody knows, each with the closest known name if it is close enough.
 
-    ``wanted(name)``, ``known(name)``.  Closeness is the edit-distance ratio.  The list
-    of registered names is small and checked to be so.
+    ``wanted(name)``, ``known(name)``.  Closeness is the edit-distance ratio, so a name only
+    meets known names whose length the threshold allows: an equi join on the length.
     """
     missing = wanted.select("name").distinct().join(known, "name", "left_anti")
-    listed = known.select("name").distinct()
-    if listed.limit(10_001).count() > 10_000:
-        raise ValueError("suggestions need a registry of at most 10,000 names")
-    names = listed.agg(F.collect_list("name").alias("names"))
-    longest = lambda k: F.greatest(F.length(k), F.length("name"), F.lit(1))
-    scored = F.transform(
-        "names", lambda k: F.struct((1 - F.levenshtein(k, F.col("name")) / longest(k)).alias("s"), k.alias("k"))
-    )
-    best = F.array_max(scored)
-    return missing.join(F.broadcast(names)).select(
-        "name", F.when(best["s"] >= threshold, best["k"]).alias("suggestion")
+    size = F.length("name")
+    lengths = F.sequence(F.ceil(size * threshold).cast("int"), F.floor(size / threshold).cast("int"))
+    listed = known.select(F.col("name").alias("k")).distinct().withColumn("n", F.length("k"))
+    pairs = missing.select("name", F.explode(lengths).alias("n")).join(listed, "n")
+    ratio = 1 - F.levenshtein("k", "name") / F.greatest(F.length("k"), size, F.lit(1))
+    best = pairs.withColumn("s", ratio).filter(F.col("s") >= threshold).groupBy("name").agg(
+        F.max_by("k", F.struct("s", "k")).alias("suggestion")
     )
+    return missing.join(best, "name", "left")
 
 
 def without_titles(noise: DataFrame, targets: DataFrame, title: str = "title") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,12 +34,37 @@ def tag_nodes(screens: DataFrame, markup: str, key: str) -> DataFrame:
     Tags are found with a pattern, so a screen stays one row until it is
     exploded and markup that is not well-formed does no harm.
     """
-    tags = F.regexp_extract_all(F.col(markup), F.lit(r"(?s)<[A-Za-z][^>]*>"), 0)
+    # A quoted value may hold any sign, the closing one of a tag included.
+    tags = F.regexp_extract_all(F.col(markup), F.lit(r"""(?s)<[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""), 0)
     return screens.select(key, F.posexplode(tags).alias("idx", "tag")).withColumn(
         "name", F.lower(F.regexp_extract("tag", r"^<([A-Za-z0-9]+)", 1))
     )
 
 
+# The named entities of XML; the ampersand comes last.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+
+
+def unescape(value: Column) -> Column:
+    """Named and numeric character references replaced by their characters."""
+    out = value
+    for name, sign in ENTITIES.items():
+        out = F.replace(out, F.lit(name), F.lit(sign))
+
+    def numeric(part: Column) -> Column:
+        """A piece that followed ``&#``: its number becomes a character if one stands there."""
+        digits = F.regexp_extract(part, r"^(x[0-9A-Fa-f]{1,6}|[0-9]{1,7});", 1)
+        code = F.when(digits.startswith("x"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits).cast("long")
+        sign = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        rest = F.substr(part, F.length(digits) + 2)
+        return F.when((digits == "") | (code > 0x10FFFF), F.concat(F.lit("&#"), part)).otherwise(F.concat(sign, rest))
+
+    parts = F.split(out, "&#")
+    joined = F.concat(F.get(parts, F.lit(0)), F.concat_ws("", F.transform(F.slice(parts, F.lit(2), F.size(parts)), numeric)))
+    out = F.when(F.contains(out, F.lit("&#")), joined).otherwise(out)
+    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+
+
 def attribute(name: str):
     found = F.regexp_extract("tag", rf'\s{name}\s*=\s*"([^"]*)"', 1)
     return F.nullif(found, F.lit(""))
@@ -49,15 +74,16 @@ def xml_elements(screens: DataFrame, markup: str, key: str) -> DataFrame:
     """UI elements of hierarchy dumps: every node but the root, with typed columns."""
     nodes = tag_nodes(screens, markup, key).filter(F.col("idx") > 0)
     # All attributes of a tag are matched once.
-    found = r'([\w-]+)\s*=\s*"([^"]*)"'
+    found = r"""([\w-]+)\s*=\s*("[^"]*"|'[^']*')"""
     nodes = nodes.withColumns(
         {"_k": F.regexp_extract_all("tag", F.lit(found), 1), "_v": F.regexp_extract_all("tag", F.lit(found), 2)}
     )
-    value = lambda a: F.get("_v", (F.array_position("_k", a) - 1).cast("int"))
+    quoted = lambda a: F.get("_v", (F.array_position("_k", a) - 1).cast("int"))
+    value = lambda a: F.substr(quoted(a), F.lit(2), F.length(quoted(a)) - 2)
     out = nodes.select(
         key,
         (F.col("idx") - 1).alias("idx"),
-        *[F.nullif(value(a), F.lit("")).alias(c) for c, a in TEXT_ATTRIBUTES.items()],
+        *[F.nullif(unescape(value(a)), F.lit("")).alias(c) for c, a in TEXT_ATTRIBUTES.items()],
         *[value(a).eqNullSafe("true").alias(c) for c, a in FLAG_ATTRIBUTES.items()],
         F.col("tag").endswith("/>").alias("is_leaf"),
         F.lit(True).alias("is_visible"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checkpoints import durable
+from ..plans.matching import ordered_match
 from ..plans.ordered import ordered_columns, row_number, running_sum
 
 
@@ -196,31 +197,19 @@ def is_terminal(actions: Column, golds: Column) -> Column:
     return F.exists(golds, lambda g: (F.size(g) > 0) & (gold_match_len(actions, g) >= F.size(g)))
 
 
-def gold_match_rounds(chains: DataFrame, gold: DataFrame, longest: int) -> DataFrame:
+def gold_match_rounds(chains: DataFrame, gold: DataFrame) -> DataFrame:
     """:func:`gold_match_len` for chains in long form, however long they are.
 
-    ``chains(chain_id, pos, action)``, ``gold(chain_id, i, action)`` with ``i`` from 0.  One
-    round per gold action finds the first later position that matches; it never
-    gathers a chain.
+    ``chains(chain_id, pos, action)``, ``gold([chain_id,] i, action)`` with ``i`` from 0; a list without
+    ``chain_id`` serves all chains.  Positions that hold a gold action go through one ordered
+    pass; it never gathers a chain.
     """
-    state = gold.select("chain_id").distinct().select(
-        "chain_id", F.lit(-1).cast("long").alias("at"), F.lit(0).alias("matched")
-    )
-    for i in range(longest):
-        want = gold.filter(F.col("i") == i).select("chain_id", F.col("action").alias("want"))
-        alive = state.filter(F.col("matched") == i).join(want, "chain_id")
-        hit = (
-            chains.join(alive, "chain_id")
-            .filter((F.col("pos") > F.col("at")) & (F.col("action") == F.col("want")))
-            .groupBy("chain_id")
-            .agg(F.min("pos").alias("next_at"))
-        )
-        state = state.join(hit, "chain_id", "left").select(
-            "chain_id",
-            F.coalesce("next_at", "at").alias("at"),
-            (F.col("matched") + F.col("next_at").isNotNull().cast("int")).alias("matched"),
-        )
-    return state
+    own = "chain_id" in gold.columns
+    hits = chains.join(gold, ["chain_id", "action"] if own else ["action"]).select("chain_id", "pos", "i")
+    found = ordered_match(hits, "chain_id", "pos", "i")
+    return (gold if own else chains).select("chain_id").distinct().join(found, "chain_id", "left").select(
+        "chain_id", F.coalesce("matched", F.lit(0).cast("long")).cast("int").alias("matched")
+    )
 
 
 def gold_state(tree: DataFrame, gold: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.udfs import fuzzy_match
+from ..plans.matching import ordered_match
 
 EP = "episode_id"
 
@@ -293,28 +294,19 @@ def near(a_lat: str, a_lon: str, b_lat: str, b_lon: str, delta: float) -> Column
     return (F.abs(F.col(a_lat) - F.col(b_lat)) < delta) & (F.abs(F.col(a_lon) - F.col(b_lon)) < delta)
 
 
-def track_visits(points: DataFrame, waypoints: DataFrame, longest: int, delta: float = 0.001) -> DataFrame:
+def track_visits(points: DataFrame, waypoints: DataFrame, delta: float = 0.001) -> DataFrame:
     """Do the waypoints occur in order along the track?
 
-    ``points(episode_id, seq, lat, lon)``, ``waypoints(episode_id, i, lat, lon)`` with ``i`` from 0.  One
-    round per waypoint finds the first later point near it, so a track of any
-    length is never gathered.
+    ``points(episode_id, seq, lat, lon)``, ``waypoints(episode_id, i, lat, lon)`` with ``i`` from 0.  Points
+    are read once: those near a waypoint go through one ordered pass, which never
+    gathers a track.
     """
     total = waypoints.groupBy(EP).agg(F.count(F.lit(1)).alias("n"))
-    state = total.select(EP, "n", F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("matched"))
-    for i in range(longest):
-        want = waypoints.filter(F.col("i") == i).select(EP, F.col("lat").alias("w_lat"), F.col("lon").alias("w_lon"))
-        alive = state.filter(F.col("matched") == i).select(EP, "at").join(want, EP)
-        hit = (
-            points.join(alive, EP)
-            .filter((F.col("seq") > F.col("at")) & near("lat", "lon", "w_lat", "w_lon", delta))
-            .groupBy(EP).agg(F.min("seq").alias("_next"))
-        )
-        state = state.join(hit, EP, "left").select(
-            EP, "n", F.coalesce("_next", "at").alias("at"),
-            (F.col("matched") + F.col("_next").isNotNull().cast("long")).alias("matched"),
-        )
-    return state.select(EP, "matched", (F.col("matched") == F.col("n")).alias("ok"))
+    want = waypoints.select(EP, "i", F.col("lat").alias("w_lat"), F.col("lon").alias("w_lon"))
+    hits = points.join(want, EP).filter(near("lat", "lon", "w_lat", "w_lon", delta)).select(EP, "seq", "i")
+    found = ordered_match(hits, EP, "seq", "i")
+    matched = F.coalesce("matched", F.lit(0).cast("long"))
+    return total.join(found, EP, "left").select(EP, matched.alias("matched"), (matched == F.col("n")).alias("ok"))
 
 
 def track_visits_row(points: Column, targets: Column, delta: float = 0.001) -> Column:

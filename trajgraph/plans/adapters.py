@@ -6,9 +6,14 @@ common table expression (``CTE``) that the oracle queries build on.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import kept
 from .ordered import lead, ordered_columns, row_number
 
 
@@ -59,10 +64,40 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["task", "branch"],
         ["ts", "event_id"],
         [row_number("rn"), lead("next_page", "page"), lead("next_type", "event_type")],
+        hot=False,  # one user's day is a small group by nature
     )
     return out.withColumn("step", F.col("rn") - 1).drop("rn")
 
 
+# Frames of the running query that are stored once and shared by all of its parts.
+_FRAMES: ContextVar[dict | None] = ContextVar("frames", default=None)
+
+
+@contextmanager
+def one_query():
+    """Inside, the views marked :func:`per_query` are stored on first use and read from there."""
+    token = _FRAMES.set({})
+    try:
+        yield
+    finally:
+        _FRAMES.reset(token)
+
+
+def per_query(view):
+    """A view that is built once for each query."""
+
+    @wraps(view)
+    def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frames = _FRAMES.get()
+        if frames is None:
+            return view(spark, sf_dir)
+        if view.__name__ not in frames:
+            frames[view.__name__] = kept(view(spark, sf_dir), view.__name__)
+        return frames[view.__name__]
+
+    return shared
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-level transitions: task, branch, step, src, elem, tgt."""
     return (
@@ -82,6 +117,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_query
+def shared_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`edges` for queries that derive several graph tables from them."""
+    return edges(spark, sf_dir)
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mining chains: chain_id, pos and a coarse (src, elem, tgt) token."""
     return (
@@ -144,6 +185,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_query
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search trees: one per region, then nations, customers and their orders.
 
@@ -204,6 +246,7 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@per_query
 def golds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold paths per tree: the way to its dearest F order and to its dearest O order."""
     leaves = tree(spark, sf_dir).filter(F.col("depth") == 3).select("tree_id", "node_id", "action_list", "value", "r")

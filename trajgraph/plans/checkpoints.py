@@ -41,14 +41,26 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, partition_by: list[str]) -> DataFrame:
-    """``df`` as a parquet table in the checkpoint folder, partitioned for pruning."""
+    """``df`` as a parquet table in the checkpoint folder, partitioned for pruning.
+
+    A value of the partition columns may hold most rows, so its rows are split over as
+    many tasks as a shuffle has.
+    """
     folder = scratch(df.sparkSession, name)
-    df.repartition(*partition_by, F.pmod(F.hash(*df.columns), F.lit(32))).write.partitionBy(
+    split = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(*partition_by, F.pmod(F.hash(*df.columns), F.lit(split))).write.partitionBy(
         *partition_by
     ).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a parquet table in the checkpoint folder: its plan runs once, whatever reads it afterwards."""
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a parquet table has been written at ``path``."""
     try:

@@ -5,13 +5,15 @@ That is the right plan while groups are small, and the wrong one when a single
 key holds a third of the table.  :func:`ordered_columns` first counts the
 largest group (a map-side combined aggregate over the key columns only):
 
-* below the limit it is a plain window, one shuffle;
+* below the limit (a documented skew parameter, ``trajgraph.window.maxGroupRows``) it
+  is a plain window, one shuffle;
 * above it rows are range-partitioned on (key, order), so a hot key spans many
   partitions; values are computed inside each partition and the carries between
   neighbouring partitions come from a table with at most two rows per
   partition, which is therefore safe to broadcast.
 
-Both routes give the same values; tests run the second with a tiny limit.
+An order without a key always takes the second route, so no task ever sees all
+rows.  Both routes give the same values; tests run the second with a tiny limit.
 """
 
 from __future__ import annotations
@@ -92,7 +94,9 @@ def ordered_columns(
     """
     keys = list(keys)
     order = [_col(o) for o in order]
-    if hot is None:
+    if not keys:
+        hot = True
+    elif hot is None:
         hot = has_hot_group(df, keys, group_limit(df) if limit is None else limit)
     return (_split if hot else _plain)(df, keys, order, specs)
 

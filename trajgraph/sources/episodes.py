@@ -16,6 +16,7 @@ def save_episodes(episodes: DataFrame, path: str, key: str = "instance_name") ->
     """
     buckets = episodes.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(64)).cast("int"))
     spark = episodes.sparkSession
+    split = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 64)
     if path_exists(spark, path):
         touched = buckets.select("bucket").distinct()
         old = spark.read.parquet(path).join(touched, "bucket", "left_semi")
@@ -25,7 +26,7 @@ def save_episodes(episodes: DataFrame, path: str, key: str = "instance_name") ->
         buckets = durable(kept.select(*buckets.columns).unionByName(buckets))
     (
         # Split by hash too, so that a bucket with very many rows is not one task.
-        buckets.repartition("bucket", F.pmod(F.hash(*buckets.columns), F.lit(4)))
+        buckets.repartition("bucket", F.pmod(F.hash(*buckets.columns), F.lit(split)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")
@@ -34,11 +35,20 @@ def save_episodes(episodes: DataFrame, path: str, key: str = "instance_name") ->
 
 
 def load_episodes(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
-    """All stored episodes, or only some fields; unreadable files are skipped."""
+    """All stored episodes, or only some fields; unreadable files are skipped and :func:`rejected_files` lists them."""
     rows = spark.read.option("ignoreCorruptFiles", "true").parquet(path).drop("bucket")
     return rows.select(*fields) if fields else rows
 
 
+def rejected_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` of every stored file that is no Parquet file, by the marks at its ends."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.filter(F.col("path").endswith(".parquet"))
+    mark = F.lit("PAR1").cast("binary")
+    whole = (F.substring("content", 1, 4) == mark) & (F.substring("content", -4, 4) == mark)
+    return files.filter(~whole).select("path")
+
+
 def natural_order(name: str, separator: str = "_") -> list[Column]:
     """Sort columns for ``name_12``: the name, then its number (0 when it has none)."""
     parts = F.split(F.col(name), separator, 2)

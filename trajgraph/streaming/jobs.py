@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -58,8 +58,13 @@ def recent_messages(messages: DataFrame, checks: DataFrame, minutes: int = 5, la
 
 
 def first_episodes(episodes: DataFrame, key: str = "instance_name", late: str = "60 days") -> DataFrame:
-    """First episode of every instance; repeats inside the watermark are dropped."""
-    return episodes.withWatermark("finish_dtime", late).dropDuplicatesWithinWatermark([key])
+    """First finished episode of every instance; repeats inside the watermark are dropped.
+
+    ``episodes(key, finish_dtime, failed)``.  Only an episode that completed and did not
+    fail lets its instance be skipped, so a failed run never blocks its own re-run.
+    """
+    done = episodes.filter(~F.coalesce(F.col("failed"), F.lit(False)))
+    return done.withWatermark("finish_dtime", late).dropDuplicatesWithinWatermark([key])
 
 
 def fold_edges(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
@@ -88,8 +93,9 @@ def walk_sessions(steps: DataFrame, late: str = "1 hour") -> DataFrame:
 
     ``steps(task, branch, ts, page)``.  Steps older than the last one seen of their
     trajectory cannot be placed any more and come out flagged ``late``.  The state of
-    a trajectory is one page, and it expires with the watermark.
+    a trajectory is one page, and it expires ``late`` after the last step seen.
     """
+    late_ms = int(pd.Timedelta(late).total_seconds() * 1000)
 
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         task, branch = key
@@ -108,7 +114,7 @@ def walk_sessions(steps: DataFrame, late: str = "1 hour") -> DataFrame:
                 out.append((task, branch, step, page, name, False))
             page, seen, step = name, at, step + 1
         state.update((page, seen, step))
-        state.setTimeoutTimestamp(max(seen // 1000, state.getCurrentWatermarkMs()) + 3_600_000)
+        state.setTimeoutTimestamp(max(seen // 1000, state.getCurrentWatermarkMs()) + late_ms)
         yield pd.DataFrame(out, columns=["task", "branch", "step", "src", "tgt", "late"])
 
     return (
@@ -137,8 +143,3 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", body: Call
         )
     writer.start().awaitTermination()
     return spark.read.parquet(out) if body is None else None
-
-
-def event_time(column: str = "ts") -> Column:
-    """Event-time column: watermarks need a timestamp with a zone."""
-    return F.col(column).cast("timestamp")
