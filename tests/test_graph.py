@@ -18,14 +18,33 @@ def test_fold_drops_noops_and_carries_the_page(spark, as_rows):
         "task string, branch string, step int, before_hash string, after_hash string, action string, goal string",
     )
     g = G.fold_trajectories(steps)
-    assert as_rows(g["pages"]) == [("h1",), ("h2",), ("h3",)]
+    assert as_rows(g["pages"].select("page_id", "is_placeholder")) == [("h1", False), ("h2", False), ("h3", True)]
     assert g["elements"].count() == 2 and g["has_element"].count() == 2
     assert as_rows(g["page_steps"]) == [("h1", "t", 0), ("h2", "t", 1), ("h3", "t", 2)]
     assert as_rows(g["page_goals"].select("node_id", "goal")) == [
         ("h1", "g"), ("h1", "g2"), ("h2", "g"), ("h2", "g2"), ("h3", "g"),
     ]
     same = spark.createDataFrame([("h3", "h1")], "hash string, page_id string")
-    assert as_rows(G.fold_trajectories(steps, same)["pages"]) == [("h1",), ("h2",)]
+    assert as_rows(G.fold_trajectories(steps, same)["pages"].select("page_id")) == [("h1",), ("h2",)]
+
+
+def test_fold_continues_branches(spark, as_rows):
+    steps = spark.createDataFrame(
+        [
+            ("t", "", 0, "h1", "h2", "tap", False),
+            ("t", "", 1, "h2", "h3", "tap", False),
+            ("t", "a", 0, "other", "h4", "tap", False),  # starts where the branch above ended
+            ("t", "a/b", 0, "x", "h5", "tap", True),
+            ("t", "a/b", 1, "h5", "h1", "back", True),  # a leaf's last page is its own
+            ("t", "c/d", 0, "y", "h6", "tap", True),  # its folder c has no steps
+        ],
+        "task string, branch string, step int, before_hash string, after_hash string, action string, is_leaf boolean",
+    ).withColumn("goal", F.lit("g"))
+    g = G.fold_trajectories(steps)
+    assert as_rows(g["page_steps"]) == [
+        ("h1", "t", 0), ("h2", "t", 1), ("h3", "t", 2), ("h4", "t", 3), ("h5", "t", 4), ("leaf/t/a/b", "t", 5), ("leaf/t/c/d", "t", 3),
+    ]
+    assert {r.page_id for r in g["pages"].filter("is_placeholder").collect()} == {"leaf/t/a/b", "leaf/t/c/d"}
 
 
 def test_paths_need_consecutive_steps(spark, as_rows):

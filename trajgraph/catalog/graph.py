@@ -181,6 +181,66 @@ def _(spark, sf):
     )
 
 
+# Days of a user as nested branches: the first ten days of a month stand above the next ten, and those above the rest.
+NESTED = """
+placed AS (
+  SELECT task, left(branch, 7) || CASE WHEN right(branch, 2) <= '10' THEN '' WHEN right(branch, 2) <= '20' THEN '/a' ELSE '/a/b' END AS branch,
+         row_number() OVER (PARTITION BY task, left(branch, 7), right(branch, 2) <= '10', right(branch, 2) <= '20' ORDER BY branch, step) AS n,
+         page, next_page, event_type || '>' || next_type AS action FROM steps WHERE next_page IS NOT NULL AND next_page <> page),
+marked AS (
+  SELECT *, max(n) OVER (PARTITION BY task, branch) AS last_n,
+         NOT EXISTS (SELECT 1 FROM placed d WHERE d.task = p.task AND starts_with(d.branch, p.branch || '/')) AS is_leaf FROM placed p),
+made AS (SELECT *, CASE WHEN is_leaf AND n = last_n THEN 'leaf/' || task || '/' || branch ELSE next_page END AS tgt FROM marked),
+ends AS (SELECT task, branch, arg_max(tgt, n) AS last_page, count(*) AS cnt FROM made GROUP BY ALL),
+above AS (
+  SELECT e.task, e.branch, arg_max(u.last_page, length(u.branch)) AS start_page, sum(u.cnt) AS start_depth
+  FROM ends e JOIN ends u ON u.task = e.task AND starts_with(e.branch, u.branch || '/') GROUP BY ALL),
+walk AS (
+  SELECT m.task, m.branch, n - 1 + coalesce(start_depth, 0) AS step, tgt, action,
+         coalesce(lag(tgt) OVER (PARTITION BY m.task, m.branch ORDER BY n), start_page, page) AS src
+  FROM made m LEFT JOIN above USING (task, branch))"""
+
+
+def _nested(spark, sf):
+    s = A.steps(spark, sf)
+    month, day = F.substring("branch", 1, 7), F.substring("branch", 9, 2)
+    path = F.concat(month, F.when(day <= "10", "").when(day <= "20", "/a").otherwise("/a/b"))
+    rows = s.filter(F.col("next_page").isNotNull()).select(
+        "task", path.alias("branch"), F.concat_ws("|", "branch", F.lpad(F.col("step").cast("string"), 9, "0")).alias("step"),
+        F.col("page").alias("before_hash"), F.col("next_page").alias("after_hash"),
+        F.concat_ws(">", "event_type", "next_type").alias("action"), F.col("task").alias("goal"),
+    ).filter(F.col("before_hash") != F.col("after_hash"))
+    known = rows.select("task", "branch").distinct()
+    above = F.explode(F.array(F.regexp_replace("branch", "/[^/]*$", ""), F.regexp_replace("branch", "/.*$", "")))
+    inner = known.filter(F.contains("branch", F.lit("/"))).select("task", above.alias("branch")).distinct()
+    leaves = known.join(inner, ["task", "branch"], "left_anti").withColumn("is_leaf", F.lit(True))
+    return G.fold_trajectories(rows.join(leaves, ["task", "branch"], "left"))
+
+
+@query(
+    "G04_fold_branches",
+    with_ctes(
+        "steps",
+        """SELECT src AS node_id, task, CAST(step AS BIGINT) AS step FROM walk UNION SELECT tgt, task, CAST(step + 1 AS BIGINT) FROM walk""",
+        extra=NESTED,
+    ),
+)
+def _(spark, sf):
+    return _nested(spark, sf)["page_steps"]
+
+
+@query(
+    "G04_fold_placeholders",
+    with_ctes(
+        "steps",
+        "SELECT page_id, page_id NOT IN (SELECT src FROM walk) AS is_placeholder FROM (SELECT src AS page_id FROM walk UNION SELECT tgt FROM walk)",
+        extra=NESTED,
+    ),
+)
+def _(spark, sf):
+    return _nested(spark, sf)["pages"]
+
+
 @query(
     "G04_fold_page_steps",
     with_ctes(

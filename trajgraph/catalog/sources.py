@@ -47,6 +47,50 @@ def _(spark, sf):
     return out.withColumn("depth", F.col("depth").cast("long"))
 
 
+# Trajectories written as folders: a package per event type, ten tasks, a branch per month (nested below the
+# first one), and a second file in each folder that must not be read.
+SCAN = """
+put AS (
+  SELECT event_type AS package, 't' || (user_id % 10) AS task,
+         CASE WHEN month(ts) % 3 = 0 THEN '' WHEN month(ts) % 3 = 1 THEN 'a' ELSE 'a/b' END AS branch_path, event_id, ts, k FROM ev),
+filled AS (SELECT *, row_number() OVER (PARTITION BY package, task, branch_path ORDER BY ts, event_id) - 1 AS seq FROM put)"""
+
+
+@query(
+    "S01_trajectory_steps",
+    with_ctes(
+        "ev",
+        """SELECT package, task, branch_path, CAST(seq AS INTEGER) AS seq, event_id, k,
+                  CASE branch_path WHEN '' THEN 0 WHEN 'a' THEN 1 ELSE 2 END AS depth,
+                  NOT EXISTS (SELECT 1 FROM put d WHERE d.package = f.package AND d.task = f.task
+                              AND length(d.branch_path) > length(f.branch_path)) AS is_leaf
+           FROM filled f""",
+        extra=SCAN,
+    ),
+)
+def _(spark, sf):
+    month = F.month("ts") % 3
+    branch = F.when(month == 0, "").when(month == 1, "a").otherwise("a/b")
+    steps = A._events(spark, sf).select(
+        F.col("event_type").alias("package"), F.concat(F.lit("t"), (F.col("user_id") % 10).cast("string")).alias("task"),
+        branch.alias("branch"), "event_id", "ts", "k",
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "k")))
+    files = steps.groupBy("package", "task", "branch").agg(
+        F.to_json(F.transform(ordered, lambda s: F.struct(s["event_id"].alias("event_id"), s["k"].alias("k")))).alias("value")
+    )
+    root = scratch(spark, "trajectories")
+    for part in ("", "a", "a/b"):
+        folder = files.filter(F.col("branch") == part).select("package", "task", "value")
+        levels = ["package", "task"]
+        for name in part.split("/") if part else []:
+            folder = folder.withColumn(f"l{name}", F.lit(name))
+            levels.append(f"l{name}")
+        folder.repartition("package", "task").write.mode("append").partitionBy(*levels).text(root)
+    out = TR.read_trajectories(spark, root, "event_id long, k int", glob="*.txt")
+    return out.select("package", "task", "branch_path", "seq", "event_id", "k", "depth", "is_leaf")
+
+
 @query(
     "S02_leaf_folders",
     with_ctes(

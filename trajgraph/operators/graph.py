@@ -66,6 +66,28 @@ def goal_list(goals: DataFrame) -> DataFrame:
     return append_goals(goals).groupBy("node_id").agg(ordered["goal"].alias("goals"))
 
 
+def branch_starts(kept: DataFrame) -> DataFrame:
+    """Where every nested branch begins: ``task, branch, start_page, start_depth``.
+
+    The depth is the number of kept steps of all branches above, the page the last one
+    of the nearest branch above that has steps.  Branches are joined to their own few
+    ancestors, so a folder tree of any depth takes one join.
+    """
+    ends = kept.groupBy("task", "branch").agg(
+        F.count(F.lit(1)).alias("n"), F.max_by("after_hash", "step").alias("last_page")
+    )
+    parts = F.split("branch", "/")
+    above = F.transform(
+        F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")
+    )
+    nested = ends.filter(F.col("branch") != "").select("task", "branch", F.explode(above).alias("up"))
+    return (
+        nested.join(ends.withColumnRenamed("branch", "up"), ["task", "up"])
+        .groupBy("task", "branch")
+        .agg(F.max_by("last_page", F.length("up")).alias("start_page"), F.sum("n").alias("start_depth"))
+    )
+
+
 def fold_trajectories(steps: DataFrame, match: DataFrame | None = None) -> dict[str, DataFrame]:
     """Fold ordered steps of all trajectories into graph tables in one pass.
 
@@ -73,6 +95,12 @@ def fold_trajectories(steps: DataFrame, match: DataFrame | None = None) -> dict[
     no after-screen, or whose screen did not change, are dropped and the
     remaining ones renumbered.  A page is identified by ``match(hash, page_id)``,
     or by its hash; an element by (page, action).
+
+    A branch named ``a/b`` continues the branch ``a`` of its task (and ``a`` the branch
+    without a name): it starts on the page and at the depth where the nearest branch
+    above it ended.  With a column ``is_leaf`` the last kept step of a leaf branch always
+    makes a page of its own.  A page that no step leaves is a placeholder
+    (``is_placeholder``) until a later fold finds a step that does.
     """
     kept = steps.filter(valid_transition("before_hash", "after_hash"))
     if match is not None:
@@ -87,16 +115,23 @@ def fold_trajectories(steps: DataFrame, match: DataFrame | None = None) -> dict[
                 .drop(f"{side}_page")
             )
 
+    if "is_leaf" in kept.columns:
+        ends = kept.groupBy("task", "branch").agg(F.max("step").alias("_end"))
+        own = F.concat_ws("/", F.lit("leaf"), "task", "branch")
+        last = F.coalesce("is_leaf", F.lit(False)) & (F.col("step") == F.col("_end"))
+        kept = kept.join(ends, ["task", "branch"]).withColumn("after_hash", F.when(last, own).otherwise(F.col("after_hash")))
+
     # The source page of a step is the page the walk stands on: the previous
-    # kept step's target, or the step's own screen at the start of a branch.
+    # kept step's target, the end of the branch above at the start of a branch, or
+    # else the step's own screen.
     walk = ordered_columns(
         kept, ["task", "branch"], ["step"],
         [row_number("rn"), lag("stand", "after_hash")],
-    ).select(
+    ).join(branch_starts(kept), ["task", "branch"], "left").select(
         "task",
         "branch",
-        (F.col("rn") - 1).alias("step"),
-        F.coalesce("stand", "before_hash").alias("src"),
+        (F.col("rn") - 1 + F.coalesce("start_depth", F.lit(0))).alias("step"),
+        F.coalesce("stand", "start_page", "before_hash").alias("src"),
         F.col("after_hash").alias("tgt"),
         "action",
         "goal",
@@ -106,6 +141,8 @@ def fold_trajectories(steps: DataFrame, match: DataFrame | None = None) -> dict[
         .unionByName(walk.select(F.col("tgt").alias("page_id")))
         .distinct()
     )
+    left = walk.select(F.col("src").alias("page_id"), F.lit(False).alias("is_placeholder")).distinct()
+    pages = pages.join(left, "page_id", "left").withColumn("is_placeholder", F.coalesce("is_placeholder", F.lit(True)))
     elements = walk.groupBy(F.col("elem").alias("element_id")).agg(
         F.min("src").alias("page_id"), F.min("action").alias("action")
     )

@@ -29,7 +29,9 @@ def first_files(files: DataFrame) -> DataFrame:
 
 def place(files: DataFrame, root: str) -> DataFrame:
     """Package, task, branch path and depth of each folder below ``root``."""
-    parts = F.split(F.regexp_replace("folder", f"^.*?{root.strip('/')}/", ""), "/")
+    # Folders may be named "key=value", as partitioned writers name them.
+    below = F.regexp_replace("folder", f"^.*?{root.strip('/')}/", "")
+    parts = F.split(F.regexp_replace(below, "(^|/)[^/=]*=", "$1"), "/")
     return files.select(
         "*",
         F.get(parts, F.lit(0)).alias("package"),
@@ -49,24 +51,24 @@ def leaf_folders(folders: DataFrame) -> DataFrame:
 def read_trajectories(spark: SparkSession, root: str, schema: str, glob: str = "*.json") -> DataFrame:
     """Ordered steps of the first file of every folder, with their place and leaf flag.
 
-    Each file is one JSON array of steps.
+    Each file is one JSON array of steps; ``seq`` is a step's place in it.  Files that are
+    not the first of their folder are left out before anything is parsed.
     """
     files = listing(spark, root, glob)
     chosen = place(first_files(files), root)
     leaves = leaf_folders(files).withColumn("is_leaf", F.lit(True))
-    steps = (
-        spark.read.schema(schema)
-        .option("multiLine", "true")
+    whole = (
+        spark.read.option("wholetext", "true")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
-        .json(root)
-        .withColumn("path", F.col("_metadata.file_path"))
-    )
-    return (
-        steps.join(chosen, "path")
-        .join(leaves, "folder", "left")
-        .withColumn("is_leaf", F.coalesce("is_leaf", F.lit(False)))
+        .text(root)
+        .select(F.col("_metadata.file_path").alias("path"), "value")
     )
+    steps = whole.join(chosen, "path").select(
+        "path", "folder", "package", "task", "branch_path", "depth",
+        F.posexplode(F.from_json("value", f"array<struct<{schema}>>")).alias("seq", "s"),
+    ).select("*", "s.*").drop("s")
+    return steps.join(leaves, "folder", "left").withColumn("is_leaf", F.coalesce("is_leaf", F.lit(False)))
 
 
 def flat_tasks(files: DataFrame) -> DataFrame:
