@@ -24,13 +24,13 @@ def texts():
     return [(i, t) for i, t in enumerate(base)], [(i, bend(rng.choice(base))) for i in range(60)] + [(100, ""), (101, "É")]
 
 
-@pytest.mark.parametrize("cap", [1000, 5])
+@pytest.mark.parametrize("cap", [10**9, 5])
 def test_fuzzy_join_equals_all_pairs(spark, texts, cap):
     left, right = texts
     left = left + [(100, ""), (101, "é")]
     a = spark.createDataFrame(left, "left_id long, left_text string").repartition(4)
     b = spark.createDataFrame(right, "right_id long, right_text string")
-    got = sorted(tuple(r) for r in J.fuzzy_join(a, b, max_broadcast=cap, block_rows=7).collect())
+    got = sorted(tuple(r) for r in J.fuzzy_join(a, b, max_broadcast_bytes=cap, block_rows=7).collect())
     want = sorted((i, j) for i, s in left for j, t in right if fuzzy_equal(s, t))
     assert got == want and len(want) > 20
 

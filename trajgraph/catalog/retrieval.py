@@ -104,7 +104,7 @@ def _(spark, sf):
 def _(spark, sf):
     v = A.vectors(spark, sf)
     q = v.withColumnRenamed("id", "query_id")
-    return V.topk(v, q, k=3, max_broadcast=16, block_rows=256).withColumn("score", F.round("score", 6))
+    return V.topk(v, q, k=3, max_broadcast_bytes=0, block_rows=256).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -267,10 +267,54 @@ def _(spark, sf):
     return s.filter("similarity >= 0.1").withColumn("similarity", F.round("similarity", 6))
 
 
-@query("V11_task_similarity_topk", with_ctes("vectors", TOPK.format(where="TRUE", k=4), extra=CENTROIDS))
+# Tasks of pages: a vector stands for a task, and pages hold from one task to many.
+PAGE_TASKS = """
+tasks AS (SELECT id, namespace || '/' || CAST(floor(sqrt(id % 400)) AS BIGINT) AS page_id, namespace, "values" FROM vectors),
+sims AS (
+  SELECT t.page_id AS query_id, t.id, list_cosine_similarity(c."values", t."values"::DOUBLE[]) AS sim,
+         row_number() OVER (PARTITION BY t.page_id ORDER BY list_cosine_similarity(c."values", t."values"::DOUBLE[]) DESC, t.id) AS rank
+  FROM tasks t JOIN centroids c ON c.namespace = t.namespace)"""
+
+
+@query(
+    "V11_task_similarity_topk",
+    with_ctes(
+        "vectors", "SELECT query_id, id, round(sim, 6) AS score, rank FROM sims WHERE rank <= 4", extra=CENTROIDS + "," + PAGE_TASKS
+    ),
+)
 def _(spark, sf):
     v = A.vectors(spark, sf)
-    return V.topk(v, centroids(v), k=4).withColumn("score", F.round("score", 6))
+    page = F.concat("namespace", F.lit("/"), F.floor(F.sqrt(F.col("id") % 400)).cast("string"))
+    tasks = v.select("id", page.alias("page_id"), "values", "namespace")
+    asked = tasks.select("page_id", "namespace").distinct().join(centroids(v).select("namespace", "values"), "namespace")
+    out = V.task_similarity(tasks.drop("namespace"), asked.select(F.col("page_id").alias("query_id"), "page_id", "values"), k=4)
+    return out.withColumn("score", F.round("score", 6))
+
+
+EMBED = """
+words AS (
+  SELECT doc_id, CAST('0x' || substr(md5(unnest(regexp_extract_all(lower(text), '\\S+'))), 1, 8) AS BIGINT) % 64 AS i FROM documents),
+counts AS (SELECT doc_id, i, count(*) AS n FROM words GROUP BY ALL),
+filled AS (
+  SELECT d.doc_id, list(format('{:.4f}', round(coalesce(n, 0) / sqrt(t.ss), 4)) ORDER BY x.i) AS v
+  FROM documents d JOIN (SELECT doc_id, sum(n * n) AS ss FROM counts GROUP BY 1) t ON t.doc_id = d.doc_id,
+       (SELECT unnest(range(0, 64)) AS i) x LEFT JOIN counts c ON c.doc_id = d.doc_id AND c.i = x.i GROUP BY 1)"""
+
+
+@query(
+    "V06b_page_vector_write",
+    "WITH " + EMBED.strip() + " SELECT 'pkg_' || lang AS namespace, doc_id AS id, array_to_string(v, ',') AS v FROM filled JOIN documents USING (doc_id)",
+)
+def _(spark, sf):
+    from ..functions.udfs import embed
+
+    new = A.table(spark, sf, "documents").filter(F.trim("text") != "").select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("pkg_"), "lang").alias("namespace"), embed(F.col("text")).alias("values"),
+        F.lit(1).alias("version"),
+    )
+    stored = V.upsert(A.vectors(spark, sf).withColumn("version", F.lit(0)), new).filter(F.startswith("namespace", F.lit("pkg_")))
+    rounded = F.transform("values", lambda x: F.round(x.cast("double"), 4))
+    return stored.select("namespace", "id", F.array_join(F.transform(rounded, lambda x: F.format_string("%.4f", x)), ",").alias("v"))
 
 
 @query(

@@ -8,6 +8,7 @@ from ..operators import gold as GP
 from ..operators import rollups as R
 from ..plans import adapters as A
 from ..plans.adapters import with_ctes
+from ..plans.checkpoints import scratch
 from .registry import query
 
 ROLLUP = """
@@ -161,11 +162,14 @@ def _(spark, sf):
     with_ctes("ev", "SELECT event_id, package, task, stage, prompt_tokens, completion_tokens FROM log", extra=TOKEN_LOG),
 )
 def _(spark, sf):
-    from ..sources.logs import token_log_lines
+    from ..sources.logs import append_token_log, read_token_log
 
-    lines = token_log_lines(token_log(spark, sf))
+    rows = token_log(spark, sf)
+    folder = scratch(spark, "token-log")
+    for part in (0, 1):  # two appends, read back together
+        append_token_log(rows.filter(F.col("event_id") % 2 == part).drop("ts"), folder)
     schema = "event_id long, package string, task string, stage string, prompt_tokens long, completion_tokens long"
-    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+    return read_token_log(spark, folder, schema)
 
 
 PROGRESS = """

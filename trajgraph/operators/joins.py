@@ -119,7 +119,9 @@ def referred_element(actions: DataFrame, elements: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- fuzzy join
 
-MAX_BROADCAST_TEXTS = 4096
+# Bytes of the largest right side that is broadcast; its profiles take some 9 KB a text beside them.
+MAX_BROADCAST_BYTES = 32_000_000
+PROFILE_BYTES = 9_000
 BLOCK_ROWS = 2048
 _GRAM = 3
 _CHAR_BINS, _GRAM_BINS = 64, 1024
@@ -178,13 +180,13 @@ class _TextBlock:
 def fuzzy_join(
     left: DataFrame,
     right: DataFrame,
-    max_broadcast: int = MAX_BROADCAST_TEXTS,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """All pairs of texts with a sequence-matcher ratio of at least 0.9, ignoring case.
 
-    ``left(left_id, left_text)``, ``right(right_id, right_text)``.  A right side of checked size is
-    broadcast and the left side is read once, without a shuffle.  A larger one is
+    ``left(left_id, left_text)``, ``right(right_id, right_text)``.  A right side whose bytes are
+    counted first is broadcast and the left side is read once, without a shuffle.  A larger one is
     cut in blocks per length band on both sides.  Exact bounds on lengths,
     characters and trigrams leave few pairs for the ratio; only matches are emitted.
     """
@@ -192,9 +194,10 @@ def fuzzy_join(
     right = right.select("right_id", "right_text").filter(F.col("right_text").isNotNull())
     kinds = {c: f.schema[c].dataType.simpleString() for f, c in ((left, "left_id"), (right, "right_id"))}
     schema = ", ".join(f"{c} {t}" for c, t in kinds.items())
-    head = right.limit(max_broadcast + 1).toPandas()
-    if len(head) > max_broadcast:
+    size = right.agg(F.coalesce(F.sum(F.octet_length("right_text") + PROFILE_BYTES), F.lit(0)).alias("n")).first()["n"]
+    if size > max_broadcast_bytes:
         return _fuzzy_blocks(left, right, block_rows, schema)
+    head = right.toPandas()
     shared = left.sparkSession.sparkContext.broadcast((head["right_id"].tolist(), head["right_text"].tolist()))
 
     def scan(batches):

@@ -18,8 +18,8 @@ def read_progress_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_progress(spark.read.text(path).withColumn("file", F.col("_metadata.file_path")))
 
 
-def read_token_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TOKEN_SCHEMA).json(path)
+def read_token_log(spark: SparkSession, path: str, schema: str = TOKEN_SCHEMA) -> DataFrame:
+    return spark.read.schema(schema).json(path)
 
 
 def token_log_lines(rows: DataFrame) -> DataFrame:
