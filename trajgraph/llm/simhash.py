@@ -67,13 +67,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def link(prints: DataFrame, segments: int = SEGMENTS) -> DataFrame:
-    """Links ``src, dst`` between different fingerprints ``prints(fp)``, a star for every table entry."""
+    """Links ``src, dst`` between the different fingerprints of ``prints(fp)``, a star for every table entry; repeats are harmless."""
     width = BITS // segments
-    variants = prints.select("fp").distinct().select("fp", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("segment"))
+    variants = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("segment"))
     variants = variants.select("fp", F.explode(F.sequence(F.col("segment") * width, F.col("segment") * width + width - 1)).alias("bit"))
     one = F.expr("shiftleft(1L, bit)")
     near = variants.select(F.col("fp").bitwiseXOR(one).alias("key"), one.alias("mask"), F.lit(0).alias("self"))
-    own = prints.select("fp").distinct().select(F.col("fp").alias("key"), F.lit(0).cast("long").alias("mask"), F.lit(1).alias("self"))
+    own = prints.select(F.col("fp").alias("key"), F.lit(0).cast("long").alias("mask"), F.lit(1).alias("self"))
     entry = near.union(own).groupBy("key").agg(F.bit_or("mask").alias("mask"), F.max("self").alias("self"))
     entry = entry.filter(F.bit_count("mask") + F.col("self") > 1)
     flips = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.call_function("getbit", F.col("mask"), b) == 1)
@@ -94,7 +94,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prints = stored(fingerprints(docs, id_col, text_col, **shingles), "fingerprints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    groups = components(link(first)).withColumnRenamed("node", "fp")
+    # A fingerprint becomes 65 rows of the tables, so the few bytes of distinct ones are dealt to all tasks again.
+    spread = first.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
+    groups = components(link(spread)).withColumnRenamed("node", "fp")
     labelled = first.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     return prints.join(labelled.join(smallest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
