@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and cut its lineage."""
+    """Materialise ``df`` in the checkpoint folder and cut its lineage.
+
+    Spark writes a checkpoint in a second job; the first one's rows are kept until then,
+    so that the plan runs once.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.DISK_ONLY)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,35 +27,51 @@ def ordered_match(hits: DataFrame, key: str, order: str, target: str) -> DataFra
     ranged = hits.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(target).cast("int").alias("i"))
     ranged = ranged.repartitionByRange(parts, "k", "o").sortWithinPartitions("k", "o")
 
-    def fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        held, at, due, state = None, None, set(), np.zeros(0, np.int64)
+        held, at, due, state = None, None, set(), []
+        keys, exits = [], []
 
-        def advance(state, due):
-            if due and max(due) + 2 > len(state):
-                state = np.concatenate([state, np.arange(len(state), max(due) + 2)])
-            state[np.isin(state, list(due))] += 1
-            return state
+        def advance():
+            """One position: states that wait for one of its targets move on."""
+            nonlocal due
+            if due:
+                state.extend(range(len(state), max(due) + 2))
+                for i, s in enumerate(state):
+                    if s in due:
+                        state[i] = s + 1
+                due = set()
 
-        def closed(state):
-            return pd.DataFrame({"k": [held], "part": [part], "exits": [advance(state, due).tolist()]})
+        def finish():
+            advance()
+            keys.append(held)
+            exits.append(state)
 
-        for pdf in batches:
-            for k, o, i in zip(pdf["k"].tolist(), pdf["o"].tolist(), pdf["i"].tolist()):
-                if k != held or at is None:
+        def rows(kind):
+            columns = [pa.array(keys, kind), pa.array([part] * len(keys), pa.int32()), pa.array(exits, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, names=["k", "part", "exits"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("k").type
+            for k, o, i in zip(*(batch.column(c).to_pylist() for c in ("k", "o", "i"))):
+                if at is None or k != held:
                     if at is not None:
-                        yield closed(state)
-                    held, state, due = k, np.zeros(0, np.int64), set()
+                        finish()
+                    held, state = k, []
                 elif o != at:
-                    state, due = advance(state, due), set()
+                    advance()
                 at = o
                 due.add(i)
+            yield rows(kind)
+            keys, exits = [], []
         if at is not None:
-            yield closed(state)
+            finish()
+            yield rows(kind)
 
-    maps = ranged.mapInPandas(fragments, f"k {kind}, part int, exits array<long>")
+    maps = ranged.mapInArrow(fragments, f"k {kind}, part int, exits array<long>")
     # One row per key and partition: never more than there are partitions.
     ordered = maps.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("part", "exits"))).alias("m"))
     run = F.aggregate("m", F.lit(0).cast("long"), lambda s, m: F.coalesce(F.get(m["exits"], s.cast("int")), s))
