@@ -22,6 +22,21 @@ scored AS (
   FROM centroids c JOIN vectors v ON v.namespace = c.namespace)"""
 
 
+EMBED = """
+words AS (
+  SELECT doc_id, CAST('0x' || substr(md5(unnest(regexp_extract_all(lower(text), '\\S+'))), 1, 8) AS BIGINT) % 64 AS i FROM documents),
+counts AS (SELECT doc_id, i, count(*) AS n FROM words GROUP BY ALL),
+filled AS (
+  SELECT d.doc_id, list(floor(coalesce(n, 0) / sqrt(t.ss) * 10000 + 0.5)::BIGINT ORDER BY x.i) AS v
+  FROM documents d JOIN (SELECT doc_id, sum(n * n) AS ss FROM counts GROUP BY 1) t ON t.doc_id = d.doc_id,
+       (SELECT unnest(range(0, 64)) AS i) x LEFT JOIN counts c ON c.doc_id = d.doc_id AND c.i = x.i GROUP BY 1)"""
+
+
+def four_digits(values):
+    """A vector as text, each component in whole ten-thousandths."""
+    return F.array_join(F.transform(values, lambda x: F.floor(x.cast("double") * 10000 + 0.5).cast("string")), ",")
+
+
 def centroids(vectors):
     """Mean vector per namespace: one query per namespace, from the whole table."""
     means = (
@@ -156,19 +171,20 @@ def _(spark, sf):
     "V05b_knowledge_append",
     with_ctes(
         "vectors",
-        """SELECT namespace, count(*) AS n FROM (
-             SELECT namespace, id FROM vectors UNION SELECT 'pkg_' || lang, doc_id FROM documents) GROUP BY namespace""",
+        """SELECT namespace, id, array_to_string([floor(x::DOUBLE * 10000 + 0.5)::BIGINT FOR x IN "values"], ',') AS v FROM vectors
+           UNION ALL SELECT 'pkg_' || lang, doc_id, array_to_string(v, ',') FROM filled JOIN documents USING (doc_id)""",
+        extra=EMBED,
     ),
 )
 def _(spark, sf):
     from ..functions.udfs import embed
 
     old = A.vectors(spark, sf).withColumn("version", F.lit(1))
-    new = A.table(spark, sf, "documents").select(
+    new = A.table(spark, sf, "documents").filter(F.trim("text") != "").select(
         F.col("doc_id").alias("id"), F.concat(F.lit("pkg_"), "lang").alias("namespace"),
         embed(F.col("text")).alias("values"), F.lit(1).alias("version"),
     )
-    return V.upsert(old, new).groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
+    return V.upsert(old, new).select("namespace", "id", four_digits(F.col("values")).alias("v"))
 
 
 @query("V06_knowledge_merge")
@@ -291,16 +307,6 @@ def _(spark, sf):
     return out.withColumn("score", F.round("score", 6))
 
 
-EMBED = """
-words AS (
-  SELECT doc_id, CAST('0x' || substr(md5(unnest(regexp_extract_all(lower(text), '\\S+'))), 1, 8) AS BIGINT) % 64 AS i FROM documents),
-counts AS (SELECT doc_id, i, count(*) AS n FROM words GROUP BY ALL),
-filled AS (
-  SELECT d.doc_id, list(format('{:.4f}', round(coalesce(n, 0) / sqrt(t.ss), 4)) ORDER BY x.i) AS v
-  FROM documents d JOIN (SELECT doc_id, sum(n * n) AS ss FROM counts GROUP BY 1) t ON t.doc_id = d.doc_id,
-       (SELECT unnest(range(0, 64)) AS i) x LEFT JOIN counts c ON c.doc_id = d.doc_id AND c.i = x.i GROUP BY 1)"""
-
-
 @query(
     "V06b_page_vector_write",
     "WITH " + EMBED.strip() + " SELECT 'pkg_' || lang AS namespace, doc_id AS id, array_to_string(v, ',') AS v FROM filled JOIN documents USING (doc_id)",
@@ -313,8 +319,7 @@ def _(spark, sf):
         F.lit(1).alias("version"),
     )
     stored = V.upsert(A.vectors(spark, sf).withColumn("version", F.lit(0)), new).filter(F.startswith("namespace", F.lit("pkg_")))
-    rounded = F.transform("values", lambda x: F.round(x.cast("double"), 4))
-    return stored.select("namespace", "id", F.array_join(F.transform(rounded, lambda x: F.format_string("%.4f", x)), ",").alias("v"))
+    return stored.select("namespace", "id", four_digits(F.col("values")).alias("v"))
 
 
 @query(

@@ -15,6 +15,7 @@ from ..sources import samples as SM
 from ..sources import tables as TB
 from ..sources import trajectories as TR
 from .registry import query
+from .retrieval import EMBED, four_digits
 
 LISTING = """
 files AS (
@@ -276,12 +277,10 @@ def _(spark, sf):
     return A.table(spark, sf, "pages").select("page_id", phash(pixels).alias("hash"))
 
 
-@query("Y04_embed", "SELECT doc_id, 64 AS width, 1.0::DOUBLE AS length FROM documents WHERE trim(text) <> ''")
+@query("Y04_embed", "WITH " + EMBED.strip() + " SELECT doc_id, array_to_string(v, ',') AS v FROM filled")
 def _(spark, sf):
-    from ..functions.vectors import norm
-
-    v = A.table(spark, sf, "documents").filter(F.trim("text") != "").select("doc_id", embed(F.col("text")).alias("v"))
-    return v.select("doc_id", F.size("v").alias("width"), F.round(norm(F.col("v")), 4).alias("length"))
+    docs = A.table(spark, sf, "documents").filter(F.trim("text") != "")
+    return docs.select("doc_id", four_digits(embed(F.col("text"))).alias("v"))
 
 
 @query(

@@ -451,8 +451,9 @@ def _(spark, sf):
     return scored.select("conv_id", "turn", "score")
 
 
+BEAM_DEPTH = 60
 BEAM_LEVEL = """
-l{d} AS (
+l{d} AS MATERIALIZED (
   SELECT * FROM (
     SELECT task, {d} AS depth, row_number() OVER (PARTITION BY task ORDER BY score DESC, path) AS rank, path, score, page, visited
     FROM (SELECT f.task, CASE WHEN f.path = '' THEN e.elem ELSE f.path || ' ' || e.elem END AS path,
@@ -465,19 +466,18 @@ l{d} AS (
     "T02_beam_paths",
     with_ctes(
         "edges",
-        " UNION ALL ".join(f"SELECT task, depth, rank, path, score FROM l{d}" for d in (1, 2, 3, 4)),
+        " UNION ALL ".join(f"SELECT task, depth, rank, path, score FROM l{d}" for d in range(1, BEAM_DEPTH + 1)),
         extra="""
 weights AS (SELECT src, elem, tgt, CAST(count(*) AS DOUBLE) AS w FROM edges GROUP BY ALL),
-l0 AS (SELECT task, min(src) AS page, '' AS path, 0.0::DOUBLE AS score, [min(src)] AS visited
-       FROM edges WHERE step = 0 GROUP BY task),"""
-        + ",".join(BEAM_LEVEL.format(d=d, p=d - 1) for d in (1, 2, 3, 4)),
+l0 AS (SELECT DISTINCT task, src AS page, '' AS path, 0.0::DOUBLE AS score, [src] AS visited FROM edges WHERE step = 0),"""
+        + ",".join(BEAM_LEVEL.format(d=d, p=d - 1) for d in range(1, BEAM_DEPTH + 1)),
     ),
 )
 def _(spark, sf):
     e = A.edges(spark, sf)
-    starts = e.filter("step = 0").groupBy("task").agg(F.min("src").alias("page_id"))
+    starts = e.filter("step = 0").select("task", F.col("src").alias("page_id")).distinct()
     weights = e.groupBy("src", "elem", "tgt").agg(F.count(F.lit(1)).cast("double").alias("step_score"))
-    return T.beam_paths(starts, weights, lambda df: df, beam=3, depth=4)
+    return T.beam_paths(starts, weights, lambda df: df, beam=3, depth=BEAM_DEPTH)
 
 
 # ------------------------------------------------------------- rounds and samples
