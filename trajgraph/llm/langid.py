@@ -31,6 +31,8 @@ SYMBOL_BITS = 9
 #: Characters from here on share the last 128 symbols.
 FOLD = 0x180
 UNKNOWN = "und"
+#: Words whose n-grams are held at once: some 100 bytes for each of their characters.
+SLICE = 30_000
 #: Calibration: bins of the margin, 4 for each factor e; answers below this share of right ones are rejected.
 BINS = 64
 LEAST_SCORE = 0.5
@@ -90,18 +92,21 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
 
         def fold():
             for lang, counter in words.items():
-                g, place = events(list(counter))
-                weight = np.array(list(counter.values()), np.int64)[place]
-                held = total.get(lang, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                keys, back = np.unique(np.concatenate([held[0], g]), return_inverse=True)
-                sums = np.bincount(back, np.concatenate([held[1], weight]).astype(float), len(keys))
-                total[lang] = keys, sums.astype(np.int64)
+                listed = list(counter)
+                for at in range(0, len(listed), SLICE):
+                    some = listed[at : at + SLICE]
+                    g, place = events(some)
+                    weight = np.array([counter[w] for w in some], np.int64)[place]
+                    held = total.get(lang, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                    keys, back = np.unique(np.concatenate([held[0], g]), return_inverse=True)
+                    sums = np.bincount(back, np.concatenate([held[1], weight]).astype(float), len(keys))
+                    total[lang] = keys, sums.astype(np.int64)
             words.clear()
 
         for langs, texts in chunks(batches):
             for lang, text in zip(langs, texts):
                 words.setdefault(lang, Counter()).update(text.split())
-            if sum(map(len, words.values())) > REMEMBER // 2:
+            if sum(map(len, words.values())) > REMEMBER // 3:
                 fold()
         fold()
         for lang, (keys, sums) in total.items():
@@ -125,7 +130,8 @@ def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
         once = F.try_divide(ones, ones + 2 * twos)
         discount = types[n].groupBy("lang").agg(F.greatest(F.lit(0.1), F.least(F.lit(0.95), F.coalesce(once, F.lit(0.5)))).alias("d"))
         h = F.shiftright("g", SYMBOL_BITS).alias("h")
-        contexts = types[n].groupBy("lang", h).agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).join(discount, "lang")
+        contexts = types[n].groupBy("lang", h).agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+        contexts = contexts.join(F.broadcast(discount), "lang")  # a row for each language
         contexts = contexts.select("lang", "h", "total", "d", (F.col("d") * F.col("kinds") / F.col("total")).alias("weight"))
         rows = types[n].withColumn("h", h).join(contexts, ["lang", "h"])
         if below is None:
@@ -177,12 +183,13 @@ class Model:
     def words(self, words: list[bytes]) -> np.ndarray:
         """For each word the summed log-probability under each language and the number of events."""
         out = np.zeros((len(words), len(self.langs) + 1))
-        if words:
-            g, place = events(words)
+        for at in range(0, len(words), SLICE):
+            some = words[at : at + SLICE]
+            g, place = events(some)
             logs = self.score(g)
             for i in range(len(self.langs)):
-                out[:, i] = np.bincount(place, logs[:, i], len(words))
-            out[:, -1] = np.bincount(place, minlength=len(words))
+                out[at : at + SLICE, i] = np.bincount(place, logs[:, i], len(some))
+            out[at : at + SLICE, -1] = np.bincount(place, minlength=len(some))
         return out
 
     def answer(self, sums: np.ndarray) -> tuple[int, float, float]:
@@ -210,7 +217,7 @@ def _document_sums(model: Model):
     def forget():
         rows[0] = rows[0][:0]
 
-    known = WordTable(values, forget=forget)
+    known = WordTable(values, REMEMBER // 2, forget)
 
     def sums(texts):
         return [rows[0][found].sum(axis=0) for found in list(known.look_all([t.split() for t in texts]))]

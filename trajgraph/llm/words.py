@@ -12,8 +12,8 @@ by_value(__name__)
 
 #: Characters (or bytes) of text handled at once in a task; a single longer text is handled alone.
 CHUNK = 4_000_000
-#: Words a task remembers, some 200 MB; at this size its table starts anew. Results do not depend on it.
-REMEMBER = 1_000_000
+#: Words a task remembers, some 120 MB; at this size its table starts anew. Results do not depend on it.
+REMEMBER = 600_000
 
 
 def chunks(batches: Iterable, chunk: int = CHUNK) -> Iterator[tuple[list, list]]:
