@@ -8,6 +8,7 @@ from ..operators import mining, paths
 from ..operators.gold import gold_paths
 from ..plans import adapters as A
 from ..plans.adapters import with_ctes
+from ..plans.checkpoints import kept
 from ..plans.ordered import lead, ordered_columns
 from .graph import NODES, tables
 from .registry import query
@@ -285,6 +286,11 @@ matches AS (
 
 def _groups(spark, sf):
     steps = A.tokens(spark, sf).select(F.col("chain_id").alias("path_id"), "pos", "src", "elem", "tgt")
+    return steps, _members(steps)
+
+
+def _members(steps):
+    """Composite actions: pairs of neighbours that make up one in 400 of all pairs."""
     nxt = ordered_columns(steps, ["path_id"], ["pos"], [lead("elem2", "elem")])
     freq = (
         nxt.filter(F.col("elem2").isNotNull() & (F.col("elem") != F.col("elem2")))
@@ -292,7 +298,7 @@ def _groups(spark, sf):
         .agg(F.count(F.lit(1)).alias("n"))
     )
     total = freq.agg(F.sum("n").alias("total"))
-    members = (
+    return (
         freq.join(F.broadcast(total))
         .filter(F.col("n") * 400 > F.col("total"))
         .select(
@@ -300,7 +306,6 @@ def _groups(spark, sf):
             F.explode(F.array("a", "b")).alias("element_id"),
         )
     )
-    return steps, members
 
 
 @query(
@@ -471,6 +476,57 @@ def _(spark, sf):
     )
 
 
+# The same rewriting over all task paths.
+PATH_REWRITE = PATH_STEPS + "," + REWRITE.replace(
+    "SELECT chain_id AS path_id, pos, src, elem, tgt FROM tokens", "SELECT path_id, pos, src, elem, tgt FROM path_rows"
+) + """,
+rewritten AS (
+  SELECT path_id, CAST(run AS BIGINT) AS run, arg_min(src, pos) AS src, arg_min(coalesce(action_id, elem), pos) AS elem,
+         arg_max(tgt, pos) AS tgt, bool_or(action_id IS NOT NULL) AS is_group, count(*) AS n_steps
+  FROM islands GROUP BY path_id, run)"""
+
+
+def _rewritten(spark, sf):
+    steps = kept(_path_steps(spark, sf), "path-steps")
+    members = _members(steps)
+    matches = paths.matching_groups(steps.select("path_id", F.col("elem").alias("element_id")), members)
+    return steps, paths.rewrite_with_groups(steps.drop("task"), paths.choose_groups(matches, members))
+
+
+@query(
+    "P11b_all_task_paths_rewritten",
+    with_ctes("edges", "SELECT path_id, run, src, elem, tgt, is_group, n_steps FROM rewritten", recursive=True, extra=PATH_REWRITE),
+)
+def _(spark, sf):
+    return _rewritten(spark, sf)[1]
+
+
+@query(
+    "P11_gold_paths_rewritten",
+    with_ctes(
+        "edges",
+        """SELECT r.path_id, count(*) AS n_steps, count(*) FILTER (is_group) AS n_actions,
+                  string_agg(coalesce(s.function_summary, 'Unknown source') || '_$' || src || '$ '
+                    || coalesce(e.function_summary, 'Unknown element') || CASE WHEN is_group THEN '_$Action_' ELSE '_$Element_' END || elem || '$ '
+                    || coalesce(t.function_summary, 'Unknown source') || '_$' || r.tgt || '$', ' | ' ORDER BY run) AS path
+           FROM rewritten r LEFT JOIN pages_ s ON s.page_id = r.src LEFT JOIN elements_ e ON e.element_id = r.elem
+           LEFT JOIN pages_ t ON t.page_id = r.tgt GROUP BY r.path_id""",
+        recursive=True, extra=PATH_REWRITE,
+    ),
+)
+def _(spark, sf):
+    t = tables(spark, sf)
+    steps, rewritten = _rewritten(spark, sf)
+    tasks = steps.select("task", "path_id").distinct()
+    enriched = paths.enrich_steps(rewritten.withColumnRenamed("run", "pos").join(tasks, "path_id"), t["pages"], t["elements"])
+    out = gold_paths(enriched, is_group=F.col("is_group"))
+    is_action = lambda s: F.contains(F.element_at(s, 2), F.lit("_$Action_"))
+    return out.select(
+        "path_id", F.size("path").cast("long").alias("n_steps"), F.size(F.filter("path", is_action)).cast("long").alias("n_actions"),
+        F.array_join(F.transform("path", lambda s: F.array_join(s, " ")), " | ").alias("path"),
+    )
+
+
 @query(
     "P14_parse_path_tokens",
     with_ctes(
