@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from trajgraph.llm.substring import Chunk, low_rounds, remove_repeats, word_hashes
+from trajgraph.llm.substring import Chunk, low_rounds, remove_repeats
 
 
 def brute(rows, window):
@@ -53,20 +53,20 @@ def test_every_window_without_runs_has_a_determined_symbol_and_equal_windows_equ
     rng = np.random.default_rng(4)
     words = [[b"%d" % x for x in np.cumsum(rng.integers(1, 50, 400)) % 97] for _ in range(6)]
     words += [[b"x", *words[0][50:120], b"y"], words[1][3:60], words[2][:13]]
-    chunk = Chunk(words, word_hashes())
+    chunk = Chunk([b" ".join(w) for w in words])
     at, key = chunk.keys(13)
     flat = [w for mine in words for w in mine]
     by_window = {}
     for i, k in zip(at.tolist(), key.tolist()):
         assert by_window.setdefault(tuple(flat[i : i + 13]), k) == k
-    assert not (key == chunk.digests(at, 13)[0]).any()
+    assert not (key == chunk.digest(at, 13)).any()
     assert low_rounds(13) == 2 and low_rounds(12) == 1 and low_rounds(4) == 0
 
 
 def test_digests_follow_the_words_only():
     words = [[b"a", b"b", b"c", b"a", b"b"], [b"b", b"c"], [b"c", b"b"]]
-    chunk = Chunk(words, word_hashes())
-    one, two = chunk.digests(np.array([0, 3, 1, 5, 7]), np.array([2, 2, 2, 2, 2]))
+    chunk = Chunk([b" ".join(w) for w in words])
+    one, two = (chunk.digest(np.array([0, 3, 1, 5, 7]), np.array([2, 2, 2, 2, 2]), stream) for stream in (0, 1))
     assert one[0] == one[1] and two[0] == two[1] and one[2] == one[3] and two[2] == two[3]
     assert len(set(one.tolist())) == 3
 

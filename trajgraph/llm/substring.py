@@ -14,30 +14,33 @@ around them. The steps:
    the window too, determine them, the one with the smallest name stands for the window: its key. Equal windows have equal keys. A window
    without such a symbol (one run of words) has its own digest as its key. Spark finds the keys of open windows that a smaller document
    has as well.
-3. Verification. Only windows with such a key go to Spark, with a 128-bit digest of their words; those found in a smaller document cover
+3. Verification. Only windows with such a key go to Spark, with a 96-bit digest of their words; those found in a smaller document cover
    their words.
 
-Texts are shuffled once, compressed, by document; the exchange serves every later pass. Keys and digests are joined to the rows that
-hold them by ordinary joins, whose hot keys adaptive execution splits, behind aggregations that combine before their shuffle.
+Texts are shuffled once, compressed, by document; the exchange serves every later pass. Keys and window digests go to their owners once. What
+many documents share is settled inside each chunk of some hundred documents first, where one row is left for each key or digest, so a
+passage that a third of all documents hold is a few rows a task.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import by_value, only, stored, table
-from .words import WordTable, chunks
+from .words import chunks
 
 by_value(__name__)
 
 WINDOW = 13
-#: Rounds that name the symbols of long repeats: a symbol spans some 30 words.
-HIGH_ROUNDS = 12
+#: Rounds that name the symbols of long repeats: a symbol spans some 100 words.
+HIGH_ROUNDS = 16
+#: Bytes of text handled at once: a chunk takes some 60 bytes for each of them.
+CHUNK = 2_000_000
 
 _U = np.uint64
 # The multipliers of a known 64-bit finaliser and two odd bases of rolling digests.
@@ -81,47 +84,67 @@ def compress(names: np.ndarray, start: np.ndarray, doc: np.ndarray, round_: int)
     return named[keep], start[keep], doc[keep]
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(_BASES[0]))
+_POWERS: dict = {}
+
+
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For both bases at least ``n`` powers and as many of the inverse, kept between chunks of a task."""
+    if not _POWERS or len(_POWERS["held"][0][0]) < n:
+        step = lambda x: np.cumprod(np.concatenate([[_U(1)], np.full(n, x, _U)]), dtype=_U)
+        _POWERS["held"] = [(step(base), step(pow(base, -1, 1 << 64))) for base in _BASES]
+    return _POWERS["held"]
+
+
 class Chunk:
-    """The words of several documents in one array, with digests of any span."""
+    """The words of several documents in one array, with digests of any span.
 
-    def __init__(self, words: list[list[bytes]], known: WordTable):
-        counts = np.array([len(w) for w in words], np.int64)
-        self.ends = np.cumsum(counts)
-        self.starts = self.ends - counts
-        self.doc = np.repeat(np.arange(len(words)), counts)
-        flat = known.look([w for mine in words for w in mine])
-        self.hash = np.frombuffer(b"".join(flat), "<u8").reshape(-1, 2)
-        self._powers = None
+    A digest is a polynomial over 64 bits in an odd base, so that prefix sums give it for every span; it is hashed with the span's size.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        raw = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+        space = _SPACE[raw]
+        first = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        last = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        up, down = powers(len(raw) + 1)[0]
+        total = np.zeros(len(raw) + 1, _U)
+        np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
+        self.hash = mix((total[last] - total[first]) * down[first] + (last - first).astype(_U))
+        offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        borders = np.searchsorted(first, offsets)
+        self.starts, self.ends = borders[:-1], borders[1:]
+        self.doc = np.repeat(np.arange(len(texts)), self.ends - self.starts)
 
     def __len__(self):
-        return len(self.hash)
-
-    def digests(self, at: np.ndarray, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit digests of the spans; spans of equal words are equal wherever they stand."""
-        if self._powers is None:
-            n = len(self) + 1
-            self._powers = []
-            for i, base in enumerate(_BASES):
-                inverse = pow(base, -1, 1 << 64)
-                up = np.cumprod(np.concatenate([[_U(1)], np.full(n - 1, base, _U)]), dtype=_U)
-                down = np.cumprod(np.concatenate([[_U(1)], np.full(n - 1, inverse, _U)]), dtype=_U)
-                total = np.concatenate([[_U(0)], np.cumsum(self.hash[:, i] * up[: n - 1], dtype=_U)])
-                self._powers.append((total, down))
+        return len(self.doc)
+
+    def digest(self, at: np.ndarray, size: np.ndarray | int, stream: int = 0) -> np.ndarray:
+        """A 64-bit digest of each span; spans of equal words are equal wherever they stand. The streams differ in base and words."""
+        up, down = powers(len(self) + 1)[stream]
+        words = mix(self.hash + _M2) if stream else self.hash
+        total = np.zeros(len(self) + 1, _U)
+        np.cumsum(words * up[: len(words)], out=total[1:])
         size = np.asarray(size)
-        return tuple(mix((total[at + size] - total[at]) * down[at] + size.astype(_U)) for total, down in self._powers)
+        return mix((total[at + size] - total[at]) * down[at] + size.astype(_U))
 
     def symbols(self, rounds: int):
-        levels = [(self.hash[:, 0].copy(), np.arange(len(self)), self.doc)]
+        levels = [(self.hash, np.arange(len(self)), self.doc)]
         for k in range(rounds):
             levels.append(compress(*levels[-1], k))
         return levels
 
-    def long_symbols(self, rounds: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and sizes of the symbols of the last round that span a window at least."""
-        _, start, doc = self.symbols(rounds)[-1]
+    def long_symbols(self, rounds: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, sizes and names of the symbols of the last round that span a window at least."""
+        level = (self.hash, np.arange(len(self)), self.doc)
+        for k in range(rounds):
+            level = compress(*level, k)
+        names, start, _ = level
         end = np.append(start[1:], len(self))
         wide = end - start >= window
-        return start[wide], (end - start)[wide]
+        return start[wide], (end - start)[wide], names[wide]
 
     def windows(self, window: int) -> np.ndarray:
         """Starts of all windows."""
@@ -136,26 +159,27 @@ class Chunk:
         rounds = low_rounds(window)
         if len(at) and rounds:
             levels = self.symbols(rounds)
-            p, q, a, b, key = _determined(self, levels)
-            lo, hi = np.maximum(b - window + 1, 0), a - 1
-            fits = lo <= hi
-            key_at = np.full(len(self), _NONE)
-            lo_at, hi_at = np.zeros(len(self), np.int64), np.full(len(self), -1)
-            key_at[p[fits]], lo_at[p[fits]], hi_at[p[fits]] = key[fits], lo[fits], hi[fits]
-            place = np.arange(len(self))
-            for d in range(1, window):
-                i = place[: len(self) - d]
-                inside = (lo_at[d:] <= i) & (i <= hi_at[d:])
-                np.minimum(best[: len(self) - d], np.where(inside, key_at[d:], _NONE), out=best[: len(self) - d])
+            a, b, key = _determined(self, levels)
+            lo, hi = b - window + 1, a - 1
+            # The windows a symbol may stand for start at lo to hi; symbols differ in lo, so a step writes no place twice.
+            for step in range(window):
+                some = lo + step <= hi
+                if step and not some.any():
+                    break
+                lo, hi, key = lo[some], hi[some], key[some]
+                place = lo + step
+                inside = place >= 0
+                place, mine = place[inside], key[inside]
+                best[place] = np.minimum(best[place], mine)
         found = best[at]
         alone = found == _NONE
         if alone.any():
-            found[alone] = self.digests(at[alone], window)[0]
+            found[alone] = self.digest(at[alone], window)
         return at, found
 
 
 def _determined(chunk: Chunk, levels) -> tuple[np.ndarray, ...]:
-    """Symbols ``[p, q)`` of the last level with the words ``[a - 1, b]`` that determine them, and their keys.
+    """The words ``[a - 1, b]`` that determine a symbol of the last level, and its key, for all symbols.
 
     One level below, a symbol's borders follow from the symbols on both sides, whose own far borders follow from one more word (or, at
     deeper levels, from one more symbol each); a symbol whose surroundings reach over the document's ends is left out.
@@ -175,25 +199,64 @@ def _determined(chunk: Chunk, levels) -> tuple[np.ndarray, ...]:
         a, b = start[left], np.append(start[1:], len(chunk))[right]
     good &= (a > first) & (b < last)
     a, b, key = a[good], b[good], key[good]
-    words = chunk.hash[:, 0]
+    words = chunk.hash
     key = mix(mix(words[a - 1] + key) + words[b] * _M2)
-    return p[good], q[good], a, b, key
+    return a, b, key
+
+
+class Spans:
+    """The spans found to be repeats so far, of all documents of a chunk: which words they cover, and which windows lie inside one."""
+
+    def __init__(self, chunk: Chunk, lists, window: int):
+        coded, doc = _flat(lists)
+        at, size = chunk.starts[doc] + (coded >> 32), coded & 0xFFFFFFFF
+        n = len(chunk)
+        self.covered = _marked(n, at, at + size)
+        self.inside = _marked(n, at, at + size - window + 1)
+
+
+def _marked(n: int, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    change = np.bincount(first, minlength=n + 1) - np.bincount(stop, minlength=n + 1)
+    return np.cumsum(change[:n]) > 0
+
+
+def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
+    """All values of an Arrow column of lists, nulls as empty, and the row of each."""
+    sizes = np.asarray(lists.value_lengths().fill_null(0))
+    return np.asarray(lists.flatten()), np.repeat(np.arange(len(lists)), sizes)
 
 
-def word_hashes() -> WordTable:
+def _row(ids: list, texts: list[bytes]) -> np.ndarray:
+    """A number for each row, from its id and text; rows equal in both share it."""
     import xxhash
 
-    return WordTable(lambda words: [xxhash.xxh3_128_digest(w) for w in words])
+    return np.array([xxhash.xxh3_64_intdigest(t, (i or 0) & 0xFFFFFFFFFFFFFFFF) for i, t in zip(ids, texts)], _U).view(np.int64)
 
 
-def _covered(chunk: Chunk, spans: list) -> np.ndarray:
-    """Which words the spans of each document (lists of starts and sizes, or None) cover."""
-    change = np.zeros(len(chunk) + 1, np.int64)
-    for doc, mine in enumerate(spans):
-        for at, size in mine or ():
-            change[chunk.starts[doc] + at] += 1
-            change[chunk.starts[doc] + at + size] -= 1
-    return np.cumsum(change[:-1]) > 0
+#: Stands for no document.
+_NOBODY = np.iinfo(np.int64).min
+
+
+def _by_key(key: np.ndarray, doc_id: np.ndarray, is_open: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different (key, document) pairs in order, with the document's id again where one of its windows is open."""
+    order = np.lexsort((~is_open, doc_id, key))
+    key, doc_id, is_open = key[order], doc_id[order], is_open[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc_id[1:] != doc_id[:-1])
+    key, doc_id, is_open = key[new], doc_id[new], is_open[new]
+    return key, doc_id, np.where(is_open, doc_id, _NOBODY)
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a new key begins in ordered keys, and the number of each row's group."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _tag(part) -> np.ndarray:
+    """Twenty-three bits of each row's number, carried beside its windows."""
+    return np.asarray(part.column("row")) & (1 << 23) - 1
 
 
 def _rows(pa, **columns):
@@ -218,136 +281,156 @@ def _remove(docs, id_col, text_col, window, high_rounds, digest):
 
     def fold(batches):
         import pyarrow as pa
-        import xxhash
+        import zstandard
 
+        pack = zstandard.ZstdCompressor(level=6)
         for keys, texts in chunks(batches):
-            yield _rows(
-                pa,
-                doc_id=pa.array(keys, pa.int64()),
-                row=np.array([xxhash.xxh3_64_intdigest(t) for t in texts], _U).view(np.int64),
-                packed=pa.array([zlib.compress(t, 1) for t in texts], pa.binary()),
-            )
+            row = _row(keys, texts)
+            place = [r if k is None else k for k, r in zip(keys, row.tolist())]
+            yield _rows(pa, place=pa.array(place, pa.int64()), doc_id=pa.array(keys, pa.int64()), row=row, packed=pa.array([pack.compress(t) for t in texts], pa.binary()))
 
     def long_rows(batches):
         import pyarrow as pa
-        import xxhash
 
-        known = word_hashes()
-        for keys, texts in chunks(batches):
-            chunk = Chunk([t.split() if k is not None else [] for k, t in zip(keys, texts)], known)
-            at, size = chunk.long_symbols(high_rounds, window)
-            one, two = chunk.digests(at, size)
+        for keys, texts in chunks(batches, CHUNK):
+            chunk = Chunk([t if k is not None else b"" for k, t in zip(keys, texts)])
+            at, size, name = chunk.long_symbols(high_rounds, window)
             doc = chunk.doc[at]
-            row = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], _U).view(np.int64)
             ids = np.array([0 if k is None else k for k in keys], np.int64)
-            yield _rows(pa, h1=signed(one), h2=signed(two), doc_id=ids[doc], row=row[doc], at=at - chunk.starts[doc], size=size)
+            span = (at - chunk.starts[doc]) << 32 | size
+            yield _rows(pa, name=signed(name), digest=signed(chunk.digest(at, size)), doc_id=ids[doc], row=_row(keys, texts)[doc], span=span)
 
-    span = "struct<at:long,size:long>"
-    symbols = rows.mapInArrow(long_rows, "h1 long, h2 long, doc_id long, row long, at long, size long")
-    seen = symbols.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    covers = symbols.join(seen.drop("most"), ["h1", "h2"]).filter("doc_id > least")
-    covers = stored(covers.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "size")).alias("spans")), "long-repeats")
+    symbols = rows.mapInArrow(long_rows, "name long, digest long, doc_id long, row long, span long")
+    seen = symbols.groupBy("name", "digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    covers = symbols.join(seen.drop("most"), ["name", "digest"]).filter("doc_id > least")
+    covers = stored(covers.groupBy(F.col("doc_id").alias("place"), F.col("row").alias("of")).agg(F.collect_set("span").alias("spans")), "long-repeats")
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = rows.mapInArrow(fold, "doc_id long, row long, packed binary").repartition(n, "doc_id", "row")
-    both = texts.join(covers, ["doc_id", "row"], "left").select("doc_id", "row", "packed", F.col("spans").cast(f"array<{span}>"))
+    # Rows go to the place of their id; rows without one are spread, as nothing is ever joined to them.
+    texts = rows.mapInArrow(fold, "place long, doc_id long, row long, packed binary").repartition(n, "place")
+    both = _beside(texts, covers).select("place", "doc_id", "row", "packed", "spans")
 
-    def read(batches, *more):
-        """Chunks of ``(ids, rows, spans, further columns..., chunk)`` from Arrow batches of joined texts."""
-        known = word_hashes()
+    def read(batches):
+        """Parts of Arrow batches with their texts, of bounded size."""
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            n_rows, at = batch.num_rows, 0
-            packed = batch.column(2)
-            while at < n_rows:
-                held, size = [], 0
-                while at + len(held) < n_rows and size < 4_000_000:
-                    held.append(zlib.decompress(packed[at + len(held)].as_py()))
-                    size += len(held[-1])
-                part = batch.slice(at, len(held))
-                at += len(held)
-                ids = part.column(0).to_pylist()
-                spans = [None if s is None else [(x["at"], x["size"]) for x in s] for s in part.column(3).to_pylist()]
-                words = [t.split() for t in held]
-                yield ids, part.column(1).to_numpy(zero_copy_only=False), spans, [part.column(c).to_pylist() for c in more], words, known
-
-    def opened(chunk, spans):
-        """Starts of windows, their keys, and whether a word of theirs is not covered yet."""
+            at, held, size = 0, [], 0
+            for i, packed in enumerate(batch.column("packed").to_pylist()):
+                held.append(unpack.decompress(packed))
+                size += len(held[-1])
+                if size >= CHUNK or i + 1 == batch.num_rows:
+                    yield batch.slice(at, len(held)), held
+                    at, held, size = i + 1, [], 0
+
+    def opened(part, texts):
+        """The chunk, the starts of its windows that may be first or last of their kind, their keys, and which have an uncovered word.
+
+        A window inside one of the spans also starts in a smaller document, where it is not inside such a span or again in a smaller one:
+        so it is never the first of its kind, and all of its words are covered.
+        """
+        chunk = Chunk([t if i is not None else b"" for i, t in zip(part.column("doc_id").to_pylist(), texts)])
+        found = Spans(chunk, part.column("spans"), window)
         at, key = chunk.keys(window)
-        bare = np.concatenate([[0], np.cumsum(~_covered(chunk, spans))])
-        return at, key, bare[at + window] > bare[at]
+        free = ~found.inside[at]
+        at, key = at[free], key[free]
+        bare = np.concatenate([[0], np.cumsum(~found.covered)])
+        return chunk, at, key, bare[at + window] > bare[at]
 
     def candidates(batches):
         import pyarrow as pa
 
-        for ids, row, spans, _, words, known in read(batches):
-            chunk = Chunk([w if i is not None else [] for i, w in zip(ids, words)], known)
-            at, key, is_open = opened(chunk, spans)
+        for part, texts in read(batches):
+            chunk, at, key, is_open = opened(part, texts)
             if not len(at):
                 continue
-            doc = chunk.doc[at]
-            new = np.ones(len(at), bool)
-            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            first = np.flatnonzero(new)
-            is_open = np.maximum.reduceat(is_open, first)
-            ids_ = np.array([0 if i is None else i for i in ids], np.int64)[doc[first]]
-            yield _rows(
-                pa, key=signed(key[first]), doc_id=ids_, row=row[doc[first]], open_id=pa.array(ids_, mask=~is_open, type=pa.int64())
-            )
-
-    keys = both.mapInArrow(candidates, "key long, doc_id long, row long, open_id long")
-    wanted = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("open_id").alias("most")).filter("least < most")
-    hits = keys.join(wanted.select("key"), "key").groupBy("doc_id", "row").agg(F.collect_set("key").alias("keys"))
+            doc_id = np.asarray(part.column("doc_id").fill_null(0))[chunk.doc[at]]
+            key, doc_id, opened_by = _by_key(key, doc_id, is_open)
+            first, group = _groups(key)
+            least = doc_id[first]
+            most = np.maximum.reduceat(opened_by, first)
+            # Of a key that several documents of the chunk hold one row goes to its owner, and each of them asks for its windows anyway.
+            many = np.maximum.reduceat(doc_id, first) > least
+            shared = many[group]
+            yield _rows(pa, slot=signed(key[first]), doc_id=least, open_id=pa.array(most, mask=most == _NOBODY), local=pa.nulls(len(first), pa.int64()))
+            key, doc_id = key[shared], doc_id[shared]
+            spread = signed(mix(key + mix(doc_id.astype(_U))))
+            yield _rows(pa, slot=spread, doc_id=doc_id, open_id=pa.nulls(len(key), pa.int64()), local=signed(key))
+
+    keys = both.mapInArrow(candidates, "slot long, doc_id long, open_id long, local long")
+    owner = W.partitionBy("slot")
+    keys = keys.withColumns({"least": F.min("doc_id").over(owner), "most": F.max("open_id").over(owner)})
+    keys = keys.filter("local IS NOT NULL OR least < most").select(F.col("doc_id").alias("place"), F.coalesce("local", "slot").alias("key"))
+    hits = keys.groupBy("place").agg(F.collect_set("key").alias("keys"))
 
     def verify(batches):
         import pyarrow as pa
 
-        for ids, row, spans, (keys_,), words, known in read(batches, 4):
-            chunk = Chunk(words, known)
-            at, key, is_open = opened(chunk, spans)
+        for part, texts in read(batches):
+            chunk, at, key, is_open = opened(part, texts)
             doc = chunk.doc[at]
-            border = np.searchsorted(doc, np.arange(len(ids) + 1))
-            chosen = np.zeros(len(at), bool)
-            for i, mine in enumerate(keys_):
-                part = slice(border[i], border[i + 1])
-                chosen[part] = np.isin(key[part], np.array(mine, np.int64).view(_U))
+            wanted_key, wanted_doc = _flat(part.column("keys"))
+            # Both sides as one number: a false meeting of two of them only sends one more window.
+            mine = mix(key + mix(doc.astype(_U)))
+            chosen = np.isin(mine, mix(wanted_key.view(_U) + mix(wanted_doc.astype(_U))))
             at, doc, is_open = at[chosen], doc[chosen], is_open[chosen]
-            one, two = chunk.digests(at, window)
-            ids_ = np.array(ids, np.int64)[doc]
-            yield _rows(
-                pa, h1=signed(one), h2=signed(two), doc_id=ids_, row=row[doc], at=at - chunk.starts[doc],
-                open_id=pa.array(ids_, mask=~is_open, type=pa.int64()),
-            )
-
-    found = both.join(hits, ["doc_id", "row"]).mapInArrow(verify, "h1 long, h2 long, doc_id long, row long, at long, open_id long")
-    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("open_id").alias("most")).filter("least < most")
-    repeats = found.filter("open_id IS NOT NULL").join(first.drop("most"), ["h1", "h2"]).filter("doc_id > least")
-    repeats = repeats.groupBy("doc_id", "row").agg(F.collect_set("at").alias("windows"))
+            one, two = (signed(chunk.digest(at, window, stream)) for stream in (0, 1))
+            doc_id = np.asarray(part.column("doc_id").fill_null(0))[doc]
+            at = _tag(part)[doc] << 40 | at - chunk.starts[doc]
+            order = np.lexsort((doc_id, two, one))
+            one, two, doc_id, at, is_open = (x[order] for x in (one, two, doc_id, at, is_open))
+            new = np.ones(len(one), bool)
+            new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+            least = doc_id[np.flatnonzero(new)][np.cumsum(new) - 1] if len(one) else doc_id
+            # Found in a smaller document of the same chunk: settled here. The smallest one's windows go to the digest's owner.
+            settled = is_open & (doc_id > least)
+            asks = doc_id == least
+            yield _rows(pa, h1=one[asks], h2=two[asks].astype(np.int32), doc_id=doc_id[asks], at=pa.array(at[asks], mask=~is_open[asks]), local=pa.array(np.zeros(int(asks.sum()), bool)))
+            spread = signed(mix(at[settled].astype(_U) + mix(doc_id[settled].astype(_U))))
+            yield _rows(pa, h1=spread, h2=two[settled].astype(np.int32), doc_id=doc_id[settled], at=at[settled], local=pa.array(np.ones(len(spread), bool)))
+
+    found = both.join(hits, "place").mapInArrow(verify, "h1 long, h2 int, doc_id long, at long, local boolean")
+    owner = W.partitionBy("h1", "h2")
+    repeats = found.withColumn("least", F.min("doc_id").over(owner)).filter("at IS NOT NULL AND (local OR doc_id > least)")
+    repeats = repeats.groupBy(F.col("doc_id").alias("place")).agg(F.collect_set("at").alias("windows"))
 
     def remove(batches):
         import pyarrow as pa
 
-        for ids, _, spans, (windows,), words, _ in read(batches, 4):
-            n_words, n_removed, kept = [], [], []
-            for mine, wide, narrow in zip(words, spans, windows):
-                gone = np.zeros(len(mine) + 1, np.int64)
-                for at, size in [*(wide or ()), *((at, window) for at in narrow or ())]:
-                    gone[at] += 1
-                    gone[at + size] -= 1
-                stays = np.cumsum(gone[:-1]) == 0
-                left = mine if stays.all() else [w for w, s in zip(mine, stays.tolist()) if s]
-                n_words.append(len(mine))
-                n_removed.append(len(mine) - len(left))
-                text = b" ".join(left)
+        for part, texts in read(batches):
+            words = [t.split() for t in texts]
+            starts = np.cumsum([0, *map(len, words)])
+            wide, wide_doc = _flat(part.column("spans"))
+            narrow, narrow_doc = _flat(part.column("windows"))
+            mine = narrow >> 40 == _tag(part)[narrow_doc]
+            narrow, narrow_doc = narrow[mine] & (1 << 40) - 1, narrow_doc[mine]
+            first = np.concatenate([starts[wide_doc] + (wide >> 32), starts[narrow_doc] + narrow])
+            size = np.concatenate([wide & 0xFFFFFFFF, np.full(len(narrow), window)])
+            gone = _marked(int(starts[-1]), first, first + size)
+            lost = np.add.reduceat(np.append(gone, False), starts[:-1]) if len(gone) else np.zeros(len(words), int)
+            lost = np.where(starts[1:] > starts[:-1], lost, 0)
+            kept = []
+            for mine, at, less in zip(words, starts.tolist(), lost.tolist()):
+                if less:
+                    mine = [w for w, g in zip(mine, gone[at : at + len(mine)].tolist()) if not g]
+                text = b" ".join(mine)
                 kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
-            yield _rows(
-                pa, doc_id=pa.array(ids, pa.int64()), n_words=pa.array(n_words, pa.int64()), n_removed=pa.array(n_removed, pa.int64()),
-                kept=pa.array(kept, pa.string()),
-            )
+            yield _rows(pa, doc_id=part.column("doc_id"), n_words=np.diff(starts), n_removed=lost.astype(np.int64), kept=pa.array(kept, pa.string()))
 
-    last = both.join(repeats, ["doc_id", "row"], "left").select("doc_id", "row", "packed", "spans", "windows")
+    last = both.join(repeats, "place", "left")
     return last.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
 
 
+def _beside(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """``rows`` with the lists of their place; rows of one id but different texts are told apart by the row number.
+
+    Only the place is an equi key, so the one exchange of the texts serves all joins.
+    """
+    same_row = (rows["row"] <= lists["of"]) & (rows["row"] >= lists["of"])
+    return rows.join(lists, (rows["place"] == lists["place"]) & same_row, "left").drop(lists["place"])
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _remove(table(spark, sf_dir, "documents"), "doc_id", "text", WINDOW, HIGH_ROUNDS, digest=True)
     return found.withColumnRenamed("kept", "kept_sha256")
