@@ -51,18 +51,25 @@ def unescape(value: Column) -> Column:
     for name, sign in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(sign))
 
-    def numeric(part: Column) -> Column:
+    def number(part: Column) -> Column:
+        return F.struct(part.alias("part"), F.regexp_extract(part, r"^(x[0-9A-Fa-f]{1,6}|[0-9]{1,7});", 1).alias("digits"))
+
+    def code(x: Column) -> Column:
+        digits = x["digits"]
+        value = F.when(digits.startswith("x"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits)
+        return F.struct(x["part"].alias("part"), digits.alias("digits"), value.try_cast("long").alias("code"))
+
+    def numeric(x: Column) -> Column:
         """A piece that followed ``&#``: its number becomes a character if one stands there."""
-        digits = F.regexp_extract(part, r"^(x[0-9A-Fa-f]{1,6}|[0-9]{1,7});", 1)
-        code = F.when(digits.startswith("x"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits).cast("long")
-        sign = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        rest = F.substr(part, F.length(digits) + 2)
-        return F.when((digits == "") | (code > 0x10FFFF), F.concat(F.lit("&#"), part)).otherwise(F.concat(sign, rest))
+        sign = F.decode(F.unhex(F.lpad(F.hex(x["code"]), 8, "0")), "UTF-32")
+        rest = F.substr(x["part"], F.length(x["digits"]) + 2)
+        return F.when(x["code"] <= 0x10FFFF, F.concat(sign, rest)).otherwise(F.concat(F.lit("&#"), x["part"]))
 
     parts = F.split(out, "&#")
-    joined = F.concat(F.get(parts, F.lit(0)), F.concat_ws("", F.transform(F.slice(parts, F.lit(2), F.size(parts)), numeric)))
-    out = F.when(F.contains(out, F.lit("&#")), joined).otherwise(out)
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    pieces = F.transform(F.transform(F.transform(F.slice(parts, F.lit(2), F.size(parts)), number), code), numeric)
+    joined = F.concat(F.get(parts, F.lit(0)), F.concat_ws("", pieces))
+    out = F.when(F.contains(value, F.lit("&#")), joined).otherwise(out)
+    return F.when(F.contains(value, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(value)
 
 
 def attribute(name: str):
@@ -78,8 +85,12 @@ def xml_elements(screens: DataFrame, markup: str, key: str) -> DataFrame:
     nodes = nodes.withColumns(
         {"_k": F.regexp_extract_all("tag", F.lit(found), 1), "_v": F.regexp_extract_all("tag", F.lit(found), 2)}
     )
+    # Values are cut out first, so that decoding them does not look them up again.
     quoted = lambda a: F.get("_v", (F.array_position("_k", a) - 1).cast("int"))
-    value = lambda a: F.substr(quoted(a), F.lit(2), F.length(quoted(a)) - 2)
+    names = {a: f"_{c}" for c, a in [*TEXT_ATTRIBUTES.items(), *FLAG_ATTRIBUTES.items()]}
+    nodes = nodes.withColumns({c: quoted(a) for a, c in names.items()})
+    nodes = nodes.withColumns({c: F.substr(c, F.lit(2), F.length(c) - 2) for c in names.values()})
+    value = lambda a: F.col(names[a])
     out = nodes.select(
         key,
         (F.col("idx") - 1).alias("idx"),
