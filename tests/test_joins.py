@@ -47,3 +47,15 @@ def test_unknown_app_is_an_error(spark):
     tasks = spark.createDataFrame([("other", "a b")], "task string, task_app string")
     with pytest.raises(Exception, match="no app for task"):
         J.resolve_app(rows, none, tasks).collect()
+
+
+def test_intervals_of_any_length(spark):
+    rng = random.Random(8)
+    events = [(i, s, s + rng.choice([-5, 0, 1, 50, 3600, 86_400, 10**6, 10**9])) for i, s in enumerate(rng.randrange(-(10**9), 10**9) for _ in range(80))]
+    points = [(i, rng.choice([e[1], e[2], e[1] + (e[2] - e[1]) // 2, rng.randrange(10**9)])) for i, e in enumerate(events)]
+    e = spark.createDataFrame(events, "event_id long, start_s long, end_s long")
+    p = spark.createDataFrame(points, "point_id long, at_s long")
+    got = sorted((r.event_id, r.point_id) for r in J.interval_overlap(e, p, 3600).collect())
+    want = sorted((i, k) for i, a, b in events for k, t in points if a <= t <= b)
+    assert got == want and len(want) > 40
+    assert J.interval_overlap(e.limit(0), p).count() == 0

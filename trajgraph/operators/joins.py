@@ -37,15 +37,23 @@ def nearest_coords(points: DataFrame, places: DataFrame, delta: float = 0.001) -
 def interval_overlap(events: DataFrame, points: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
     """Events whose [start, end] holds the point; times are epoch seconds.
 
-    ``events(event_id, start_s, end_s)``, ``points(point_id, at_s)``.  An event is listed once per
-    time bucket it touches, a point lies in one, so each pair meets once.
+    ``events(event_id, start_s, end_s)``, ``points(point_id, at_s)``.  Buckets double in width from
+    level to level, and an event uses the first level whose buckets are as wide as it is long: it
+    is listed twice at most, however long it lasts.  A point lies in one bucket of each level that
+    occurs, and there are at most 64 of those, so each pair meets once.
     """
-    b = lambda c: F.floor(F.col(c) / bucket_seconds)
-    spread = events.withColumn("_b", F.explode(F.sequence(b("start_s"), b("end_s"))))
+    events = events.filter(F.col("end_s") >= F.col("start_s"))
+    length = (F.col("end_s") - F.col("start_s") + 1) / bucket_seconds
+    level = F.greatest(F.lit(0), F.ceil(F.log2(length))).cast("int")
+    leveled = events.withColumn("_l", level)
+    levels = [r["_l"] for r in leveled.select("_l").filter(F.col("_l").isNotNull()).distinct().collect()]
+    bucket = lambda c: F.floor(F.col(c) / (F.pow(F.lit(2), F.col("_l")) * bucket_seconds))
+    spread = leveled.withColumn("_b", F.explode(F.array_distinct(F.array(bucket("start_s"), bucket("end_s")))))
+    at = points.withColumn("_l", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("_b", bucket("at_s"))
     return (
-        spread.join(points.withColumn("_b", b("at_s")), "_b")
+        spread.join(at, ["_l", "_b"])
         .filter((F.col("start_s") <= F.col("at_s")) & (F.col("end_s") >= F.col("at_s")))
-        .drop("_b")
+        .drop("_l", "_b")
     )
 
 
