@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..plans import adapters as A
 from ..plans.adapters import with_ctes
+from ..plans.checkpoints import scratch
 from ..plans.ordered import lead, ordered_columns
+from ..sources.samples import write_graph
 from .registry import query
 
 # ------------------------------------------------------ node tables from events
@@ -736,6 +738,28 @@ def _(spark, sf):
     return t["elements"].join(wanted, "element_id", "left_semi")
 
 
+@query(
+    "S07_graph_write",
+    with_ctes(
+        "edges",
+        """SELECT 'page' AS kind, page_id AS id, function_summary AS value, string_split(page_id, '_')[1] AS app FROM pages_
+           UNION ALL SELECT 'has_element', page_id, element_id, string_split(page_id, '_')[1] FROM has_element""",
+        extra=NODES,
+    ),
+)
+def _(spark, sf):
+    t = tables(spark, sf)
+    app = F.get(F.split("page_id", "_"), F.lit(0))
+    folder = scratch(spark, "graph-export")
+    parts = {"pages": t["pages"].select("page_id", "function_summary"), "has_element": t["has_element"]}
+    write_graph({name: rows.withColumn("app", app) for name, rows in parts.items()}, folder)
+    read = lambda name, value: spark.read.parquet(f"{folder}/{name}").select(
+        F.lit(name).alias("kind"), F.col("page_id").alias("id"), F.col(value).alias("value"), "app"
+    )
+    pages = read("pages", "function_summary").withColumn("kind", F.lit("page"))
+    return pages.unionByName(read("has_element", "element_id"))
+
+
 @query(
     "J01_graph_neighbourhood",
     with_ctes(
