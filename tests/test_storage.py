@@ -99,12 +99,18 @@ def test_walk_carries_state_between_batches(spark, tmp_path, as_rows):
 
 
 def test_fold_is_idempotent(spark, tmp_path, as_rows):
-    body = X.fold_edges(str(tmp_path / "graph"), ["src", "elem"])
-    batch = spark.createDataFrame([("a", "e"), ("a", "e"), ("b", "f")], "src string, elem string")
+    root = str(tmp_path / "graph")
+    body = X.fold_tables(root, X.graph_shapes())
+    shape = "task string, step long, src string, elem string, tgt string, goal string"
+    batch = spark.createDataFrame([("t", 0, "a", "e", "b", "g"), ("t", 0, "a", "e", "b", "g"), ("t", 1, "b", "f", "c", "g")], shape)
     for i in (0, 0, 1):
         body(batch, i)
-    body(spark.createDataFrame([("c", "g"), ("a", "e")], batch.schema), 2)
-    assert as_rows(spark.read.parquet(str(tmp_path / "graph" / "edges"))) == [("a", "e"), ("b", "f"), ("c", "g")]
+    body(spark.createDataFrame([("u", 0, "c", "h", "a", "k"), ("t", 0, "a", "e", "b", "g")], shape), 2)
+    table = lambda name: as_rows(spark.read.parquet(f"{root}/{name}").drop("bucket"))
+    assert table("edges") == [("a", "e", "b"), ("b", "f", "c"), ("c", "h", "a")]
+    assert table("pages") == [("a",), ("b",), ("c",)]
+    assert table("page_steps") == [("a", "t", 0), ("a", "u", 1), ("b", "t", 1), ("c", "t", 2), ("c", "u", 0)]
+    assert table("page_goals") == [("a", "g"), ("a", "k"), ("b", "g"), ("c", "g"), ("c", "k")]
 
 
 def test_stream_counters_equal_batch(spark, tmp_path, as_rows):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import adapters as A
@@ -62,16 +65,34 @@ def _(spark, sf):
 
 @query(
     "X04_graph_fold_stream",
-    with_ctes("ev", "SELECT DISTINCT event_type || '_' || k AS src, 'tap' || (k // 25) AS elem FROM ev"),
+    with_ctes(
+        "ev",
+        """SELECT DISTINCT 'edge' AS kind, src || ' ' || elem || ' ' || tgt AS value FROM moves
+           UNION SELECT 'page', page_id FROM both_ends UNION SELECT 'step', page_id || ' ' || task || ' ' || step FROM both_ends
+           UNION SELECT 'goal', page_id || ' ' || goal FROM both_ends""",
+        extra="""
+moves AS (
+  SELECT event_type || '_' || k AS src, 'tap' || (k // 25) AS elem, event_type || '_' || ((k * 7) % 100) AS tgt,
+         'u' || user_id AS task, event_id % 9 AS step, 'goal' || (k % 5) AS goal FROM ev),
+both_ends AS (SELECT src AS page_id, task, step, goal FROM moves UNION SELECT tgt, task, step + 1, goal FROM moves)""",
+    ),
 )
 def _(spark, sf):
-    edges = A.event_stream(spark, sf).select(
-        F.concat_ws("_", "event_type", F.col("k").cast("string")).alias("src"),
-        F.concat(F.lit("tap"), F.floor(F.col("k") / 25).cast("string")).alias("elem"),
+    k = F.col("k")
+    moves = A.event_stream(spark, sf).select(
+        F.concat_ws("_", "event_type", k.cast("string")).alias("src"), F.concat(F.lit("tap"), F.floor(k / 25).cast("string")).alias("elem"),
+        F.concat_ws("_", "event_type", (k * 7 % 100).cast("string")).alias("tgt"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("task"),
+        (F.col("event_id") % 9).alias("step"), F.concat(F.lit("goal"), (k % 5).cast("string")).alias("goal"),
     )
     folder = scratch(spark, "graph")
-    X.run_available(edges, "fold", body=X.fold_edges(folder, ["src", "elem"]))
-    return spark.read.parquet(f"{folder}/edges")
+    X.run_available(moves, "fold", body=X.fold_tables(folder, X.graph_shapes()))
+    kinds = {"edge": ("edges", ["src", "elem", "tgt"]), "page": ("pages", ["page_id"]),
+             "step": ("page_steps", ["page_id", "task", "step"]), "goal": ("page_goals", ["page_id", "goal"])}
+    parts = [
+        spark.read.parquet(f"{folder}/{name}").select(F.lit(kind).alias("kind"), F.concat_ws(" ", *[F.col(c).cast("string") for c in key]).alias("value"))
+        for kind, (name, key) in kinds.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(

@@ -67,23 +67,50 @@ def first_episodes(episodes: DataFrame, key: str = "instance_name", late: str =
     return done.withWatermark("finish_dtime", late).dropDuplicatesWithinWatermark([key])
 
 
-def fold_edges(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body that adds unseen edges to a table.
+# Buckets of a folded table; a batch reads only those that its keys fall in.
+FOLD_BUCKETS = 64
 
-    A batch that is replayed adds nothing, since its keys are stored by then.
+
+def fold_tables(path: str, shapes: dict[str, tuple[list[str], Callable[[DataFrame], DataFrame]]]) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body that adds unseen rows to several tables below ``path``.
+
+    ``shapes`` gives each table's key and how its rows follow from a batch.  Tables are
+    bucketed by a hash of the key.  A batch that is replayed adds nothing, since its keys
+    are stored by then.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(key)
-        target = f"{path}/edges"
-        if path_exists(spark, target):
-            new = new.join(spark.read.parquet(target).select(*key), key, "left_anti")
-        new.write.mode("append").parquet(target)
+        batch.persist()
+        for name, (key, rows) in shapes.items():
+            new = rows(batch).dropDuplicates(key).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(FOLD_BUCKETS)).cast("int"))
+            target = f"{path}/{name}"
+            if path_exists(spark, target):
+                touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+                stored = spark.read.parquet(target).filter(F.col("bucket").isin(touched))
+                new = new.join(stored.select(*key), key, "left_anti")
+            new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(target)
+        batch.unpersist()
 
     return upsert
 
 
+def graph_shapes() -> dict[str, tuple[list[str], Callable[[DataFrame], DataFrame]]]:
+    """Tables of the graph memory from ``(task, step, src, elem, tgt, goal)`` rows: edges, pages, steps and goals of both ends."""
+
+    def ends(batch, *more, after=()):
+        src = batch.select(F.col("src").alias("page_id"), *more)
+        return src.unionByName(batch.select(F.col("tgt").alias("page_id"), *(after or more)))
+
+    step, following = F.col("step"), (F.col("step") + 1).alias("step")
+    return {
+        "edges": (["src", "elem", "tgt"], lambda b: b.select("src", "elem", "tgt")),
+        "pages": (["page_id"], lambda b: ends(b)),
+        "page_steps": (["page_id", "task", "step"], lambda b: ends(b, "task", step, after=("task", following))),
+        "page_goals": (["page_id", "goal"], lambda b: ends(b, "goal")),
+    }
+
+
 WALK = "task string, branch string, step long, src string, tgt string, late boolean"
 WALK_STATE = "page string, seen_us long, step long"
 
