@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mining, paths
 from ..operators.gold import gold_paths
+from ..operators.graph import alternate_targets
 from ..plans import adapters as A
 from ..plans.adapters import with_ctes
 from ..plans.checkpoints import kept
@@ -596,6 +597,32 @@ def _(spark, sf):
     )
 
 
+@query(
+    "P16_chain_text_targets",
+    with_ctes(
+        "tokens",
+        """SELECT t.chain_id, string_agg('Step ' || (t.pos + 1) || ': On the page 【' || t.src || '】, perform the operation 【tap】 on 【' || t.elem
+                  || '】 to reach the page 【' || t.tgt || CASE WHEN t.pos = l.pos THEN coalesce(o.extra, '') ELSE '' END || '】.', chr(10)
+                  ORDER BY t.pos) AS text
+           FROM tokens t JOIN l USING (chain_id) LEFT JOIN o USING (chain_id) GROUP BY t.chain_id""",
+        extra="""
+l AS (SELECT chain_id, max(pos) AS pos, arg_max(src, pos) AS src, arg_max(elem, pos) AS elem, arg_max(tgt, pos) AS tgt FROM tokens GROUP BY chain_id),
+o AS (SELECT l.chain_id, string_agg(chr(10) || 'additional desc: ' || e.tgt, '' ORDER BY e.tgt) AS extra FROM l
+      JOIN (SELECT DISTINCT src, elem, tgt FROM tokens) e ON e.src = l.src AND e.elem = l.elem AND e.tgt <> l.tgt GROUP BY l.chain_id)""",
+    ),
+)
+def _(spark, sf):
+    t = A.tokens(spark, sf)
+    last = t.groupBy("chain_id").agg(F.max_by(F.struct("pos", "src", "elem", "tgt"), "pos").alias("s")).select("chain_id", "s.*")
+    others = alternate_targets(t, last).groupBy("chain_id", "pos").agg(F.array_sort(F.collect_set("other")).alias("extras"))
+    steps = t.join(others, ["chain_id", "pos"], "left")
+    target = paths.with_extra_targets(F.col("tgt"), F.col("extras"))
+    line = paths.operation_line(F.col("pos") + 1, F.col("src"), F.lit("tap"), F.col("elem"), target)
+    return steps.groupBy("chain_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))["line"], "\n").alias("text")
+    )
+
+
 @query(
     "P21_chain_reasoning_text",
     with_ctes(

@@ -429,6 +429,14 @@ def operation_line(step: Column, source: Column, action: Column, element: Column
     )
 
 
+def with_extra_targets(target: Column, extras: Column) -> Column:
+    """A last step's target followed by the other pages the same operation leads to."""
+    # How further targets are introduced.
+    shown = lambda page: F.coalesce(page, F.lit("Unknown page"))
+    more = F.transform(F.coalesce(extras, F.array().cast("array<string>")), lambda x: F.concat(F.lit("\nadditional desc: "), shown(x)))
+    return F.concat(shown(target), F.array_join(more, ""))
+
+
 def reasoning_text(step: Column, reasoning: Column) -> Column:
     """Numbered reasoning block of one step; missing fields read N/A."""
     # Labels and fields of stored reasoning.
