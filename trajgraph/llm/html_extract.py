@@ -4,7 +4,8 @@ A page becomes a tree in page order. Every block with text of its own passes poi
 in full to the parent, half to the next, less further up. A container's points, plus a bonus or malus for its tag and class, are
 discounted by its link density; the best container is kept, with those siblings that score or read like text. Menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments and everything invisible never count and never come out. Inside an ``article`` or
-``main`` element the whole element is the container, so that its heading stays with its paragraphs.
+``main`` element the whole element is the container, so that its heading stays with its paragraphs. If class names leave nothing or very
+little of a page, it is scored again with them as a malus only.
 
 Broken markup (open paragraphs, missing or stray end tags, cut pages) is read like browsers read it. Each page is one row of an Arrow batch
 and needs a few times its own size; nothing is shuffled.
@@ -42,9 +43,15 @@ _BAD = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|"
     r"newsletter|subscribe|subscription|signup|login|share|sharing|social|comments?|commentlist|disqus|respond|repl(?:y|ies)|sidebar|widgets?|"
     r"related|recommend\w*|breadcrumbs?|menu|navbar|nav|navigation|footer|masthead|topbar|toolbar|pagination|pager|disclaimer|copyright|"
-    r"hidden|search|form|header)(?:$|[\s_-])",
+    r"hidden|search|form)(?:$|[\s_-])",
     re.I,
 )
+_HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+#: Classes that tell what a page has or is filed under, not what the element is.
+_ASIDE = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|category|tag)[-_]\S*", re.I)
+#: A text shorter than this is weighed again with class rules as a malus; the second reading counts if it is so many times longer.
+LITTLE = 200
+LONGER = 4
 _GOOD = re.compile(r"article|body|content|entry|main|page|post|text|story", re.I)
 _BAD_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog form menu menubar toolbar".split())
 _BASE = {"div": 5, "article": 25, "main": 15, "section": 5, "body": 0, "td": 3, "pre": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "form": -3, "th": -5}
@@ -161,13 +168,14 @@ class Page:
         return any(self.tag[n] in kinds for n in range(node + 1, self.end[node]))
 
 
-def _left_out(page: Page) -> tuple[list[bool], list[float]]:
-    """Which elements never count, and the bonus of every element's class and tag."""
+def _left_out(page: Page, strict: bool) -> tuple[list[bool], list[float]]:
+    """Which elements never count, and the bonus of every element's class and tag; unless ``strict``, a class leaves nothing out."""
     out, bonus = [False], [0.0]
-    within = [False]
+    within, nested = [False], [False]
     for node in range(1, len(page.tag)):
         name, parent = page.tag[node], page.parent[node]
         within.append(within[parent] or name in ("article", "main"))
+        nested.append(nested[parent] or name == "article")  # inside an article or a section of bad class
         points = float(_BASE.get(name, -5 if name in HEADINGS else 0))
         bad = out[parent] or name in RAW or name in NEVER
         if not bad and name == "header":
@@ -176,15 +184,21 @@ def _left_out(page: Page) -> tuple[list[bool], list[float]]:
             bad = not page.holds(node, ("article", "main"))
         if not bad:
             held = page.attribute(node)
-            marks = f"{held.get('class', '')} {held.get('id', '')}"
+            marks = _ASIDE.sub("", f"{held.get('class', '')} {held.get('id', '')}")
             if marks != " " and name in BLOCK | {"span", "a"} and name not in ("html", "body", "article", "main"):
                 if _BAD.search(marks):
-                    bad = not page.holds(node, ("article", "main")) and name not in HEADINGS
+                    bad = strict and not page.holds(node, ("article", "main")) and name not in HEADINGS
+                    points -= 25
+                    nested[node] = True
+                elif _HEADER.search(marks):
+                    bad = strict and not page.holds(node, ("article", "main")) and name not in HEADINGS
+                    bad = bad and not (within[parent] and page.holds(node, HEADINGS))
                     points -= 25
                 elif _GOOD.search(marks):
                     points += 25
             elif name == "article" and _BAD.search(marks):
-                bad = True  # a reader's comment or a teaser
+                bad = strict and nested[parent]  # a reader's comment or a teaser
+                points -= 25
             bad = bad or "hidden" in held or held.get("aria-hidden") == "true" or bool(_HIDDEN.search(held.get("style", "")))
             bad = bad or held.get("role", "").lower() in _BAD_ROLES and not page.holds(node, ("article", "main"))
         out.append(bad)
@@ -195,8 +209,16 @@ def _left_out(page: Page) -> tuple[list[bool], list[float]]:
 def main_text(source: str) -> str:
     """The main text of one page: blocks in page order joined by one space, empty if there is none."""
     page = Page(source)
+    text = _scored(page, True)
+    if len(text) < LITTLE:
+        again = _scored(page, False)
+        text = again if len(again) >= max(1, LONGER * len(text)) else text
+    return text
+
+
+def _scored(page: Page, strict: bool) -> str:
     n = len(page.tag)
-    out, bonus = _left_out(page)
+    out, bonus = _left_out(page, strict)
     size, linked = [0] * n, [0] * n  # characters inside each element, and those of links
     block, link = [0] * n, [False] * n  # the nearest block; whether inside a link
     for node in range(1, n):
