@@ -11,6 +11,7 @@ from .langid import op7_language
 from .negatives import OP13_SQL, op13_negatives
 from .packing import op1_pack
 from .pieces import op9_pieces
+from .quality import op12_quality
 from .secrets import op3_secret_scan
 from .simhash import op4_simhash
 from .substring import OP6_SQL, op6_substring
@@ -26,6 +27,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_pieces": op9_pieces,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_quality": op12_quality,
     "op13_negatives": op13_negatives,
 }
 SQL: dict[str, str] = {
