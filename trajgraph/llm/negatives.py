@@ -1,14 +1,14 @@
 """Hard-negative mining with rotated one-bit codes.
 
 Index: vectors are dealt to shards by a hash of their id. Within a shard they are grouped around a few centres; the residual of a vector
-to its centre is turned by one fixed random rotation and kept as one sign bit for each dimension, together with its length and with its
-alignment, the cosine between the residual and its own code vector.
+to its centre is turned by one fixed random rotation and kept as one sign bit for each dimension, together with its alignment, the inner
+product of the residual with its own code vector. What the aligned code vector leaves over is coded in the same way, ``LAYERS`` times; the
+length of the last rest is kept.
 
-Search: the query is rotated too and cut into bit planes, so that its inner product with a code vector is a sum of popcounts. With
-alignment ``a`` the residual is ``a`` times the code vector plus a rest of length ``sqrt(1 - a * a)`` at a right angle to it. By
-Cauchy-Schwarz that rest meets at most the part of the query at a right angle to the code vector. This gives an interval that holds the score
-for certain; the share of the query lost in the bit planes widens it. Only rows whose interval can still matter are scored in whole
-numbers.
+Search: the query is rotated too and cut into bit planes, so that its inner product with a code vector is a sum of popcounts. The aligned
+code vectors of all layers estimate the score. The last rest stands at a right angle to the last code vector, so by Cauchy-Schwarz it adds at
+most its length times the part of the query at a right angle to that code vector. This gives an interval that holds the score for certain;
+the share of the query lost in the bit planes widens it. Only rows whose interval can still matter are scored in whole numbers.
 
 For an anchor the best rows of its label are its positives. For each positive, the best rows of other labels are kept whose score lies
 between a share of the positive's score and the positive's score.
@@ -34,8 +34,9 @@ by_value(__name__)
 #: Vectors of a shard and centres within it.
 SHARD_ROWS = 4096
 CENTRES = 16
-#: Bit planes of a query.
-PLANES = 8
+#: One-bit codes of a vector, and bit planes of a query.
+LAYERS = 4
+PLANES = 6
 SEED = 42
 POSITIVES = 5
 NEGATIVES = 5
@@ -78,7 +79,8 @@ def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def encode(ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> dict:
     """The codes of one shard: rows ordered by label, then by centre.
 
-    ``bits`` are the packed signs of the rotated residuals, ``length`` and ``align`` the residual's length and its cosine with the code vector.
+    For each layer ``bits`` are the packed signs and ``align`` is the factor of the code vector of plus and minus ones; ``coded`` and
+    ``rest`` are the lengths of what all layers stand for and of what they leave.
     """
     wide = vectors.astype(np.float64)
     centres = centres_of(wide)
@@ -86,22 +88,32 @@ def encode(ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> dict:
     order = np.lexsort((ids, near, labels))
     ids, labels, vectors, wide, near = ids[order], labels[order], vectors[order], wide[order], near[order]
     turned = (wide - centres[near]) @ rotation(vectors.shape[1])
-    signs = turned >= 0
-    length = np.sqrt((turned * turned).sum(axis=1))
-    along = np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
+    rest, bits, ones, align = turned, [], [], []
+    for _ in range(LAYERS):
+        signs = rest >= 0
+        along = np.abs(rest).mean(axis=1)
+        rest = rest - along[:, None] * np.where(signs, 1.0, -1.0)
+        bits.append(words_of(np.packbits(signs, axis=1)))
+        ones.append(signs.sum(axis=1))
+        align.append(along)
     return {
         "ids": ids,
         "labels": labels,
         "vectors": vectors,
         "near": near.astype(np.int32),
         "centres": centres,
-        "bits": words_of(np.packbits(signs, axis=1)),
-        "ones": signs.sum(axis=1),
-        "length": length,
-        "align": np.divide(along, length, out=np.ones_like(length), where=length > 0),
+        "bits": np.array(bits),
+        "ones": np.array(ones),
+        "align": np.array(align),
+        "coded": norms(turned - rest),
+        "rest": norms(rest),
     }
 
 
+def norms(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt((rows * rows).sum(axis=1))
+
+
 def words_of(packed: np.ndarray) -> np.ndarray:
     """Rows of bytes as rows of 64-bit words."""
     return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64)
@@ -126,27 +138,23 @@ class Query:
 
     def bounds(self, shard: dict, rows: slice) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest possible score of the rows, by popcounts and Cauchy-Schwarz."""
-        hits = np.zeros(rows.stop - rows.start, np.int64)
-        for p in range(PLANES):
-            hits += np.bitwise_count(shard["bits"][rows] & self.planes[p]).sum(axis=1, dtype=np.int64) << p
-        ones = shard["ones"][rows]
-        # Sum over the signs of the quantised query: twice what meets a set bit, less the total.
-        signed = self.low * (2 * ones - self.width) + self.step * (2 * hits - self.total)
-        along = signed / np.sqrt(self.width)
-        align, length = shard["align"][rows], shard["length"][rows]
-        inner = np.maximum(np.abs(along) - self.lost, 0.0)
-        rest = np.sqrt(np.maximum(self.square - inner * inner, 0.0))
-        reach = length * (np.sqrt(np.maximum(1 - align * align, 0.0)) * rest + align * self.lost)
-        middle = (shard["centres"] @ self.vector.astype(np.float64))[shard["near"][rows]] + align * length * along
-        slack = 1e-9 * (1.0 + np.abs(middle) + length * np.sqrt(self.square)) + 1e-9 * np.sqrt(self.square) * shard["reach"]
-        return middle - reach - slack, middle + reach + slack
+        middle = (shard["centres"] @ self.vector.astype(np.float64))[shard["near"][rows]]
+        for bits, ones, align in zip(shard["bits"], shard["ones"], shard["align"]):
+            hits = np.bitwise_count(bits[rows][:, None, :] & self.planes).sum(axis=2, dtype=np.int64) @ (1 << np.arange(PLANES))
+            # Sum over the signs of the quantised query: twice what meets a set bit, less the total.
+            signed = self.low * (2 * ones[rows] - self.width) + self.step * (2 * hits - self.total)
+            middle = middle + align[rows] * signed
+        inner = np.maximum(np.abs(signed) / np.sqrt(self.width) - self.lost, 0.0)
+        reach = shard["rest"][rows] * np.sqrt(np.maximum(self.square - inner * inner, 0.0)) + shard["coded"][rows] * self.lost
+        reach += 1e-9 * (1.0 + np.abs(middle) + np.sqrt(self.square) * shard["reach"])
+        return middle - reach, middle + reach
 
 
 def prepare(data: bytes) -> dict:
     """A shard as the search uses it, with the rows of each label and the length of its longest vector."""
     shard = load(data)
     wide = shard["vectors"].astype(np.float64)
-    shard["reach"] = float(np.sqrt((wide * wide).sum(axis=1).max()))
+    shard["reach"] = float(norms(wide).max())
     shard["largest"] = largest(shard["vectors"])
     labels, starts = np.unique(shard["labels"], return_index=True)
     stops = [*starts[1:].tolist(), len(wide)]
@@ -210,7 +218,7 @@ def find_negatives(shards: list[dict], label: int, query: Query, tops: list[int]
             fit[mine] = False
         if not fit.any():
             continue
-        value: dict[int, int] = {}
+        known, value = np.zeros(len(fit), bool), np.zeros(len(fit), np.int64)
         for n, top in enumerate(tops):
             least = -(-percent * top // 100)
             if top < 0:
@@ -218,13 +226,14 @@ def find_negatives(shards: list[dict], label: int, query: Query, tops: list[int]
             surely = fit & (low >= least) & (high <= top)
             bar = max(kth(low[surely], k), best[n][-1][1] if len(best[n]) == k else -np.inf, least)
             alive = np.flatnonzero(fit & (high >= bar) & (low <= top))
-            new = np.array([i for i in alive.tolist() if i not in value], np.int64)
+            new = alive[~known[alive]]
             if len(new):
-                value.update(zip(new.tolist(), scores(shard, new, query.vector).tolist()))
-            found = np.array([value[i] for i in alive.tolist()], np.int64)
+                value[new], known[new] = scores(shard, new, query.vector), True
+            found = value[alive]
             ok = (found >= least) & (found <= top)
-            ids = np.concatenate([np.array([i for i, _ in best[n]], np.int64), shard["ids"][alive[ok]]])
-            best[n] = best_rows(ids, np.concatenate([np.array([s for _, s in best[n]], np.int64), found[ok]]), k)
+            if ok.any():
+                ids = np.concatenate([np.array([i for i, _ in best[n]], np.int64), shard["ids"][alive[ok]]])
+                best[n] = best_rows(ids, np.concatenate([np.array([s for _, s in best[n]], np.int64), found[ok]]), k)
     return best
 
 
