@@ -8,6 +8,7 @@ from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .html_extract import op2_html_extract
 from .kdtree import OP5_SQL, op5_topk
 from .langid import op7_language
+from .lexical import OP11_SQL, op11_lexical
 from .negatives import OP13_SQL, op13_negatives
 from .packing import op1_pack
 from .pieces import op9_pieces
@@ -27,6 +28,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_pieces": op9_pieces,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_lexical": op11_lexical,
     "op12_quality": op12_quality,
     "op13_negatives": op13_negatives,
 }
@@ -35,5 +37,6 @@ SQL: dict[str, str] = {
     "op5_topk": OP5_SQL,
     "op8_chat_format": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_lexical": OP11_SQL,
     "op13_negatives": OP13_SQL,
 }
