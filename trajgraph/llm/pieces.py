@@ -111,9 +111,12 @@ class MergeModel:
                 offer(left[i])
         return [s for s in symbols if s]
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids as the library gives it: marks become spaces, the first space goes, wrong bytes become U+FFFD one by one."""
-        out, pending, first = [], bytearray(), True
+    def decode(self, ids: list[int], first: bool = True) -> str:
+        """Text of ids as the library gives it: marks become spaces, the first space goes, wrong bytes become U+FFFD one by one.
+
+        Without ``first`` the ids stand within a text, and their first space stays.
+        """
+        out, pending = [], bytearray()
 
         def flush():
             at = 0
@@ -202,7 +205,8 @@ def encode(
                         raise AssertionError(f"segment {word!r}: {ours}, and the library has {theirs}")
             if not digests:
                 return found
-            return [(len(x), ("," + ",".join(map(str, x))).encode(), w.replace(MARK, " ")) for x, w in zip(found, words)]
+            # A segment's bytes are whole characters, so the text of a document is that of its segments, less its first space.
+            return [(len(x), ("," + ",".join(map(str, x))).encode(), merges.decode(x, first=False)) for x in found]
 
         known = WordTable(values)
         for keys, texts in chunks(batches):
@@ -216,7 +220,8 @@ def encode(
             for found in looked:
                 counts.append(sum(x[0] for x in found))
                 shas.append(hashlib.sha256(b"".join([x[1] for x in found])[1:]).hexdigest())
-                decoded.append(hashlib.sha256("".join([x[2] for x in found])[1:].encode()).hexdigest())
+                text = "".join([x[2] for x in found])
+                decoded.append(hashlib.sha256(text[text[:1] == " " :].encode()).hexdigest())
             out = [pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
