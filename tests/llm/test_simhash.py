@@ -4,7 +4,7 @@ import re
 import xxhash
 from pyspark.sql import functions as F
 from trajgraph.llm.components import components
-from trajgraph.llm.simhash import fingerprint, keep_first, link, near_groups, op4_simhash
+from trajgraph.llm.simhash import _tables, ball, fingerprint, keep_first, link, near_groups, op4_simhash
 
 
 def brute_print(text):
@@ -62,15 +62,31 @@ def test_links_reach_what_all_pairs_reach(spark):
     prints |= {1 << b for b in range(64)}
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     frame = spark.createDataFrame([(signed(v),) for v in prints], "fp long")
-    for segments in (1, 2, 4, 8):
-        links = link(frame, segments).collect()
-        assert all(bin((r.src ^ r.dst) & (1 << 64) - 1).count("1") <= 2 for r in links)
-    found = {r.node: r.component for r in components(link(frame)).collect()}
     groups = {}
     for _, fp, smallest in brute_groups([(v, v) for v in prints]):
         groups.setdefault(smallest, set()).add(signed(int(fp, 16)))
-    for members in groups.values():
-        assert {found.get(m, m) for m in members} == {min(members)}
+    close = {(a, b) for a in map(signed, prints) for b in map(signed, prints) if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 2}
+    for segments, hot in ((1, 64), (2, 64), (4, 64), (8, 10**9), (2, 3), (4, 1)):
+        links = link(frame, segments, hot=hot)
+        pairs = {tuple(sorted(r)) for r in links.collect()}
+        assert pairs <= close and (hot < 10**9 or pairs == close)
+        found = {r.node: r.component for r in components(links).collect()}
+        for members in groups.values():
+            assert {found.get(m, m) for m in members} == {min(members)}
+
+
+def test_each_segment_has_a_table(spark):
+    """Rows of the tables and sizes of the balls follow the number of segments."""
+    frame = spark.createDataFrame([(5,), (-1,), (1 << 40,)], "fp long")
+    for segments in (1, 2, 4, 8):
+        width = 64 // segments
+        rows = {tuple(r) for r in _tables(frame, segments).collect()}
+        cut = lambda v, s: (v & (1 << 64) - 1) >> s * width & (1 << width) - 1  # noqa: E731, B023
+        low = (1 << width) - 1
+        assert {(s, v & low, f) for s, v, f in rows} == {(s, cut(v, s), v) for v in (5, -1, 1 << 40) for s in range(segments)}
+        assert len(rows) == 3 * segments
+    assert len(ball(64, 2)) == 1 + 64 + 2016 and len(ball(32, 1)) == 33 and ball(16, 0) == [0]
+    assert link(frame.limit(0)).count() == 0
 
 
 def test_components_of_a_long_path(spark):

@@ -1,18 +1,20 @@
 """SimHash near-duplicates by multi-index hashing.
 
 A document's fingerprint has a bit set where more than half of the XXH64 hashes of its word shingles have it. Two fingerprints are linked
-when they differ in at most two bits. The fingerprint is cut into segments; within each segment the Hamming ball of radius 1 is
-enumerated while the other segments stay, and every variant is a key of that segment's table. Two fingerprints within two bits meet
-under a common key (one differing bit flipped in the one gives a point next to the other); fingerprints that meet are at most two bits
-apart, which the complete distance of every fetched match verifies.
-
-Keeping the other segments in the key bounds a table entry: it holds the key itself and its one-bit neighbours, 65 fingerprints at most,
-however many near copies there are. So an entry is one bit mask, combined before the shuffle, and its members are linked in a star
-instead of in pairs. Equal fingerprints are one node, so a group of copies of any size is one row.
+when they differ in at most ``max_distance`` bits. The fingerprint is cut into segments, and each segment has a table of its own: an entry
+is a value of the segment with the fingerprints that hold it. Of ``max_distance`` differing bits at most ``max_distance // segments`` fall
+into some segment, so a fingerprint finds all others by enumerating the Hamming ball of that radius around its value in each segment,
+fetching those entries and verifying the complete distances.
+
+Skew: equal fingerprints are one row. An entry with more than ``HOT`` fingerprints (a large group of near copies shares a segment) is not
+fetched. The fingerprints that hold its value or ask for it are looked up among themselves by their whole value with one bit flipped
+instead: such a key has at most 65 members, so an entry is one bit mask, combined before the shuffle, and its members become a star.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +27,10 @@ by_value(__name__)
 
 BITS = 64
 #: Segments of the fingerprint; each has a table of its own.
-SEGMENTS = 4
+SEGMENTS = 2
 MAX_DISTANCE = 2
+#: An entry of a table with more fingerprints is split by the other segments.
+HOT = 64
 #: Shingles whose bits are counted at once: 64 bytes each.
 BLOCK = 65_536
 
@@ -66,11 +70,44 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def link(prints: DataFrame, segments: int = SEGMENTS) -> DataFrame:
-    """Links ``src, dst`` between the different fingerprints of ``prints(fp)``, a star for every table entry; repeats are harmless."""
+def _tables(prints: DataFrame, segments: int) -> DataFrame:
+    """``segment, value, fp``: a row of every segment's table for each fingerprint."""
     width = BITS // segments
-    variants = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("segment"))
-    variants = variants.select("fp", F.explode(F.sequence(F.col("segment") * width, F.col("segment") * width + width - 1)).alias("bit"))
+    rows = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("segment"))
+    value = F.call_function("shiftrightunsigned", F.col("fp"), F.col("segment") * width)
+    return rows.select("segment", (value.bitwiseAND((1 << width) - 1) if segments > 1 else F.col("fp")).alias("value"), "fp")
+
+
+def ball(width: int, radius: int) -> list[int]:
+    """The masks of all at most ``radius`` flipped bits among ``width``, as signed longs."""
+    found = [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(width), n)]
+    return [m - (1 << 64) if m >> 63 else m for m in found]
+
+
+def link(prints: DataFrame, segments: int = SEGMENTS, max_distance: int = MAX_DISTANCE, hot: int = HOT) -> DataFrame:
+    """Links ``src, dst`` that connect all different fingerprints of ``prints(fp)`` with at most ``max_distance`` (2 at most) differing bits."""
+    if BITS % segments or not 0 <= max_distance <= 2:
+        raise ValueError("segments divide 64 bits and distances are at most 2")
+    table_rows = _tables(prints, segments)
+    sizes = table_rows.groupBy("segment", "value").agg(F.count("*").alias("n"))
+    large = stored(sizes.filter(F.col("n") > hot).select("segment", "value"), "hot-entries")
+    asked = table_rows.withColumn("mask", F.explode(F.array(*map(F.lit, ball(BITS // segments, max_distance // segments)))))
+    asked = asked.select("segment", F.col("value").bitwiseXOR(F.col("mask").cast("long")).alias("value"), F.col("fp").alias("src"))
+    some = not large.isEmpty()
+    small = table_rows.join(large, ["segment", "value"], "left_anti") if some else table_rows
+    entries = small.groupBy("segment", "value").agg(F.collect_list("fp").alias("members"))
+    fetched = asked.join(entries, ["segment", "value"]).select("src", F.explode("members").alias("dst"))
+    distance = F.bit_count(F.col("src").bitwiseXOR(F.col("dst")))
+    links = fetched.filter((F.col("src") < F.col("dst")) & (distance <= max_distance)).distinct()
+    if some:
+        among = asked.join(large, ["segment", "value"], "left_semi").select(F.col("src").alias("fp")).distinct()
+        links = links.union(_whole(among).filter(distance <= max_distance))
+    return links
+
+
+def _whole(prints: DataFrame) -> DataFrame:
+    """Links within two bits among ``prints(fp)`` by whole values with one bit flipped, a star for every key."""
+    variants = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit"))
     one = F.expr("shiftleft(1L, bit)")
     near = variants.select(F.col("fp").bitwiseXOR(one).alias("key"), one.alias("mask"), F.lit(0).alias("self"))
     own = prints.select(F.col("fp").alias("key"), F.lit(0).cast("long").alias("mask"), F.lit(1).alias("self"))
@@ -82,8 +119,7 @@ def link(prints: DataFrame, segments: int = SEGMENTS) -> DataFrame:
         F.transform(flips, lambda b: F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))),
     )
     stars = entry.select(members.alias("m")).select(F.array_min("m").alias("src"), F.explode("m").alias("dst"))
-    distance = F.bit_count(F.col("src").bitwiseXOR(F.col("dst")))
-    return stars.filter((F.col("src") != F.col("dst")) & (distance <= MAX_DISTANCE)).distinct()
+    return stars.filter(F.col("src") != F.col("dst")).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **shingles) -> DataFrame:
