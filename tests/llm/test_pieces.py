@@ -62,3 +62,11 @@ def test_nulls_repeats_and_other_columns(spark):
     full = encode(frame, piece_model()).filter("doc_id = 4").first()
     assert full.ids == MODEL.library.encode("a  b") and full.decoded == "a  b"
     assert encode(frame.limit(0), piece_model()).count() == 0
+
+
+def test_query_decodes_its_ids(spark, sf, monkeypatch):
+    """With a decoder that answers otherwise, the query's digests change: they come from the ids."""
+    rows = {r.doc_id: r.decoded_sha256 for r in op9_pieces(spark, sf).collect()}
+    monkeypatch.setattr(MergeModel, "decode", lambda self, ids, first=True: f"<{len(ids)}>")
+    other = {r.doc_id: r.decoded_sha256 for r in op9_pieces(spark, sf).collect()}
+    assert rows.keys() == other.keys() and all(rows[i] != other[i] for i in rows)
