@@ -1,24 +1,26 @@
-"""Near-duplicates by exact similarity of word shingles, for stages without a contract of their own.
+"""The pipeline's near-duplicate stage: SimHash links and min-hash bands bring texts together, exact shingle similarity decides.
 
-A text is the set of its five-word shingles; two texts are linked when their sets have a Jaccard similarity of 0.8 or more. Every such
-pair is found (prefix filtering): with all shingles in one common order, the first ``n - ceil(0.8 n) + 1`` of a set of ``n`` share a
-shingle with those of any set that similar. Only these are shuffled. Frequent shingles come last in the order, so that a line common to
-many texts brings nobody together; how frequent they are is estimated from a sample, which decides the work but never the result.
+A text is the set of its five-word shingles; two texts are linked when their sets have a Jaccard similarity of 0.8 or more. Candidates come
+from two sides. Fingerprints of the same shingles within two bits are found by multi-index hashing (:mod:`simhash`). Such a small radius
+misses most pairs near 0.8, so each set also has ``BANDS`` keys of ``ROWS`` minimum hashes: two sets of similarity ``s`` share a key with
+probability ``1 - (1 - s**ROWS)**BANDS``, which is 0.9999 at 0.8 and more above. Every candidate pair is verified by its complete sets.
 
-Texts that meet are first compared with a few centres of each shingle, so a group of near copies of any size is linked with a number of
-comparisons in proportion to it. Then all texts that meet and are not yet connected are compared. Each comparison counts the complete sets.
+A group of texts that share a key is compared with one of its members first, then, as far as its members are not connected yet, with 4, 16
+and more of them, until each group is one component or every member has been compared with all others. So no connection that a
+candidate pair would give is lost, and the work of a group of near copies is in proportion to it.
+
+Equal sets are one node. Only keys and the sets of candidates are shuffled.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_value, fresh, only, stored
 from .components import components
+from .simhash import fingerprint, link
 from .words import chunks
 
 by_value(__name__)
@@ -27,11 +29,10 @@ WORDS = 5
 #: The least similarity as a fraction, so that it is compared in whole numbers.
 LEAST = (4, 5)
 SEED = 42
-#: Cells and texts of the estimate of frequencies.
-CELLS = 1 << 20
-SAMPLE = 20_000
-#: Different centres a group of near copies is compared with.
-CENTRES = 4
+BANDS = 24
+ROWS = 5
+#: Bits of the filter that tells which texts to read again; beyond this size it only lets more texts through.
+FILTER_BITS = 1 << 27
 
 
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -57,65 +58,62 @@ def node_of(found: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def prefix(found: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-    """The shingles of a set of which every similar set has one among its own."""
-    top, bottom = LEAST
-    n = len(found)
-    keep = n - -(-top * n // bottom) + 1 if n else 0
-    return found[np.lexsort((found, frequency[found & (CELLS - 1)]))[:keep]]
-
-
-def _frequency(rows: DataFrame) -> np.ndarray:
-    """How often the shingles of each cell occur in a sample of ``rows(doc_id, text)``."""
-    every = max(1, rows.count() // SAMPLE)
-
-    def run(batches):
-        import pyarrow as pa
+def band_keys(found: np.ndarray, factors: np.ndarray, block: int = 4096) -> np.ndarray:
+    """One key for each band: a mix of the minima of ``ROWS`` hash functions, those of the odd ``factors``."""
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    hashes = found.view(np.uint64)
+    for at in range(0, len(hashes), block):
+        part = hashes[at : at + block, None]
+        mixed = (part ^ (part >> np.uint64(31))) * factors
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
+    rows = least.reshape(BANDS, ROWS)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for r in range(ROWS):
+        key = (key ^ rows[:, r]) * np.uint64(0x9E3779B97F4A7C15)
+        key = key ^ (key >> np.uint64(29))
+    return key.view(np.int64)
 
-        total = np.zeros(CELLS, np.int64)
-        for _, texts in chunks(batches):
-            for text in texts:
-                total += 0 if not text else np.bincount(shingle_set(text) & (CELLS - 1), minlength=CELLS)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
 
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    found = sample.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CELLS, np.int64)
-    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return out
+def _factors() -> np.ndarray:
+    return np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
-def _nodes(rows: DataFrame) -> DataFrame:
-    """``doc_id, node`` per row."""
+def _signatures(rows: DataFrame) -> DataFrame:
+    """``doc_id, node, size, fp, keys`` per row: name and size of the set, its fingerprint and its band keys (none for an empty set)."""
 
     def run(batches):
         import pyarrow as pa
 
-        for keys, texts in chunks(batches):
-            names = [node_of(shingle_set(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int64())], names=["doc_id", "node"])
+        factors = _factors()
+        for ids, texts in chunks(batches):
+            sets = [shingle_set(t) for t in texts]
+            prints = np.array([fingerprint(t, WORDS, SEED) for t in texts], np.uint64).view(np.int64)
+            keys = [band_keys(s, factors) if len(s) else np.zeros(0, np.int64) for s in sets]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
+            columns = [pa.array(ids, pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(prints), lists], names=["doc_id", "node", "size", "fp", "keys"])
 
-    return rows.mapInArrow(run, "doc_id long, node long")
+    return rows.mapInArrow(run, "doc_id long, node long, size int, fp long, keys array<long>")
 
 
 def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``node, shingles`` of the rows whose id is one of ``ids(doc_id)``, and of a few others.
+    """``node, shingles`` of the rows whose id is one of ``ids(doc_id)``, and of some others that share a bit of the filter.
 
-    The ids become a bit map of a byte for each, so the texts are read where they lie and only sets are shuffled.
+    The filter is at most ``FILTER_BITS`` bits, so texts are read where they lie and only sets are shuffled.
     """
-    bits = 8 * max(1, ids.count())
+    bits = min(FILTER_BITS, 64 * -(-(16 * max(1, ids.count())) // 64))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    marked = ids.select(slot.alias("slot")).groupBy(F.expr("slot div 8").alias("at")).agg(F.expr("bit_or(shiftleft(1, int(slot % 8)))").alias("bits")).toArrow()
-    table = np.zeros(bits // 8, np.uint8)
-    table[marked.column("at").to_numpy()] = marked.column("bits").to_numpy()
-    held = rows.sparkSession.sparkContext.broadcast(table)
+    one = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    marked = ids.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[marked.column("at").to_numpy()] = marked.column("bits").to_numpy()
+    held = rows.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
         import pyarrow as pa
 
         for slots, texts in chunks(batches):
-            texts = [t for s, t in zip(slots, texts) if held.value[s >> 3] >> (s & 7) & 1]
+            texts = [t for s, t in zip(slots, texts) if int(held.value[s >> 6]) >> (s & 63) & 1]
             for at in range(0, len(texts), 256):
                 sets = [shingle_set(t) for t in texts[at : at + 256]]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
@@ -124,76 +122,84 @@ def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.select(slot.alias("slot"), "text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def _postings(rows: DataFrame) -> DataFrame:
-    """``token, node, size`` for every shingle of a prefix."""
-    held = rows.sparkSession.sparkContext.broadcast(_frequency(rows))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for _, texts in chunks(batches):
-            for at in range(0, len(texts), 256):
-                sets = [shingle_set(t) for t in texts[at : at + 256]]
-                tokens = [prefix(s, held.value) for s in sets]
-                times = [len(t) for t in tokens]
-                node, size = np.array([node_of(s) for s in sets], np.int64), np.array([len(s) for s in sets], np.int64)
-                columns = [pa.array(np.concatenate(tokens)), pa.array(np.repeat(node, times)), pa.array(np.repeat(size, times))]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "size"])
-
-    return rows.mapInArrow(run, "token long, node long, size long")
-
-
 def _sizes_fit(a: str, b: str):
     top, bottom = LEAST
     return (F.col(a) * bottom >= F.col(b) * top) & (F.col(b) * bottom >= F.col(a) * top)
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the different ``pairs(src, dst)`` of nodes that are similar; ``nodes`` has one ``doc_id`` for each node."""
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the different ``pairs(src, dst)`` of nodes that are similar."""
     top, bottom = LEAST
-    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    ids = stored(nodes.join(wanted, "node", "left_semi").select("doc_id").distinct(), "shingle-ids")
-    # Rows that share an id or a bit bring other sets along, which no pair asks for.
-    sets = _sets(rows, ids).join(wanted, "node", "left_semi")
-    sets = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
     left, right = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}_set")) for k in ("src", "dst"))
     both = pairs.join(left, "src").join(right, "dst")
     shared = F.size(F.array_intersect("src_set", "dst_set"))
     return both.filter(shared * bottom >= (F.size("src_set") + F.size("dst_set") - shared) * top).select("src", "dst")
 
 
+def _centres(posted: DataFrame, count: int) -> DataFrame:
+    """``key, centre, centre_size, centre_component``: up to ``count`` members of each key's group in ``posted(key, node, size, component)``.
+
+    The members are dealt by a hash and each deal gives its smallest, so a group of any size is combined before its shuffle.
+    """
+    deal = F.pmod(F.xxhash64("node"), F.lit(count))
+    least = posted.groupBy("key", deal.alias("deal")).agg(F.min(F.struct(F.xxhash64("node", F.lit(1)).alias("h"), "node", "size", "component")).alias("c"))
+    return least.select("key", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.component").alias("centre_component"))
+
+
+def _pairs(posted: DataFrame, centres: DataFrame) -> DataFrame:
+    """``src, dst`` of the members of each key's group and its centres, as far as they are not connected and their sizes fit."""
+    met = posted.join(centres, "key").filter((F.col("component") != F.col("centre_component")) & _sizes_fit("size", "centre_size"))
+    return met.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id`` per row: the smallest id among the documents reachable over links, the document itself included.
 
     Null texts count as empty, and texts without words are one group. Null ids are never a component's id unless it has no other.
     """
     rows = only(docs, doc_id=F.col(id_col).cast("long"), text=text_col)
-    prints = stored(_nodes(rows), "shingle-nodes")
-    first = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    by_token = Window.partitionBy("token")
-    centre = F.min(F.struct(F.xxhash64("node", F.pmod("token", F.lit(CENTRES))), "node", "size")).over(by_token)
-    met = _postings(rows).withColumn("centre", centre)
-    met = met.withColumn("low", F.min("node").over(by_token)).withColumn("high", F.max("node").over(by_token)).filter("low <> high")
-    met = stored(met.select("token", "node", "size", F.col("centre.node").alias("centre"), F.col("centre.size").alias("centre_size")), "shingle-postings")
-
-    stars = met.filter((F.col("node") != F.col("centre")) & _sizes_fit("size", "centre_size"))
-    stars = stored(stars.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct(), "shingle-pairs")
-    links = [stored(_similar(stars, rows, first), "shingle-links")]
-    groups = components(links[0])
-
-    apart = met.select("token", "node", "size").distinct().join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = apart.withColumn("low", F.min("component").over(by_token)).withColumn("high", F.max("component").over(by_token))
-    apart = stored(apart.filter("low <> high").select("token", "node", "size", "component"), "shingle-apart")
-    one = apart.select("token", F.col("node").alias("src"), F.col("size").alias("src_size"), F.col("component").alias("src_component"))
-    two = apart.select("token", F.col("node").alias("dst"), F.col("size").alias("dst_size"), F.col("component").alias("dst_component"))
-    across = one.join(two, "token").filter((F.col("src") < F.col("dst")) & (F.col("src_component") != F.col("dst_component")) & _sizes_fit("src_size", "dst_size"))
-    across = stored(across.select("src", "dst").distinct().join(stars, ["src", "dst"], "left_anti"), "shingle-pairs")
-    links.append(stored(_similar(across, rows, first), "shingle-links"))
-
-    groups = components(reduce(DataFrame.union, links)) if not links[1].isEmpty() else groups
-    labelled = first.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    prints = stored(_signatures(rows), "near-signatures")
+    first = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"), F.min("fp").alias("fp"))
+    first = stored(first, "near-nodes")
+    # Keys of one node only bring nobody together.
+    posted = prints.select("node", "size", F.explode("keys").alias("key"))
+    shared = posted.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")
+    posted = posted.join(shared, "key").distinct()
+    # A fingerprint stands for its smallest node, which meets the other nodes of the fingerprint and the nodes of linked fingerprints.
+    by_print = first.groupBy("fp").agg(F.min("node").alias("centre"), F.max("node").alias("high"))
+    spread = by_print.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
+    links = stored(link(spread), "near-fingerprints")
+    ends = by_print.select("fp", "centre")
+    near = links.join(ends.select(F.col("fp").alias("src"), F.col("centre").alias("a")), "src").join(ends.select(F.col("fp").alias("dst"), F.col("centre").alias("b")), "dst")
+    same = first.join(by_print.filter("centre <> high").select("fp", "centre"), "fp").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    close = near.select("a", "b").union(same).filter("a <> b")
+    sizes = first.select("node", "size")
+    close = close.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("a_size")), "a").join(sizes.select(F.col("node").alias("b"), F.col("size").alias("b_size")), "b")
+    close = close.filter(_sizes_fit("a_size", "b_size")).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+
+    posted = stored(posted.withColumn("component", F.col("node")), "near-postings")
+    wanted = stored(posted.select("node").union(close.select("src")).union(close.select("dst")).distinct(), "near-wanted")
+    sets = _sets(rows, first.join(wanted, "node", "left_semi").select("doc_id")).join(wanted, "node", "left_semi")
+    sets = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
+    done = found = close.limit(0)
+    count, extra = 1, close
+    while True:
+        centres = stored(_centres(posted, count), "near-centres")
+        pairs = stored(_pairs(posted, centres).union(extra).distinct().join(done, ["src", "dst"], "left_anti"), "near-pairs")
+        found = found.union(stored(_similar(pairs, sets), "near-links"))
+        groups = components(found)
+        # A centre has been compared with all of its group and leaves it; groups go on that still hold several components.
+        posted = posted.drop("component").join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti")
+        posted = posted.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        apart = posted.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+        posted = stored(posted.join(apart, "key", "left_semi").select("key", "node", "size", "component"), "near-postings")
+        if posted.isEmpty():
+            break
+        done, extra, count = done.union(pairs), close.limit(0), 4 * count
+
+    labelled = first.select("node", "doc_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return prints.join(labelled.join(smallest, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return prints.select("doc_id", "node").join(labelled.join(smallest, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
