@@ -9,6 +9,7 @@ from ..operators import graph as G
 from ..operators import vectors as V
 from ..plans import adapters as A
 from ..plans.adapters import with_ctes
+from ..plans.checkpoints import kept
 from .registry import query
 
 CENTROIDS = """
@@ -32,6 +33,22 @@ filled AS (
        (SELECT unnest(range(0, 64)) AS i) x LEFT JOIN counts c ON c.doc_id = d.doc_id AND c.i = x.i GROUP BY 1)"""
 
 
+# The same vectors as the operators see them, in single precision; texts of white space only have none.
+TEXT_VECTORS = EMBED + """,
+emb AS (
+  SELECT d.doc_id AS id, d.lang, d.source, list((coalesce(n, 0) / sqrt(t.ss))::FLOAT::DOUBLE ORDER BY x.i) AS "values"
+  FROM documents d JOIN (SELECT doc_id, sum(n * n) AS ss FROM counts GROUP BY 1) t ON t.doc_id = d.doc_id,
+       (SELECT unnest(range(0, 64)) AS i) x LEFT JOIN counts c ON c.doc_id = d.doc_id AND c.i = x.i GROUP BY ALL)"""
+
+
+def text_vectors(spark, sf):
+    """Every document with words: id, lang, source, text and the vector of its whole text."""
+    from ..functions.udfs import embed
+
+    docs = A.table(spark, sf, "documents").filter(F.trim("text") != "")
+    return docs.select(F.col("doc_id").alias("id"), "lang", "source", "text", embed(F.col("text")).alias("values"))
+
+
 def four_digits(values):
     """A vector as text, each component in whole ten-thousandths."""
     return F.array_join(F.transform(values, lambda x: F.floor(x.cast("double") * 10000 + 0.5).cast("string")), ",")
@@ -150,21 +167,16 @@ def _(spark, sf):
 
 @query(
     "V05_knowledge_search",
-    with_ctes(
-        "vectors",
-        """SELECT t.query_id, t.id, round(t.sim, 6) AS score, t.rank, d.text AS info FROM (
-             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM scored
-             WHERE sim >= 0.1 AND id IN (SELECT doc_id FROM documents)) t
-           JOIN documents d ON d.doc_id = t.id WHERE rank <= 5""",
-        extra=CENTROIDS,
-    ),
+    "WITH " + TEXT_VECTORS.strip() + """,
+       vectors AS (SELECT id, lang AS namespace, "values" FROM emb),""" + CENTROIDS + """
+       SELECT t.query_id, t.id, round(t.sim, 6) AS score, t.rank, d.text AS info FROM (
+         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, id) AS rank FROM scored WHERE sim >= 0.1) t
+       JOIN documents d ON d.doc_id = t.id WHERE rank <= 5""",
 )
 def _(spark, sf):
-    v = A.vectors(spark, sf)
-    docs = A.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("info"))
-    return V.knowledge_search(v.join(docs, "id"), centroids(v), k=5, threshold=0.1).withColumn(
-        "score", F.round("score", 6)
-    )
+    rows = kept(text_vectors(spark, sf), "text-vectors")
+    store = rows.select("id", F.col("lang").alias("namespace"), "values", F.col("text").alias("info"))
+    return V.knowledge_search(store, centroids(store), k=5, threshold=0.1).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -187,14 +199,61 @@ def _(spark, sf):
     return V.upsert(old, new).select("namespace", "id", four_digits(F.col("values")).alias("v"))
 
 
-@query("V06_knowledge_merge")
+# Graded documents are the store; the others come in as items, a trajectory for each source. What is said about an item is its source and
+# language.
+MERGE = """WITH RECURSIVE """ + TEXT_VECTORS.strip() + """,
+said_words AS (
+  SELECT source, lang, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS i, count(*) AS n
+  FROM (SELECT DISTINCT source, lang, unnest(string_split(source || ' ' || lang, ' ')) AS w FROM documents) GROUP BY ALL),
+said AS (
+  SELECT k.source, k.lang, list(coalesce(w.n, 0)::DOUBLE ORDER BY x.i) AS t
+  FROM (SELECT DISTINCT source, lang FROM documents) k CROSS JOIN (SELECT unnest(range(0, 64)) AS i) x
+  LEFT JOIN said_words w ON w.source = k.source AND w.lang = k.lang AND w.i = x.i GROUP BY k.source, k.lang),
+both_sides AS (
+  SELECT e.*, s.t, lang || '/' || lpad(id::VARCHAR, 20, '0') AS key, id IN (SELECT doc_id FROM labels) AS stored
+  FROM emb e JOIN said s USING (source, lang)),
+items AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS rn FROM both_sides WHERE NOT stored),
+near AS (
+  SELECT b.id, list(a.id) AS earlier FROM items a JOIN items b ON a.source = b.source AND a.id < b.id
+  WHERE list_cosine_similarity(a."values", b."values") >= 0.99 GROUP BY b.id),
+scan AS (
+  SELECT DISTINCT source, 0::BIGINT AS rn, []::BIGINT[] AS taken FROM items
+  UNION ALL
+  SELECT s.source, i.rn, CASE WHEN list_has_any(coalesce(n.earlier, []), s.taken) THEN s.taken ELSE list_append(s.taken, i.id) END
+  FROM scan s JOIN items i ON i.source = s.source AND i.rn = s.rn + 1 LEFT JOIN near n ON n.id = i.id),
+taken AS (SELECT unnest(arg_max(taken, rn)) AS id FROM scan GROUP BY source),
+hits AS (
+  SELECT i.id, s.id AS stored_id, list_cosine_similarity(i.t, s.t) AS said,
+    row_number() OVER (PARTITION BY i.id ORDER BY round(list_cosine_similarity(i."values", s."values"), 12) DESC, s.key) AS rank
+  FROM items i JOIN taken USING (id) JOIN both_sides s ON s.stored AND list_cosine_similarity(i."values", s."values") >= 0.99)
+SELECT i.id, stored_id, CASE WHEN stored_id IS NULL THEN 'new' WHEN said <= 0.1 THEN 'append' ELSE 'known' END AS outcome
+FROM taken i LEFT JOIN hits h ON h.id = i.id AND h.rank = 1"""
+
+
+@query("V06_knowledge_merge", MERGE)
 def _(spark, sf):
-    v = A.vectors(spark, sf)
-    docs = A.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("info"))
-    rows = v.join(docs, "id").withColumn("text_values", F.slice("values", 1, 16))
-    stored = rows.filter(F.col("values")[0] > 0.1)
-    fresh = rows.filter(F.col("values")[0] <= 0.1).withColumnRenamed("namespace", "trajectory")
-    return V.knowledge_merge(fresh, stored, near=0.3, text_gap=0.1).select("id", "stored_id", "outcome")
+    from ..functions.udfs import embed
+
+    rows = text_vectors(spark, sf).withColumn("text_values", embed(F.concat_ws(" ", "source", "lang")))
+    rows = kept(rows.withColumnRenamed("text", "info"), "text-vectors")
+    graded = A.table(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct()
+    stored = rows.join(graded, "id", "left_semi").withColumnRenamed("lang", "namespace")
+    fresh = rows.join(graded, "id", "left_anti").withColumnRenamed("source", "trajectory")
+    return V.knowledge_merge(fresh, stored).select("id", "stored_id", "outcome")
+
+
+@query(
+    "J16_document_pairs",
+    "WITH " + TEXT_VECTORS.strip() + """
+       SELECT a.id, b.id AS other, round(list_cosine_similarity(a."values", b."values"), 6) AS score
+       FROM emb a JOIN emb b ON a.lang = b.lang AND a.id < b.id
+       WHERE list_cosine_similarity(a."values", b."values") >= 0.95 AND a."values" <> b."values"
+         AND a.id = (SELECT min(id) FROM emb c WHERE c.lang = a.lang AND c."values" = a."values")
+         AND b.id = (SELECT min(id) FROM emb c WHERE c.lang = b.lang AND c."values" = b."values")""",
+)
+def _(spark, sf):
+    items = text_vectors(spark, sf).select("id", "lang", "values")
+    return V.near_pairs(items, 0.95, block_rows=256, group="lang").withColumn("score", F.round("score", 6))
 
 
 @query(

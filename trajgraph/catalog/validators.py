@@ -268,11 +268,11 @@ def _(spark, sf):
 
 @query(
     "E26b_candidates_equal",
-    """SELECT p_size AS episode_id, count(DISTINCT (p_type, p_brand)) = 1 AS ok FROM part WHERE p_name LIKE 'red%' GROUP BY 1""",
+    """SELECT p_size || '/' || p_brand AS episode_id, count(DISTINCT p_type) = 1 AS ok FROM part GROUP BY 1""",
 )
 def _(spark, sf):
-    p = A.table(spark, sf, "part").filter("p_name LIKE 'red%'").withColumnRenamed("p_size", EP)
-    return V.candidates_equal(p, ["p_type", "p_brand"])
+    p = A.table(spark, sf, "part").withColumn(EP, F.concat_ws("/", "p_size", "p_brand"))
+    return V.candidates_equal(p, ["p_type"])
 
 
 MESSAGES = """
