@@ -70,7 +70,7 @@ def test_chains_stop_at_cycles(spark, as_rows):
 def test_forced_walk_is_bounded_and_never_returns(spark, as_rows):
     line = [("g", f"p{i:02d}", f"e{i}", f"p{i + 1:02d}") for i in range(14)] + [("g", "x", "s", "x"), ("h", "a", "1", "b"), ("h", "b", "2", "a")]
     e = spark.createDataFrame(line, "graph string, src string, elem string, tgt string")
-    got = {(r.graph, r.start_page): (r.end_page, len(r.forced)) for r in P.forced_chains(e, 10).collect()}
+    got = {(r.graph, r.start_page): (r.end_page, len(r.forced)) for r in P.forced_chains(e).collect()}
     assert got[("g", "p00")] == ("p10", 10)
     assert got[("g", "p09")] == ("p14", 5)
     assert got[("h", "a")] == ("b", 1) and ("g", "x") not in got

@@ -262,7 +262,51 @@ walk AS (
 )
 def _(spark, sf):
     g = A.edges(spark, sf).select(F.col("task").alias("graph"), "src", "elem", "tgt")
-    return paths.forced_chains(g, 10).withColumn("forced", F.array_join("forced", " "))
+    return paths.forced_chains(g).withColumn("forced", F.array_join("forced", " "))
+
+
+# Two steps in a row from pages of one kind are a composite action of the first page.
+COMPOSITES = """
+twice AS (
+  SELECT task AS graph, src, split_part(src, '_', 1) AS kind, split_part(tgt, '_', 1) AS mid_kind, lead(tgt) OVER w AS tgt
+  FROM edges WINDOW w AS (PARTITION BY task, branch ORDER BY step)),
+composites AS (SELECT graph, src, 'A:' || kind || '+' || tgt AS action, tgt FROM twice WHERE tgt IS NOT NULL AND kind = mid_kind)"""
+
+
+def composites(edges):
+    """``graph, src, action, tgt`` of the composite actions, a row for each time one was taken."""
+    kind = lambda c: F.split_part(c, F.lit("_"), F.lit(1))
+    twice = ordered_columns(
+        edges.select("task", "branch", "step", "src", F.col("tgt").alias("mid")), ["task", "branch"], ["step"], [lead("tgt", "mid")], hot=False
+    )
+    return twice.filter(F.col("tgt").isNotNull() & (kind(F.col("src")) == kind(F.col("mid")))).select(
+        F.col("task").alias("graph"), "src", F.concat(F.lit("A:"), kind(F.col("src")), F.lit("+"), "tgt").alias("action"), "tgt"
+    )
+
+
+@query(
+    "P18_forced_chain_actions",
+    with_ctes(
+        "edges",
+        """SELECT graph, start_page, page AS end_page, forced FROM walk w
+           WHERE n_steps = 10 OR NOT EXISTS (
+             SELECT 1 FROM only_step o WHERE o.graph = w.graph AND o.src = w.page AND NOT list_contains(w.visited, o.tgt))""",
+        recursive=True,
+        extra=COMPOSITES + """,
+both_kinds AS (SELECT task AS graph, src, elem AS move, tgt FROM edges UNION ALL SELECT graph, src, action, tgt FROM composites),
+only_step AS (
+  SELECT graph, src, min(move) AS move, min(tgt) AS tgt FROM both_kinds GROUP BY graph, src HAVING count(DISTINCT move) = 1),
+walk AS (
+  SELECT graph, src AS start_page, tgt AS page, move AS forced, [src, tgt] AS visited, 1 AS n_steps FROM only_step WHERE src <> tgt
+  UNION ALL
+  SELECT w.graph, w.start_page, o.tgt, w.forced || ' ' || o.move, list_append(w.visited, o.tgt), w.n_steps + 1
+  FROM walk w JOIN only_step o ON o.graph = w.graph AND o.src = w.page WHERE w.n_steps < 10 AND NOT list_contains(w.visited, o.tgt))""",
+    ),
+)
+def _(spark, sf):
+    e = A.edges(spark, sf)
+    g = e.select(F.col("task").alias("graph"), "src", "elem", "tgt")
+    return paths.forced_chains(g, composites(e)).withColumn("forced", F.array_join("forced", " "))
 
 
 # ------------------------------------------------------------ P09, P10 rewriting

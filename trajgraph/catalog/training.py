@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import search as S
 from ..operators import training as T
 from ..plans import adapters as A
 from ..plans.adapters import with_ctes
 from ..plans.ordered import is_hot, lag, ordered_columns, row_number
+from .paths import COMPOSITES, composites
 from .registry import query
 
 UCT = """
@@ -456,10 +458,35 @@ BEAM_LEVEL = """
 l{d} AS MATERIALIZED (
   SELECT * FROM (
     SELECT task, {d} AS depth, row_number() OVER (PARTITION BY task ORDER BY score DESC, path) AS rank, path, score, page, visited
-    FROM (SELECT f.task, CASE WHEN f.path = '' THEN e.elem ELSE f.path || ' ' || e.elem END AS path,
-                 f.score + e.w AS score, e.tgt AS page, list_append(f.visited, e.tgt) AS visited
-          FROM l{p} f JOIN weights e ON e.src = f.page WHERE NOT list_contains(f.visited, e.tgt)))
+    FROM (SELECT f.task, CASE WHEN f.path = '' THEN e.path ELSE f.path || ' ' || e.path END AS path,
+                 f.score + e.w AS score, e.tgt AS page, list_concat(f.visited, e.pages) AS visited
+          FROM l{p} f JOIN single_steps e ON e.src = f.page WHERE NOT list_has_any(f.visited, e.pages)))
   WHERE rank <= 3)"""
+# Moves of all tasks in one graph; forced walks of up to ten moves are part of a step.
+BEAM_STEPS = (
+    COMPOSITES
+    + """,
+moves AS MATERIALIZED (
+  SELECT src, move, tgt, CAST(count(*) AS DOUBLE) AS w
+  FROM (SELECT src, elem AS move, tgt FROM edges UNION ALL SELECT src, action, tgt FROM composites) GROUP BY ALL),
+choices AS (SELECT src, count(DISTINCT move) AS n, arg_min({'m': move, 't': tgt, 'w': w}, (move, tgt)) AS one FROM moves GROUP BY src),
+walk AS (
+  SELECT src AS start, one.t AS page, one.m AS path, [one.t] AS pages, one.w AS w, 1 AS n FROM choices WHERE n = 1 AND one.t <> src
+  UNION ALL
+  SELECT k.start, c.one.t, k.path || ' ' || c.one.m, list_append(k.pages, c.one.t), k.w + c.one.w, k.n + 1
+  FROM walk k JOIN choices c ON c.src = k.page AND c.n = 1
+  WHERE k.n < 10 AND c.one.t <> k.start AND NOT list_contains(k.pages, c.one.t)),
+ends AS (SELECT k.*, c.n AS open FROM walk k LEFT JOIN choices c ON c.src = k.page
+  WHERE k.n = 10 OR c.n IS NULL OR c.n > 1 OR c.one.t = k.start OR list_contains(k.pages, c.one.t)),
+single_steps AS MATERIALIZED (
+  SELECT src, move AS path, [tgt] AS pages, tgt, w FROM moves WHERE src NOT IN (SELECT src FROM choices WHERE n = 1) AND tgt <> src
+  UNION ALL
+  SELECT e.start, e.path || ' ' || m.move, list_append(e.pages, m.tgt), m.tgt, e.w + m.w FROM ends e JOIN moves m ON m.src = e.page
+  WHERE (e.open > 1 OR e.n = 10) AND m.tgt <> e.start AND NOT list_contains(e.pages, m.tgt)
+  UNION ALL
+  SELECT start, path, pages, page, w FROM ends WHERE open IS NULL OR (n < 10 AND open = 1)),
+l0 AS (SELECT DISTINCT task, src AS page, '' AS path, 0.0::DOUBLE AS score, [src] AS visited FROM edges WHERE step = 0),"""
+)
 
 
 @query(
@@ -467,17 +494,16 @@ l{d} AS MATERIALIZED (
     with_ctes(
         "edges",
         " UNION ALL ".join(f"SELECT task, depth, rank, path, score FROM l{d}" for d in range(1, BEAM_DEPTH + 1)),
-        extra="""
-weights AS (SELECT src, elem, tgt, CAST(count(*) AS DOUBLE) AS w FROM edges GROUP BY ALL),
-l0 AS (SELECT DISTINCT task, src AS page, '' AS path, 0.0::DOUBLE AS score, [src] AS visited FROM edges WHERE step = 0),"""
-        + ",".join(BEAM_LEVEL.format(d=d, p=d - 1) for d in range(1, BEAM_DEPTH + 1)),
+        recursive=True,
+        extra=BEAM_STEPS + ",".join(BEAM_LEVEL.format(d=d, p=d - 1) for d in range(1, BEAM_DEPTH + 1)),
     ),
 )
 def _(spark, sf):
-    e = A.edges(spark, sf)
-    starts = e.filter("step = 0").select("task", F.col("src").alias("page_id")).distinct()
-    weights = e.groupBy("src", "elem", "tgt").agg(F.count(F.lit(1)).cast("double").alias("step_score"))
-    return T.beam_paths(starts, weights, lambda df: df, beam=3, depth=BEAM_DEPTH)
+    e = A.shared_edges(spark, sf)
+    starts = e.filter("step = 0").groupBy("task", F.col("src").alias("page_id")).agg(F.lit(1)).select("task", "page_id")
+    both = e.select("src", F.col("elem").alias("move"), "tgt").unionByName(composites(e).select("src", F.col("action").alias("move"), "tgt"))
+    moves = both.groupBy("src", "move", "tgt").agg(F.count(F.lit(1)).alias("weight")).withColumn("graph", F.lit("all"))
+    return S.beam_paths(starts, S.collapsed_steps(moves), beam=3, depth=BEAM_DEPTH)
 
 
 # ------------------------------------------------------------- rounds and samples

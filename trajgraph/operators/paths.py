@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.checkpoints import durable, written
 from ..plans.ordered import is_hot, lag, lead, ordered_columns, running_sum
+from .search import forced_walks
 
 
 # ---------------------------------------------------------------- enumeration
@@ -171,49 +172,17 @@ def pick_start_page(page_steps: DataFrame, wanted: DataFrame | None = None) -> D
 # ------------------------------------------------------------- forced chains
 
 
-def forced_chains(edges: DataFrame, max_length: int = 10) -> DataFrame:
-    """Follow pages that offer exactly one action, up to ``max_length`` of them.
+def forced_chains(edges: DataFrame, actions: DataFrame | None = None, max_length: int = 10) -> DataFrame:
+    """Follow pages that offer exactly one choice, up to ``max_length`` of them.
 
-    ``edges(graph, src, elem, tgt)``.  The walk stops at a page with more or fewer
-    choices and never revisits a page.  One row per start page whose first step
-    is forced.
+    ``edges(graph, src, elem, tgt)``, and ``actions(graph, src, action, tgt)`` for the composite actions of a page; both
+    count as choices.  The walk stops at a page with more or fewer choices and never revisits a page.
+    One row per start page whose first step is forced.
     """
-    only = (
-        edges.groupBy("graph", "src")
-        .agg(
-            F.countDistinct("elem").alias("choices"),
-            F.min(F.struct("elem", "tgt")).alias("step"),
-        )
-        .filter(F.col("choices") == 1)
-        .select("graph", F.col("src").alias("page"), "step.elem", "step.tgt")
-    )
-    only = durable(only)
-    walk = only.select(
-        "graph",
-        F.col("page").alias("start_page"),
-        F.col("tgt").alias("page"),
-        F.array("elem").alias("forced"),
-        F.array(F.col("page"), F.col("tgt")).alias("visited"),
-    ).filter(F.col("start_page") != F.col("page"))
-    done = []
-    for _ in range(max_length - 1):
-        level = durable(walk.join(only, ["graph", "page"], "left"))
-        stop = F.col("tgt").isNull() | F.array_contains("visited", F.col("tgt"))
-        done.append(
-            level.filter(stop).select("graph", "start_page", F.col("page").alias("end_page"), "forced")
-        )
-        walk = level.filter(~stop).select(
-            "graph",
-            "start_page",
-            F.col("tgt").alias("page"),
-            F.concat("forced", F.array("elem")).alias("forced"),
-            F.concat("visited", F.array("tgt")).alias("visited"),
-        )
-        if walk.isEmpty():
-            break
-    else:
-        done.append(walk.select("graph", "start_page", F.col("page").alias("end_page"), "forced"))
-    return _union(done)
+    moves = edges.select("graph", "src", F.col("elem").alias("move"), "tgt", F.lit(0.0).alias("weight"))
+    if actions is not None:
+        moves = moves.unionByName(actions.select("graph", "src", F.col("action").alias("move"), "tgt", F.lit(0.0).alias("weight")))
+    return forced_walks(moves, max_length).select("graph", "start_page", "end_page", "forced")
 
 
 def page_actions(

@@ -529,53 +529,6 @@ def score_frontier(frontier: DataFrame, score: Callable, columns: list[str]) ->
     return frontier.select(*columns).mapInPandas(run, schema)
 
 
-# Levels that one job grows before they are stored.
-LEVELS_AT_ONCE = 4
-
-
-def beam_paths(
-    starts: DataFrame, edges: DataFrame, score: Callable[[DataFrame], DataFrame], beam: int = 5, depth: int = 60
-) -> DataFrame:
-    """Best ``beam`` paths per task and depth, for all tasks at once.
-
-    ``starts(task, page_id)``, ``edges(src, elem, tgt, …)``.  ``score`` adds ``step_score`` to
-    the candidate rows; a path's score is the sum of its steps.  Pages are not
-    revisited.  The beam width is the operator's parameter, not a size guard.
-    """
-    edges = durable(edges)
-    frontier = starts.select(
-        "task",
-        F.col("page_id").alias("src"),
-        F.lit(0.0).alias("score"),
-        F.array("page_id").alias("visited"),
-        F.lit(None).cast("string").alias("path"),
-    )
-    blocks = []
-    for first in range(1, depth + 1, LEVELS_AT_ONCE):
-        levels = []
-        for d in range(first, min(first + LEVELS_AT_ONCE, depth + 1)):
-            grown = score(
-                frontier.join(edges, "src").filter(~F.array_contains("visited", F.col("tgt")))
-            ).select(
-                "task",
-                F.col("tgt").alias("src"),
-                (F.col("score") + F.col("step_score")).alias("score"),
-                "visited",
-                F.concat_ws(" ", "path", "elem").alias("path"),
-            )
-            ranked = grown.withColumn("rank", F.expr("row_number() OVER (PARTITION BY task ORDER BY score DESC, path)"))
-            # Only the few rows that stay get their longer list of pages.
-            level = ranked.filter(F.col("rank") <= beam).withColumn("visited", F.concat("visited", F.array("src")))
-            levels.append(level.withColumn("depth", F.lit(d)))
-            frontier = level.drop("rank")
-        block = durable(_stack(levels))
-        blocks.append(block.select("task", "depth", "rank", "path", "score"))
-        frontier = block.filter(F.col("depth") == d).drop("rank", "depth")
-        if frontier.isEmpty():
-            break
-    return _stack(blocks)
-
-
 # --------------------------------------------------------------- rounds, samples
 
 
