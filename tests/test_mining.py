@@ -66,8 +66,8 @@ def text(tok):
 
 
 @pytest.mark.parametrize("strict", [False, True])
-@pytest.mark.parametrize("seed", [1, 2])
-def test_mining_equals_sequential(spark, seed, strict):
+@pytest.mark.parametrize("seed, how", [(1, {}), (2, {"compact": 2}), (3, {"max_pairs": 0})])
+def test_mining_equals_sequential(spark, seed, how, strict):
     rng = random.Random(seed)
     pages = "ABC"
     chains = {
@@ -75,7 +75,7 @@ def test_mining_equals_sequential(spark, seed, strict):
         for i in range(25)
     }
     want_history, want_chains = sequential(chains, 8, 2, strict)
-    merges, tokens = M.mine_sequences(chains_df(spark, chains), 8, 2, strict)
+    merges, tokens = M.mine_sequences(chains_df(spark, chains), 8, 2, strict, **how)
     got = [(r.merged_id, r.frequency, len(r.components)) for r in merges.orderBy("merge_order").collect()]
     assert got == want_history
     out = {}

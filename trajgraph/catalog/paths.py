@@ -76,18 +76,75 @@ def _(spark, sf):
     return mining.merge_top_pair(A.tokens(spark, sf)).select("chain_id", "pos", "token")
 
 
-@query("P06_bpe_mine")
+# One round of mining after the other, unrolled: pairs, best key, marks from the left, rewritten rows.
+MERGES = 20
+MINE_START = """
+t0 AS MATERIALIZED (
+  SELECT chain_id, pos, src || '|' || elem || '|' || tgt AS token, src || '|' || elem || '|' || tgt AS parts, 1 AS level FROM tokens),
+first_id AS (SELECT count(DISTINCT token) AS n FROM t0)"""
+MINE_ROUND = """
+p{r} AS MATERIALIZED (
+  SELECT *, parts || ';' || regexp_replace(next_parts, '\\|[^|]*$', '|*') AS pair_key FROM (
+    SELECT *, lead(token) OVER w AS next_token, lead(parts) OVER w AS next_parts, lead(level) OVER w AS next_level,
+           row_number() OVER w AS idx FROM t{q} WINDOW w AS (PARTITION BY chain_id ORDER BY pos))),
+b{r} AS MATERIALIZED (
+  SELECT pair_key, count(*) AS n, arg_min({{'a': token, 'b': next_token, 'parts': parts || ';' || next_parts,
+           'level': greatest(level, next_level) + 1}}, (chain_id, pos)) AS won
+  FROM p{r} WHERE pair_key IS NOT NULL GROUP BY pair_key HAVING count(*) >= 2 ORDER BY n DESC, min((chain_id, pos)) LIMIT 1),
+t{r} AS MATERIALIZED (
+  SELECT chain_id, pos, CASE WHEN taken THEN 'M' || ((SELECT n FROM first_id) + {q}) ELSE token END AS token,
+         CASE WHEN taken THEN (SELECT won.parts FROM b{r}) ELSE parts END AS parts,
+         CASE WHEN taken THEN (SELECT won.level FROM b{r}) ELSE level END AS level
+  FROM (SELECT *, lag(taken) OVER (PARTITION BY chain_id ORDER BY pos) AS after_taken FROM (
+    SELECT *, hit AND (idx - max(CASE WHEN hit THEN 0 ELSE idx END) OVER (PARTITION BY chain_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) % 2 = 1 AS taken
+    FROM (SELECT *, coalesce(pair_key = (SELECT pair_key FROM b{r}), FALSE) AS hit FROM p{r})))
+  WHERE NOT coalesce(after_taken, FALSE))"""
+MINE = (
+    MINE_START
+    + "".join("," + MINE_ROUND.format(r=r, q=r - 1) for r in range(1, MERGES + 1))
+    + ",\nmerges AS ("
+    + " UNION ALL ".join(
+        f"""SELECT {r} AS merge_order, 'M' || ((SELECT n FROM first_id) + {r - 1}) AS merged_id, won.a AS first_token, won.b AS second_token,
+           n AS frequency, won.level AS level, won.parts AS components FROM b{r}"""
+        for r in range(1, MERGES + 1)
+    )
+    + ")"
+)
+
+
+@query("P06_bpe_mine", with_ctes("tokens", "SELECT * FROM merges", extra=MINE))
 def _(spark, sf):
-    merges, _ = mining.mine_sequences(A.tokens(spark, sf), num_merges=20, min_freq=2)
+    merges, _ = mining.mine_sequences(A.tokens(spark, sf), num_merges=MERGES, min_freq=2)
     return merges.select(
         "merge_order", "merged_id", "first_token", "second_token", "frequency", "level",
         F.array_join("components", ";").alias("components"),
     )
 
 
-@query("P08_rank_composites")
+@query(
+    "P06_mined_chains",
+    with_ctes("tokens", f"SELECT chain_id, pos, token FROM t{MERGES}", extra=MINE),
+)
+def _(spark, sf):
+    _, chains = mining.mine_sequences(A.tokens(spark, sf), num_merges=MERGES, min_freq=2)
+    return chains.select("chain_id", "pos", "token")
+
+
+@query(
+    "P08_rank_composites",
+    with_ctes(
+        "tokens",
+        """SELECT 'HighLevelAction_' || row_number() OVER (ORDER BY frequency DESC, level DESC, merge_order) AS name, merged_id AS id, frequency, level,
+                  len(string_split(components, ';')) AS num_components,
+                  array_to_string([
+                    '(' || array_to_string([substr(x, 1, 8) || '...' FOR x IN string_split(c, '|')], ', ') || ')'
+                    FOR c IN string_split(components, ';')], ';') AS components_preview
+           FROM merges WHERE level >= 2""",
+        extra=MINE,
+    ),
+)
 def _(spark, sf):
-    merges, _ = mining.mine_sequences(A.tokens(spark, sf), num_merges=20, min_freq=2)
+    merges, _ = mining.mine_sequences(A.tokens(spark, sf), num_merges=MERGES, min_freq=2)
     return mining.rank_composites(merges).withColumn(
         "components_preview", F.array_join("components_preview", ";")
     )
