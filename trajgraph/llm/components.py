@@ -17,13 +17,13 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     """
     edges = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u <> v").distinct()
     edges = stored(edges, "edges")
+    mark = _mark(edges)
     while True:
         large = _star(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), larger=True)
         small = _star(large, larger=False)
         after = stored(small, "edges")
-        same = _mark(after) == _mark(edges)
-        edges = after
-        if same:
+        before, mark, edges = mark, _mark(after), after
+        if mark == before:
             break
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
@@ -38,7 +38,8 @@ def _mark(edges: DataFrame) -> tuple:
 def _star(links: DataFrame, larger: bool) -> DataFrame:
     """Edges ``(u, v)`` with ``u > v`` after one star step; ``links`` lists each node's neighbours (``larger``) or its smaller ones."""
     least = links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = links.join(least, "u")
+    # Merged and not broadcast: rounds are many, and what is broadcast goes through the driver.
+    joined = links.join(least.hint("merge"), "u")
     if larger:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -5,7 +5,7 @@ from two sides. Fingerprints of the same shingles within two bits are found by m
 misses most pairs near 0.8, so each set also has ``BANDS`` keys of ``ROWS`` minimum hashes: two sets of similarity ``s`` share a key with
 probability ``1 - (1 - s**ROWS)**BANDS``, which is 0.9999 at 0.8 and more above. Every candidate pair is verified by its complete sets.
 
-A group of texts that share a key is compared with one of its members first, then, as far as its members are not connected yet, with 4, 16
+A group of texts that share a key is compared with one of its members first, then, as far as its members are not connected yet, with 8, 64
 and more of them, until each group is one component or every member has been compared with all others. So no connection that a
 candidate pair would give is lost, and the work of a group of near copies is in proportion to it.
 
@@ -131,7 +131,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the different ``pairs(src, dst)`` of nodes that are similar."""
     top, bottom = LEAST
     left, right = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}_set")) for k in ("src", "dst"))
-    both = pairs.join(left, "src").join(right, "dst")
+    both = pairs.join(left.hint("merge"), "src").join(right.hint("merge"), "dst")
     shared = F.size(F.array_intersect("src_set", "dst_set"))
     return both.filter(shared * bottom >= (F.size("src_set") + F.size("dst_set") - shared) * top).select("src", "dst")
 
@@ -148,7 +148,7 @@ def _centres(posted: DataFrame, count: int) -> DataFrame:
 
 def _pairs(posted: DataFrame, centres: DataFrame) -> DataFrame:
     """``src, dst`` of the members of each key's group and its centres, as far as they are not connected and their sizes fit."""
-    met = posted.join(centres, "key").filter((F.col("component") != F.col("centre_component")) & _sizes_fit("size", "centre_size"))
+    met = posted.join(centres.hint("merge"), "key").filter((F.col("component") != F.col("centre_component")) & _sizes_fit("size", "centre_size"))
     return met.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct()
 
 
@@ -164,7 +164,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Keys of one node only bring nobody together.
     posted = prints.select("node", "size", F.explode("keys").alias("key"))
     shared = posted.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")
-    posted = posted.join(shared, "key").distinct()
+    posted = posted.join(shared.hint("merge"), "key").distinct()
     # A fingerprint stands for its smallest node, which meets the other nodes of the fingerprint and the nodes of linked fingerprints.
     by_print = first.groupBy("fp").agg(F.min("node").alias("centre"), F.max("node").alias("high"))
     spread = by_print.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
@@ -182,20 +182,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = _sets(rows, first.join(wanted, "node", "left_semi").select("doc_id")).join(wanted, "node", "left_semi")
     sets = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
     done = found = close.limit(0)
+    groups = None
     count, extra = 1, close
     while True:
         centres = stored(_centres(posted, count), "near-centres")
-        pairs = stored(_pairs(posted, centres).union(extra).distinct().join(done, ["src", "dst"], "left_anti"), "near-pairs")
-        found = found.union(stored(_similar(pairs, sets), "near-links"))
-        groups = components(found)
+        pairs = stored(_pairs(posted, centres).union(extra).distinct().join(done.hint("merge"), ["src", "dst"], "left_anti"), "near-pairs")
+        more = stored(_similar(pairs, sets), "near-links")
+        found = found.union(more)
+        if groups is None or not more.isEmpty():
+            groups = components(found)
         # A centre has been compared with all of its group and leaves it; groups go on that still hold several components.
-        posted = posted.drop("component").join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti")
-        posted = posted.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        posted = posted.drop("component").join(centres.select("key", F.col("centre").alias("node")).hint("merge"), ["key", "node"], "left_anti")
+        posted = posted.join(groups.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         apart = posted.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        posted = stored(posted.join(apart, "key", "left_semi").select("key", "node", "size", "component"), "near-postings")
+        posted = stored(posted.join(apart.hint("merge"), "key", "left_semi").select("key", "node", "size", "component"), "near-postings")
         if posted.isEmpty():
             break
-        done, extra, count = done.union(pairs), close.limit(0), 4 * count
+        done, extra, count = done.union(pairs), close.limit(0), 8 * count
 
     labelled = first.select("node", "doc_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
