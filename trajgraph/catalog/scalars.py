@@ -12,7 +12,7 @@ from ..operators import screens as S
 from ..operators import synthetic as Y
 from ..plans import adapters as A
 from ..plans.adapters import with_ctes
-
+from ..plans.spread import spread
 from .registry import query
 from .validators import sms_lines
 
@@ -266,7 +266,8 @@ def _(spark, sf):
         F.lit('" clickable="'), (F.col("l_linestatus") == "O").cast("string"), F.lit('" bounds="['), q.cast("string"), F.lit(",0]["),
         (q + 10).cast("string"), F.lit(',20]" /></hierarchy>'),
     )
-    x = A.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("screen_id"), node.alias("xml"))
+    lines = A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+    x = spread(lines, "l_orderkey", "l_linenumber").select(F.col("l_orderkey").alias("screen_id"), node.alias("xml"))
     return S.xml_elements(x, "xml", "screen_id").select(
         "screen_id", "text", "class_name", "is_clickable", "bbox_pixels.x_min", "bbox_pixels.x_max"
     )

@@ -45,31 +45,31 @@ def tag_nodes(screens: DataFrame, markup: str, key: str) -> DataFrame:
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unescape(value: Column) -> Column:
     """Named and numeric character references replaced by their characters."""
-    out = value
-    for name, sign in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(sign))
 
-    def number(part: Column) -> Column:
-        return F.struct(part.alias("part"), F.regexp_extract(part, r"^(x[0-9A-Fa-f]{1,6}|[0-9]{1,7});", 1).alias("digits"))
+    def character(part: Column, digits: Column) -> Column:
+        number = F.when(digits.startswith("x"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits).try_cast("long")
+        sign = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+        rest = F.substr(part, F.length(digits) + 2)
+        return _let(number, lambda c: F.when(c <= 0x10FFFF, F.concat(sign(c), rest)).otherwise(F.concat(F.lit("&#"), part)))
 
-    def code(x: Column) -> Column:
-        digits = x["digits"]
-        value = F.when(digits.startswith("x"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits)
-        return F.struct(x["part"].alias("part"), digits.alias("digits"), value.try_cast("long").alias("code"))
-
-    def numeric(x: Column) -> Column:
+    def piece(part: Column, i: Column) -> Column:
         """A piece that followed ``&#``: its number becomes a character if one stands there."""
-        sign = F.decode(F.unhex(F.lpad(F.hex(x["code"]), 8, "0")), "UTF-32")
-        rest = F.substr(x["part"], F.length(x["digits"]) + 2)
-        return F.when(x["code"] <= 0x10FFFF, F.concat(sign, rest)).otherwise(F.concat(F.lit("&#"), x["part"]))
+        digits = F.regexp_extract(part, r"^(x[0-9A-Fa-f]{1,6}|[0-9]{1,7});", 1)
+        return F.when(i == 0, part).otherwise(_let(digits, lambda d: character(part, d)))
 
-    parts = F.split(out, "&#")
-    pieces = F.transform(F.transform(F.transform(F.slice(parts, F.lit(2), F.size(parts)), number), code), numeric)
-    joined = F.concat(F.get(parts, F.lit(0)), F.concat_ws("", pieces))
-    out = F.when(F.contains(value, F.lit("&#")), joined).otherwise(out)
-    return F.when(F.contains(value, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(value)
+    named = value
+    for name, sign in ENTITIES.items():
+        named = F.replace(named, F.lit(name), F.lit(sign))
+    numbers = lambda t: F.when(F.contains(t, F.lit("&#")), F.array_join(F.transform(F.split(t, "&#"), piece), "")).otherwise(t)
+    # Text without the sign, which is most of it, is not touched.
+    return F.when(F.contains(value, F.lit("&")), F.replace(_let(named, numbers), F.lit("&amp;"), F.lit("&"))).otherwise(value)
 
 
 def attribute(name: str):
@@ -80,16 +80,16 @@ def attribute(name: str):
 def xml_elements(screens: DataFrame, markup: str, key: str) -> DataFrame:
     """UI elements of hierarchy dumps: every node but the root, with typed columns."""
     nodes = tag_nodes(screens, markup, key).filter(F.col("idx") > 0)
-    # All attributes of a tag are matched once.
-    found = r"""([\w-]+)\s*=\s*("[^"]*"|'[^']*')"""
-    nodes = nodes.withColumns(
-        {"_k": F.regexp_extract_all("tag", F.lit(found), 1), "_v": F.regexp_extract_all("tag", F.lit(found), 2)}
-    )
-    # Values are cut out first, so that decoding them does not look them up again.
-    quoted = lambda a: F.get("_v", (F.array_position("_k", a) - 1).cast("int"))
+    # All attributes of a tag are matched once; names and values are cut out of the matches.
+    found = r"""[\w-]+\s*=\s*(?:"[^"]*"|'[^']*')"""
+    nodes = nodes.withColumn("_all", F.regexp_extract_all("tag", F.lit(found), 0))
+    nodes = nodes.withColumn("_k", F.transform("_all", lambda x: F.rtrim(F.translate(F.substring_index(x, "=", 1), "\t\n\r\f", "    "))))
+    hit = lambda a: F.get("_all", (F.array_position("_k", a) - 1).cast("int"))
     names = {a: f"_{c}" for c, a in [*TEXT_ATTRIBUTES.items(), *FLAG_ATTRIBUTES.items()]}
-    nodes = nodes.withColumns({c: quoted(a) for a, c in names.items()})
-    nodes = nodes.withColumns({c: F.substr(c, F.lit(2), F.length(c) - 2) for c in names.values()})
+    nodes = nodes.withColumns({c: hit(a) for a, c in names.items()})
+    # The value is what stands between the first quote and the last sign; no name holds a quote.
+    start = lambda c: F.least(F.nullif(F.instr(c, '"'), F.lit(0)), F.nullif(F.instr(c, "'"), F.lit(0)))
+    nodes = nodes.withColumns({c: F.substr(c, start(c) + 1, F.length(c) - start(c) - 1) for c in names.values()})
     value = lambda a: F.col(names[a])
     out = nodes.select(
         key,

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.checkpoints import durable
+from ..plans.checkpoints import kept
 from ..plans.matching import ordered_match
 from ..plans.ordered import ordered_columns, row_number, running_sum
 
@@ -21,6 +21,11 @@ def max_depth(tree: DataFrame) -> int:
     return tree.agg(F.max("depth")).first()[0] or 0
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """A frame that several steps read: written once, so that its plan runs once and does not grow."""
+    return kept(df, "tree")
+
+
 def _stack(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -81,7 +86,7 @@ def backprop_totals(tree: DataFrame, rewards: DataFrame) -> DataFrame:
     own = rewards.groupBy("tree_id", "node_id").agg(
         F.sum("reward").alias("reward"), F.count(F.lit(1)).alias("n")
     )
-    base = durable(
+    base = _held(
         tree.select("tree_id", "node_id", "parent_id", "depth")
         .join(own, ["tree_id", "node_id"], "left")
         .withColumns(
@@ -104,7 +109,7 @@ def backprop_totals(tree: DataFrame, rewards: DataFrame) -> DataFrame:
             )
         else:
             level = level.select("tree_id", "node_id", "parent_id", "reward", "n")
-        below = durable(level)
+        below = _held(level)
         levels.append(below)
     return _stack(levels).select("tree_id", "node_id", F.col("reward").alias("value"), F.col("n").alias("visits"))
 
@@ -115,7 +120,7 @@ def q_targets(tree: DataFrame, gamma: float = 0.95) -> DataFrame:
     A terminal node, or one with r ≥ 1, is 1; a leaf is its r; any other node is
     the larger of its r and ``gamma`` times the mean of its children.
     """
-    base = durable(tree.select("tree_id", "node_id", "parent_id", "depth", "r", "terminal"))
+    base = _held(tree.select("tree_id", "node_id", "parent_id", "depth", "r", "terminal"))
     levels, below = [], None
     for d in range(max_depth(base), -1, -1):
         level = base.filter(F.col("depth") == d)
@@ -132,14 +137,14 @@ def q_targets(tree: DataFrame, gamma: float = 0.95) -> DataFrame:
             .when(F.col("future").isNull(), F.col("r"))
             .otherwise(F.greatest(F.col("r"), F.lit(gamma) * F.col("future")))
         )
-        below = durable(level.select("tree_id", "node_id", "parent_id", q.alias("q_target")))
+        below = _held(level.select("tree_id", "node_id", "parent_id", q.alias("q_target")))
         levels.append(below)
     return _stack(levels)
 
 
 def path_totals(tree: DataFrame) -> DataFrame:
     """Sums of value and visits from below the root to every node."""
-    base = durable(tree.select("tree_id", "node_id", "parent_id", "depth", "value", "visits"))
+    base = _held(tree.select("tree_id", "node_id", "parent_id", "depth", "value", "visits"))
     top = base.filter(F.col("depth") == 0).select(
         "tree_id", "node_id", (F.col("value") * 0).alias("path_value"), (F.col("visits") * 0).alias("path_visits")
     )
@@ -148,7 +153,7 @@ def path_totals(tree: DataFrame) -> DataFrame:
         above = levels[-1].withColumnRenamed("node_id", "parent_id")
         level = base.filter(F.col("depth") == d).join(above, ["tree_id", "parent_id"])
         levels.append(
-            durable(
+            _held(
                 level.select(
                     "tree_id",
                     "node_id",
@@ -336,7 +341,7 @@ def gold_value_gap(tree: DataFrame, gold: DataFrame, c: float = 5.0) -> DataFram
     From the root, each step takes the child that advances the gold match most
     (then the best UCT); the other children of that node are the siblings.
     """
-    nodes = durable(tree.select("tree_id", "node_id", "parent_id", "visits", "value", "action_list"))
+    nodes = _held(tree.select("tree_id", "node_id", "parent_id", "visits", "value", "action_list"))
     children = nodes.select(
         "tree_id",
         F.col("parent_id").alias("at"),
@@ -359,7 +364,7 @@ def gold_value_gap(tree: DataFrame, gold: DataFrame, c: float = 5.0) -> DataFram
         )
         ahead = F.col("m") > F.col("matched")
         pick = F.struct((-F.col("m")).alias("m"), (-(F.col("q") + F.col("u"))).alias("v"), "child")
-        level = durable(
+        level = _held(
             rows.groupBy("tree_id", "at").agg(
                 F.min_by(F.struct("child", "cv", "q", "u", "m"), F.when(ahead, pick)).alias("b"),
                 F.count(F.lit(1)).alias("n"),
@@ -402,7 +407,7 @@ def failure_diagnostic(tree: DataFrame, gold: DataFrame, top_children: int = 8)
     ``tree`` also has ``q_target``.  Returns one row per tree, and at most
     ``top_children`` ranked children per tree.
     """
-    nodes = durable(
+    nodes = _held(
         tree.select("tree_id", "node_id", "parent_id", "visits", "value", "action_list", "q_target")
     )
     at = nodes.filter(F.col("parent_id").isNull()).join(gold, "tree_id").select(
@@ -411,7 +416,7 @@ def failure_diagnostic(tree: DataFrame, gold: DataFrame, top_children: int = 8)
     stopped = []
     while True:
         nxt = child_matching_prefix(nodes, at.filter(F.col("matched") < F.size("target")))
-        level = durable(at.join(nxt, ["tree_id", "node_id"], "left"))
+        level = _held(at.join(nxt, ["tree_id", "node_id"], "left"))
         stopped.append(level.filter(F.col("child_id").isNull()).select("tree_id", "node_id", "target", "matched"))
         at = level.filter(F.col("child_id").isNotNull()).select(
             "tree_id", F.col("child_id").alias("node_id"), "target", F.col("length").alias("matched")
