@@ -27,7 +27,8 @@ def texts():
 @pytest.mark.parametrize("cap", [10**9, 5])
 def test_fuzzy_join_equals_all_pairs(spark, texts, cap):
     left, right = texts
-    left = left + [(100, ""), (101, "é")]
+    left = left + [(100, ""), (101, "é"), (102, "a" * 30), (103, "ab" * 20), (104, "ababababab"), (105, "x" * 9), (106, "Red bolt"), (107, "red bolt")]
+    right = right + [(102, "A" * 33), (103, "ab" * 21 + "c"), (104, "abababababa"), (105, "x" * 10), (106, "redd bolt"), (107, "RED BOLT")]
     a = spark.createDataFrame(left, "left_id long, left_text string").repartition(4)
     b = spark.createDataFrame(right, "right_id long, right_text string")
     got = sorted(tuple(r) for r in J.fuzzy_join(a, b, max_broadcast_bytes=cap, block_rows=7).collect())
@@ -59,3 +60,41 @@ def test_intervals_of_any_length(spark):
     want = sorted((i, k) for i, a, b in events for k, t in points if a <= t <= b)
     assert got == want and len(want) > 40
     assert J.interval_overlap(e.limit(0), p).count() == 0
+
+
+def test_texts_of_few_trigrams_meet_the_others(spark):
+    """Pairs of one text with many different trigrams and one with few, of two with few, and short ones, on the large route."""
+    rng = random.Random(4)
+    left = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(1, 40)))) for i in range(80)]
+    right = [(i, t[:j] + rng.choice("abc") + t[j + rng.randint(0, 1) :]) for i, (_, t) in enumerate(left) for j in [rng.randrange(len(t))]]
+    a = spark.createDataFrame(left, "left_id long, left_text string")
+    b = spark.createDataFrame(right, "right_id long, right_text string")
+    got = sorted(tuple(r) for r in J.fuzzy_join(a, b, max_broadcast_bytes=0, block_rows=9).collect())
+    want = sorted((i, j) for i, s in left for j, t in right if fuzzy_equal(s, t))
+    assert got == want and len(want) > 60
+
+
+def test_suggested_names(spark):
+    from trajgraph.functions import fuzzy as Z
+    from trajgraph.operators import filters as X
+
+    # Known answers of the weighted ratio, worked out by hand from its parts.
+    assert Z.weighted_ratio("Add Contact!", "add contact") == 100
+    assert Z.weighted_ratio("contact add", "add contact") == 95
+    assert Z.weighted_ratio("add", "add a contact now") == 90
+    assert Z.weighted_ratio("", "add") == 0 and Z.weighted_ratio("??", "add") == 0
+    rng = random.Random(2)
+    words = "add new contact delete note simple calendar event play music browser draw clock timer files move recipe expense".split()
+    known = sorted({"".join(w.capitalize() for w in rng.sample(words, 3)) for _ in range(60)} | {" ".join(rng.sample(words, 3)) for _ in range(40)})
+    bend = lambda t: "".join(c for c in t if rng.random() > 0.08) + rng.choice(["", "x", " now"])
+    wanted = sorted({bend(rng.choice(known)) for _ in range(60)} | {"zz9", "", "add", "Delete"})
+    df = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
+    want = {}
+    for n in wanted:
+        if n not in known:
+            score, name = max(((Z.weighted_ratio(n, k), k) for k in known), key=lambda s: (s[0], [-ord(c) for c in s[1]]))
+            top = [k for k in known if Z.weighted_ratio(n, k) == score]
+            want[n] = min(top) if score >= 80 else None
+    for most in (10**9, 20_000):
+        got = {r.name: r.suggestion for r in X.unknown_names(df(wanted), df(known), name_bytes=most).collect()}
+        assert got == want and sum(v is not None for v in want.values()) > 40

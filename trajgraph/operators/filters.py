@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fuzzy import Names
+from ..plans.checkpoints import kept
+from ..plans.spread import spread
+
 
 def actionable_steps(steps: DataFrame) -> DataFrame:
     """Steps that knowledge mining can use: an element index and a target element."""
@@ -126,22 +130,44 @@ def subset(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return rows.join(wanted.select(key), key, "left_semi")
 
 
-def unknown_names(wanted: DataFrame, known: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Names nobody knows, each with the closest known name if it is close enough.
+#: Bytes of known names that are sent to the tasks at once.
+NAME_BYTES = 16_000_000
+
 
-    ``wanted(name)``, ``known(name)``.  Closeness is the edit-distance ratio, so a name only
-    meets known names whose length the threshold allows: an equi join on the length.
+def unknown_names(wanted: DataFrame, known: DataFrame, threshold: int = 80, name_bytes: int = NAME_BYTES) -> DataFrame:
+    """Names nobody knows, each with the known name of the highest weighted ratio if that is at least ``threshold``.
+
+    ``wanted(name)``, ``known(name)``.  Ties go to the smaller known name.  Known names whose bytes are counted
+    first are sent to the tasks that hold the unknown ones, in blocks if they are many.
     """
     missing = wanted.select("name").distinct().join(known, "name", "left_anti")
-    size = F.length("name")
-    lengths = F.sequence(F.ceil(size * threshold).cast("int"), F.floor(size / threshold).cast("int"))
-    listed = known.select(F.col("name").alias("k")).distinct().withColumn("n", F.length("k"))
-    pairs = missing.select("name", F.explode(lengths).alias("n")).join(listed, "n")
-    ratio = 1 - F.levenshtein("k", "name") / F.greatest(F.length("k"), size, F.lit(1))
-    best = pairs.withColumn("s", ratio).filter(F.col("s") >= threshold).groupBy("name").agg(
-        F.max_by("k", F.struct("s", "k")).alias("suggestion")
-    )
-    return missing.join(best, "name", "left")
+    listed = known.select(F.col("name").alias("k")).filter("k IS NOT NULL").distinct()
+    # A profile of numbers lies beside each name.
+    size = listed.agg(F.coalesce(F.sum(F.octet_length("k") + 700), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-size // name_bytes))
+    listed = kept(listed.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks))), "known-names")
+    asked = kept(spread(missing, "name"), "unknown-names")
+    best = None
+    for block in range(blocks):
+        found = _suggested(asked, [r.k for r in listed.filter(F.col("block") == block).collect()], threshold)
+        best = found if best is None else best.unionByName(found)
+    top = best.groupBy("name").agg(F.min_by("k", F.struct((-F.col("score")).alias("s"), "k")).alias("suggestion"))
+    return asked.join(top, "name", "left")
+
+
+def _suggested(names: DataFrame, known: list[str], threshold: int) -> DataFrame:
+    held = names.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        import pandas as pd
+
+        table = Names(held.value)
+        for pdf in batches:
+            found = [(n, table.best(n, threshold)) for n in pdf["name"] if n is not None]
+            found = [(n, *b) for n, b in found if b]
+            yield pd.DataFrame({"name": [f[0] for f in found], "score": [f[1] for f in found], "k": [f[2] for f in found]})
+
+    return names.mapInPandas(run, "name string, score int, k string")
 
 
 def without_titles(noise: DataFrame, targets: DataFrame, title: str = "title") -> DataFrame:

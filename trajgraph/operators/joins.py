@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.udfs import FUZZY_RATIO, fuzzy_equal
+from ..functions.udfs import FUZZY_RATIO, fuzzy_equal, fuzzy_match
+from ..plans.checkpoints import kept
 from ..plans.ordered import ordered_columns, row_number
+from ..plans.spread import spread
 
 
 def nearest_coords(points: DataFrame, places: DataFrame, delta: float = 0.001) -> DataFrame:
@@ -193,32 +195,90 @@ def fuzzy_join(
 ) -> DataFrame:
     """All pairs of texts with a sequence-matcher ratio of at least 0.9, ignoring case.
 
-    ``left(left_id, left_text)``, ``right(right_id, right_text)``.  A right side whose bytes are
-    counted first is broadcast and the left side is read once, without a shuffle.  A larger one is
-    cut in blocks per length band on both sides.  Exact bounds on lengths,
+    ``left(left_id, left_text)``, ``right(right_id, right_text)``.  Texts that are equal but for case are one on
+    either side.  A right side whose bytes are counted first is broadcast and the left side is read once, without a shuffle.
+    A larger one meets the left side by shared rare trigrams (:func:`_by_grams`).  Exact bounds on lengths,
     characters and trigrams leave few pairs for the ratio; only matches are emitted.
     """
-    left = left.select("left_id", "left_text").filter(F.col("left_text").isNotNull())
-    right = right.select("right_id", "right_text").filter(F.col("right_text").isNotNull())
-    kinds = {c: f.schema[c].dataType.simpleString() for f, c in ((left, "left_id"), (right, "right_id"))}
-    schema = ", ".join(f"{c} {t}" for c, t in kinds.items())
-    size = right.agg(F.coalesce(F.sum(F.octet_length("right_text") + PROFILE_BYTES), F.lit(0)).alias("n")).first()["n"]
+    left = left.select("left_id", F.lower("left_text").alias("left_text")).filter(F.col("left_text").isNotNull())
+    right = right.select("right_id", F.lower("right_text").alias("right_text")).filter(F.col("right_text").isNotNull())
+    left, right = kept(left, "fuzzy-left"), kept(right, "fuzzy-right")
+    texts = kept(left.select(F.col("left_text").alias("l")).distinct(), "fuzzy-left-texts")
+    others = kept(right.select(F.col("right_text").alias("r")).distinct(), "fuzzy-right-texts")
+    size = others.agg(F.coalesce(F.sum(F.octet_length("r") + PROFILE_BYTES), F.lit(0)).alias("n")).first()["n"]
     if size > max_broadcast_bytes:
-        return _fuzzy_blocks(left, right, block_rows, schema)
-    head = right.toPandas()
-    shared = left.sparkSession.sparkContext.broadcast((head["right_id"].tolist(), head["right_text"].tolist()))
-
-    def scan(batches):
-        block = _TextBlock(*shared.value)
-        for pdf in batches:
-            yield _pairs(pdf["left_id"], pdf["left_text"], block)
-
-    return left.mapInPandas(scan, schema)
+        found = _by_grams(texts, others, block_rows)
+    else:
+        head = [r.r for r in others.collect()]
+        shared = left.sparkSession.sparkContext.broadcast((head, head))
+
+        def scan(batches):
+            block = _TextBlock(*shared.value)
+            for pdf in batches:
+                yield _pairs(pdf["l"], pdf["l"], block)
+
+        found = spread(texts, "l").mapInPandas(scan, "l string, r string")
+    pairs = left.join(found.withColumnRenamed("l", "left_text"), "left_text").withColumnRenamed("r", "right_text")
+    return pairs.join(right, "right_text").select("left_id", "right_id")
+
+
+def _grams(text: Column) -> Column:
+    """The different trigrams of a text."""
+    n = F.length(text)
+    return F.when(
+        n >= _GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), n - (_GRAM - 1)), lambda i: F.substr(text, i, F.lit(_GRAM))))
+    ).otherwise(F.array().cast("array<string>"))
+
+
+def _by_grams(texts: DataFrame, others: DataFrame, block_rows: int) -> DataFrame:
+    """``l, r``: pairs of different lower-case texts that match, for two large sides.
+
+    With T the characters of both texts, at most 0.1 T are unmatched, and each spoils three trigrams.  Below T = 20 that leaves
+    equal texts and those that differ by one character more: the longer one without that character is the
+    shorter one.  Else, with ``s`` the most that a partner of a text can spoil, two texts of more than ``s`` different trigrams share
+    one among the ``s + 1`` rarest of each: an equi join, whose survivors meet the count of common trigrams and then the ratio.
+    Texts of few different trigrams post all of them, which finds their pairs with the others; among themselves they meet in
+    blocks by length.
+    """
+    reach = (2 - FUZZY_RATIO) / FUZZY_RATIO
+    spoil = (_GRAM * F.floor((1 - FUZZY_RATIO) * (1 + reach) * F.length("t") + 1e-9)).cast("int")
+    sides = texts.select(F.lit(0).alias("side"), F.col("l").alias("t")).unionByName(others.select(F.lit(1).alias("side"), F.col("r").alias("t")))
+    sides = kept(sides.withColumn("grams", _grams(F.col("t"))).withColumn("spoil", spoil), "fuzzy-grams")
+    loose = F.size("grams") <= F.col("spoil")
+    posted = sides.select("side", "t", "spoil", F.explode("grams").alias("gram"))
+    often = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    ranked = posted.join(often, "gram").groupBy("side", "t", "spoil").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("by"))
+    prefix = kept(ranked.select("side", "t", F.explode(F.slice("by.gram", F.lit(1), F.col("spoil") + 1)).alias("gram")), "fuzzy-prefix")
+    one = prefix.filter("side = 0").select("gram", F.col("t").alias("l"))
+    two = prefix.filter("side = 1").select("gram", F.col("t").alias("r"))
+    total = F.length("l") + F.length("r")
+    fits = 2 * F.least(F.length("l"), F.length("r")) >= FUZZY_RATIO * total - 1e-9
+    met = one.join(two, "gram").filter(fits).select("l", "r").distinct()
+    shared = F.size(F.array_intersect(_grams(F.col("l")), _grams(F.col("r"))))
+    least = F.greatest(F.size(_grams(F.col("l"))), F.size(_grams(F.col("r")))) - _GRAM * F.floor((1 - FUZZY_RATIO) * total + 1e-9)
+    met = met.filter(shared >= least)
+
+    # Short pairs: a text is a key as it is and without each of its characters.
+    def keys(df: DataFrame, name: str) -> DataFrame:
+        n = F.length(name)
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substr(name, F.lit(1), i - 1), F.substr(name, i + 1)))
+        return df.filter(n < 20).select(name, F.explode(F.array_distinct(F.concat(F.array(name), cut))).alias("key"))
+
+    short = keys(texts, "l").join(keys(others, "r"), "key").filter((total < 20) & ((F.col("key") == F.col("l")) | (F.col("key") == F.col("r"))))
+    few = [sides.filter(loose & (F.col("side") == i)) for i in (0, 1)]
+    blocks = _fuzzy_blocks(
+        few[0].select(F.col("t").alias("left_id"), F.col("t").alias("left_text")),
+        few[1].select(F.col("t").alias("right_id"), F.col("t").alias("right_text")),
+        block_rows,
+        "left_id string, right_id string",
+    )
+    candidates = met.unionByName(short.select("l", "r")).distinct().filter(fuzzy_match(F.col("l"), F.col("r")))
+    return candidates.unionByName(blocks.toDF("l", "r")).distinct()
 
 
 def _pairs(ids, texts, block) -> pd.DataFrame:
     found = [(i, m) for i, t in zip(ids, texts) for m in block.matches(t)]
-    return pd.DataFrame({"left_id": [f[0] for f in found], "right_id": [f[1] for f in found]})
+    return pd.DataFrame([f[:2] for f in found], columns=["l", "r"])
 
 
 def _fuzzy_blocks(left, right, block_rows, schema):
@@ -242,6 +302,7 @@ def _fuzzy_blocks(left, right, block_rows, schema):
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"left_id": [], "right_id": []})
-        return _pairs(a["left_id"], a["left_text"], _TextBlock(b["right_id"].tolist(), b["right_text"].tolist()))
+        found = _pairs(a["left_id"], a["left_text"], _TextBlock(b["right_id"].tolist(), b["right_text"].tolist()))
+        return found.set_axis(["left_id", "right_id"], axis=1)
 
     return lefts.groupBy("band", "bl", "br").cogroup(rights.groupBy("band2", "bl2", "br2")).applyInPandas(match, schema)
