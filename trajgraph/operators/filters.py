@@ -159,15 +159,16 @@ def _suggested(names: DataFrame, known: list[str], threshold: int) -> DataFrame:
     held = names.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         table = Names(held.value)
-        for pdf in batches:
-            found = [(n, table.best(n, threshold)) for n in pdf["name"] if n is not None]
+        for batch in batches:
+            found = [(n, table.best(n, threshold)) for n in batch.column(0).to_pylist() if n is not None]
             found = [(n, *b) for n, b in found if b]
-            yield pd.DataFrame({"name": [f[0] for f in found], "score": [f[1] for f in found], "k": [f[2] for f in found]})
+            kinds = (pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], names=["name", "score", "k"])
 
-    return names.mapInPandas(run, "name string, score int, k string")
+    return names.select("name").mapInArrow(run, "name string, score int, k string")
 
 
 def without_titles(noise: DataFrame, targets: DataFrame, title: str = "title") -> DataFrame:
