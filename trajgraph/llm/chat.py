@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import only, table, text_of
+from .common import chunked, let, only, running, table, text_of
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Tokens one attachment expands to when the part does not say so.
@@ -100,7 +100,6 @@ def format_chat(messages: DataFrame) -> DataFrame:
             (t["role"] == "assistant").alias("loss"),
         ),
     )
-    zero = F.struct(F.lit(0).cast("int").alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def place(acc, b):
         start = acc["pos"] + b["at"]
@@ -110,6 +109,12 @@ def format_chat(messages: DataFrame) -> DataFrame:
             F.when(b["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
         )
 
+    def placed(pieces):
+        """Positions are summed piece by piece, so that a long conversation takes time in proportion to it."""
+        totals = F.transform(pieces, lambda piece: F.aggregate(piece, F.lit(0), lambda a, b: (a + F.length(b["block"])).cast("int")))
+        zero = lambda at: F.struct(at.alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+        return let(running(totals, F.lit(0)), lambda before: F.flatten(F.zip_with(pieces, before, lambda piece, at: F.aggregate(piece, zero(at), place)["spans"])))
+
     files = F.flatten(
         F.transform(
             F.col("turns"),
@@ -125,7 +130,7 @@ def format_chat(messages: DataFrame) -> DataFrame:
         .select(
             "conv_id",
             F.concat_ws("", F.transform("blocks", lambda b: b["block"])).alias("formatted"),
-            F.aggregate("blocks", zero, place)["spans"].alias("loss_spans"),
+            let(F.col("blocks"), lambda b: let(chunked(b), placed)).alias("loss_spans"),
             F.transform(
                 "files",
                 lambda f, i: F.struct(
@@ -146,10 +151,14 @@ def read_turns(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss spans, unescaped, nothing between."""
-    return F.concat_ws(
-        "", F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["end"] - s["start"])))
-    )
+    """All text under the loss spans, unescaped, nothing between; each piece of spans looks only at its own stretch of the text."""
+
+    def under(piece):
+        low = F.get(piece, F.lit(0))["start"]
+        stretch = F.substr(formatted, low + 1, F.element_at(piece, -1)["end"] - low)
+        return let(stretch, lambda c: F.array_join(F.transform(piece, lambda s: unescape(F.substr(c, s["start"] - low + 1, s["end"] - s["start"]))), ""))
+
+    return let(spans, lambda all_spans: F.array_join(F.transform(chunked(all_spans), under), ""))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

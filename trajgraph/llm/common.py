@@ -53,4 +53,27 @@ def only(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def chunked(items: Column) -> Column:
+    """An array cut into about as many pieces as each of them has elements; an empty one gives none.
+
+    What a fold over n elements builds by appending is copied n times; over pieces it is copied as often as a piece is long.
+    """
+    step = F.ceil(F.sqrt(F.size(items).cast("double"))).cast("int")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.greatest(step, F.lit(1)))
+    cut = F.transform(starts, lambda s: F.slice(items, s, F.greatest(step, F.lit(1))))
+    return F.filter(cut, lambda c: F.size(c) > 0)
+
+
+def running(totals: Column, start: Column) -> Column:
+    """What stands before each of a few totals: ``start``, then the sum so far."""
+    zero = F.struct(start.alias("sum"), F.array().cast("array<int>").alias("before"))
+    step = lambda acc, x: F.struct((acc["sum"] + x).cast("int").alias("sum"), F.concat(acc["before"], F.array(acc["sum"])).alias("before"))
+    return F.aggregate(totals, zero, step)["before"]
+
+
 Query = Callable[[SparkSession, str], DataFrame]

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, only, stored, table, text_of
+from .common import chunked, fresh, let, only, running, stored, table, text_of
 
 # The base patterns (kind, pattern, group of the value, least length of the value).
 BASE = (
@@ -42,7 +42,6 @@ def find_spans(text: Column, kind: int) -> Column:
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
     between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("spans"))
 
     def step(acc, x):
         start = acc["pos"] + F.length(x["between"])
@@ -61,8 +60,16 @@ def find_spans(text: Column, kind: int) -> Column:
             F.when(found, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).cast(SPAN).alias("spans"),
         )
 
+    def spans(pieces):
+        """Positions are summed piece by piece, so that a text of many hits takes time in proportion to it."""
+        size = lambda x: F.length(x["between"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
+        totals = F.transform(pieces, lambda piece: F.aggregate(piece, F.lit(0), lambda a, x: (a + size(x)).cast("int")))
+        zero = lambda at: F.struct(at.alias("pos"), F.array().cast(SPAN).alias("spans"))
+        return let(running(totals, F.lit(0)), lambda before: F.flatten(F.zip_with(pieces, before, lambda piece, at: F.aggregate(piece, zero(at), step)["spans"])))
+
     zipped = F.arrays_zip(between.alias("between"), hits.alias("hit"), values.alias("value"))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, zero, step)["spans"]).otherwise(F.array().cast(SPAN))
+    found = let(zipped, lambda z: let(chunked(z), spans))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
 def scan(docs: DataFrame, id_col="doc_id", text_col="text", repo: Column | str = "source", owner: Column | str = "source") -> DataFrame:
@@ -141,19 +148,42 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = MAX_OWNERS
     )
     marked = held.join(spans, row, "left")
     text = F.col(text_col)
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        gap = F.when(s["start"] > acc["pos"], F.concat(F.substr(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark)))
-        gap = F.when(s["start"] >= acc["pos"], F.coalesce(gap, F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], gap).alias("out"))
-
-    done = F.aggregate(added, zero, step)
-    clean = F.concat(done["out"], F.substr(text, done["pos"] + 1))
+    clean = let(chunked(F.col(added)), lambda pieces: _masked(text, pieces, mark))
     marked = marked.withColumn(text_col, F.when(F.size(added) > 0, clean).otherwise(text))
     return docs.filter(~suspect).unionByName(marked.select(*docs.columns))
 
 
+def _masked(text: Column, pieces: Column, mark: str) -> Column:
+    """``text`` with its spans replaced, in pieces of spans by start, each of which looks only at its own stretch of the text.
+
+    A stretch reaches from the first span of a piece to that of the next one; ``done`` is the furthest end of all spans before.
+    """
+    first = lambda piece: F.get(piece, F.lit(0))["start"]
+    furthest = lambda piece: F.array_max(F.transform(piece, lambda s: s["end"]))
+    ends = F.transform(pieces, furthest)
+
+    def stretch(piece, i):
+        low = first(piece)
+        high = F.coalesce(F.try_element_at(F.transform(pieces, first), i + 2), F.length(text))
+        done = F.coalesce(F.array_max(F.slice(ends, F.lit(1), i)), F.lit(0))
+        cut = F.substr(text, low + 1, high - low)
+
+        def masked(c):
+            own = lambda a, b: F.substr(c, a - low + 1, b - a)
+            zero = F.struct(F.greatest(low, done).alias("pos"), F.lit("").alias("out"))
+
+            def step(acc, s):
+                new = F.when(s["start"] >= acc["pos"], F.concat(own(acc["pos"], s["start"]), F.lit(mark))).otherwise("")
+                return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], new).alias("out"))
+
+            return let(F.aggregate(piece, zero, step), lambda a: F.concat(a["out"], F.when(a["pos"] < high, own(a["pos"], high)).otherwise("")))
+
+        return let(cut, masked)
+
+    head = F.substr(text, F.lit(1), first(F.get(pieces, F.lit(0))))
+    return F.concat(head, F.array_join(F.transform(pieces, stretch), ""))
+
+
 def _lines(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])))
