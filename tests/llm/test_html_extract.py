@@ -1,7 +1,9 @@
 import html
+import random
 import re
 
 import pytest
+from trajgraph.llm import html_extract as H
 from trajgraph.llm.html_extract import extract, main_text, op2_html_extract
 
 LONG = "This is the story, told in full, with enough words, commas and length to count as a paragraph of its own."
@@ -69,3 +71,63 @@ def test_nulls_repeats_and_other_columns(spark):
     want = CASES["article"][1]
     assert got == sorted([(1, "u", "", 0), (1, None, want, len(want)), (1, None, want, len(want)), (None, "v", "é🙂", 2)], key=repr)
     assert extract(df.limit(0)).count() == 0
+
+
+def test_the_article_stays_whole():
+    page = "<nav>menu</nav><article><h1>Head</h1><p>Some text, told at length.</p><h2>Tools</h2><ul>" + "".join(
+        f"<li><a href=x>{n}</a></li>" for n in ("Saw", "Axe", "Awl")
+    )
+    page += "</ul><p>So <math><mi>x</mi> = <mn>2</mn></math> holds, and <label>some lab</label> word.</p></article><footer>foot</footer>"
+    assert main_text(page) == "Head Some text, told at length. Tools Saw Axe Awl So x = 2 holds, and some lab word."
+
+
+def brute_scores(page):
+    """Points, link shares and container scores straight from the rules, element by element."""
+    out, bonus = H._left_out(page, True)
+    n = len(page.tag)
+    up = lambda i: [i] + (up(page.parent[i]) if i else [])
+    runs = [(i, " ".join(t.split()), t) for i, _, t in page.runs if not out[i]]
+    inside = lambda e: [(i, t) for i, t, _ in runs if e in up(i)]
+    chars = lambda e: sum(len(t) for _, t in inside(e))
+    links = lambda e: sum(len(t) for i, t in inside(e) if any(page.tag[a] == "a" for a in up(i)))
+    share = lambda e: links(e) / chars(e) if chars(e) else 0.0
+    block = lambda i: next((a for a in up(i) if page.tag[a] in H.BLOCK), 0)
+    score = [0.0] * n
+    for e in range(1, n):
+        own = [(t, raw) for i, t, raw in runs if block(i) == e]
+        length = sum(len(t) for t, _ in own)
+        if not length or out[e] or page.tag[e] in H.HEADINGS:
+            continue
+        points = (min(1.0, length / 25) + sum(raw.count(",") for _, raw in own) + min(length / 100, 3.0)) * (1 - share(e))
+        target = e if page.tag[e] in H._CONTAINERS else page.parent[e]
+        for a, part in zip([a for a in up(target) if a], (1, 2, 6, 9, 12)):
+            score[a] += points / part
+    return {e: (score[e] + bonus[e]) * (1 - share(e)) for e in range(1, n) if page.tag[e] in H._CONTAINERS and chars(e) and not out[e]}
+
+
+def test_the_best_container_by_brute_force():
+    rng = random.Random(4)
+    words = "one two, three four, five six seven".split()
+    say = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    found = 0
+    for _ in range(60):
+        parts = []
+        for b in range(rng.randint(2, 5)):
+            kind = rng.choice(["", ' class="content"', ' class="sidebar"', ' id="x"'])
+            body = "".join(
+                f"<p>{say(rng.randint(1, 60))}</p>" if rng.random() < 0.7 else f"<p><a href=u>{say(rng.randint(1, 9))}</a> {say(2)}</p>" for _ in range(rng.randint(1, 5))
+            )
+            parts.append(f"<div{kind}>{body}</div>" if rng.random() < 0.7 else f"<section><div{kind}>{body}</div><p>{say(9)}</p></section>")
+        page = H.Page("<body>" + "".join(parts) + "</body>")
+        scores = brute_scores(page)
+        top = max(scores.values())
+        best = min(e for e, v in scores.items() if v == top)
+        out, _ = H._left_out(page, True)
+        chosen = " ".join(H._text(page, out, [best]).split())
+        text = H._scored(page, True)
+        found += chosen in text
+        # Nothing comes out but the best container and siblings of it.
+        beside = [e for e in range(1, len(page.tag)) if page.parent[e] == page.parent[best]]
+        assert set(text.split()) <= set(H._text(page, out, beside).split())
+        assert chosen in text
+    assert found == 60

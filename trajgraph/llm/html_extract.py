@@ -7,7 +7,8 @@ sidebars, notices, adverts, forms, reader comments and everything invisible neve
 ``main`` element the whole element is the container, so that its heading stays with its paragraphs. If class names leave nothing or very
 little of a page, it is scored again with them as a malus only.
 
-Broken markup (open paragraphs, missing or stray end tags, cut pages) is read like browsers read it. Each page is one row of an Arrow batch
+Broken markup (open paragraphs, missing or stray end tags, deep nesting, cut pages) is read like browsers read it, in time in proportion to
+the page. Each page is one row of an Arrow batch
 and needs a few times its own size; nothing is shuffled.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +26,13 @@ by_value(__name__)
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+TEXTS = frozenset(("article", "main"))
+ENTRIES = frozenset(("li",))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open element of the listed kinds.
 CLOSES = {
@@ -38,7 +42,7 @@ CLOSES = {
 #: An open element of these kinds shelters those around it from such closing and from stray end tags.
 SHELTER = frozenset("table ul ol dl article main section body html div".split())
 
-NEVER = frozenset("head nav aside footer menu dialog button select datalist canvas object audio video applet search legend label".split())
+NEVER = frozenset("head nav aside footer menu dialog button select datalist canvas object audio video applet search".split())
 _BAD = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|"
     r"newsletter|subscribe|subscription|signup|login|share|sharing|social|comments?|commentlist|disqus|respond|repl(?:y|ies)|sidebar|widgets?|"
@@ -76,6 +80,7 @@ class Page:
         self.first_run: list[int] = [0]
         self.end_run: list[int] = [0]
         open_: list[int] = [0]
+        count: dict[str, int] = {}  # open elements of each kind, so that a stray end tag costs one look
         glued = False
         at = 0
         size = len(source)
@@ -90,10 +95,13 @@ class Page:
             nonlocal glued
             for node in open_[depth:]:
                 self.end[node], self.end_run[node] = len(self.tag), len(self.runs)
+                count[self.tag[node]] -= 1
                 glued = glued and self.tag[node] not in BLOCK
             del open_[depth:]
 
         def close_open(kinds):
+            if not any(count.get(k) for k in kinds):
+                return
             for depth in range(len(open_) - 1, 0, -1):
                 kind = self.tag[open_[depth]]
                 if kind in kinds:
@@ -121,8 +129,8 @@ class Page:
                 if name == "br":
                     glued = False
                     continue
-                if name == "p" and not any(self.tag[n] == "p" for n in open_):
-                    glued = False
+                if not count.get(name):
+                    glued = glued and name != "p"
                     continue
                 for depth in range(len(open_) - 1, 0, -1):
                     kind = self.tag[open_[depth]]
@@ -155,8 +163,10 @@ class Page:
                     at = stop.end() if stop else size
                 elif not rest.endswith("/") or name in BLOCK or name in ("a", "span", "b", "i", "em", "strong"):
                     open_.append(node)
+                    count[name] = count.get(name, 0) + 1
         close(1)
         self.end[0], self.end_run[0] = len(self.tag), len(self.runs)
+        self.before: dict[frozenset, list[int]] = {}
 
     def attribute(self, node: int) -> dict[str, str]:
         raw = self.attributes[node]
@@ -164,8 +174,15 @@ class Page:
             return {}
         return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
 
-    def holds(self, node: int, kinds) -> bool:
-        return any(self.tag[n] in kinds for n in range(node + 1, self.end[node]))
+    def inside(self, node: int, kinds: frozenset) -> int:
+        """How many elements of some kinds an element holds; counted once for the whole page."""
+        sums = self.before.get(kinds)
+        if sums is None:
+            sums = self.before[kinds] = [0, *accumulate(tag in kinds for tag in self.tag)]
+        return sums[self.end[node]] - sums[node + 1]
+
+    def holds(self, node: int, kinds: frozenset) -> bool:
+        return self.inside(node, kinds) > 0
 
 
 def _left_out(page: Page, strict: bool) -> tuple[list[bool], list[float]]:
@@ -181,17 +198,17 @@ def _left_out(page: Page, strict: bool) -> tuple[list[bool], list[float]]:
         if not bad and name == "header":
             bad = not (within[parent] and page.holds(node, HEADINGS))
         if not bad and name in ("form", "fieldset"):
-            bad = not page.holds(node, ("article", "main"))
+            bad = not page.holds(node, TEXTS)
         if not bad:
             held = page.attribute(node)
             marks = _ASIDE.sub("", f"{held.get('class', '')} {held.get('id', '')}")
             if marks != " " and name in BLOCK | {"span", "a"} and name not in ("html", "body", "article", "main"):
                 if _BAD.search(marks):
-                    bad = strict and not page.holds(node, ("article", "main")) and name not in HEADINGS
+                    bad = strict and not page.holds(node, TEXTS) and name not in HEADINGS
                     points -= 25
                     nested[node] = True
                 elif _HEADER.search(marks):
-                    bad = strict and not page.holds(node, ("article", "main")) and name not in HEADINGS
+                    bad = strict and not page.holds(node, TEXTS) and name not in HEADINGS
                     bad = bad and not (within[parent] and page.holds(node, HEADINGS))
                     points -= 25
                 elif _GOOD.search(marks):
@@ -200,7 +217,7 @@ def _left_out(page: Page, strict: bool) -> tuple[list[bool], list[float]]:
                 bad = strict and nested[parent]  # a reader's comment or a teaser
                 points -= 25
             bad = bad or "hidden" in held or held.get("aria-hidden") == "true" or bool(_HIDDEN.search(held.get("style", "")))
-            bad = bad or held.get("role", "").lower() in _BAD_ROLES and not page.holds(node, ("article", "main"))
+            bad = bad or held.get("role", "").lower() in _BAD_ROLES and not page.holds(node, TEXTS)
         out.append(bad)
         bonus.append(points)
     return out, bonus
@@ -281,11 +298,18 @@ def _scored(page: Page, strict: bool) -> str:
 
 
 def _drop_menus(page: Page, out: list[bool], size: list[int], linked: list[int]) -> None:
-    """Lists of three or more short entries that are nothing but links count as menus."""
+    """Lists of three or more short entries that are nothing but links count as menus.
+
+    Inside an article only a list ahead of all its text does; one below a heading or a paragraph is part of what is told.
+    """
+    around = [0] * len(page.tag)  # the article around each element
+    before = [0, *accumulate(0 if out[node] else len(text.strip()) for node, _, text in page.runs)]
     for node in range(1, len(page.tag)):
+        around[node] = node if page.tag[node] in TEXTS else around[page.parent[node]]
         if page.tag[node] in ("ul", "ol") and not out[node] and size[node] and linked[node] == size[node]:
-            entries = sum(page.tag[k] == "li" for k in range(node + 1, page.end[node]))
-            if entries >= 3 and size[node] / entries <= 40:
+            entries = page.inside(node, ENTRIES)
+            told = around[node] and before[page.first_run[node]] > before[page.first_run[around[node]]]
+            if entries >= 3 and size[node] / entries <= 40 and not told:
                 for k in range(node, page.end[node]):
                     out[k] = True
 
