@@ -117,3 +117,28 @@ def test_hard_rows_and_rejection(spark, monkeypatch):
     assert predict(df.filter("doc_id = 4"), one).first().lang == "xx"
     monkeypatch.setattr(langid, "REMEMBER", 50)
     assert count_ngrams(base.select("lang", "text")).agg(F.sum("n")).first() == count_ngrams(base.select("lang", "text")).agg(F.sum("n")).first()
+
+
+def test_letters_of_every_script_are_apart():
+    """Letters whose codes agree in their last bits, and letters beyond the first plane."""
+    words = ["авг", "αβγ", "漢字仮", "ابت", "ꙀѐА", "𐐨𐐩", "ƀĀ"]
+    seen = {}
+    for w in words:
+        for c in set(w):
+            seen.setdefault(int(langid.symbols(c)[0]), set()).add(c)
+    assert 0 not in seen and all(len(v) == 1 for v in seen.values())
+    assert langid.symbols("1 -\n🙂_").tolist() == [0] * 6
+
+
+def test_scripts_are_told_apart_and_one_junk_label_changes_little(spark):
+    texts = {"ru": "это просто слова и они стоят тут", "el": "αυτές είναι απλές λέξεις που στέκονται εδώ", "en": "these are just words and they stand here"}
+    rows = [(lang, " ".join(np.random.default_rng(i).permutation(t.split() * 3))) for i in range(60) for lang, t in texts.items()]
+    training = spark.createDataFrame(rows, "lang string, text string")
+    clean, junk = training.limit(100), training.limit(100).unionByName(spark.createDataFrame([("en", "q7z xkj wvq " * 30)], "lang string, text string"))
+    one, two = fit(training, clean), fit(training, junk)
+    assert one.limit == two.limit and one.limit < 20
+    asked = spark.createDataFrame([(1, "слова стоят"), (2, "λέξεις απλές"), (3, "words stand here"), (4, "wvq xkj qqz " * 20)], "doc_id long, text string")
+    for model in (one, two):
+        got = {r.doc_id: r for r in predict(asked, model).collect()}
+        assert [got[i].lang for i in (1, 2, 3)] == ["ru", "el", "en"] and not any(got[i].rejected for i in (1, 2, 3))
+        assert got[4].rejected

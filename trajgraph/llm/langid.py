@@ -3,19 +3,22 @@
 Counting: every training text is cut into words, and every word into character n-grams; a character beyond a word's border is the border
 symbol. Counts of the highest order are summed over the corpus. Lower orders use continuation counts (how many different symbols
 precede an n-gram; real counts where it starts at a border), and each order is interpolated with the next lower one, all as joins and
-aggregations. For scoring, n-grams become slots of ``2**SLOT_BITS``, kept as one sorted array for each order with a column of
-log-probabilities for each language; n-grams that share a slot take the likelier value. That bounds what is broadcast:
-``ORDER * 2**SLOT_BITS * (16 + 8 * languages)`` bytes, however large the corpus.
+aggregations. For scoring, each order is one sorted array of packed n-grams, four whole 16-bit symbols each, with a column of
+log-probabilities for each language, so no two n-grams share a value. What is broadcast grows with the different n-grams seen,
+``16 + 16 * languages`` bytes for each; it is counted first, and more than ``MODEL_BYTES`` is an error instead of a cut.
 
 A text's score is its cross-entropy in nats per character event under each model; the lowest wins. A tenth of the training documents is
 left out of the counts and calibrates the answer: by the log-likelihood margin over the second best, the share of right answers gives
-the score; answers of low score, or with a cross-entropy far above all calibration texts, are rejected.
+the score; answers of low score are rejected, and so are texts whose cross-entropy is far above that of nearly all rightly answered
+calibration texts.
 
 Words repeat, so a task scores each different word once.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,33 +29,42 @@ from .words import REMEMBER, WordTable, chunks
 by_value(__name__)
 
 ORDER = 4
-SLOT_BITS = 20
-SYMBOL_BITS = 9
-#: Characters from here on share the last 128 symbols.
-FOLD = 0x180
+SYMBOL_BITS = 16
+#: Letters beyond the first plane take the symbols of its private area, which hold no letters.
+PLANE, PRIVATE, PRIVATE_SIZE = 0x10000, 0xE000, 6400
+#: Most bytes of a model.
+MODEL_BYTES = 600_000_000
 UNKNOWN = "und"
 #: Words whose n-grams are held at once: some 100 bytes for each of their characters.
 SLICE = 30_000
 #: Calibration: bins of the margin, 4 for each factor e; answers below this share of right ones are rejected.
 BINS = 64
 LEAST_SCORE = 0.5
-#: A text is rejected when its cross-entropy exceeds the largest one among calibration texts of this many events by this factor.
+#: A text is rejected when its cross-entropy exceeds this share of rightly answered calibration texts of so many events by this factor;
+#: the share is read from a histogram of so many bins per nat.
 LEAST_EVENTS = 20
-SLACK = 1.25
+USUAL = 0.99
+SLACK = 2.0
+PER_NAT, ENTROPIES = 20, 400
 
 NGRAMS = "lang string, g long, n long"
 SCORES = "doc_id long, lang string, score double, rejected boolean"
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Which characters of the first plane are letters."""
+    return np.array([chr(c).isalpha() for c in range(PLANE)])
+
+
 def symbols(text: str) -> np.ndarray:
-    """A symbol for each character of a lower-cased text: 0 where it is no letter."""
+    """A symbol for each character of a lower-cased text: its code, 0 where it is no letter."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-    low = np.array([chr(c).isalpha() for c in range(FOLD)])
-    out = np.where(low[np.minimum(codes, FOLD - 1)], codes, 0)
-    high = codes >= FOLD
+    out = np.where(_letters()[np.minimum(codes, PLANE - 1)], codes, 0)
+    high = codes >= PLANE
     if high.any():
         kinds, back = np.unique(codes[high], return_inverse=True)
-        out[high] = np.array([FOLD + c % 128 if chr(c).isalpha() else 0 for c in kinds.tolist()])[back]
+        out[high] = np.array([PRIVATE + c % PRIVATE_SIZE if chr(c).isalpha() else 0 for c in kinds.tolist()])[back]
     return out
 
 
@@ -75,9 +87,12 @@ def events(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return g[real], place[real]
 
 
-def slot_of(g):
-    """The slot of a packed n-gram, alike for columns and arrays; no step leaves 64 bits."""
-    return ((g * 1048573 + 12345) % 2147483647) % (1 << SLOT_BITS)
+def lower_bits(g, n: int):
+    """The last ``n`` symbols of packed n-grams, alike for columns and arrays; all of them fill the 64 bits."""
+    if n >= ORDER:
+        return g
+    mask = (1 << SYMBOL_BITS * n) - 1
+    return g.bitwiseAND(mask) if isinstance(g, Column) else g & mask
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
@@ -119,7 +134,7 @@ def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     """For orders 1 to ``ORDER``: ``(lang, g, p)`` of every n-gram seen, and ``(lang, h, weight)``, the lower order's share by context."""
     types = {ORDER: counts.select("lang", "g", F.col("n").alias("raw"), F.col("n").alias("c"))}
     for n in range(ORDER - 1, 0, -1):
-        suffix = F.col("g").bitwiseAND((1 << SYMBOL_BITS * n) - 1).alias("g")
+        suffix = lower_bits(F.col("g"), n).alias("g")
         lower = types[n + 1].groupBy("lang", suffix).agg(F.sum("raw").alias("raw"), F.count("*").alias("c"))
         at_border = F.lit(n > 1) & (F.shiftright("g", SYMBOL_BITS * (n - 1)) == 0)
         types[n] = stored(lower.withColumn("c", F.when(at_border, F.col("raw")).otherwise(F.col("c"))), "ngram-types")
@@ -138,7 +153,7 @@ def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
             rows = rows.withColumn("lower", F.lit(1.0 / (1 << SYMBOL_BITS)))
         else:
             low = below.select("lang", F.col("g").alias("suffix"), F.col("p").alias("lower"))
-            rows = rows.withColumn("suffix", F.col("g").bitwiseAND((1 << SYMBOL_BITS * (n - 1)) - 1)).join(low, ["lang", "suffix"])
+            rows = rows.withColumn("suffix", lower_bits(F.col("g"), n - 1)).join(low, ["lang", "suffix"])
         p = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("lower")
         below = stored(rows.select("lang", "g", p.alias("p")), "ngram-probabilities")
         out.append((below, contexts.select("lang", "h", "weight")))
@@ -146,11 +161,11 @@ def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
 
 
 class Model:
-    """Sorted slot arrays of all orders; scores events of words."""
+    """Sorted n-gram arrays of all orders; scores events of words."""
 
     def __init__(self, langs: list[str]):
         self.langs = langs
-        self.slots: list[np.ndarray] = []
+        self.grams: list[np.ndarray] = []
         self.logs: list[np.ndarray] = []
         self.contexts: list[np.ndarray] = []
         self.weights: list[np.ndarray] = []
@@ -167,8 +182,8 @@ class Model:
         """Log-probabilities (event, language); an n-gram no language has backs off to its suffix."""
         if n == 0:
             return np.full((len(g), len(self.langs)), -SYMBOL_BITS * np.log(2))
-        g = g & ((1 << SYMBOL_BITS * n) - 1)
-        at, found = self.lookup(self.slots[n - 1], slot_of(g))
+        g = lower_bits(g, n)
+        at, found = self.lookup(self.grams[n - 1], g)
         out = self.logs[n - 1][at] if len(self.logs[n - 1]) else np.zeros((len(g), len(self.langs)))
         if not found.all():
             rest = g[~found]
@@ -176,7 +191,7 @@ class Model:
         return out
 
     def weight(self, h: np.ndarray, n: int) -> np.ndarray:
-        at, found = self.lookup(self.contexts[n - 1], slot_of(h))
+        at, found = self.lookup(self.contexts[n - 1], h)
         weights = self.weights[n - 1][at] if len(self.weights[n - 1]) else np.zeros((len(h), len(self.langs)))
         return np.where(found[:, None], weights, 0.0)
 
@@ -225,14 +240,14 @@ def _document_sums(model: Model):
     return sums
 
 
-def _matrix(rows: DataFrame, key: str, value: str, langs: list[str], how) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted slots and a (slot, language) matrix of ``value``, NaN where a language lacks the slot."""
-    held = rows.groupBy(slot_of(F.col(key)).alias("slot"), "lang").agg(how(value).alias("x")).toArrow()
-    slots, back = np.unique(held.column("slot").to_numpy(), return_inverse=True)
-    out = np.full((len(slots), len(langs)), np.nan)
+def _matrix(rows: DataFrame, key: str, value: str, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and a (key, language) matrix of ``value``, NaN where a language lacks the key."""
+    held = rows.select(F.col(key).alias("key"), "lang", F.col(value).alias("x")).toArrow()
+    keys, back = np.unique(held.column("key").to_numpy(), return_inverse=True)
+    out = np.full((len(keys), len(langs)), np.nan)
     column = {lang: i for i, lang in enumerate(langs)}
     out[back, [column[x] for x in held.column("lang").to_pylist()]] = held.column("x").to_numpy()
-    return slots, out
+    return keys, out
 
 
 def fit(training: DataFrame, calibration: DataFrame) -> Model:
@@ -241,25 +256,26 @@ def fit(training: DataFrame, calibration: DataFrame) -> Model:
     counts = stored(count_ngrams(training.filter(labelled)), "ngram-counts")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     model = Model(langs)
-    for n, (probabilities, contexts) in enumerate(kneser_ney(counts), 1):
-        slots, p = _matrix(probabilities, "g", "p", langs, F.max)
-        where, w = _matrix(contexts, "h", "weight", langs, F.max)
-        model.slots.append(slots)
+    orders = kneser_ney(counts)
+    size = sum(p.select("g").distinct().count() for p, _ in orders) * (16 + 16 * len(langs))
+    if size > MODEL_BYTES:
+        raise ValueError(f"the language models take {size} bytes; raise MODEL_BYTES or lower ORDER")
+    for n, (probabilities, contexts) in enumerate(orders, 1):
+        grams, p = _matrix(probabilities, "g", "p", langs)
+        where, w = _matrix(contexts, "h", "weight", langs)
+        model.grams.append(grams)
         model.contexts.append(where)
         model.weights.append(np.nan_to_num(np.log(w), nan=0.0))
-        # A language that lacks the n-gram backs off like at scoring; the packed n-gram behind a slot gives suffix and context.
-        known = probabilities.groupBy(slot_of(F.col("g")).alias("slot")).agg(F.max_by("g", "p").alias("g")).toArrow()
-        g = np.zeros(len(slots), np.int64)
-        g[np.searchsorted(slots, known.column("slot").to_numpy())] = known.column("g").to_numpy()
+        # A language that lacks the n-gram backs off like at scoring.
         logs = np.log(p)
-        back_off = model.score(g, n - 1) + model.weight(g >> SYMBOL_BITS, n) if len(g) else logs
+        back_off = model.score(grams, n - 1) + model.weight(grams >> SYMBOL_BITS, n) if len(grams) else logs
         model.logs.append(np.where(np.isnan(logs), back_off, logs))
     calibrate(model, calibration.filter(labelled))
     return model
 
 
 def calibrate(model: Model, rows: DataFrame) -> None:
-    """Sets the share of right answers by margin, never falling, and the largest usual cross-entropy."""
+    """Sets the share of right answers by margin, never falling, and the cross-entropy that nearly all right answers stay below."""
     if not model.langs:
         return
     held = rows.sparkSession.sparkContext.broadcast(model)
@@ -268,7 +284,7 @@ def calibrate(model: Model, rows: DataFrame) -> None:
         import pyarrow as pa
 
         sums = _document_sums(held.value)
-        right, total, top = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64), np.zeros(BINS)
+        right, total, usual = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64), np.zeros(ENTROPIES, np.int64)
         for langs, texts in chunks(batches):
             for lang, s in zip(langs, sums(texts)):
                 if s[-1]:
@@ -276,26 +292,26 @@ def calibrate(model: Model, rows: DataFrame) -> None:
                     i = margin_bin(margin)
                     total[i] += 1
                     right[i] += held.value.langs[best] == lang
-                    if s[-1] >= LEAST_EVENTS:
-                        top[i] = max(top[i], entropy)
-        columns = [pa.array(np.arange(BINS)), pa.array(total), pa.array(right), pa.array(top)]
-        yield pa.RecordBatch.from_arrays(columns, names=["bin", "total", "correct", "top"])
-
-    schema = "bin long, total long, correct long, top double"
-    bins = rows.select("lang", "text").mapInArrow(run, schema).groupBy("bin").agg(
-        F.sum("total").alias("total"), F.sum("correct").alias("correct"), F.max("top").alias("top")
-    )
-    found = sorted(bins.collect(), key=lambda r: r.bin)
+                    if s[-1] >= LEAST_EVENTS and held.value.langs[best] == lang:
+                        usual[min(ENTROPIES - 1, int(PER_NAT * entropy))] += 1
+        kind, cell = np.repeat([0, 1, 2], [BINS, BINS, ENTROPIES]), np.concatenate([np.arange(BINS), np.arange(BINS), np.arange(ENTROPIES)])
+        columns = [pa.array(kind), pa.array(cell), pa.array(np.concatenate([total, right, usual]))]
+        yield pa.RecordBatch.from_arrays(columns, names=["kind", "cell", "n"])
+
+    found = rows.select("lang", "text").mapInArrow(run, "kind long, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
+    total, right, usual = np.zeros(BINS), np.zeros(BINS), np.zeros(ENTROPIES)
+    for r in found.collect():  # a few hundred counts
+        (total, right, usual)[r.kind][r.cell] = r.n
     pooled: list[list[float]] = []  # neighbouring bins are pooled until the shares never fall
-    for r in found:
-        pooled.append([r.correct + 1.0, r.total + 1.5, 1])
+    for t, c in zip(total, right):
+        pooled.append([c + 1.0, t + 1.5, 1])
         while len(pooled) > 1 and pooled[-2][0] / pooled[-2][1] > pooled[-1][0] / pooled[-1][1]:
             last = pooled.pop()
             pooled[-1] = [a + b for a, b in zip(pooled[-1], last)]
-    shares = [min(1.0, a / b) for a, b, k in pooled for _ in range(k)]
-    model.margins = np.array(shares) if shares else np.full(BINS, 2 / 3)
-    top = max((r.top for r in found), default=0.0)
-    model.limit = SLACK * top if top else np.inf
+    model.margins = np.array([min(1.0, a / b) for a, b, k in pooled for _ in range(k)])
+    if usual.sum():
+        place = int(np.searchsorted(np.cumsum(usual), USUAL * usual.sum()))
+        model.limit = SLACK * (place + 1) / PER_NAT
 
 
 def judge(model: Model, sums: np.ndarray) -> tuple[str, float, bool]:
