@@ -56,3 +56,15 @@ def test_kept_rows_keep_their_columns(spark):
     want = {(keep, sha) for _, keep, _, _, sha in brute(rows)}
     got = [(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_owners_hold_ranges_of_the_directory(spark):
+    """With the parameters of the registered query there are many buckets, and each index file holds a range of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    index, directory, bits = x._indexed(docs, "doc_id", "text")
+    assert directory.select("first").distinct().count() > 1
+    files = index.groupBy(F.input_file_name().alias("file")).agg(F.min("first").alias("low"), F.max("first").alias("high")).collect()
+    ends = sorted((r.low, r.high) for r in files)
+    assert len(ends) > 1 and all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+    known = x.routed(docs.select(F.xxhash64("text").alias("key")).filter("text is not null"), directory, bits)
+    assert known.filter(F.shiftrightunsigned("key", 64 - bits) < F.col("first")).isEmpty()
