@@ -42,7 +42,6 @@ def test_walks_find_what_a_full_scan_finds(scale):
 def test_hard_rows(spark, monkeypatch):
     monkeypatch.setattr(kdtree, "SHARD_ROWS", 30)
     monkeypatch.setattr(kdtree, "BLOCK_ROWS", 3)
-    monkeypatch.setattr(kdtree, "GROUP_SHARDS", 2)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 8]) for i in range(200)]
     rows += [(i, [0.5, 0.5, 0.5, 0.5]) for i in range(200, 320)]

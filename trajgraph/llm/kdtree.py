@@ -1,20 +1,19 @@
 """Exact top-k by inner product with a KD-tree per shard.
 
 Vectors are dealt to shards by a hash of their id. A task builds the tree of a shard: median splits of the widest dimension down to
-leaves, each node with the tight box of its vectors. Queries come in blocks, and a block meets the shards in groups. Within a group a
-query walks each tree best first: the bound of a node is the largest inner product its box allows, a heap gives the best node next, and
-the walk ends when no bound reaches the query's k-th score. That score is carried from shard to shard. The few rows left per query and
-group of shards are ranked by Spark.
+leaves, each node with the tight box of its vectors. Trees lie in parts of a few shards; every tree is written and shuffled once, and the
+queries are sent to each part. Within a part a query walks each tree best first: the bound of a node is the largest inner product its
+box allows, a heap gives the best node next, and the walk ends when no bound reaches the query's k-th score. That score is carried
+from shard to shard. The few rows left per query and part are ranked by Spark.
 
-Memory: a task holds one shard (``SHARD_ROWS`` vectors), or one group of shards with one block of queries. All numbers are whole, and sums
-that stay below 2**53 are exact in floating point; larger ones are taken with Python's integers.
+Memory: a task holds one shard (``SHARD_ROWS`` vectors), or one part of ``PART_SHARDS`` shards with one Arrow batch of queries. All numbers are
+whole, and sums that stay below 2**53 are exact in floating point; larger ones are taken with Python's integers.
 """
 
 from __future__ import annotations
 
 import heapq
 import io
-import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,13 +21,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import by_value, only, stored, table
+from .meet import meet, packed, parts_of, rows_of
 
 by_value(__name__)
 
-#: Vectors of a shard, queries of a block, shards that a task walks one after the other, vectors of a leaf.
-SHARD_ROWS = 20_000
+#: Vectors of a shard, queries walked at once, vectors of a leaf.
+SHARD_ROWS = 4096
 BLOCK_ROWS = 256
-GROUP_SHARDS = 8
 LEAF_ROWS = 128
 
 
@@ -128,8 +127,8 @@ def walk(tree: dict, own: int, query: np.ndarray, bounds: np.ndarray, best: list
 def search_block(trees: list[dict], ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """``(query, vector, score)`` of the best ``k`` of every query over the trees, one tree after the other."""
     best: list[list] = [[] for _ in ids]
+    largest = lambda x: max(abs(int(x.min())), abs(int(x.max())))
     for tree in trees:
-        largest = lambda x: int(np.abs(x.astype(object)).max()) if x.dtype == object else int(np.abs(x).max())
         exact = queries.shape[1] * max(1, largest(tree["vectors"])) * max(1, largest(queries)) < 1 << 53
         kind = np.float64 if exact else object
         one = tree | {name: tree[name].astype(kind) for name in ("vectors", "low", "high")}
@@ -161,39 +160,36 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
         kept = only(df, id=F.col(id_col).cast("long"), v=vector_col).filter(F.col("id").isNotNull() & usable("v"))
         return kept.select("id", whole.alias("vector"), F.size("v").alias("width"))
 
-    def dealt(df, most, key):
-        n = F.lit(max(1, math.ceil(df.count() / most)))
-        return df.withColumn(key, F.pmod(F.xxhash64("id"), n).cast("int"))
-
     def plant(key, part):
         import pyarrow as pa
 
         ids, vecs = _matrix(part)
         data = _dump(**build_tree(ids, vecs, k + 1))
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "width": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([data], pa.binary())})
-
-    def gather(key, part):
-        import pyarrow as pa
+        return pa.table({"width": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
 
-        ids, vecs = _matrix(part)
-        data = _dump(ids=ids, vectors=vecs)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "width": pa.array([key[1].as_py()], pa.int32()), "asked": pa.array([data], pa.binary())})
+    loaded: list = [None, []]
 
-    def search(part):
+    def search(entries, data):
         import pyarrow as pa
 
-        asked = _load(part.column("asked")[0].as_py())
-        trees = [_load(t.as_py()) for t in part.column("tree")]
-        found = search_block(trees, asked["ids"], asked["vectors"], k)
+        if loaded[0] is not entries or len(loaded[1]) != len(entries):
+            loaded[:] = entries, [_load(e) for e in entries]
+        asked = [np.frombuffer(d, "<i8") for d in data]
+        found = []
+        for at in range(0, len(asked), BLOCK_ROWS):
+            some = np.stack(asked[at : at + BLOCK_ROWS])
+            found += search_block(loaded[1], some[:, 0], some[:, 1:], k)
         columns = zip(*found) if found else ([], [], [])
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    shards = dealt(rows(vectors), SHARD_ROWS, "shard")
-    trees = stored(shards.groupBy("shard", "width").applyInArrow(plant, "shard int, width int, tree binary"), "kd-trees")
-    blocks = dealt(rows(queries), BLOCK_ROWS, "block")
-    blocks = stored(blocks.groupBy("block", "width").applyInArrow(gather, "block int, width int, asked binary"), "query-blocks")
-    pairs = blocks.join(trees, "width").withColumn("part", F.floor(F.col("shard") / GROUP_SHARDS))
-    found = pairs.groupBy("block", "width", "part").applyInArrow(search, "query_id long, vec_id long, score long")
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    held = rows(vectors)
+    shards, place = rows_of(held, SHARD_ROWS)
+    planted = held.withColumn("shard", place).groupBy("width", "shard").applyInArrow(plant, "width int, shard int, data binary")
+    trees = stored(planted, "kd-trees")
+    one = rows(queries).groupBy("id").agg(F.min("vector").alias("vector"))
+    asked = stored(one.select(F.size("vector").alias("width"), packed(F.array("id"), F.col("vector")).alias("data")), "kd-queries")
+    parts = parts_of(shards, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = meet(trees, asked, parts, search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

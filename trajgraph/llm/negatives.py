@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import by_value, only, stored, table
-from .meet import meet, parts_of, rows_of
+from .meet import meet, packed, parts_of, rows_of
 
 by_value(__name__)
 
@@ -356,13 +356,6 @@ def mine(
     return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
-def packed(*arrays: Column) -> Column:
-    """Arrays of longs as little-endian bytes."""
-    reverse = lambda h: F.concat(*[F.substring(h, at, 2) for at in range(15, 0, -2)])
-    digits = F.transform(F.concat(*arrays), lambda x: reverse(F.lpad(F.hex(x), 16, "0")))
-    return F.unhex(F.array_join(digits, ""))
-
-
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A label of every seventh row is moved on first, so that some near copies carry different labels."""
     rows = table(spark, sf_dir, "embeddings")
