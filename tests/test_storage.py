@@ -59,6 +59,9 @@ def test_episode_store(spark, tmp_path, as_rows):
     put(os.path.join(path, bucket, "part-broken.parquet"), "not parquet")
     assert EP.load_episodes(spark, path).count() == 3
     assert [r[0].rsplit("/", 1)[1] for r in EP.rejected_files(spark, path).collect()] == ["part-broken.parquet"]
+    rows, counts = EP.load_counted(spark, path, ["v"])
+    n_files = sum(f.endswith(".parquet") for _, _, names in os.walk(path) for f in names)
+    assert sorted(r.v for r in rows.collect()) == [1, 1, 9] and [tuple(r) for r in counts.collect()] == [(n_files, 1)]
 
 
 def test_gold_success_words(spark, tmp_path, as_rows):

@@ -131,6 +131,25 @@ def _(spark, sf):
     return A.table(spark, sf, "orders").filter(GP.is_success(flag)).select("o_orderkey")
 
 
+@query(
+    "S06_gold_files",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS task, o_orderstatus AS app FROM orders WHERE o_orderpriority <> '5-LOW' AND NOT (o_orderpriority = '3-MEDIUM' AND o_orderstatus <> 'P')",
+)
+def _(spark, sf):
+    p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
+    flag = (
+        F.when(p == "1-URGENT", F.when(s == "F", " Yes").otherwise("TRUE")).when(p == "2-HIGH", F.when(s == "O", "1").otherwise("success"))
+        .when((p == "3-MEDIUM") & (s != "P"), "false").when(p == "5-LOW", "0")
+    )
+    # A file holds the entries of a thousand keys as one JSON array.
+    part = F.floor(F.col("o_orderkey") / 1000).alias("part")
+    entry = F.struct(F.col("o_orderkey").cast("string").alias("task"), s.alias("app"), flag.alias("success"))
+    files = A.table(spark, sf, "orders").groupBy(part).agg(F.to_json(F.collect_list(entry)).alias("value"))
+    folder = scratch(spark, "gold")
+    files.repartition("part").write.partitionBy("part").text(folder)
+    return SM.read_gold(spark, folder, "task string, app string, success string").select("task", "app")
+
+
 @query(
     "S08_gold_export",
     with_ctes(
