@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trajgraph.functions import dates as D
 from trajgraph.functions import parsing as P
 from trajgraph.functions import ui as UI
-from trajgraph.functions.udfs import embed, extract_json, parse_call, phash
+from trajgraph.functions.udfs import embed, extract_json, parse_call, phash, phash_image
 from trajgraph.operators import screens as S
 from trajgraph.operators import synthetic as Y
 
@@ -145,6 +145,12 @@ def test_image_hash_and_embedding(spark):
     a, b, c, d, odd, none = [r[0] for r in df.select(phash("p")).collect()]
     bits = lambda x, y: bin(int(x, 16) ^ int(y, 16)).count("1")
     assert bits(a, b) < 8 and bits(a, c) > 64 and d is None and odd is None and none is None and len(a) == 64
+    wide = df.limit(1).select(*[phash_image("p", F.lit(w), F.lit(h)) for w, h in ((32, 32), (64, 16), (16, 64), (30, 30), (-32, -32))]).first()
+    assert wide[0] == a and len({a, wide[1], wide[2]}) == 3 and wide[3] is None and wide[4] is None
+    turned = bytearray(flat.reshape(64, 16).T.copy().tobytes())
+    other_way = spark.createDataFrame([(turned,)], "p binary").select(phash_image("p", F.lit(64), F.lit(16))).first()[0]
+    as_bits = lambda h: np.unpackbits(np.frombuffer(bytes.fromhex(h), np.uint8)).reshape(16, 16)
+    assert (as_bits(other_way) == as_bits(wide[2]).T).all()
     v, w = [r[0] for r in spark.createDataFrame([("b a",), ("a B",)], "x string").select(embed("x")).collect()]
     assert v == w and abs(sum(x * x for x in v) - 1) < 1e-6
 

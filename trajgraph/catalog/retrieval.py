@@ -279,7 +279,42 @@ def _(spark, sf):
     return v.join(c, "namespace").select("id", F.round(cosine(F.col("values"), F.col("mean")), 6).alias("score"))
 
 
-@query("V08_element_match")
+# The best assignment by trying every set of partners for the first element of the smaller page, the first two, and so on.
+SCREENS = """
+el AS (
+  SELECT id // 8 AS page_id, id AS element_id, "values"::DOUBLE[] AS v, 0.1::DOUBLE * (id % 4) AS x0, 0.1::DOUBLE * (id % 3) AS y0,
+         0.1::DOUBLE * (id % 4) + 0.2::DOUBLE AS x1, 0.1::DOUBLE * (id % 3) + 0.3::DOUBLE AS y1,
+         row_number() OVER (PARTITION BY id // 8 ORDER BY id) AS i, count(*) OVER (PARTITION BY id // 8) AS n FROM vectors),
+d AS (
+  SELECT pair_id, i, j, n, 0.7 * (1 - list_cosine_similarity(v, w))
+    + 0.3 * (sqrt(power((x0 + x1) / 2 - (u0 + u1) / 2, 2) + power((y0 + y1) / 2 - (z0 + z1) / 2, 2))
+             + sqrt(power((x1 - x0) - (u1 - u0), 2) + power((y1 - y0) - (z1 - z0), 2))) / 4 AS dist
+  FROM (
+    SELECT a.page_id AS pair_id, a.i, b.i AS j, a.n, a.v, b.v AS w, a.x0, a.x1, a.y0, a.y1, b.x0 AS u0, b.x1 AS u1, b.y0 AS z0, b.y1 AS z1
+    FROM el a JOIN el b ON b.page_id = a.page_id + 1 WHERE a.n <= b.n
+    UNION ALL
+    SELECT b.page_id, a.i, b.i, a.n, a.v, b.v, a.x0, a.x1, a.y0, a.y1, b.x0, b.x1, b.y0, b.y1
+    FROM el a JOIN el b ON a.page_id = b.page_id + 1 WHERE a.n < b.n)),
+m0 AS (SELECT DISTINCT pair_id, 0 AS mask, {'cost': 0.0::DOUBLE, 'good': 0, 'sum': 0.0::DOUBLE} AS s, n FROM d)""" + "".join(
+    f""",
+m{k} AS MATERIALIZED (
+  SELECT m.pair_id, m.mask | (1 << (d.j - 1)) AS mask, any_value(m.n) AS n, arg_min({{'cost': m.s.cost + dist,
+           'good': m.s.good + CAST(dist < 0.75 AS INT), 'sum': m.s.sum + CASE WHEN dist < 0.75 THEN 1 - dist ELSE 0 END}}, m.s.cost + dist) AS s
+  FROM m{k - 1} m JOIN d ON d.pair_id = m.pair_id AND d.i = {k} AND (m.mask >> (d.j - 1)) & 1 = 0 GROUP BY 1, 2)"""
+    for k in range(1, 9)
+)
+
+
+@query(
+    "V08_element_match",
+    with_ctes(
+        "vectors",
+        "SELECT pair_id, s.good AS matched, round(CASE WHEN s.good > 0 THEN s.sum / s.good ELSE 0 END, 6) AS score FROM ("
+        + " UNION ALL ".join(f"SELECT pair_id, arg_min(s, s.cost) AS s FROM m{k} WHERE n = {k} GROUP BY 1" for k in range(1, 9))
+        + ")",
+        extra=SCREENS,
+    ),
+)
 def _(spark, sf):
     # Eight consecutive vectors stand for one screen's elements.
     el = A.vectors(spark, sf).select(

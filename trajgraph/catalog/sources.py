@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.udfs import embed, phash
+from ..functions.udfs import embed, phash, phash_image
 from ..operators import gold as GP
 from ..operators import screens as S
 from ..plans import adapters as A
@@ -289,11 +289,34 @@ def _(spark, sf):
 # -------------------------------------------------------------- UDF surface (Y)
 
 
-@query("Y02_phash")
+def page_pixels(n):
+    """The raw bytes of a page's digest chain, 32 from each digest, stand for its screenshot."""
+    return F.unhex(F.concat(*[F.sha2(F.concat("html", F.lit(str(i))), 256) for i in range(n)]))
+
+
+def cosine_hash(width: int, height: int, digests: int) -> str:
+    """The hash in SQL: cosine sums over x, then over y, their median, and a hex digit for every four comparisons."""
+    chain = " || ".join(f"sha256(html || '{i}')" for i in range(digests))
+    return f"""
+WITH px AS (
+  SELECT page_id, i // {width} AS y, i % {width} AS x, CAST('0x' || substr(h, 2 * i + 1, 2) AS INT) AS b
+  FROM (SELECT page_id, {chain} AS h FROM pages), (SELECT unnest(range(0, {width * height}))::INT AS i)),
+freq AS (SELECT unnest(range(0, 16))::INT AS f),
+across AS (SELECT page_id, y, f AS v, sum(b * cos(pi() / {width} * (x + 0.5) * f)) AS s FROM px, freq GROUP BY ALL),
+low AS (SELECT page_id, f AS u, v, sum(s * cos(pi() / {height} * (y + 0.5) * f)) AS c FROM across, freq GROUP BY ALL),
+bits AS (SELECT page_id, u * 16 + v AS k, c > median(c) OVER (PARTITION BY page_id) AS bit FROM low),
+digits AS (SELECT page_id, k // 4 AS k, sum(CAST(bit AS INT) << (3 - k % 4))::INT AS d FROM bits GROUP BY page_id, k // 4)
+SELECT page_id, string_agg(substr('0123456789ABCDEF', d + 1, 1), '' ORDER BY k) AS hash FROM digits GROUP BY page_id"""
+
+
+@query("Y02_phash", cosine_hash(16, 16, 8))
+def _(spark, sf):
+    return A.table(spark, sf, "pages").select("page_id", phash(page_pixels(8)).alias("hash"))
+
+
+@query("Y02_phash_wide", cosine_hash(32, 16, 16))
 def _(spark, sf):
-    # The raw bytes of the page's digest chain stand for its screenshot.
-    pixels = F.unhex(F.concat(*[F.sha2(F.concat("html", F.lit(str(i))), 256) for i in range(8)]))
-    return A.table(spark, sf, "pages").select("page_id", phash(pixels).alias("hash"))
+    return A.table(spark, sf, "pages").select("page_id", phash_image(page_pixels(16), F.lit(32), F.lit(16)).alias("hash"))
 
 
 @query("Y04_embed", "WITH " + EMBED.strip() + " SELECT doc_id, array_to_string(v, ',') AS v FROM filled")

@@ -133,15 +133,22 @@ def phash(pixels: pd.Series) -> pd.Series:
     their median, so small changes of single pixels change few bits.
     """
 
-    def one(raw):
-        side = math.isqrt(len(raw or b""))
-        if not side or side * side != len(raw):
-            return None
-        img = np.frombuffer(raw, dtype=np.uint8).reshape(side, side).astype(float)
-        n = np.arange(side)
-        basis = np.cos(np.pi / side * (n[None, :] + 0.5) * np.arange(HASH_SIDE)[:, None])
-        low = basis @ img @ basis.T
-        bits = np.packbits((low > np.median(low)).ravel())
-        return bits.tobytes().hex().upper()
-
-    return pixels.map(one)
+    return pd.Series([_phash(raw, math.isqrt(len(raw or b"")), None) for raw in pixels])
+
+
+@F.pandas_udf(T.StringType())
+def phash_image(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    """:func:`phash` of a grey image of any width and height, its rows one after the other; null if the bytes are not as many."""
+    return pd.Series([_phash(raw, w, h) for raw, w, h in zip(pixels, width, height)])
+
+
+def _phash(raw: bytes | None, width: int, height: int | None) -> str | None:
+    if raw is None or pd.isna(width) or (height is not None and pd.isna(height)):
+        return None
+    width, height = int(width), int(width if height is None else height)
+    if width <= 0 or width * height != len(raw):
+        return None
+    img = np.frombuffer(raw, dtype=np.uint8).reshape(height, width).astype(float)
+    basis = lambda side: np.cos(np.pi / side * (np.arange(side)[None, :] + 0.5) * np.arange(HASH_SIDE)[:, None])
+    low = basis(height) @ img @ basis(width).T
+    return np.packbits((low > np.median(low)).ravel()).tobytes().hex().upper()
