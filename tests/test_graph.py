@@ -85,6 +85,8 @@ def test_rewrite_prefers_long_groups(spark, as_rows):
     )
     match = P.matching_groups(steps.select("path_id", F.col("elem").alias("element_id")), members)
     assert sorted(r.action_id for r in match.collect()) == ["A", "B"]
+    as_set = lambda df: {tuple(r) for r in df.select("path_id", "action_id", "element_id").collect()}
+    assert as_set(P.choose_groups(match, members)) == as_set(P.choose_groups(match, members, folded=0))
     out = P.rewrite_with_groups(steps, P.choose_groups(match, members)).orderBy("run").collect()
     assert [(r.elem, r.src, r.tgt, r.n_steps) for r in out] == [("B", "s0", "s3", 3), ("x", "s3", "s4", 1), ("B", "s4", "s6", 2)]
 
@@ -152,3 +154,22 @@ def test_round_batch_wraps(spark):
     df = spark.createDataFrame([("c",), ("a",), ("b",)], "task string")
     got = [r.task for r in T.round_batch(df, "task", 4, 5).orderBy("slot").collect()]
     assert got == ["b", "c", "a", "b", "c"]
+
+
+def test_groups_are_chosen_alike_by_fold_and_rounds(spark):
+    import random
+
+    rng = random.Random(6)
+    members = {f"A{i:02d}": set(rng.sample("abcdefghijklmnop", rng.randint(1, 5))) for i in range(40)}
+    matches = [(f"p{p}", a, len(members[a])) for p in range(6) for a in rng.sample(sorted(members), 25)]
+    want = set()
+    for p in {m[0] for m in matches}:
+        taken = set()
+        for _, a in sorted((-n, a) for q, a, n in matches if q == p):
+            if not members[a] & taken:
+                taken |= members[a]
+                want |= {(p, a, e) for e in members[a]}
+    m = spark.createDataFrame(matches, "path_id string, action_id string, group_size long")
+    e = spark.createDataFrame([(a, x) for a, xs in members.items() for x in xs], "action_id string, element_id string")
+    for folded in (64, 0):
+        assert {tuple(r) for r in P.choose_groups(m, e, folded).select("path_id", "action_id", "element_id").collect()} == want

@@ -327,6 +327,19 @@ def _(spark, sf):
     )
 
 
+@query(
+    "E11_transpose_parts",
+    """SELECT l_orderkey, part, array_to_string(list(l_partkey ORDER BY rn), ',') AS parts FROM (
+         SELECT *, (rn - 1) // 3 AS part FROM (
+           SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn FROM lineitem))
+       GROUP BY l_orderkey, part""",
+)
+def _(spark, sf):
+    li = A.table(spark, sf, "lineitem").withColumn("at", F.struct("l_linenumber", "l_partkey"))
+    parts = R.to_columns(li, "l_orderkey", "at", ["l_partkey"], part_rows=3)
+    return parts.select("l_orderkey", F.col("part").cast("long").alias("part"), F.array_join("l_partkey", ",").alias("parts"))
+
+
 @query(
     "E11_transpose_back",
     """SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.checkpoints import durable, written
+from ..plans.checkpoints import durable, kept, written
 from ..plans.ordered import is_hot, lag, lead, ordered_columns, running_sum
 from .search import forced_walks
 
@@ -252,30 +252,44 @@ def matching_groups(path_elements: DataFrame, action_elements: DataFrame) -> Dat
     )
 
 
-def choose_groups(matches: DataFrame, action_elements: DataFrame) -> DataFrame:
-    """Greedy choice per path: longest group first, skipping overlaps.
+#: Candidate groups of a path that are folded on its row; a path with more of them goes through rounds.
+FOLDED_GROUPS = 64
 
-    The candidates of one path are few (their elements all lie in it), so they
-    are folded as an array on the path's row.
+
+def choose_groups(matches: DataFrame, action_elements: DataFrame, folded: int = FOLDED_GROUPS) -> DataFrame:
+    """Greedy choice per path: longest group first, ties to the smaller id, skipping overlaps.
+
+    The few candidates of most paths are folded as an array on the path's row.  A path with more than ``folded`` of them
+    goes through rounds over rows: a group that comes first on every one of its elements is chosen, and groups that share an
+    element with a chosen one leave.  The rounds choose what the fold would.
     """
-    members = action_elements.groupBy("action_id").agg(
-        F.array_sort(F.collect_set("element_id")).alias("members")
-    )
-    ranked = matches.join(members, "action_id").groupBy("path_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct((-F.col("group_size")).alias("neg"), "action_id", "members")
-            )
-        ).alias("groups")
+    counted = kept(matches.join(matches.groupBy("path_id").agg(F.count(F.lit(1)).alias("_n")), "path_id"), "group-matches")
+    few, many = counted.filter(F.col("_n") <= folded), counted.filter(F.col("_n") > folded)
+    members = action_elements.groupBy("action_id").agg(F.array_sort(F.collect_set("element_id")).alias("members"))
+    ranked = few.join(members, "action_id").groupBy("path_id").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("group_size")).alias("neg"), "action_id", "members"))).alias("groups")
     )
     chosen = F.expr(
         "aggregate(groups, CAST(array() AS array<struct<neg:bigint,action_id:string,members:array<string>>>),"
         " (acc, g) -> IF(exists(acc, c -> arrays_overlap(c.members, g.members)), acc,"
         " concat(acc, array(g))))"
     )
-    return ranked.select("path_id", F.explode(chosen).alias("g")).select(
+    out = ranked.select("path_id", F.explode(chosen).alias("g")).select(
         "path_id", "g.action_id", F.explode("g.members").alias("element_id")
     )
+    left = many.join(action_elements.select("action_id", "element_id").distinct(), "action_id")
+    left = kept(left.select("path_id", "action_id", (-F.col("group_size")).alias("neg"), "element_id"), "group-candidates")
+    while not left.isEmpty():
+        first = left.groupBy("path_id", "element_id").agg(F.min(F.struct("neg", "action_id")).alias("first"))
+        leads = left.join(first, ["path_id", "element_id"]).groupBy("path_id", "action_id").agg(
+            F.bool_and(F.col("first.action_id") == F.col("action_id")).alias("leads")
+        )
+        won = left.join(leads.filter("leads").select("path_id", "action_id"), ["path_id", "action_id"], "left_semi")
+        won = kept(won.select("path_id", "action_id", "element_id"), "chosen-groups")
+        out = out.unionByName(won)
+        gone = left.join(won.select("path_id", "element_id"), ["path_id", "element_id"], "left_semi").select("path_id", "action_id").distinct()
+        left = kept(left.join(gone, ["path_id", "action_id"], "left_anti"), "group-candidates")
+    return out
 
 
 def rewrite_with_groups(path_steps: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -165,12 +165,21 @@ def unsuccessful(episodes: DataFrame) -> DataFrame:
     return episodes.filter(~(F.col("is_successful").eqNullSafe(1.0)))
 
 
-def to_columns(records: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+def to_columns(records: DataFrame, key: str, order: str, fields: list[str], part_rows: int | None = None) -> DataFrame:
     """List of records per key as one row of column arrays; absent values are dropped,
-    so the arrays may be ragged.  Meant for the steps of one episode."""
+    so the arrays may be ragged.  Meant for the steps of one episode.
+
+    With ``part_rows`` a key of any length becomes rows ``part`` 0, 1, … of that many records in order, so that no
+    task gathers a whole key.
+    """
+    keys = [key]
+    if part_rows:
+        records = ordered_columns(records, [key], [order], [row_number("_i")])
+        records = records.withColumn("part", F.floor((F.col("_i") - 1) / part_rows).cast("int")).drop("_i")
+        keys = [key, "part"]
     arr = F.array_sort(F.collect_list(F.struct(order, *fields)))
-    rows = records.groupBy(key).agg(arr.alias("_r"))
-    return rows.select(key, *[F.array_compact(F.col("_r")[f]).alias(f) for f in fields])
+    rows = records.groupBy(*keys).agg(arr.alias("_r"))
+    return rows.select(*keys, *[F.array_compact(F.col("_r")[f]).alias(f) for f in fields])
 
 
 def to_records(columns: DataFrame, key: str, fields: list[str]) -> DataFrame:
