@@ -29,6 +29,25 @@ def test_trajectory_folders(spark, tmp_path, as_rows):
     assert rows == [("pkg", "T1", "", 0, False, 1), ("pkg", "T1", "b", 1, True, 2), ("pkg", "T2", "", 0, True, 3)]
 
 
+def test_only_chosen_files_are_opened(spark, tmp_path, as_rows):
+    root = tmp_path / "data"
+    step = lambda n: [{"step_no": i} for i in range(n)]
+    put(root / "pkg" / "T 1" / "first.json", step(1))
+    put(root / "pkg" / "T 1" / "second.json", "x" * 100_000)
+    put(root / "pkg" / "T[2]" / "a{b}.json", step(2))
+    put(root / "pkg" / "T[2]" / "sub*" / "only.json", step(3))
+    put(root / "other" / "T3" / "only.json", step(4))
+    got = TR.read_trajectories(spark, str(root), "step_no int")
+    assert as_rows(got.groupBy("task", "branch_path", "is_leaf").count()) == [
+        ("T 1", "", True, 1), ("T3", "", True, 4), ("T[2]", "", False, 2), ("T[2]", "sub*", True, 3)
+    ]
+    read = TR.read_files(spark, TR.first_files(TR.listing(spark, str(root))))
+    assert len(read.inputFiles()) == 4 and not any("second" in f for f in read.inputFiles())
+    some = TR.read_trajectories(spark, str(root), "step_no int", where=(F.col("package") == "pkg") & F.col("is_leaf"))
+    assert as_rows(some.groupBy("task", "branch_path").count()) == [("T 1", "", 1), ("T[2]", "sub*", 3)]
+    assert TR.read_trajectories(spark, str(root), "step_no int", where=F.col("package") == "none").count() == 0
+
+
 def test_progress_log(spark, tmp_path, as_rows):
     put(
         tmp_path / "suite.log",

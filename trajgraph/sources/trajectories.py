@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import kept
+
 
 def folder_of(path: Column) -> Column:
     return F.regexp_replace(path, r"/[^/]*$", "")
@@ -48,27 +53,39 @@ def leaf_folders(folders: DataFrame) -> DataFrame:
     return known.join(parents, "folder", "left_anti")
 
 
-def read_trajectories(spark: SparkSession, root: str, schema: str, glob: str = "*.json") -> DataFrame:
+#: Files that one reader is given by name.
+NAMED_FILES = 20_000
+
+
+def read_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """``path, value`` of just the files in ``files(path)``: their text as UTF-8.
+
+    The names go to the readers in lists of bounded length, as the listing itself held them; no other file is opened.
+    """
+    names = (r["path"] for r in files.select("path").orderBy("path").toLocalIterator())
+    plain = (re.sub(r"([*?\[\]{}\\])", r"\\\1", n) for n in names)  # signs of patterns stand for themselves
+    out = None
+    while batch := list(islice(plain, NAMED_FILES)):
+        read = spark.read.format("binaryFile").load(batch).select("path", F.decode("content", "UTF-8").alias("value"))
+        out = read if out is None else out.unionByName(read)
+    return out if out is not None else spark.createDataFrame([], "path string, value string")
+
+
+def read_trajectories(spark: SparkSession, root: str, schema: str, glob: str = "*.json", where: Column | None = None) -> DataFrame:
     """Ordered steps of the first file of every folder, with their place and leaf flag.
 
-    Each file is one JSON array of steps; ``seq`` is a step's place in it.  Files that are
-    not the first of their folder are left out before anything is parsed.
+    Each file is one JSON array of steps; ``seq`` is a step's place in it.  The files are chosen from the listing, so
+    those that are not the first of their folder, or whose ``package``, ``task``, ``branch_path`` or ``depth`` does not meet
+    ``where``, are never opened.
     """
     files = listing(spark, root, glob)
-    chosen = place(first_files(files), root)
     leaves = leaf_folders(files).withColumn("is_leaf", F.lit(True))
-    whole = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .text(root)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
-    )
-    steps = whole.join(chosen, "path").select(
-        "path", "folder", "package", "task", "branch_path", "depth",
+    chosen = place(first_files(files), root).join(leaves, "folder", "left").withColumn("is_leaf", F.coalesce("is_leaf", F.lit(False)))
+    chosen = kept(chosen if where is None else chosen.filter(where), "trajectory-files")
+    return read_files(spark, chosen).join(chosen, "path").select(
+        "path", "folder", "package", "task", "branch_path", "depth", "is_leaf",
         F.posexplode(F.from_json("value", f"array<struct<{schema}>>")).alias("seq", "s"),
-    ).select("*", "s.*").drop("s")
-    return steps.join(leaves, "folder", "left").withColumn("is_leaf", F.coalesce("is_leaf", F.lit(False)))
+    ).select("*", "s.*").drop("s")
 
 
 def flat_tasks(files: DataFrame) -> DataFrame:
