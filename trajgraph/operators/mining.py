@@ -419,6 +419,7 @@ def rank_composites(merges: DataFrame) -> DataFrame:
         "*",
     )
     return ranked.select(
+        # Fixed value: the names of composite actions.
         F.concat(F.lit("HighLevelAction_"), F.col("rank").cast("string")).alias("name"),
         F.col("merged_id").alias("id"),
         "frequency",

@@ -69,6 +69,7 @@ def task_paths(starts: DataFrame, edges: DataFrame) -> DataFrame:
         F.col("page_id").alias("start_page"),
         F.col("page_id").alias("page"),
         F.col("step").cast("int").alias("step"),
+        # Fixed value: the layout of path ids.
         F.concat(F.lit("P:"), F.col("page_id")).alias("path_id"),
         F.expr("CAST(array() AS array<struct<src:string,elem:string,tgt:string>>)").alias("triplets"),
     ).distinct()
@@ -89,6 +90,7 @@ def task_paths(starts: DataFrame, edges: DataFrame) -> DataFrame:
             "start_page",
             F.col("tgt").alias("page"),
             (F.col("step") + 1).alias("step"),
+            # Fixed value: the layout of path ids.
             F.concat("path_id", F.lit("->E:"), "elem", F.lit("->P:"), "tgt").alias("path_id"),
             F.concat(
                 "triplets",
@@ -117,6 +119,7 @@ def all_chains(roots: DataFrame, edges: DataFrame) -> DataFrame:
         "graph",
         F.col("page_id").alias("start_page"),
         F.col("page_id").alias("page"),
+        # Fixed value: the layout of path ids.
         F.concat(F.lit("P:"), F.col("page_id")).alias("path_id"),
         F.array("page_id").alias("visited"),
         F.lit(0).alias("n_steps"),
@@ -135,6 +138,7 @@ def all_chains(roots: DataFrame, edges: DataFrame) -> DataFrame:
             "graph",
             "start_page",
             F.col("tgt").alias("page"),
+            # Fixed value: the layout of path ids.
             F.concat("path_id", F.lit("->E:"), "elem", F.lit("->P:"), "tgt").alias("path_id"),
             F.concat("visited", F.array("tgt")).alias("visited"),
             (F.col("n_steps") + 1).alias("n_steps"),

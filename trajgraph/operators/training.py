@@ -442,6 +442,7 @@ def failure_diagnostic(tree: DataFrame, gold: DataFrame, top_children: int = 8)
         F.min_by("child_id", by_target).alias("best_by_target"),
         F.min(F.when(correct, F.col("child_id"))).alias("correct_child"),
     )
+    # The words of a report's reason.
     reason = (
         F.when(F.col("matched") >= F.size("target"), "gold_path_fully_present_in_tree")
         .when(F.col("child_count").isNull(), "tree_leaf_before_gold_complete")
