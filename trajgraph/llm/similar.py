@@ -3,11 +3,12 @@
 A text is the set of its five-word shingles; two texts are linked when their sets have a Jaccard similarity of 0.8 or more. Candidates come
 from two sides. Fingerprints of the same shingles within two bits are found by multi-index hashing (:mod:`simhash`). Such a small radius
 misses most pairs near 0.8, so each set also has ``BANDS`` keys of ``ROWS`` minimum hashes: two sets of similarity ``s`` share a key with
-probability ``1 - (1 - s**ROWS)**BANDS``, which is 0.9999 at 0.8 and more above. Every candidate pair is verified by its complete sets.
+probability ``1 - (1 - s**ROWS)**BANDS``, which is 0.9998 at 0.8 and more above. Every candidate pair is verified by its complete sets.
 
-A group of texts that share a key is compared with one of its members first, then, as far as its members are not connected yet, with 8, 64
-and more of them, until each group is one component or every member has been compared with all others. So no connection that a
-candidate pair would give is lost, and the work of a group of near copies is in proportion to it.
+A group of texts that share a key is compared with one of its members first, the one with most company in all of its groups; then, as far
+as its members are not connected yet, with 8, 64 and more of them, until each group is one component or every member has been
+compared with all others. So no connection that a candidate pair would give is lost, and the work of a group of near copies is in
+proportion to it.
 
 Equal sets are one node. Only keys and the sets of candidates are shuffled.
 """
@@ -29,8 +30,8 @@ WORDS = 5
 #: The least similarity as a fraction, so that it is compared in whole numbers.
 LEAST = (4, 5)
 SEED = 42
-BANDS = 24
-ROWS = 5
+BANDS = 36
+ROWS = 7
 #: Bits of the filter that tells which texts to read again; beyond this size it only lets more texts through.
 FILTER_BITS = 1 << 27
 
@@ -137,12 +138,13 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _centres(posted: DataFrame, count: int) -> DataFrame:
-    """``key, centre, centre_size, centre_component``: up to ``count`` members of each key's group in ``posted(key, node, size, component)``.
+    """``key, centre, centre_size, centre_component``: up to ``count`` members of each key's group in ``posted(key, node, size, component, weight)``.
 
-    The members are dealt by a hash and each deal gives its smallest, so a group of any size is combined before its shuffle.
+    The members are dealt by a hash and each deal gives the one of the largest weight, so a group of any size is combined before its shuffle.
     """
     deal = F.pmod(F.xxhash64("node"), F.lit(count))
-    least = posted.groupBy("key", deal.alias("deal")).agg(F.min(F.struct(F.xxhash64("node", F.lit(1)).alias("h"), "node", "size", "component")).alias("c"))
+    order = F.struct((-F.col("weight")).alias("w"), F.xxhash64("node", F.lit(1)).alias("h"), "node", "size", "component")
+    least = posted.groupBy("key", deal.alias("deal")).agg(F.min(order).alias("c"))
     return least.select("key", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.component").alias("centre_component"))
 
 
@@ -163,8 +165,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = stored(first, "near-nodes")
     # Keys of one node only bring nobody together.
     posted = prints.select("node", "size", F.explode("keys").alias("key"))
-    shared = posted.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")
-    posted = posted.join(shared.hint("merge"), "key").distinct()
+    shared = posted.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("many"))
+    posted = stored(posted.join(shared.filter("low <> high").select("key", "many").hint("merge"), "key").distinct(), "near-postings")
+    # A text that stands in many large groups is most likely what the others of those groups were copied from, so it is compared first.
+    weight = posted.groupBy("node").agg(F.sum("many").alias("weight"))
+    posted = posted.drop("many").join(weight.hint("merge"), "node").select("key", "node", "size", "weight")
     # A fingerprint stands for its smallest node, which meets the other nodes of the fingerprint and the nodes of linked fingerprints.
     by_print = first.groupBy("fp").agg(F.min("node").alias("centre"), F.max("node").alias("high"))
     spread = by_print.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
@@ -195,7 +200,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         posted = posted.drop("component").join(centres.select("key", F.col("centre").alias("node")).hint("merge"), ["key", "node"], "left_anti")
         posted = posted.join(groups.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         apart = posted.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        posted = stored(posted.join(apart.hint("merge"), "key", "left_semi").select("key", "node", "size", "component"), "near-postings")
+        posted = stored(posted.join(apart.hint("merge"), "key", "left_semi").select("key", "node", "size", "weight", "component"), "near-postings")
         if posted.isEmpty():
             break
         done, extra, count = done.union(pairs), close.limit(0), 8 * count
