@@ -32,6 +32,8 @@ LEAST = (4, 5)
 SEED = 42
 BANDS = 36
 ROWS = 7
+#: Bytes of text whose sets a task holds at once.
+CHUNK = 1_000_000
 #: Bits of the filter that tells which texts to read again; beyond this size it only lets more texts through.
 FILTER_BITS = 1 << 27
 
@@ -59,7 +61,7 @@ def node_of(found: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def band_keys(found: np.ndarray, factors: np.ndarray, block: int = 4096) -> np.ndarray:
+def band_keys(found: np.ndarray, factors: np.ndarray, block: int = 512) -> np.ndarray:
     """One key for each band: a mix of the minima of ``ROWS`` hash functions, those of the odd ``factors``."""
     least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     hashes = found.view(np.uint64)
@@ -86,7 +88,7 @@ def _signatures(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         factors = _factors()
-        for ids, texts in chunks(batches):
+        for ids, texts in chunks(batches, CHUNK):
             sets = [shingle_set(t) for t in texts]
             prints = np.array([fingerprint(t, WORDS, SEED) for t in texts], np.uint64).view(np.int64)
             keys = [band_keys(s, factors) if len(s) else np.zeros(0, np.int64) for s in sets]
@@ -113,7 +115,7 @@ def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for slots, texts in chunks(batches):
+        for slots, texts in chunks(batches, CHUNK):
             texts = [t for s, t in zip(slots, texts) if int(held.value[s >> 6]) >> (s & 63) & 1]
             for at in range(0, len(texts), 256):
                 sets = [shingle_set(t) for t in texts[at : at + 256]]
