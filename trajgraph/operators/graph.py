@@ -461,30 +461,27 @@ def same_element(
     (uid, action) goes before one by (ui_id, bbox).  The second accepts any action,
     as observed; ``strict`` also asks for the same scroll direction or input text.
     """
-    s = stored.select(
-        "page_id", "element_id", "target",
-        *[F.col(c).alias(f"s_{c}") for c in ("uid", "ui_id", "bbox", "action", "action_type", "action_arg")],
-    )
-    first = probes.join(
-        s,
-        (probes["page_id"] == s["page_id"]) & (probes["uid"] == s["s_uid"]) & (probes["action"] == s["s_action"]),
-    ).select(probes["probe_id"], "element_id", "target", F.lit(1).alias("rule"))
-    same_box = (
-        (probes["page_id"] == s["page_id"])
-        & (probes["ui_id"] == s["s_ui_id"])
-        & (probes["bbox"] == s["s_bbox"])
-    )
-    second = probes.join(s, same_box)
+    best = F.min(F.struct("element_id", "target"))
+    by_action = stored.groupBy("page_id", "uid", "action").agg(best.alias("first"))
+    # One row for each place a probe can match, so a box that many stored elements share is met once and not by each of them.
+    box = ["page_id", "ui_id", "bbox"]
     if strict:
-        typed = probes["action_type"].isin("input_text", "scroll")
-        second = second.filter(
-            (probes["action_type"] == s["s_action_type"])
-            & (~typed | probes["action_arg"].eqNullSafe(s["s_action_arg"]))
-        )
-    second = second.select(probes["probe_id"], "element_id", "target", F.lit(2).alias("rule"))
-    best = F.min(F.struct("rule", "element_id", "target"))
-    return first.unionByName(second).groupBy("probe_id").agg(best.alias("b")).select(
-        "probe_id", "b.element_id", "b.target", "b.rule"
+        typed = F.col("action_type").isin("input_text", "scroll")
+        kind = [F.col("action_type").alias("kind"), typed.alias("typed"), F.when(typed, F.col("action_arg")).alias("arg")]
+        by_box = stored.groupBy(*box, *kind).agg(best.alias("second"))
+        by_box = by_box.select(*[F.col(c).alias(f"s_{c}") for c in (*box, "kind", "arg")], "second")
+        probes = probes.select("*", *kind)
+        same_box = (F.col("kind") == F.col("s_kind")) & F.col("arg").eqNullSafe(F.col("s_arg"))
+    else:
+        by_box = stored.groupBy(*box).agg(best.alias("second")).select(*[F.col(c).alias(f"s_{c}") for c in box], "second")
+        same_box = F.lit(True)
+    for c in box:
+        same_box = same_box & (F.col(c) == F.col(f"s_{c}"))
+    met = probes.join(by_action, ["page_id", "uid", "action"], "left").join(by_box, same_box, "left")
+    rule = F.when(F.col("first").isNotNull(), 1).when(F.col("second").isNotNull(), 2)
+    found = met.select("probe_id", rule.alias("rule"), F.coalesce("first", "second").alias("e")).filter(F.col("rule").isNotNull())
+    return found.groupBy("probe_id").agg(F.min(F.struct("rule", "e")).alias("b")).select(
+        "probe_id", "b.e.element_id", "b.e.target", "b.rule"
     )
 
 
