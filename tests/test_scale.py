@@ -50,3 +50,38 @@ def test_same_element_meets_a_box_once(spark, strict):
     assert got == plain_match(stored, probes, strict)
     # Probes and not pairs of probes and stored elements.
     assert max(node_rows(out, "Join")) <= 300
+
+
+def plain_moves(frontier, has, leads, pages, page_tasks, element_tasks):
+    pt, et = set(page_tasks), set(element_tasks)
+    return sorted(
+        (n, e, t)
+        for (n, task, page, parent, expanded), (p, e), (f, t), (q, summary) in itertools.product(frontier, has, leads, pages)
+        if p == page and f == e and q == t and summary is not None and e not in expanded and t != parent
+        and ((page, task) not in pt or (e, task) not in et or (t, task) in pt)
+    )
+
+
+def test_page_actions_shuffle_no_moves(spark):
+    rng = random.Random(7)
+    page, elem, task = (lambda: f"p{rng.randrange(6)}"), (lambda: f"e{rng.randrange(12)}"), (lambda: rng.choice(["t", "u", "v", None]))
+    frontier = [(f"n{i}", task(), page(), rng.choice([page(), None]), [elem()]) for i in range(200)]
+    has = sorted({(page(), elem()) for _ in range(40)}) + [("p0", "e0")] * 2
+    leads = sorted({(elem(), page()) for _ in range(25)})
+    pages = [(f"p{i}", None if i == 2 else f"page {i}") for i in range(6)]
+    page_tasks = [(page(), task()) for _ in range(9)]
+    element_tasks = [(elem(), task()) for _ in range(14)]
+    frames = [
+        spark.createDataFrame(rows, schema)
+        for rows, schema in (
+            (frontier, "node_id string, task string, page_id string, parent_page string, expanded array<string>"),
+            (has, "page_id string, element_id string"), (leads, "element_id string, page_id string"),
+            (pages, "page_id string, function_summary string"), (page_tasks, "page_id string, task string"), (element_tasks, "element_id string, task string"),
+        )
+    ]
+    out = P.page_actions(*frames)
+    got = sorted((r.node_id, r.element_id, r.target) for r in out.collect())
+    known = lambda rows: [r for r in rows if r[1] is not None]
+    assert got == plain_moves(frontier, has, leads, pages, known(page_tasks), known(element_tasks))
+    assert len(got) > 2 * len(frontier)
+    assert max(node_rows(out, "Exchange", "shuffleRecordsWritten")) <= len(frontier)

@@ -203,32 +203,31 @@ def page_actions(
     expanded elements, moves back to the parent page, targets without a summary
     and, when page and element belong to the task, targets that do not.
     """
-    moves = (
-        frontier.join(has_element, "page_id")
-        .filter(~F.array_contains("expanded", F.col("element_id")))
-        .join(leads_to.select("element_id", F.col("page_id").alias("target")), "element_id")
-        .filter(~F.col("target").eqNullSafe(F.col("parent_page")))
-    )
     named = pages.filter(F.col("function_summary").isNotNull()).select(
         F.col("page_id").alias("target"), F.col("function_summary").alias("target_summary")
     )
+    leads = leads_to.select("element_id", F.col("page_id").alias("target"))
+    moves = has_element.select("page_id", "element_id").join(leads, "element_id").join(named, "target")
     pt = page_tasks.select("page_id", "task").distinct()
     et = element_tasks.select("element_id", "task").distinct()
-    flagged = (
-        moves.join(named, "target")
-        .join(pt.withColumn("page_in", F.lit(True)), ["page_id", "task"], "left")
-        .join(et.withColumn("elem_in", F.lit(True)), ["element_id", "task"], "left")
-        .join(
-            pt.select(F.col("page_id").alias("target"), "task", F.lit(True).alias("target_in")),
-            ["target", "task"],
-            "left",
-        )
+    # Moves of a task's own elements that leave the task, for each of its pages. They go to the nodes, so that
+    # the moves of all nodes, which are far more than the rows of any table here, are never shuffled.
+    leaving = (
+        et.join(leads.distinct(), "element_id")
+        .join(pt.select(F.col("page_id").alias("target"), "task"), ["target", "task"], "left_anti")
+        .join(has_element.select("page_id", "element_id").distinct(), "element_id")
+        .join(pt, ["page_id", "task"], "left_semi")
+        .groupBy("page_id", "task")
+        .agg(F.collect_set(F.struct("element_id", "target")).alias("leaving"))
     )
-    consistent = (
-        F.col("page_in").isNull() | F.col("elem_in").isNull() | F.col("target_in").isNotNull()
-    )
-    return flagged.filter(consistent).select(
-        "node_id", "task", "page_id", "element_id", "target", "target_summary"
+    nodes = frontier.join(leaving, ["page_id", "task"], "left")
+    stays = F.col("leaving").isNull() | ~F.array_contains("leaving", F.struct("element_id", "target"))
+    return (
+        nodes.join(moves, "page_id")
+        .filter(~F.array_contains("expanded", F.col("element_id")))
+        .filter(~F.col("target").eqNullSafe(F.col("parent_page")))
+        .filter(stays)
+        .select("node_id", "task", "page_id", "element_id", "target", "target_summary")
     )
 
 
