@@ -85,3 +85,29 @@ def test_page_actions_shuffle_no_moves(spark):
     assert got == plain_moves(frontier, has, leads, pages, known(page_tasks), known(element_tasks))
     assert len(got) > 2 * len(frontier)
     assert max(node_rows(out, "Exchange", "shuffleRecordsWritten")) <= len(frontier)
+
+
+def test_beams_send_the_best_steps(spark, monkeypatch):
+    rng = random.Random(11)
+    # Every page leads to all others by several moves; weights are whole, or fractions that add up alike.
+    for weight in (lambda: float(rng.randint(1, 9)), lambda: rng.choice([0.1, 0.2, 1e-17, 2e-17, 1.0])):
+        steps = [(f"p{a:02d}", f"m{a:02d}-{b:02d}-{c}", [f"p{b:02d}"], f"p{b:02d}", weight()) for a in range(30) for b in range(30) if a != b for c in range(4)]
+        starts = [(f"t{i}", f"p{i:02d}") for i in range(30)] + [("t0", "p07")]
+        df = spark.createDataFrame(starts, "task string, page_id string")
+        frame = spark.createDataFrame(steps, "src string, path string, pages array<string>, tgt string, step_score double")
+        by_levels, routed = S._by_levels, []
+
+        def watched(starts, *more):
+            routed.append(starts.select("task").distinct().count())
+            return by_levels(starts, *more)
+
+        monkeypatch.setattr(S, "_by_levels", watched)
+        want = sorted(tuple(r) for r in S.beam_paths(df, frame, beam=3, depth=10).collect())
+        assert not routed
+        # Most searches end among the steps sent; with fewer steps, or fractions, some tasks go on with all steps.
+        for most, ended in ((300_000, True), (75_000, False)):
+            routed.clear()
+            assert sorted(tuple(r) for r in S.beam_paths(df, frame, beam=3, depth=10, max_broadcast_bytes=most).collect()) == want
+            if ended:
+                assert sum(routed) < 30
+        monkeypatch.setattr(S, "_by_levels", by_levels)

@@ -115,9 +115,12 @@ class _Steps:
         for i, pages in enumerate(steps["pages"]):
             self.pages[i, : len(pages)] = [self.page[p] for p in pages]
         self.n = len(names)
+        # The largest score among the steps of a page that are not here.
+        self.left_out = np.full(self.n, -np.inf)
+        np.maximum.at(self.left_out, src, steps["left_out"].fillna(-np.inf).to_numpy(dtype=np.float64))
 
     def beam(self, starts: list[str], beam: int, depth: int) -> Iterator[tuple[int, int, str, float]]:
-        """``depth, rank, path, score`` of the best paths from some pages together."""
+        """``depth, rank, path, score`` of the best paths from some pages together; :class:`LookupError` when a step left out might be among them."""
         front = []
         for start in starts:
             if start in self.page:
@@ -129,6 +132,11 @@ class _Steps:
             for parent, (score, path, page, been) in enumerate(front):
                 rows = np.arange(self.starts[page], self.starts[page + 1])
                 rows = rows[~been[self.pages[rows]].any(axis=1)] if len(rows) else rows
+                if self.left_out[page] > -np.inf:
+                    # Of equal scores those with the smaller paths are here, unless adding up made them equal.
+                    own = np.partition(self.score[rows], len(rows) - beam)[len(rows) - beam] if len(rows) >= beam else -np.inf
+                    if own < self.left_out[page] or own > self.left_out[page] and score + own <= score + self.left_out[page]:
+                        raise LookupError(page)
                 if len(rows):
                     total = score + self.score[rows]
                     if len(rows) > beam:
@@ -157,29 +165,67 @@ def beam_paths(starts: DataFrame, steps: DataFrame, beam: int = 5, depth: int =
     ``starts(task, page_id)`` are the first pages of each task, ``steps(src, path, pages, tgt, step_score)`` come from :func:`collapsed_steps` or a
     scorer. A path's score is the sum of its steps; no page is entered twice; ties go to the smaller path. A task ends when no step is left.
 
-    Steps whose bytes are counted first are sent to the tasks, where each start is searched to the end, so nothing is shuffled. More
-    steps than that are joined to the frontier level by level. Both routes give the same rows.
+    Steps whose bytes are counted first are sent to the tasks, where each start is searched to the end, so nothing is shuffled. Of more steps
+    than that the best of each page are sent, as many as the bytes allow; tasks whose search might need another step are joined to all steps
+    level by level. All routes give the same rows.
     """
     steps = kept(steps.select("src", "path", "pages", "tgt", "step_score"), "steps")
-    size = steps.agg(F.sum(F.octet_length("src") + 2 * F.octet_length("path") + F.size("pages") * 60 + 100).alias("n")).first()["n"] or 0
+    bytes_of = F.octet_length("src") + 2 * F.octet_length("path") + F.size("pages") * 60 + 100
+    size = steps.agg(F.sum(bytes_of).alias("n")).first()["n"] or 0
+    held = steps.withColumn("left_out", F.lit(None).cast("double"))
     if size > max_broadcast_bytes:
+        held = _best_steps(steps, bytes_of, beam, depth, max_broadcast_bytes)
+    # The first pages of a task are few: one for each of its recordings at most.
+    pages = starts.groupBy("task").agg(F.sort_array(F.collect_set("page_id")).alias("pages"))
+    if held is None:
         return _by_levels(starts, steps, beam, depth)
-    held = steps.sparkSession.sparkContext.broadcast(_Steps(steps.toPandas()))
+    sent = steps.sparkSession.sparkContext.broadcast(_Steps(held.toPandas()))
+    kind = starts.schema["task"].dataType.simpleString()
+    tasks = int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for task, pages in zip(pdf["task"], pdf["pages"]):
-                rows = list(held.value.beam(list(pages), beam, depth))
+                try:
+                    rows = list(sent.value.beam(list(pages), beam, depth))
+                except LookupError:
+                    rows = [(0, None, None, None)]
                 if rows:
                     out = pd.DataFrame(rows, columns=["depth", "rank", "path", "score"])
                     out.insert(0, "task", task)
                     yield out
 
-    kind = starts.schema["task"].dataType.simpleString()
-    # The first pages of a task are few: one for each of its recordings at most.
-    pages = starts.groupBy("task").agg(F.sort_array(F.collect_set("page_id")).alias("pages"))
-    tasks = int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pages.repartition(tasks, "task").mapInPandas(run, f"task {kind}, depth int, rank int, path string, score double")
+    # Dealt by a number of its own, so that the few bytes of the starts are not put into one task.
+    found = pages.repartition(tasks, F.xxhash64("task")).mapInPandas(run, f"task {kind}, depth int, rank int, path string, score double")
+    if size <= max_broadcast_bytes:
+        return found
+    found = kept(found, "beams")
+    again = kept(found.filter("depth = 0").select("task"), "beams-again")
+    found = found.filter("depth > 0")
+    if again.isEmpty():
+        return found
+    return found.unionByName(_by_levels(starts.join(again, starts["task"].eqNullSafe(again["task"]), "left_semi"), steps, beam, depth))
+
+
+def _best_steps(steps: DataFrame, bytes_of, beam: int, depth: int, most: int) -> DataFrame | None:
+    """The best steps of every page in at most about ``most`` bytes, with the largest score ``left_out`` of its page; None if they are too few.
+
+    With whole scores no more than ``beam`` steps of a page enter the same pages: others of them are never among the best of a path.
+    """
+    order = "ORDER BY step_score DESC, path"
+    whole = steps.agg(
+        F.coalesce(F.bool_and(F.col("step_score") == F.floor("step_score")), F.lit(False)).alias("w"), F.max(F.abs("step_score")).alias("m")
+    ).first()
+    if whole["w"] and whole["m"] * depth < 2**53:
+        steps = steps.withColumn("n", F.expr(f"row_number() OVER (PARTITION BY src, pages {order})")).filter(F.col("n") <= beam).drop("n")
+    steps = kept(steps, "best-steps")
+    total = steps.agg(F.countDistinct("src").alias("pages"), F.avg(bytes_of).alias("bytes")).first()
+    each = int(most / max(1.0, total["pages"] * total["bytes"])) if total["pages"] else 0
+    if each < 4 * beam:
+        return None
+    ranked = steps.withColumn("n", F.expr(f"row_number() OVER (PARTITION BY src {order})")).filter(F.col("n") <= each + 1)
+    last = F.when(F.col("n") == each, F.expr(f"lead(step_score) OVER (PARTITION BY src {order})"))
+    return ranked.withColumn("left_out", last).filter(F.col("n") <= each).drop("n")
 
 
 def _by_levels(starts: DataFrame, steps: DataFrame, beam: int, depth: int) -> DataFrame:
