@@ -172,3 +172,25 @@ def test_partitions_do_not_matter(spark, sf, as_rows):
     one = M.mine_sequences(chains.coalesce(1), 3, 2)[0]
     many = M.mine_sequences(chains.repartition(13, F.rand(1)), 3, 2)[0]
     assert as_rows(one) == as_rows(many)
+
+
+def test_walk_keeps_one_state_for_the_trajectories_of_a_task(spark, tmp_path, as_rows):
+    row = lambda task, b, at, p: {"task": task, "branch": b, "ts": f"2024-01-01T{at}:00Z", "page": p}
+    stream = stream_of(
+        spark, tmp_path,
+        [[row("t", f"b{i}", f"00:{10 + i}", f"p{i}") for i in range(9)] + [row("u", "b0", "00:05", "q")],
+         [row("t", "b0", "00:50", "x"), row("t", "b1", "00:01", "old"), row("u", "b0", "05:00", "r")],
+         [row("u", "b0", "05:01", "s")],
+         [row("t", "b2", "04:30", "y")],
+         [row("t", "b2", "04:40", "z")]],
+        "task string, branch string, ts timestamp, page string",
+    )
+    query = X.walk_sessions(stream).writeStream.format("memory").queryName("walks").outputMode("append")
+    query = query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = as_rows(spark.table("walks"), "task", "branch", "step", "src", "tgt", "late")
+    assert ("t", "b0", 0, "p0", "x", False) in got and ("t", "b1", None, None, "old", True) in got
+    # What was seen of b2 expired in the third batch, so its walk starts anew; u went on all the time.
+    assert [r for r in got if r[1] == "b2"] == [("t", "b2", 0, "y", "z", False)]
+    assert [r[2:5] for r in got if r[0] == "u"] == [(0, "q", "r"), (1, "r", "s")] and len(got) == 5
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) == 2

@@ -112,7 +112,7 @@ def graph_shapes() -> dict[str, tuple[list[str], Callable[[DataFrame], DataFrame
 
 
 WALK = "task string, branch string, step long, src string, tgt string, late boolean"
-WALK_STATE = "page string, seen_us long, step long"
+WALK_STATE = "branch array<string>, page array<string>, seen_us array<long>, step array<long>, until_ms array<long>"
 
 
 def walk_sessions(steps: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -121,32 +121,49 @@ def walk_sessions(steps: DataFrame, late: str = "1 hour") -> DataFrame:
     ``steps(task, branch, ts, page)``.  Steps older than the last one seen of their
     trajectory cannot be placed any more and come out flagged ``late``.  The state of
     a trajectory is one page, and it expires ``late`` after the last step seen.
+    Trajectories are many and short, so those of a task share one group; a call for each of
+    them would cost far more than its steps.
     """
     late_ms = int(pd.Timedelta(late).total_seconds() * 1000)
 
+    def text(column):
+        return [v if isinstance(v, str) else None for v in column.tolist()]
+
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        task, branch = key
-        if state.hasTimedOut:
-            state.remove()
-            return
-        page, seen, step = state.get if state.exists else (None, -1, -1)
+        mark = state.getCurrentWatermarkMs()
+        held = {b: tuple(more) for b, *more in zip(*state.get)} if state.exists else {}
+        rows = []
+        if not state.hasTimedOut:
+            for pdf in batches:
+                rows += zip(text(pdf["branch"]), pdf["ts"].to_numpy("datetime64[us]").astype("int64").tolist(), text(pdf["page"]))
+        rows.sort(key=lambda r: (r[1], r[2] is None, r[2] or ""))
+        # Trajectories that expired go, unless steps of theirs are here.
+        here = {r[0] for r in rows}
+        held = {b: h for b, h in held.items() if b in here or h[3] >= mark}
         out = []
-        rows = pd.concat(list(batches)).sort_values(["ts", "page"])
-        for ts, name in zip(rows["ts"], rows["page"]):
-            at = int(ts.value // 1000)
+        for branch, at, name in rows:
+            page, seen, step, until = held.get(branch, (None, -1, -1, 0))
             if at < seen:
-                out.append((task, branch, None, None, name, True))
-                continue
-            if page is not None:
-                out.append((task, branch, step, page, name, False))
-            page, seen, step = name, at, step + 1
-        state.update((page, seen, step))
-        state.setTimeoutTimestamp(max(seen // 1000, state.getCurrentWatermarkMs()) + late_ms)
-        yield pd.DataFrame(out, columns=["task", "branch", "step", "src", "tgt", "late"])
+                out.append((branch, None, None, name, True))
+            else:
+                if page is not None:
+                    out.append((branch, step, page, name, False))
+                page, seen, step = name, at, step + 1
+            held[branch] = page, seen, step, max(seen // 1000, mark) + late_ms
+        if held:
+            state.update((list(held), *map(list, zip(*held.values()))))
+            state.setTimeoutTimestamp(min(h[3] for h in held.values()))
+        elif state.exists:
+            state.remove()
+        if out:
+            branches, numbers, sources, targets, flags = zip(*out)
+            yield pd.DataFrame(
+                {"task": key[0], "branch": branches, "step": pd.array(numbers, "Int64"), "src": sources, "tgt": targets, "late": flags}
+            )
 
     return (
         steps.withWatermark("ts", late)
-        .groupBy("task", "branch")
+        .groupBy("task")
         .applyInPandasWithState(advance, WALK, WALK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
