@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+
+from trajgraph.llm import similar
 from trajgraph.llm.similar import keep_first, shingle_set, similar_groups
 
 
@@ -69,3 +72,45 @@ def test_nulls_and_repeated_ids(spark):
     got = sorted((tuple(r) for r in similar_groups(frame).collect()), key=repr)
     assert got == sorted([(None, None), (3, 3), (3, 3), (3, 3), (None, 7), (7, 7), (9, 3)], key=repr)
     assert len(shingle_set(b"a b c d e f a b c d e")) == 6
+
+
+def test_similar_sets_share_a_rare_key():
+    rng = np.random.default_rng(5)
+    counts = np.ones(1 << 6, np.int64) * rng.integers(1, 5, 1 << 6)
+    least = similar._classes(400)
+    met = 0
+    for _ in range(1500):
+        n = int(rng.integers(1, 200))
+        base = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        other = np.unique(np.concatenate([base[rng.random(len(base)) > rng.random() / 4], rng.integers(-(1 << 62), 1 << 62, int(rng.integers(0, 1 + n // 6)))]))
+        small, large = sorted((base, other), key=len)
+        shared = len(np.intersect1d(small, large))
+        if not len(small) or 5 * shared < 4 * (len(small) + len(large) - shared):
+            continue
+        (a, home), (b, _) = (similar.rare_keys(s, counts, least) for s in (small, large))
+        assert set(a[home].tolist()) & set(b.tolist())
+        met += 1
+    assert met > 300
+
+
+def test_texts_that_only_share_passages_are_not_compared_with_one_another(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(words) for _ in range(150)]
+    texts = []
+    for i in range(240):  # changed at one place they are similar, at five they are alike and not similar
+        copy = list(base)
+        for k, at in enumerate(rng.sample(range(5, 145, 6), 1 if i % 4 == 0 else 5)):
+            copy[at] = f"own{i}x{k}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    compared, check = [], similar._similar
+
+    def counting(pairs, sets):
+        compared.append(pairs.count())
+        return check(pairs, sets)
+
+    monkeypatch.setattr(similar, "_similar", counting)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id, r.component_id) for r in similar_groups(frame).collect()) == brute_groups(rows)
+    assert sum(compared) < 8 * len(rows), compared

@@ -5,10 +5,12 @@ from two sides. Fingerprints of the same shingles within two bits are found by m
 misses most pairs near 0.8, so each set also has ``BANDS`` keys of ``ROWS`` minimum hashes: two sets of similarity ``s`` share a key with
 probability ``1 - (1 - s**ROWS)**BANDS``, which is 0.9998 at 0.8 and more above. Every candidate pair is verified by its complete sets.
 
-A group of texts that share a key is compared with one of its members first, the one with most company in all of its groups; then, as far
-as its members are not connected yet, with 8, 64 and more of them, until each group is one component or every member has been
-compared with all others. So no connection that a candidate pair would give is lost, and the work of a group of near copies is in
-proportion to it.
+A group of texts that share a key is compared with one of its members first, the one with most company in all of its groups. Texts that
+are then still apart from others of a group are mostly alike in some passages only, so they are grouped anew, by sizes and by their rarest
+shingles, of which two similar sets must share one (:func:`_rarest`). These groups are compared with one member, then, as far as they are
+not connected yet, with 8, 64 and more of them, until each group is one component or every member has been compared with all others. So no
+connection that a candidate pair would give is lost, the work of a group of near copies is in proportion to it, and texts that differ in
+more than similar ones can are hardly compared.
 
 Equal sets are one node. Only keys and the sets of candidates are shuffled.
 """
@@ -34,6 +36,8 @@ BANDS = 36
 ROWS = 7
 #: Bytes of text whose sets a task holds at once.
 CHUNK = 1_000_000
+#: Counters of the sets that hold a shingle. Shingles share them by hash; the fewer there are, the less is known to be rare.
+COUNTERS = 1 << 18
 #: Bits of the filter that tells which texts to read again; beyond this size it only lets more texts through.
 FILTER_BITS = 1 << 27
 
@@ -140,13 +144,13 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _centres(posted: DataFrame, count: int) -> DataFrame:
-    """``key, centre, centre_size, centre_component``: up to ``count`` members of each key's group in ``posted(key, node, size, component, weight)``.
+    """``key, centre, centre_size, centre_component``: up to ``count`` members at home in each key's group in ``posted(key, node, size, weight, home, component)``.
 
     The members are dealt by a hash and each deal gives the one of the largest weight, so a group of any size is combined before its shuffle.
     """
     deal = F.pmod(F.xxhash64("node"), F.lit(count))
     order = F.struct((-F.col("weight")).alias("w"), F.xxhash64("node", F.lit(1)).alias("h"), "node", "size", "component")
-    least = posted.groupBy("key", deal.alias("deal")).agg(F.min(order).alias("c"))
+    least = posted.filter("home").groupBy("key", deal.alias("deal")).agg(F.min(order).alias("c"))
     return least.select("key", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.component").alias("centre_component"))
 
 
@@ -156,6 +160,67 @@ def _pairs(posted: DataFrame, centres: DataFrame) -> DataFrame:
     return met.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct()
 
 
+def _apart(posted: DataFrame) -> DataFrame:
+    """The rows of ``posted(key, node, size, weight, home, component)`` whose group holds several components and someone at home."""
+    ends = [F.min("component").alias("low"), F.max("component").alias("high"), F.max("home").alias("some")]
+    apart = posted.groupBy("key").agg(*ends).filter("low <> high AND some").select("key")
+    return posted.join(apart.hint("merge"), "key", "left_semi").select("key", "node", "size", "weight", "home", "component")
+
+
+def _classes(most: int) -> np.ndarray:
+    """The least sizes of the classes of sizes up to ``most``, each a twentieth wide."""
+    least = [0, 1]
+    while least[-1] <= most:
+        least.append(max(least[-1] + 1, least[-1] * 21 // 20))
+    return np.array(least, np.int64)
+
+
+def rare_keys(found: np.ndarray, counts: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys by which a set meets every similar set, and whether each is one of its own class of sizes; ``least`` is of :func:`_classes`.
+
+    All sets are put in one order, rare shingles first. Two sets of ``n`` and ``m`` shingles that share ``both`` of them hold the first of
+    these at a place of at most ``n - both``, and are similar only if ``m`` is at most a share of ``both`` less ``n``. So each place of a set
+    has a largest size that it can be the first one shared with. The larger set goes to the classes of the smaller ones.
+    """
+    top, bottom = LEAST
+    n = len(found)
+    fewest = -(-top * n // bottom)
+    shared = np.arange(n, fewest - 1, -1)  # what a set can have in common with another from each place on
+    first = found[np.lexsort((found, counts[found & (len(counts) - 1)]))[: len(shared)]]
+    low, own = np.searchsorted(least, [fewest, n], "right") - 1
+    high = np.minimum(own, np.searchsorted(least, (top + bottom) * shared // top - n, "right") - 1)
+    many = np.maximum(high - low + 1, 0)
+    kind = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + low
+    keys = np.repeat(first, many).view(np.uint64) ^ ((kind + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return keys.view(np.int64), kind == own
+
+
+def _rarest(posted: DataFrame, sets: DataFrame) -> DataFrame:
+    """The nodes of ``posted`` with their :func:`rare_keys`; how rare a shingle is, is counted among them."""
+    nodes = posted.select("node", "size", "weight", "component").distinct()
+    sets = sets.join(nodes.select("node").hint("merge"), "node", "left_semi")
+    slot = F.col("shingle").bitwiseAND(COUNTERS - 1)
+    counted = sets.select(F.explode("shingles").alias("shingle")).groupBy(slot.alias("at")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[counted.column("at").to_numpy()] = counted.column("n").to_numpy()
+    held = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [s.values.to_numpy() for s in batch.column(1)]
+            least = _classes(max(map(len, found), default=0))
+            keys = [rare_keys(s, held.value, least) for s in found]
+            owners = np.repeat(batch.column(0).to_numpy(), [len(k) for k, _ in keys])
+            columns = [pa.array(owners, pa.int64()), *(pa.array(np.concatenate(c)) for c in zip(*keys))]
+            if keys:
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "key", "home"])
+
+    keys = sets.select("node", "shingles").mapInArrow(run, "node long, key long, home boolean")
+    return keys.join(nodes.hint("merge"), "node")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id`` per row: the smallest id among the documents reachable over links, the document itself included.
 
@@ -171,7 +236,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     posted = stored(posted.join(shared.filter("low <> high").select("key", "many").hint("merge"), "key").distinct(), "near-postings")
     # A text that stands in many large groups is most likely what the others of those groups were copied from, so it is compared first.
     weight = posted.groupBy("node").agg(F.sum("many").alias("weight"))
-    posted = posted.drop("many").join(weight.hint("merge"), "node").select("key", "node", "size", "weight")
+    posted = posted.drop("many").join(weight.hint("merge"), "node").select("key", "node", "size", "weight", F.lit(True).alias("home"))
     # A fingerprint stands for its smallest node, which meets the other nodes of the fingerprint and the nodes of linked fingerprints.
     by_print = first.groupBy("fp").agg(F.min("node").alias("centre"), F.max("node").alias("high"))
     spread = by_print.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
@@ -190,9 +255,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
     done = found = close.limit(0)
     groups = None
-    count, extra = 1, close
+    turn, extra = 0, close
     while True:
-        centres = stored(_centres(posted, count), "near-centres")
+        centres = stored(_centres(posted, 8 ** max(0, turn - 1)), "near-centres")
         pairs = stored(_pairs(posted, centres).union(extra).distinct().join(done.hint("merge"), ["src", "dst"], "left_anti"), "near-pairs")
         more = stored(_similar(pairs, sets), "near-links")
         found = found.union(more)
@@ -201,11 +266,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         # A centre has been compared with all of its group and leaves it; groups go on that still hold several components.
         posted = posted.drop("component").join(centres.select("key", F.col("centre").alias("node")).hint("merge"), ["key", "node"], "left_anti")
         posted = posted.join(groups.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = posted.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        posted = stored(posted.join(apart.hint("merge"), "key", "left_semi").select("key", "node", "size", "weight", "component"), "near-postings")
+        posted = stored(_apart(posted), "near-postings")
+        if turn == 0:
+            posted = stored(_apart(_rarest(posted, sets)), "near-postings")
         if posted.isEmpty():
             break
-        done, extra, count = done.union(pairs), close.limit(0), 8 * count
+        done, extra, turn = done.union(pairs), close.limit(0), turn + 1
 
     labelled = first.select("node", "doc_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
