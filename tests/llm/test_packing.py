@@ -4,7 +4,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
-from trajgraph.llm.packing import Packer, choose_level, op1_pack, pack, word_vocabulary
+from trajgraph.llm.packing import Packer, choose_level, lowered, op1_pack, pack, text_ids, word_vocabulary
+from trajgraph.llm.words import WordTable
 
 
 def brute_level(levels, size):
@@ -104,3 +105,20 @@ def test_hard_texts(spark):
     assert pack(frame.limit(0), word_vocabulary()).count() == 0
     twice = pack(frame.filter("doc_id = 4").union(frame.filter("doc_id = 4")).coalesce(1), word_vocabulary(), open_windows=2).collect()
     assert sum(r.length for r in twice) == 2 * twice[0].doc_tokens
+
+
+def test_ids_of_a_chunk_are_looked_up_once_for_each_word():
+    calls = []
+
+    def values(words):
+        calls.append(sorted(words))
+        return [b"".join(bytes([c, 0, 0, 0]) for c in w) for w in words]
+
+    space = "".join(map(chr, range(128))).encode()
+    texts = [b"", b" ", b"b A  b", b"b\xc3\x84 \xc2\xa0 <|B|> C", space, b"b"]
+    known = WordTable(values)
+    want = [b"".join(bytes([c, 0, 0, 0]) for c in b"".join(lowered(t).split())) for t in texts]
+    assert list(text_ids(texts, known)) == want
+    assert len(calls) == 1 and len(calls[0]) == len(set(calls[0]))
+    assert list(text_ids([b"a b"], known)) == [bytes([97, 0, 0, 0, 98, 0, 0, 0])] and len(calls) == 1
+    assert list(text_ids([], known)) == []

@@ -13,6 +13,7 @@ of a task: this vocabulary drops white space, so the ids of a text are those of
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -179,6 +180,25 @@ def word_ids(vocabulary: str) -> WordTable:
     return WordTable(values)
 
 
+def text_ids(texts: list, known: WordTable) -> Iterator[bytes]:
+    """The ids of each text, as :func:`word_ids` has them; each different word of all ``texts`` becomes one Python object and is looked up once."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    words = pc.ascii_split_whitespace(pa.array(list(map(lowered, texts)), pa.binary()).cast(pa.string()))
+    coded = words.flatten().dictionary_encode()
+    found = known.look(coded.dictionary.cast(pa.binary()).to_pylist())
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    ids = np.frombuffer(b"".join(found), "<u4")
+    codes = coded.indices.to_numpy()
+    many = sizes[codes]
+    ends = np.concatenate(([0], np.cumsum(many)))
+    starts = (np.cumsum(sizes) - sizes)[codes] - ends[:-1]
+    out = ids[np.repeat(starts, many) + np.arange(ends[-1])].tobytes()
+    stops = (4 * ends[words.offsets.to_numpy()]).tolist()
+    return (out[a:b] for a, b in zip(stops, stops[1:]))
+
+
 def pack(
     docs: DataFrame,
     vocabulary: str,
@@ -222,8 +242,8 @@ def pack(
         packer = Packer(emit, window, open_windows)
         end = np.array([end_id], "<u4").tobytes()
         for docs_, texts in chunks(batches):
-            for doc, ids in zip(docs_, known.look_all([lowered(t).split() for t in texts])):
-                packer.add(doc, b"".join(ids) + end)
+            for doc, ids in zip(docs_, text_ids(texts, known)):
+                packer.add(doc, ids + end)
             if len(rows) > 10_000:
                 yield out()
         packer.pour(last=True)
