@@ -117,3 +117,75 @@ def test_beams_send_the_best_steps(spark, monkeypatch):
             if ended:
                 assert sum(routed) < 30
         monkeypatch.setattr(S, "_by_levels", by_levels)
+
+
+def unsized(df):
+    """``df`` after an aggregate over far more rows, so that its size is not known beforehand."""
+    many = df.sparkSession.range(3_000_000).select((F.col("id") % 2).alias("_i"))
+    return df.crossJoin(F.broadcast(many.limit(1).select("_i"))).unionByName(
+        many.filter("_i > 1").select("_i", *[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+    ).drop("_i").distinct()
+
+
+def first_plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def plain_edges(has, leads, pages, elements):
+    at = set(pages)
+    return sorted(
+        {
+            (t, s, p, e, q)
+            for (e, t, s), (p, f), (g, q) in itertools.product(elements, has, leads)
+            if None not in (e, t, s) and e == f == g and (p, t, s) in at and (q, t, s + 1) in at
+        }
+    )
+
+
+def test_graph_of_task_steps_is_not_shuffled(spark):
+    rng = random.Random(9)
+    page, elem = lambda: rng.choice(["a", "b", "c", None]), lambda: rng.choice(["x", "y", "z", None])
+    task, step = lambda: rng.choice(["t", "u", None]), lambda: rng.choice([0, 1, 2, None])
+    has, leads = [(page(), elem()) for _ in range(12)], [(elem(), page()) for _ in range(12)]
+    pages, elements = [(page(), task(), step()) for _ in range(30)], [(elem(), task(), step()) for _ in range(30)]
+    make = spark.createDataFrame
+    frames = [
+        make(has, "page_id string, element_id string"), make(leads, "element_id string, page_id string"),
+        make(pages, "page_id string, task string, step long"), make(elements, "element_id string, task string, step long"),
+    ]
+    known = lambda rows: [r for r in rows if None not in r]
+    want = plain_edges(known(has), known(leads), known(pages), elements)
+    assert want and sorted(tuple(r) for r in P.task_step_edges(*frames).collect()) == want
+    out = P.task_step_edges(*[unsized(f) for f in frames])
+    assert sorted(tuple(r) for r in out.collect()) == want
+    # Only the looks at the page steps shuffle the steps; the graph, once stored, is small.
+    plan = first_plan(out)
+    assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") == 2
+
+
+def test_enriched_steps_are_not_shuffled(spark):
+    steps = spark.createDataFrame(
+        [("k", 0, "a", "x", "b"), ("k", 1, "b", "y", "gone"), ("l", 0, None, "none", "a")], "path_id string, pos int, src string, elem string, tgt string"
+    )
+    pages = spark.createDataFrame([("a", "A", "ga"), ("b", None, "")], "page_id string, function_summary string, goal string")
+    elements = spark.createDataFrame([("x", "X", None), ("y", "Y", "gy")], "element_id string, function_summary string, goal string")
+    out = P.enrich_steps(steps, unsized(pages), unsized(elements))
+    cols = ["path_id", "pos", "src_summary", "src_goal", "elem_summary", "elem_goal", "tgt_summary", "tgt_goal"]
+    assert sorted(tuple(r) for r in out.select(cols).collect()) == [
+        ("k", 0, "A", "ga", "X", None, None, ""), ("k", 1, None, "", "Y", "gy", None, None), ("l", 0, None, None, None, None, "A", "ga"),
+    ]
+    plan = first_plan(out)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 3
+
+
+def test_a_level_of_paths_is_stored_once(spark, monkeypatch):
+    edges = [(t, s, f"p{s}", f"e{s}{i}", f"p{s + 1}") for t in "tu" for s in range(4) for i in range(2)]
+    starts = spark.createDataFrame([("t", "p0", 0), ("u", "p0", 0), ("v", "p0", 0), (None, "p0", 0)], "task string, page_id string, step int")
+    monkeypatch.delattr(P, "durable")  # rows kept on disk for a checkpoint are stored twice
+    found = P.task_paths(starts, spark.createDataFrame(edges, "task string, step int, src string, elem string, tgt string")).collect()
+    want = sorted(
+        (t, "->".join(["P:p0"] + [f"E:e{s}{i}->P:p{s + 1}" for s, i in enumerate(picks)]))
+        for t in "tu" for picks in itertools.product(range(2), repeat=4)
+    )
+    assert sorted((r.task, r.path_id) for r in found) == want
+    assert all([tuple(x) for x in r.triplets] == [(f"p{s}", x.elem, f"p{s + 1}") for s, x in enumerate(r.triplets)] for r in found)

@@ -27,21 +27,24 @@ def task_step_edges(
 
     ``has_element(page_id, element_id)``, ``leads_to(element_id, page_id)``,
     ``page_steps(page_id, task, step)``, ``element_steps(element_id, task, step)``.
+
+    The graph is stored, so that Spark knows its size and the far more steps are not
+    shuffled for a small one.  Both looks at the page steps use the same shuffle of them,
+    ordered by the task first, as it tells most rows apart.  Inputs are made distinct,
+    hence the edges are.
     """
-    src = has_element.select(F.col("page_id").alias("src"), F.col("element_id").alias("elem"))
-    tgt = leads_to.select(F.col("element_id").alias("elem"), F.col("page_id").alias("tgt"))
-    at = page_steps.select(F.col("page_id").alias("src"), "task", "step")
-    after = page_steps.select(
-        F.col("page_id").alias("tgt"), "task", (F.col("step") - 1).alias("step")
-    )
-    el = element_steps.select(F.col("element_id").alias("elem"), "task", "step")
+    src = kept(has_element.select(F.col("page_id").alias("src"), F.col("element_id").alias("elem")).distinct(), "has-element")
+    tgt = kept(leads_to.select(F.col("element_id").alias("elem"), F.col("page_id").alias("tgt")).distinct(), "leads-to")
+    at = page_steps.select("task", F.col("page_id").alias("src"), "step").distinct()
+    after = at.select("task", F.col("src").alias("tgt"), F.col("step").alias("next_step"))
+    el = element_steps.select(F.col("element_id").alias("elem"), "task", "step").distinct()
     return (
         el.join(src, "elem")
-        .join(at, ["src", "task", "step"], "left_semi")
+        .join(at, ["task", "src", "step"], "left_semi")
         .join(tgt, "elem")
-        .join(after, ["tgt", "task", "step"], "left_semi")
+        .withColumn("next_step", F.col("step") + 1)
+        .join(after, ["task", "tgt", "next_step"], "left_semi")
         .select("task", "step", "src", "elem", "tgt")
-        .distinct()
     )
 
 
@@ -58,8 +61,8 @@ def task_paths(starts: DataFrame, edges: DataFrame) -> DataFrame:
     ``starts(task, page_id, step)``; ``edges`` from :func:`task_step_edges`.  A path
     ends where its page has no edge at the next step.  The step grows by one per
     level, so the edges are stored by step and each level reads only its own;
-    with one start step every edge is read once.  Paths are distinct by
-    ``path_id``.
+    with one start step every edge is read once.  A level is written once and only
+    its needed columns are read.  Paths are distinct by ``path_id``.
     """
     steps = written(edges.withColumn("step", F.col("step").cast("int")), "step-edges", ["step"])
     reach = steps.agg(F.max("step")).first()[0]
@@ -79,7 +82,7 @@ def task_paths(starts: DataFrame, edges: DataFrame) -> DataFrame:
         here = steps.filter(F.col("step").between(low + depth, high + depth)).select(
             "task", "step", F.col("src").alias("page"), "elem", "tgt"
         )
-        level = durable(frontier.join(here, ["task", "step", "page"], "left"))
+        level = kept(frontier.join(here, ["task", "step", "page"], "left"), "path-level")
         finished.append(
             level.filter(F.col("tgt").isNull() & (F.size("triplets") > 0)).select(
                 "task", "start_page", F.col("page").alias("leaf_page"), "path_id", "triplets"
@@ -328,7 +331,13 @@ def rewrite_with_groups(path_steps: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def enrich_steps(path_steps: DataFrame, pages: DataFrame, elements: DataFrame) -> DataFrame:
-    """Add node properties to path steps; unknown ids keep null properties."""
+    """Add node properties to path steps; unknown ids keep null properties.
+
+    The properties are stored, so that Spark knows their size and long tables of steps are
+    not shuffled for each of the three joins with small ones.
+    """
+    pages = kept(pages.select("page_id", "function_summary", "goal"), "page-properties")
+    elements = kept(elements.select("element_id", "function_summary", "goal"), "element-properties")
     src = pages.select(
         F.col("page_id").alias("src"),
         F.col("function_summary").alias("src_summary"),
