@@ -114,3 +114,13 @@ def test_hard_texts(spark):
     assert near_groups(frame.limit(0)).count() == 0
     groups = {r[0]: r[2] for r in got if r[0] is not None}
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == set(groups.values()) - {None}
+
+
+def test_nothing_of_every_fingerprint_is_broadcast(spark):
+    from plan_rows import node_rows
+
+    prints = spark.range(3000).select(F.xxhash64("id").alias("fp")).repartition(4, F.xxhash64("fp"))
+    # 66 rows for each fingerprint are sized as one before they are made.
+    assert sum(node_rows(link(prints), "BroadcastExchange")) == 0
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("text of"), F.col("id") % 7, F.col("id") % 5).alias("text"))
+    assert sum(node_rows(near_groups(docs), "BroadcastExchange")) == 0

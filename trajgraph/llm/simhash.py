@@ -96,7 +96,8 @@ def link(prints: DataFrame, segments: int = SEGMENTS, max_distance: int = MAX_DI
     some = not large.isEmpty()
     small = table_rows.join(large, ["segment", "value"], "left_anti") if some else table_rows
     entries = small.groupBy("segment", "value").agg(F.collect_list("fp").alias("members"))
-    fetched = asked.join(entries, ["segment", "value"]).select("src", F.explode("members").alias("dst"))
+    # Merged and not broadcast: Spark sizes what a fingerprint asks for as if it were one row, and what is broadcast goes through the driver.
+    fetched = asked.join(entries.hint("merge"), ["segment", "value"]).select("src", F.explode("members").alias("dst"))
     distance = F.bit_count(F.col("src").bitwiseXOR(F.col("dst")))
     links = fetched.filter((F.col("src") < F.col("dst")) & (distance <= max_distance)).distinct()
     if some:
@@ -133,9 +134,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A fingerprint becomes 65 rows of the tables, so the few bytes of distinct ones are dealt to all tasks again.
     spread = first.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     groups = components(link(spread)).withColumnRenamed("node", "fp")
-    labelled = first.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    labelled = first.join(groups.hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    return prints.join(labelled.join(smallest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = labelled.join(smallest.hint("merge"), "component").select("fp", "component_id")
+    return prints.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
