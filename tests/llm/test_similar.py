@@ -114,3 +114,12 @@ def test_texts_that_only_share_passages_are_not_compared_with_one_another(spark,
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted((r.doc_id, r.component_id) for r in similar_groups(frame).collect()) == brute_groups(rows)
     assert sum(compared) < 8 * len(rows), compared
+
+
+def test_texts_are_not_broadcast(spark):
+    from plan_rows import node_rows
+
+    rows = [(i, f"{'one two three four five six ' * 3}{i % 5} {i % 3}") for i in range(40)] + [(99, None)]
+    groups = similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(node_rows(groups, "BroadcastExchange")) == 0
+    assert sorted(tuple(r) for r in groups.collect()) == brute_groups(rows)

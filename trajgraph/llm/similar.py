@@ -241,11 +241,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_print = first.groupBy("fp").agg(F.min("node").alias("centre"), F.max("node").alias("high"))
     spread = by_print.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     links = stored(link(spread), "near-fingerprints")
-    ends = by_print.select("fp", "centre")
+    # Merged and not broadcast: each of these has a row for a text or a link.
+    ends = by_print.select("fp", "centre").hint("merge")
     near = links.join(ends.select(F.col("fp").alias("src"), F.col("centre").alias("a")), "src").join(ends.select(F.col("fp").alias("dst"), F.col("centre").alias("b")), "dst")
-    same = first.join(by_print.filter("centre <> high").select("fp", "centre"), "fp").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    same = first.join(by_print.filter("centre <> high").select("fp", "centre").hint("merge"), "fp").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     close = near.select("a", "b").union(same).filter("a <> b")
-    sizes = first.select("node", "size")
+    sizes = first.select("node", "size").hint("merge")
     close = close.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("a_size")), "a").join(sizes.select(F.col("node").alias("b"), F.col("size").alias("b_size")), "b")
     close = close.filter(_sizes_fit("a_size", "b_size")).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
 
@@ -273,9 +274,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             break
         done, extra, turn = done.union(pairs), close.limit(0), turn + 1
 
-    labelled = first.select("node", "doc_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = first.select("node", "doc_id").join(groups.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return prints.select("doc_id", "node").join(labelled.join(smallest, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    named = labelled.join(smallest.hint("merge"), "component").select("node", "component_id")
+    return prints.select("doc_id", "node").join(named.hint("merge"), "node").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
